@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import op9_quality_rules
+from . import op5_warc_archive, op8_mix_sources, op9_quality_rules
 
 QUERIES = {
+    "op5_warc_archive": op5_warc_archive.query,
+    "op8_mix_sources": op8_mix_sources.query,
     "op9_quality_rules": op9_quality_rules.query,
 }
 
 SQL = {
+    "op5_warc_archive": op5_warc_archive.SQL,
+    "op8_mix_sources": op8_mix_sources.SQL,
     "op9_quality_rules": op9_quality_rules.SQL,
 }
