@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op5_warc_archive, op8_mix_sources, op9_quality_rules
+from . import op4_language_id, op5_warc_archive, op7_html_text, op8_mix_sources, op9_quality_rules
 
 QUERIES = {
+    "op7_html_text": op7_html_text.query,
+    "op4_language_id": op4_language_id.query,
     "op5_warc_archive": op5_warc_archive.query,
     "op8_mix_sources": op8_mix_sources.query,
     "op9_quality_rules": op9_quality_rules.query,
