@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op4_language_id, op5_warc_archive, op7_html_text, op8_mix_sources, op9_quality_rules
+from . import op4_language_id, op5_warc_archive, op6_ngram_join, op7_html_text, op8_mix_sources, op9_quality_rules
 
 QUERIES = {
+    "op6_ngram_join": op6_ngram_join.query,
     "op7_html_text": op7_html_text.query,
     "op4_language_id": op4_language_id.query,
     "op5_warc_archive": op5_warc_archive.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_ngram_join": op6_ngram_join.SQL,
     "op5_warc_archive": op5_warc_archive.SQL,
     "op8_mix_sources": op8_mix_sources.SQL,
     "op9_quality_rules": op9_quality_rules.SQL,
