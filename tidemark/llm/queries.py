@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op4_language_id, op5_warc_archive, op6_ngram_join, op7_html_text, op8_mix_sources, op9_quality_rules
+from . import op2_repeated_strings, op4_language_id, op5_warc_archive, op6_ngram_join, op7_html_text, op8_mix_sources, op9_quality_rules
 
 QUERIES = {
+    "op2_repeated_strings": op2_repeated_strings.query,
     "op6_ngram_join": op6_ngram_join.query,
     "op7_html_text": op7_html_text.query,
     "op4_language_id": op4_language_id.query,
