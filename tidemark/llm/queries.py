@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import op2_repeated_strings, op4_language_id, op5_warc_archive, op6_ngram_join, op7_html_text, op8_mix_sources, op9_quality_rules
+from . import op1_quality_model, op2_repeated_strings, op3_decontaminate, op4_language_id, op5_warc_archive, op6_ngram_join, op7_html_text, op8_mix_sources, op9_quality_rules, op10_license_scan
 
 QUERIES = {
+    "op10_license_scan": op10_license_scan.query,
+    "op3_decontaminate": op3_decontaminate.query,
+    "op1_quality_model": op1_quality_model.query,
     "op2_repeated_strings": op2_repeated_strings.query,
     "op6_ngram_join": op6_ngram_join.query,
     "op7_html_text": op7_html_text.query,
