@@ -4,9 +4,8 @@ A document's set are its distinct word shingles. Steps:
 
 1. Documents with equal sets (compared by size and a 128-bit sum of hashes) become one
    class; its smallest id stands for it.
-2. A global order of all shingles: frequent ones last. Counts of the ``HEAVY`` most
-   frequent shingles come from all documents; the rest go first, by hash. Two sets with
-   Jaccard similarity t or more share a shingle within their first
+2. A global order of all shingles: by the number of documents, rare ones first. Two sets
+   with Jaccard similarity t or more share a shingle within their first
    ``n - ceil(t n) + 1`` shingles, whatever the order is, so nothing is lost.
 3. Classes that share such a shingle, and whose sizes allow a link, are joined to loose
    clusters (stars around the smallest id, then connected components).
@@ -33,87 +32,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from . import pieces as pc
 from . import tokens as tk
 from .graph import components
 from .shared import map_arrow, read_table, stored
 
 K = 3
 PERCENT = 90
-HEAVY = 1 << 16
-#: Shingles counted together before those seen fewer than HEAVY_LEAST times are left out of the heavy table.
-HEAVY_PIECE = 2_000_000
-HEAVY_LEAST = 4
+#: Bytes of a shingle's hash that travel to be counted.
+WIDTH = 5
 BLOCK_ELEMENTS = 100_000
 BLOCK_SETS = 256
 LARGEST_BLOCK = 4_000_000
 BROADCAST_ROWS = 500_000
 
 
-def sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, sorted distinct shingle hashes, borders)`` of pieces of a text column."""
-    for lo, hi, data, offsets in tk.chunks(column):
-        low = tk.LOWER[data]
-        start, end, first = tk.word_spans(low, offsets)
-        h, row = tk.shingles(tk.span_hash(tk.prefix_hash(low), start, end), first, k)
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        h, row = h[new], row[new]
-        yield lo, hi, h, np.searchsorted(row, np.arange(hi - lo + 1))
+def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, and the borders of the texts."""
+    low = tk.LOWER[data]
+    start, end, first = tk.word_spans(low, offsets)
+    h, row = tk.shingles(tk.span_hash(tk.prefix_hash(low), start, end), first, k)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[new], row[new]
+    return h, np.searchsorted(row, np.arange(len(offsets)))
 
 
-def heavy_shingles(docs: DataFrame, k: int, size: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles; at most ``size`` of them reach the driver."""
+def frequencies(pieces: DataFrame, k: int, buckets: int) -> DataFrame:
+    """``piece, sent``: for each piece the shingles that two or more documents have, with their counts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            ok = n >= HEAVY_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(n[ok].astype(np.int64))], names=["h", "n"])
+    Hashes travel to their bucket as packed arrays (``WIDTH`` bytes each, once for a piece)
+    and answers come back the same way. Two shingles that agree in bucket and bytes share a
+    count, which only moves them in the order.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, h, _ in sets(batch.column(0), k):
-                held.append(h)
-                if sum(map(len, held)) >= HEAVY_PIECE:
-                    yield flush()
-        if held:
-            yield flush()
-
-    found = map_arrow(docs.select("text"), count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    got = found.orderBy(F.col("n").desc(), "h").limit(size).toPandas().sort_values("h")
-    return got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-
-
-def signatures(docs: DataFrame, k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix``: set size, its 128-bit sum and the first shingles in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+            for i in range(batch.num_rows):
+                _, offsets, data = pc.unpack(batch, i)
+                h, n = np.unique(sets_of(data, offsets, k)[0], return_counts=True)
+                order, some, border = pc.deal((h % np.uint64(buckets)).astype(np.int64), buckets)
+                packed, many = pc.narrow(h[order] >> np.uint64(8), WIDTH), n[order]
+                one, more = [], []
+                for b in some:
+                    part, c = packed[border[b] : border[b + 1]], many[border[b] : border[b + 1]]
+                    one.append(part[c == 1].tobytes())
+                    more.append(part[c > 1].tobytes() + c[c > 1].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("piece")[i].as_py(), np.int64)), pa.array(one, pa.binary()), pa.array(more, pa.binary())],
+                    names=["bucket", "piece", "one", "more"],
+                )
+
+    def answer(table: pa.Table) -> pa.Table:
+        own = []
+        for one, more in zip(table.column("one").to_pylist(), table.column("more").to_pylist(), strict=True):
+            m = len(more) // (WIDTH + 4)
+            a, b = pc.widen(one, WIDTH), pc.widen(more[: m * WIDTH], WIDTH)
+            own.append((np.concatenate([a, b]), np.concatenate([np.ones(len(a), np.int64), np.frombuffer(more[m * WIDTH :], "<u4").astype(np.int64)])))
+        value, back = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([n for _, n in own])).astype(np.int64)
+        piece, sent, at = [], [], 0
+        for p, (h, _) in zip(table.column("piece").to_pylist(), own, strict=True):
+            df = total[back[at : at + len(h)]]
+            at += len(h)
+            ok = df > 1
+            if ok.any():
+                piece.append(p)
+                sent.append(pc.narrow(h[ok], WIDTH).tobytes() + np.minimum(df[ok], 0xFFFFFF).astype("<u4").tobytes())
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(piece), pa.int32()), "piece": pa.array(piece, pa.int64()), "counts": pa.array(sent, pa.binary())})
+
+    ship(pieces.sparkSession)
+    asked = map_arrow(pieces.select("piece", "ids", "offsets", "bytes"), count, "bucket int, piece bigint, one binary, more binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, piece bigint, counts binary")
+    return answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "counts")).alias("sent"))
+
+
+def signatures(pieces: DataFrame, counts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """``doc_id, n, s1, s2, prefix``: set size, its 128-bit sum and those of the first shingles that other documents have too.
+
+    The order is by count, then by hash.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
         for batch in batches:
-            for lo, hi, h, border in sets(batch.column(1), k):
+            for i in range(batch.num_rows):
+                ids, offsets, data = pc.unpack(batch, i)
+                h, border = sets_of(data, offsets, k)
                 n = np.diff(border)
-                signed = h.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, signed), max(0, len(keys) - 1))
-                weight = np.where(keys[at] == signed, counts[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-                row = np.repeat(np.arange(hi - lo), n)
-                total = lambda x: np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])  # noqa: B023, E731
+                weight = np.ones(len(h), np.int64)
+                bucket = h % np.uint64(buckets)
+                for one in batch.column("sent")[i].as_py() or []:
+                    m = len(one["counts"]) // (WIDTH + 4)
+                    keys, df = pc.widen(one["counts"][: m * WIDTH], WIDTH), np.frombuffer(one["counts"][m * WIDTH :], "<u4")
+                    order = np.argsort(keys)
+                    mine = np.flatnonzero(bucket == np.uint64(one["bucket"]))
+                    ok, at = pc.lookup(keys[order], (h[mine] >> np.uint64(8)) & np.uint64((1 << (8 * WIDTH)) - 1))
+                    weight[mine[ok]] = df[order][at[ok]]
+                row = np.repeat(np.arange(len(ids)), n)
+                total = lambda x: np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
                 sums = [(t := total(tk.mix(h ^ np.uint64(c))))[border[1:]] - t[border[:-1]] for c in (0x1234567, 0x89ABCDEF01)]
                 order = np.lexsort((h, weight, row))
                 p = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                rank = np.arange(len(h)) - border[row]
-                chosen = signed[order][rank < p[row]]
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(chosen))
+                chosen = order[((np.arange(len(h)) - border[row]) < p[row]) & (weight[order] > 1)]
+                per = np.bincount(row[chosen], minlength=len(ids))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(h[chosen].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), prefix],
+                    [pa.array(ids, mask=ids == pc.NO_ID), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), prefix],
                     names=["doc_id", "n", "s1", "s2", "prefix"],
-                )
+                )
 
-    return map_arrow(docs.select("doc_id", "text"), sign, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    joined = pieces.select("piece", "ids", "offsets", "bytes").join(counts, "piece", "left").select("ids", "offsets", "bytes", "sent")
+    return map_arrow(joined, sign, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
 
 
 def loose_clusters(classes: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +246,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, h, border in sets(batch.column(0), k):
+            for lo, hi, data, offsets in tk.chunks(batch.column(0)):
+                h, border = sets_of(data, offsets, k)
                 values = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(1, 6)), values], names=["rep", "copies", "component", "blocks", "block", "shingles"])
 
@@ -249,7 +281,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
 def ngram_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every row; a group holds all that is reachable by links."""
     docs = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(signatures(docs, k, percent, heavy_shingles(docs, k)), "signed")
+    buckets = min(1 << 14, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = pc.make_pieces(docs, "text", "doc_id", [])
+    signed = stored(signatures(pieces, frequencies(pieces, k, buckets), k, percent, buckets), "signed")
     key = ["n", "s1", "s2"]
     classes = stored(
         signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix")), "classes"

@@ -81,6 +81,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * _powers(_INV, n)[start] + (end - start).astype(np.uint64))
 
 
+def all_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each span of ``k`` bytes."""
+    n = len(prefix) - k
+    return mix((prefix[k:] - prefix[:n]) * _powers(_INV, n + k)[:n] + np.uint64(k))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the first word of each text (one more entry than texts)."""
     inside = ~SPACE[data] if word_byte is None else word_byte[data]
