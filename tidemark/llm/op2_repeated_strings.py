@@ -6,33 +6,32 @@ interval expansion: all intervals of equal strings are extended by one symbol to
 at a time, so common prefixes appear by increasing length, and the expansion stops at
 ``LENGTH``. To run it on many machines:
 
-1. ``pieces``: documents packed into rows of about 1 MB, written as a table bucketed by
-   piece. Later joins on the piece read it in place; texts are never shuffled.
+1. Documents are packed into pieces (see ``pieces``); texts are never shuffled. Of equal
+   texts only the one with the smallest id goes on; the others are covered by it.
 2. Every window of ``LENGTH`` bytes has an anchor, its ``ANCHOR``-byte string with the
    smallest hash. Equal windows have equal anchors, so windows may be dealt out by
    anchor. Consecutive windows with one anchor form a fragment (at most 76 bytes). First
    only the hashes of anchors travel, as packed arrays by hash bucket; a bucket tells the
    pieces which of their anchors another document has too.
-3. Fragments of those anchors go to buckets by anchor, each content once for each piece. A
-   bucket builds the suffix order of its distinct fragments and expands intervals; every
-   interval of ``LENGTH``-byte strings has a smallest document id. A fragment that is the
-   only content of its anchor is an interval by itself and is not sorted.
-4. The smallest ids return to the pieces as packed runs, and each document is cut.
+3. For those, hashes of the fragments and ids travel to the bucket of the anchor. An anchor
+   all of whose fragments are equal is one interval already. Of the others, each
+   distinct fragment is asked for at one piece that holds it.
+4. A bucket builds the suffix order of these fragments and expands intervals; every
+   interval of ``LENGTH``-byte strings has a smallest document id. The smallest ids return
+   to the pieces as packed runs, and each document is cut.
 
 An anchor that more than ``HOT_PIECES`` pieces hold is dealt out over several buckets;
 the smallest ids of its windows are then merged by a partial aggregation on window hashes.
 
-Contents are told apart by 64-bit hashes. Defined results: a null text is empty and loses
-nothing; documents shorter than ``LENGTH`` bytes lose nothing; a null id counts as the
-largest; rows that share an id don't match each other; all columns of the input are kept,
-whatever their names, beside the four result columns, which come last; an empty table
-gives an empty table.
+Contents are told apart by 64-bit hashes, whole texts by 128 bits. Defined results: a null
+text is empty and loses nothing; documents shorter than ``LENGTH`` bytes lose nothing; a
+null id counts as the largest; rows that share an id don't match each other; all columns
+of the input are kept, whatever their names, beside the four result columns, which come
+last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from . import pieces as pc
 from . import tokens as tk
-from .shared import map_arrow, new_path, read_table, stored
+from .shared import map_arrow, read_table, stored
 
 LENGTH = 50
 ANCHOR = 24
-PIECE = 1 << 20
 HOT_PIECES = 2000
-NO_ID = np.int64(0x7FFFFFFFFFFFFFFF)
+#: Symbols that are packed for the first sort.
+START = 5
+#: Times that many symbols make the first intervals, which are then extended one by one.
+FROM = 4
+NO_ID = pc.NO_ID
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -59,14 +62,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
     are taken in overlapping parts.
     """
     n = len(data)
-    limit = 1 << 23
+    limit = 1 << 17
     if n > limit + length:
         parts, at = [], 0
         while at < n - length + 1:
             stop = min(n, at + limit + length - 1)
-            inner = np.clip(offsets, at, stop) - at
-            part = runs(data[at:stop], inner, length, anchor)
-            parts.append((part[0] + at, *part[1:]))
+            lo, hi = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, stop, "left")
+            part = runs(data[at:stop], np.clip(offsets[lo : hi + 1], at, stop) - at, length, anchor)
+            parts.append((part[0] + at, part[1], part[2] + lo, *part[3:]))
             at += limit
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
     span = length - anchor + 1
@@ -75,124 +78,140 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
         z = np.zeros(0, np.int64)
         return z, z, z, z.view(np.uint64), z.view(np.uint64)
     prefix = tk.prefix_hash(data)
-    start = np.arange(n - anchor + 1)
-    h = tk.span_hash(prefix, start, start + anchor)
-    v = (h & ~_POS) | start.astype(np.uint64)
+    h = tk.all_hashes(prefix, anchor)
+    v = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
     low, width = v, 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[:m], low[span - width : span - width + m])
-    doc = np.searchsorted(offsets, np.arange(m), "right") - 1
-    inside = np.arange(m) + length <= offsets[1:][doc]
-    new = np.ones(m, bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+    # The last windows of each text reach over its end.
+    new = np.empty(m, bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    over = np.maximum(offsets[1:] - length + 1, offsets[:-1])
+    new[over[over < m]] = True
+    new[offsets[offsets < m]] = True
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, m))
-    ok = inside[first]
-    first, count = first[ok], count[ok]
+    count = np.diff(first, append=m)
+    doc = np.searchsorted(offsets, first, "right") - 1
+    ok = first + length <= offsets[1:][doc]
+    first, count, doc = first[ok], count[ok], doc[ok]
     at = (low[first] & _POS).astype(np.int64)
-    return first, count, doc[first], h[at] >> np.uint64(16), tk.span_hash(prefix, first, first + count + length - 1)
-
-
-def expand(fragments: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the fragments in turn: the smallest id of its interval, and the interval's number."""
-    text = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
+    return first, count, doc, h[at] >> np.uint64(16), tk.span_hash(prefix, first, first + count + length - 1)
+
+
+def ranks(value: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of numbers of at most ``bits`` bits."""
+    n = len(value)
+    place = max(1, (n - 1).bit_length())
+    if bits + place <= 63:
+        # Value and place in one number, so that one plain sort does.
+        v = np.sort((value << place) | np.arange(n))
+        order = v & ((1 << place) - 1)
+        v >>= place
+    else:
+        order = np.argsort(value)
+        v = value[order]
+    new = np.zeros(n, np.int64)
+    new[1:] = v[1:] != v[:-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def expand(fragments: list[bytes], ids: np.ndarray, length: int, start: int = START) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the fragments in turn: the smallest id of its interval, and the interval's number.
+
+    The suffix order is by the first ``start * 2**k >= length`` symbols. Intervals are taken
+    from the round that sorts by ``FROM * start`` symbols and extended from there.
+    """
     size = np.array([len(f) for f in fragments])
-    owner = np.repeat(np.arange(len(fragments)), size)
-    # One zero after each fragment; what follows it never lies in a window.
-    at = np.arange(len(text)) + owner
-    t = np.zeros(len(text) + len(fragments) + 64, np.int64)
-    t[at] = text
-    n = len(text) + len(fragments)
-    # Suffix order by the first 7, 14, 28, 56 symbols.
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        key = (key << 9) | t[i : i + n]
-    _, rank = np.unique(key, return_inverse=True)
-    have = 7
+    # A zero byte parts the fragments; what follows it never lies in a window.
+    t = np.frombuffer(b"\0".join(fragments) + b"\0" * (length + start + 1), np.uint8).astype(np.int64)
+    n = int(size.sum()) + len(fragments)
+    value = np.zeros(n, np.int64)
+    for i in range(start):
+        value = (value << 8) | t[i : i + n]
+    rank = ranks(value, 8 * start)
+    have, first, bits = start, rank, n.bit_length()
     while have < length:
-        count = np.bincount(rank)
-        base = np.cumsum(count) - count
-        rank = base[rank]
-        open_ = np.flatnonzero(count[np.searchsorted(base, rank, "right") - 1] > 1)
-        nxt = open_ + have
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        order = np.lexsort((second, rank[open_]))
-        a, b = rank[open_][order], second[order]
-        pos = np.arange(len(a))
-        group = np.ones(len(a), bool)
-        group[1:] = a[1:] != a[:-1]
-        new = group.copy()
-        new[1:] |= b[1:] != b[:-1]
-        rank = rank.copy()
-        rank[open_[order]] = a + np.maximum.accumulate(np.where(new, pos, 0)) - np.maximum.accumulate(np.where(group, pos, 0))
+        second = np.zeros(n, np.int64)
+        second[: n - have] = rank[have:] + 1
+        rank = ranks((rank << bits) | second, 2 * bits)
         have *= 2
-        if len(open_) == 0:
-            break
-        _, rank = np.unique(rank, return_inverse=True)
-    suffix = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[suffix] = np.arange(n)
+        if have == FROM * start:
+            first = rank
+    suffix = np.argsort(rank)
     # Breadth-first backward extension: the interval of a symbol and a string is where the symbol
     # stands before the string's interval, so two neighbours in suffix order stay together at length
     # d + 1 if their first symbols are equal and their successors share an interval of length d.
+    place = np.empty(n, np.int32)
+    place[suffix] = np.arange(n, dtype=np.int32)
     head = t[suffix]
+    first_edge = np.ones(n, bool)
+    first_edge[1:] = head[1:] != head[:-1]
     edge = np.ones(n, bool)
-    edge[1:] = head[1:] != head[:-1]
-    first_edge = edge
+    edge[1:] = first[suffix[1:]] != first[suffix[:-1]]
     successor = place[np.minimum(suffix + 1, n - 1)]
-    for _ in range(length - 1):
-        interval = np.cumsum(edge)[successor]
+    for _ in range(min(FROM * start, have), length):
+        interval = np.cumsum(edge, dtype=np.int32)[successor]
         edge = first_edge.copy()
         edge[1:] |= interval[1:] != interval[:-1]
     number = np.cumsum(edge) - 1
-    whole = np.zeros(n, bool)
-    left = size[owner] - (np.arange(len(text)) - (np.cumsum(size) - size)[owner])
-    whole[at[left >= length]] = True
-    owner_at = np.zeros(n, np.int64)
-    owner_at[at] = owner
+    begin = np.cumsum(size + 1) - size - 1
+    windows = size - length + 1
+    at = np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    mine = number[place[at]]
     smallest = np.full(number[-1] + 1, NO_ID)
-    good = whole[suffix]
-    np.minimum.at(smallest, number[good], ids[owner_at[suffix[good]]])
-    mine = number[place[np.flatnonzero(whole)]]
+    np.minimum.at(smallest, mine, np.repeat(ids, windows))
     return smallest[mine], mine
 
 
-def _blob(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+#: A fragment on its way: hash of its anchor, of its content, smallest id in the piece, buckets of the anchor.
+SEEN = np.dtype([("anchor", "<u8"), ("content", "<i8"), ("id", "<i8"), ("deals", "<i4")])
+#: Windows a to b of a content have the smallest id low.
+RUN = np.dtype([("content", "<i8"), ("low", "<i8"), ("a", "u1"), ("b", "u1")])
+
+
+def packed_runs(content: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> bytes:
+    out = np.empty(len(content), RUN)
+    out["content"], out["a"], out["b"], out["low"] = content, a, b, low
+    return out.tobytes()
 
 
 class Repeats:
     """The steps of one run; the parameters travel with the functions to the executors."""
 
-    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR, piece: int = PIECE, hot: int = HOT_PIECES, buckets: int = 64):
-        self.length, self.anchor, self.piece, self.hot, self.buckets = length, anchor, piece, hot, buckets
+    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_PIECES, buckets: int = 64, as_text: bool = False):
+        self.length, self.anchor, self.hot, self.buckets, self.as_text = length, anchor, hot, buckets, as_text
 
-    def pack(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of (text, id, rest) to pieces. The piece's number is drawn from its first id and text."""
+    def digests(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digest and id of each text of a piece."""
         for batch in batches:
-            rest = batch.column(2)
-            for lo, hi, data, offsets in tk.chunks(batch.column(0), self.piece):
-                ids = np.where(np.asarray(batch.column(1).slice(lo, hi - lo).is_null()), NO_ID, batch.column(1).slice(lo, hi - lo).fill_null(0).to_numpy())
-                name = hashlib.blake2b(ids.tobytes() + offsets.tobytes() + data[:4096].tobytes(), digest_size=8).digest()
-                rows = rest.slice(lo, hi - lo)
-                lists = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([rows]))
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                digest = batch.column("digests")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int.from_bytes(name, "little", signed=True)]), pa.array(_blob(ids), pa.binary()), pa.array(_blob(offsets), pa.binary()), pa.array(_blob(data), pa.binary()), lists],
-                    names=["piece", "ids", "offsets", "bytes", "rest"],
+                    [pa.array(np.full(len(ids), batch.column("piece")[i].as_py(), np.int64)), pa.array([digest[16 * j : 16 * j + 16] for j in range(len(ids))], pa.binary()), pa.array(ids)],
+                    names=["piece", "digest", "id"],
                 )
 
-    def _piece(self, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_py() or b"", kind)
-        return get("ids", np.int64), get("offsets", np.int64), get("bytes", np.uint8)
+    def _runs(self, batch: pa.RecordBatch, i: int):
+        """Ids, bytes and fragments of a piece's texts without the copies of others."""
+        ids, offsets, data = pc.unpack(batch, i)
+        first, count, doc, anchor, content = runs(data, offsets, self.length, self.anchor)
+        copies = batch.column("copies")[i].as_py()
+        if copies:
+            ok = ~np.isin(ids, np.array(copies))[doc]
+            first, count, doc, anchor, content = first[ok], count[ok], doc[ok], anchor[ok], content[ok]
+        return ids, data, first, count, doc, anchor, content
 
     def anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of a piece's anchors by bucket; one that two documents of the piece have is given twice."""
         for batch in batches:
             for i in range(batch.num_rows):
-                _, offsets, data = self._piece(batch, i)
-                _, _, doc, anchor, _ = runs(data, offsets, self.length, self.anchor)
+                _, _, _, _, doc, anchor, _ = self._runs(batch, i)
                 order = np.lexsort((doc, anchor))
                 a, d = anchor[order], doc[order]
                 fresh = np.ones(len(a), bool)
@@ -201,124 +220,156 @@ class Repeats:
                 third = np.zeros(len(a), bool)
                 third[2:] = a[2:] == a[:-2]
                 a = a[~third]
-                bucket = (a % np.uint64(self.buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-                # 48 bits each.
-                packed = a[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                some = np.flatnonzero(np.diff(cut))
+                order, some, border = pc.deal((a % np.uint64(self.buckets)).astype(np.int64), self.buckets)
+                packed = pc.narrow(a[order], 6)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("piece")[i].as_py(), np.int64)), pa.array([packed[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())],
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("piece")[i].as_py(), np.int64)), pa.array([packed[border[b] : border[b + 1]].tobytes() for b in some], pa.binary())],
                     names=["bucket", "piece", "anchors"],
                 )
 
     def shared_anchors(self, table: pa.Table) -> pa.Table:
         """To each piece of a bucket: its anchors that other documents have too, and over how many buckets to deal them."""
-        found = []
-        for blob in table.column("anchors").to_pylist():
-            wide = np.zeros((len(blob) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-            found.append(wide.reshape(-1).view("<u8"))
+        found = [pc.widen(b, 6) for b in table.column("anchors").to_pylist()]
         value, count = np.unique(np.concatenate(found), return_counts=True)
         value, count = value[count > 1], count[count > 1]
         out: list[tuple[int, bytes, bytes]] = []
         for piece, own in zip(table.column("piece").to_pylist(), found, strict=True):
             own = np.unique(own)
-            at = np.minimum(np.searchsorted(value, own), max(0, len(value) - 1))
-            ok = value[at] == own if len(value) else np.zeros(len(own), bool)
+            ok, at = pc.lookup(value, own)
             if ok.any():
-                out.append((piece, own[ok].tobytes(), (-(-count[at[ok]] // self.hot)).astype(np.int32).tobytes()))
+                deals = -(-count[at[ok]] // self.hot)
+                # Left out where no anchor of the bucket is dealt out.
+                out.append((piece, pc.narrow(own[ok], 6).tobytes(), deals.astype(np.int32).tobytes() if (deals > 1).any() else b""))
         return pa.table({"piece": pa.array([o[0] for o in out], pa.int64()), "anchors": pa.array([o[1] for o in out], pa.binary()), "deals": pa.array([o[2] for o in out], pa.binary())})
 
-    def fragments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A piece's distinct fragments of shared anchors, with the smallest id in the piece."""
+    def seen(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A piece's distinct fragments of shared anchors by bucket: hashes and the smallest id in the piece."""
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, offsets, data = self._piece(batch, i)
-                first, count, doc, anchor, content = runs(data, offsets, self.length, self.anchor)
-                sent = batch.column("sent")[i].as_py()
-                value = np.frombuffer(b"".join(s["anchors"] for s in sent), np.uint64)
-                deals = np.frombuffer(b"".join(s["deals"] for s in sent), np.int32)
+                ids, _, _, _, doc, anchor, content = self._runs(batch, i)
+                value, deals = [], []
+                for sent in batch.column("sent")[i].as_py():
+                    v = pc.widen(sent["anchors"], 6)
+                    value.append(v)
+                    deals.append(np.frombuffer(sent["deals"], np.int32) if sent["deals"] else np.ones(len(v), np.int32))
+                value, deals = np.concatenate(value), np.concatenate(deals)
                 order = np.argsort(value)
-                value, deals = value[order], deals[order]
-                at = np.minimum(np.searchsorted(value, anchor), len(value) - 1)
-                chosen = np.flatnonzero(value[at] == anchor)
-                order = chosen[np.lexsort((ids[doc[chosen]], content[chosen]))]
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = content[order][1:] != content[order][:-1]
-                order = order[fresh]
-                deal = deals[at[order]].astype(np.int64)
+                ok, at = pc.lookup(value[order], anchor)
+                chosen = np.flatnonzero(ok)
+                by = chosen[np.lexsort((ids[doc[chosen]], content[chosen]))]
+                fresh = np.ones(len(by), bool)
+                fresh[1:] = content[by][1:] != content[by][:-1]
+                by = by[fresh]
+                out = np.empty(len(by), SEEN)
+                out["anchor"], out["content"], out["id"], out["deals"] = anchor[by], content[by].view(np.int64), ids[doc[by]], deals[order][at[by]]
                 piece = batch.column("piece")[i].as_py()
-                salt = np.where(deal > 1, abs(piece) % np.maximum(deal, 1), 0)
-                bucket = (tk.mix(anchor[order] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets * 4)).astype(np.int32)
-                stop = first[order] + count[order] + self.length - 1
-                for lo in range(0, max(1, len(order)), 20_000):
-                    s = slice(lo, lo + 20_000)
-                    part = order[s]
+                salt = (abs(piece) % np.maximum(out["deals"].astype(np.int64), 1)).astype(np.uint64)
+                bucket = (tk.mix(anchor[by] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)).astype(np.int64)
+                order, some, border = pc.deal(bucket, self.buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), piece, np.int64)), pa.array([out[order[border[b] : border[b + 1]]].tobytes() for b in some], pa.binary())],
+                    names=["bucket", "piece", "seen"],
+                )
+
+    @staticmethod
+    def _bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All fragments seen in a bucket and their pieces; the distinct contents, where each was first, its number by row, and whether its anchor has several."""
+        parts = [np.frombuffer(b, SEEN) for b in table.column("seen").to_pylist()]
+        rows = np.concatenate(parts) if parts else np.zeros(0, SEEN)
+        piece = np.repeat(table.column("piece").to_numpy(), [len(p) for p in parts])
+        name, where, back = np.unique(rows["content"], return_index=True, return_inverse=True)
+        _, group, size = np.unique(rows["anchor"][where], return_inverse=True, return_counts=True)
+        # One bucket of an anchor that is dealt out can't know the contents in the others.
+        return rows, piece, name, where, back, (size[group] > 1) | (rows["deals"][where] > 1)
+
+    def wanted(self, table: pa.Table) -> pa.Table:
+        """Which piece is to send the bytes of which fragment: those whose anchor has several contents."""
+        _, piece, name, where, _, several = self._bucket(table)
+        ask = np.flatnonzero(several)
+        order = ask[np.argsort(piece[where[ask]], kind="stable")]
+        p = piece[where[order]]
+        cut = np.flatnonzero(np.diff(p)) + 1
+        parts = np.split(order, cut) if len(order) else []
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table(
+            {
+                "piece": pa.array([int(piece[where[x[0]]]) for x in parts], pa.int64()),
+                "bucket": pa.array([bucket] * len(parts), pa.int32()),
+                "contents": pa.array([name[x].tobytes() for x in parts], pa.binary()),
+            }
+        )
+
+    def fragments(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes that were asked for, by bucket."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, data, first, count, _, _, content = self._runs(batch, i)
+                name, where = np.unique(content.view(np.int64), return_index=True)
+                for want in batch.column("want")[i].as_py():
+                    asked = np.frombuffer(want["contents"], np.int64)
+                    at = where[pc.lookup(name, asked)[1]]
+                    size = count[at] + self.length - 1
+                    texts = b"".join(data[a : a + n].tobytes() for a, n in zip(first[at], size, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bucket[s]), pa.array(anchor[part].view(np.int64)), pa.array(content[part].view(np.int64)),
-                            pa.array(np.full(len(part), piece, np.int64)), pa.array(ids[doc[part]]), pa.array(deal[s] > 1),
-                            pa.array([data[a:b].tobytes() for a, b in zip(first[part], stop[s], strict=True)], pa.binary()),
-                        ],
-                        names=["bucket", "anchor", "content", "piece", "id", "hot", "fragment"],
+                        [pa.array([want["bucket"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (asked.tobytes(), size.astype(np.uint8).tobytes(), texts))],
+                        names=["bucket", "contents", "sizes", "texts"],
                     )
 
-    def intervals(self, table: pa.Table) -> pa.Table:
+    def intervals(self, table: pa.Table, sent: pa.Table) -> pa.Table:
         """Smallest ids of the windows of a bucket's fragments: packed runs for the pieces, rows for hot anchors."""
-        col = lambda name: table.column(name).to_numpy()
-        content, piece, id_, anchor = col("content"), col("piece"), col("id"), col("anchor")
-        hot_row = np.asarray(table.column("hot").to_pylist(), bool)
-        name, where, back = np.unique(content, return_index=True, return_inverse=True)
+        rows, piece, name, where, back, several = self._bucket(table)
         smallest = np.full(len(name), NO_ID)
-        np.minimum.at(smallest, back, id_)
-        group = anchor[where]
-        _, g, alone = np.unique(group, return_inverse=True, return_counts=True)
-        sort_ = np.flatnonzero(alone[g] > 1)
-        texts = table.column("fragment")
-        size = np.asarray(pa.compute.binary_length(texts))[where]
-        windows = size - self.length + 1
-        # Runs of windows of a content with one smallest id.
-        run_of, a, b, low = [np.setdiff1d(np.arange(len(name)), sort_)], [], [], []
-        a.append(np.zeros(len(run_of[0]), np.int64))
-        b.append(windows[run_of[0]])
-        low.append(smallest[run_of[0]])
-        if len(sort_):
-            low_w, _ = expand([texts[int(where[j])].as_py() for j in sort_], smallest[sort_], self.length)
-            of = np.repeat(sort_, windows[sort_])
-            at = np.arange(len(of)) - np.repeat(np.cumsum(windows[sort_]) - windows[sort_], windows[sort_])
-            new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (low_w[1:] != low_w[:-1])
+        np.minimum.at(smallest, back, rows["id"])
+        one = np.flatnonzero(~several)
+        # A content alone: one run over all its windows, whose number the pieces know.
+        of, a, b, low = [one], [np.zeros(len(one), np.int64)], [np.full(len(one), 255)], [smallest[one]]
+        texts: list[bytes] = []
+        window = np.zeros(0, np.int64)
+        if sent.num_rows:
+            which, size, whole = [], [], []
+            for c, n, t in zip(*(sent.column(x).to_pylist() for x in ("contents", "sizes", "texts")), strict=True):
+                which.append(np.frombuffer(c, np.int64))
+                size.append(np.frombuffer(n, np.uint8).astype(np.int64))
+                whole.append(t)
+            number = pc.lookup(name, np.concatenate(which))[1]
+            size, text = np.concatenate(size), b"".join(whole)
+            end = np.cumsum(size)
+            texts = [text[e - n : e] for e, n in zip(end, size, strict=True)]
+            lows, _ = expand(texts, smallest[number], self.length)
+            windows = size - self.length + 1
+            w_of = np.repeat(number, windows)
+            at = np.arange(len(w_of)) - np.repeat(np.cumsum(windows) - windows, windows)
+            new = np.ones(len(w_of), bool)
+            new[1:] = (w_of[1:] != w_of[:-1]) | (lows[1:] != lows[:-1])
             f = np.flatnonzero(new)
-            run_of.append(of[f])
+            of.append(w_of[f])
             a.append(at[f])
-            b.append(at[f] + np.diff(np.append(f, len(of))))
-            low.append(low_w[f])
-        run_of, a, b, low = (np.concatenate(x).astype(np.int64) for x in (run_of, a, b, low))
-        order = np.argsort(run_of, kind="stable")
-        run_of, a, b, low = run_of[order], a[order], b[order], low[order]
-        cut = np.searchsorted(run_of, np.arange(len(name) + 1))
+            b.append(at[f] + np.diff(f, append=len(w_of)))
+            low.append(lows[f])
+        of, a, b, low = (np.concatenate(x).astype(np.int64) for x in (of, a, b, low))
+        order = np.argsort(of, kind="stable")
+        of, a, b, low = of[order], a[order], b[order], low[order]
+        cut = np.searchsorted(of, np.arange(len(name) + 1))
+        hot_row = (rows["deals"] > 1) & several[back]
         out_piece, out_blob = [], []
-        rows = np.argsort(piece, kind="stable")
-        rows = rows[~hot_row[rows]]
-        border = np.flatnonzero(np.diff(piece[rows])) + 1 if len(rows) else []
-        for part in np.split(rows, border) if len(rows) else []:
+        cold = np.flatnonzero(~hot_row)
+        cold = cold[np.argsort(piece[cold], kind="stable")]
+        for part in np.split(cold, np.flatnonzero(np.diff(piece[cold])) + 1) if len(cold) else []:
             c = back[part]
             n = cut[c + 1] - cut[c]
             r = np.repeat(cut[c] - np.cumsum(n) + n, n) + np.arange(n.sum())
             out_piece.append(int(piece[part[0]]))
-            out_blob.append(packed_runs(np.repeat(content[part], n), a[r], b[r], low[r]))
+            out_blob.append(packed_runs(np.repeat(rows["content"][part], n), a[r], b[r], low[r]))
         hot: dict[str, list] = {"window": [], "low": [], "content": [], "at": [], "piece": []}
-        for row in np.flatnonzero(hot_row):
-            text, c = np.frombuffer(texts[int(row)].as_py(), np.uint8), back[row]
-            start = np.arange(windows[c])
-            h = tk.span_hash(tk.prefix_hash(text), start, start + self.length).view(np.int64)
-            r = np.arange(cut[c], cut[c + 1])
-            hot["window"].append(h)
-            hot["low"].append(np.repeat(low[r], b[r] - a[r]))
-            hot["content"].append(np.full(len(h), content[row]))
-            hot["at"].append(start)
-            hot["piece"].append(np.full(len(h), piece[row]))
+        if hot_row.any():
+            text_of = dict(zip(number.tolist(), texts, strict=True))
+            for row in np.flatnonzero(hot_row):
+                text = np.frombuffer(text_of[int(back[row])], np.uint8)
+                start = np.arange(len(text) - self.length + 1)
+                window = tk.span_hash(tk.prefix_hash(text), start, start + self.length).view(np.int64)
+                r = np.arange(cut[back[row]], cut[back[row] + 1])
+                for key, value in (("window", window), ("low", np.repeat(low[r], b[r] - a[r])), ("content", np.full(len(start), rows["content"][row])), ("at", start), ("piece", np.full(len(start), piece[row]))):
+                    hot[key].append(value)
         flat = {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in hot.items()}
         k, m = len(out_piece), len(flat["window"])
         pad = lambda x: pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)])
@@ -339,74 +390,82 @@ class Repeats:
         """Cuts the documents of each piece: rest of the row, counts and what is left of the text."""
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, offsets, data = self._piece(batch, i)
+                ids, offsets, data = pc.unpack(batch, i)
                 texts = len(ids)
                 gone = np.zeros(len(data), bool)
                 sent = batch.column("sent")[i].as_py()
                 if sent:
                     found = np.concatenate([np.frombuffer(s, RUN) for s in sent])
                     found = found[np.argsort(found["content"], kind="stable")]
-                    first, _, doc, _, content = runs(data, offsets, self.length, self.anchor)
-                    lo = np.searchsorted(found["content"], content.view(np.int64), "left")
-                    n = np.searchsorted(found["content"], content.view(np.int64), "right") - lo
-                    r = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    of = np.repeat(np.arange(len(content)), n)
+                    key = np.ascontiguousarray(found["content"])
+                    _, _, first, count, doc, _, content = self._runs(batch, i)
+                    ok, lo = pc.lookup(key, content.view(np.int64))
+                    some = np.flatnonzero(ok)
+                    n = np.searchsorted(key, content[some].view(np.int64), "right") - lo[some]
+                    r = np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    of = np.repeat(some, n)
                     hit = found["low"][r] < ids[doc[of]]
                     r, of = r[hit], of[hit]
-                    gone = tk.cover(len(data), first[of] + found["a"][r], first[of] + found["b"][r] + self.length - 1)
+                    gone = tk.cover(len(data), first[of] + found["a"][r], first[of] + np.minimum(found["b"][r], count[of]) + self.length - 1)
                 row = np.repeat(np.arange(texts), np.diff(offsets))
+                copies = batch.column("copies")[i].as_py()
+                if copies:
+                    gone |= (np.isin(ids, np.array(copies)) & (np.diff(offsets) >= self.length))[row]
                 begin = gone.copy()
                 begin[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
                 kept = np.concatenate([[0], np.cumsum(~gone)])[offsets]
                 left = data[~gone]
-                rest = batch.column("rest")[i].values
+                texts_left = [left[a:b].tobytes() for a, b in zip(kept[:-1], kept[1:], strict=True)]
+                if self.as_text:
+                    texts_left = [t.decode("utf-8", "ignore") for t in texts_left]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rest, pa.array(np.diff(offsets)), pa.array(np.bincount(row, gone, texts).astype(np.int64)),
-                        pa.array(np.bincount(row, begin, texts).astype(np.int64)), pa.array([left[a:b].tobytes() for a, b in zip(kept[:-1], kept[1:], strict=True)], pa.binary()),
+                        batch.column("rest")[i].values, pa.array(np.diff(offsets)), pa.array(np.bincount(row, gone, texts).astype(np.int64)),
+                        pa.array(np.bincount(row, begin, texts).astype(np.int64)), pa.array(texts_left, pa.string() if self.as_text else pa.binary()),
                     ],
                     names=["rest", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
 
-RUN = np.dtype([("content", "<i8"), ("low", "<i8"), ("a", "u1"), ("b", "u1")])
-
-
-def packed_runs(content: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> bytes:
-    out = np.empty(len(content), RUN)
-    out["content"], out["a"], out["b"], out["low"] = content, a, b, low
-    return out.tobytes()
-
+def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", piece: int = pc.PIECE, as_text: bool = False, **parameters: int) -> DataFrame:
+    """All columns of ``docs`` and ``n_bytes, n_removed, n_spans, kept``: the bytes that are left of the text.
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", **parameters: int) -> DataFrame:
-    """All columns of ``docs`` and ``n_bytes, n_removed, n_spans, kept`` (binary: what is left of the text)."""
+    With ``as_text`` they are a string, without characters that were cut in two.
+    """
     spark = docs.sparkSession
     ship(spark)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    step = Repeats(**{"buckets": 4 * shuffles} | parameters)
-    packed = docs.select(F.encode(F.col(text).cast("string"), "UTF-8").alias("text"), F.col(id_).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"))
-    rest = packed.schema["rest"].dataType.simpleString()
-    name = f"pieces_{uuid.uuid4().hex[:12]}"
-    rows = map_arrow(packed, step.pack, f"piece bigint, ids binary, offsets binary, bytes binary, rest array<{rest}>")
-    rows.write.bucketBy(shuffles, "piece").option("path", new_path(spark, "pieces")).option("compression", "zstd").saveAsTable(name)
-    pieces = spark.table(name)
-
-    anchors = map_arrow(pieces.select("piece", "ids", "offsets", "bytes"), step.anchors, "bucket int, piece bigint, anchors binary")
-    shared = anchors.groupBy("bucket").applyInArrow(lambda t: step.shared_anchors(t), "piece bigint, anchors binary, deals binary")
+    step = Repeats(**{"buckets": min(1 << 14, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "as_text": as_text} | parameters)
+    pieces = pc.make_pieces(docs, text, id_, docs.columns, piece)
+    rest = pieces.schema["rest"].dataType.elementType
+    body = ["piece", "ids", "offsets", "bytes"]
+
+    # Ids whose text a smaller id has too, by piece. An id with several texts is left to the windows.
+    digests = map_arrow(pieces.select("piece", "ids", "digests"), step.digests, "piece bigint, digest binary, id bigint")
+    texts = digests.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    single = digests.groupBy("id").agg(F.countDistinct("digest").alias("texts")).filter("texts = 1").select("id")
+    copies = digests.join(texts, "digest").filter("id > least").join(single, "id", "left_semi")
+    copies = stored(copies.groupBy("piece").agg(F.collect_list("id").alias("copies")), "copies")
+    known = pieces.select(*body).join(copies, "piece", "left")
+
+    asked = map_arrow(known, step.anchors, "bucket int, piece bigint, anchors binary")
+    shared = asked.groupBy("bucket").applyInArrow(lambda t: step.shared_anchors(t), "piece bigint, anchors binary, deals binary")
     shared = shared.groupBy("piece").agg(F.collect_list(F.struct("anchors", "deals")).alias("sent"))
-    found = map_arrow(
-        pieces.select("piece", "ids", "offsets", "bytes").join(shared, "piece"), step.fragments,
-        "bucket int, anchor bigint, content bigint, piece bigint, id bigint, hot boolean, fragment binary",
-    )
-    got = stored(found.groupBy("bucket").applyInArrow(lambda t: step.intervals(t), "piece bigint, runs binary, window bigint, low bigint, content bigint, at bigint"), "intervals")
-
-    hot = got.filter(F.col("window").isNotNull())
-    merged = hot.groupBy("window").agg(F.min("low").alias("least"))
-    hot = hot.join(merged, "window").select("piece", "content", "at", F.col("least").alias("low"))
-    hot = hot.groupBy("piece").applyInArrow(lambda t: step.pack_hot(t), "piece bigint, runs binary")
-    back = got.filter(F.col("window").isNull()).select("piece", "runs").union(hot)
-    back = back.groupBy("piece").agg(F.collect_list("runs").alias("sent"))
-    out = map_arrow(pieces.join(back, "piece", "left").select("ids", "offsets", "bytes", "rest", "sent"), step.cut, f"rest {rest}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    seen = map_arrow(known.join(shared, "piece"), step.seen, "bucket int, piece bigint, seen binary")
+    wanted = seen.groupBy("bucket").applyInArrow(lambda t: step.wanted(t), "piece bigint, bucket int, contents binary")
+    wanted = wanted.groupBy("piece").agg(F.collect_list(F.struct("bucket", "contents")).alias("want"))
+    texts = map_arrow(known.join(wanted, "piece"), step.fragments, "bucket int, contents binary, sizes binary, texts binary")
+    got = seen.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(lambda a, b: step.intervals(a, b), "piece bigint, runs binary, window bigint, low bigint, content bigint, at bigint")
+
+    if pieces.count() > step.hot:  # else no anchor can be in more pieces
+        got = stored(got, "intervals")
+        hot = got.filter(F.col("window").isNotNull())
+        merged = hot.groupBy("window").agg(F.min("low").alias("least"))
+        hot = hot.join(merged, "window").select("piece", "content", "at", F.col("least").alias("low"))
+        hot = hot.groupBy("piece").applyInArrow(lambda t: step.pack_hot(t), "piece bigint, runs binary")
+        got = got.filter(F.col("window").isNull()).select("piece", "runs").union(hot)
+    back = got.groupBy("piece").agg(F.collect_list("runs").alias("sent"))
+    whole = pieces.select("piece", "ids", "offsets", "bytes", "rest").join(copies, "piece", "left").join(back, "piece", "left")
+    out = map_arrow(whole, step.cut, f"rest {rest.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
     return out.select(*(F.col("rest")[c].alias(c) for c in docs.columns), "n_bytes", "n_removed", "n_spans", "kept")
 
 

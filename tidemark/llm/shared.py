@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 
@@ -43,6 +44,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that may be broadcast: 16 bytes each, 8 MB.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose id isn't in ``ids``; few ids (counted) are broadcast, more are joined by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, name, "left_anti").select(*df.columns)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package's modules sent to the executors first."""
     ship(df.sparkSession)
