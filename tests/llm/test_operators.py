@@ -61,7 +61,7 @@ def test_repeated_strings(spark):
         got = op2.remove_repeats(docs.select("doc_id", "text"), **extra)
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha256(bytes(r.kept))) for r in got.collect()) == expect
     clash = op2.remove_repeats(docs)
-    assert clash.columns == [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept"] and clash.count() == len(rows)
+    assert clash.columns == ["doc_id", "n_bytes", "kept", "piece", "n_bytes", "n_removed", "n_spans", "kept"] and clash.count() == len(rows)
     assert op2.remove_repeats(docs.limit(0)).count() == 0
 
 

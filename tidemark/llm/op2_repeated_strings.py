@@ -428,14 +428,18 @@ class Repeats:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", piece: int = pc.PIECE, as_text: bool = False, **parameters: int) -> DataFrame:
-    """All columns of ``docs`` and ``n_bytes, n_removed, n_spans, kept``: the bytes that are left of the text.
+    """The columns of ``docs`` without the text, and ``n_bytes, n_removed, n_spans, kept``: the bytes that are left of it.
 
-    With ``as_text`` they are a string, without characters that were cut in two.
+    With ``as_text`` they are a string, without characters that were cut in two, null
+    where the text was.
     """
     spark = docs.sparkSession
     ship(spark)
     step = Repeats(**{"buckets": min(1 << 14, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "as_text": as_text} | parameters)
-    pieces = pc.make_pieces(docs, text, id_, docs.columns, piece)
+    others = [c for c in docs.columns if c != text]
+    # Of each row the other columns travel with the piece, and whether the text is null.
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(f"`{text}`").isNull().alias("null"))
+    pieces = pc.make_pieces(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{id_}`").alias("id"), row.alias("row")), "text", "id", ["row"], piece)
     rest = pieces.schema["rest"].dataType.elementType
     body = ["piece", "ids", "offsets", "bytes"]
 
@@ -466,7 +470,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
     back = got.groupBy("piece").agg(F.collect_list("runs").alias("sent"))
     whole = pieces.select("piece", "ids", "offsets", "bytes", "rest").join(copies, "piece", "left").join(back, "piece", "left")
     out = map_arrow(whole, step.cut, f"rest {rest.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
-    return out.select(*(F.col("rest")[c].alias(c) for c in docs.columns), "n_bytes", "n_removed", "n_spans", "kept")
+    row = F.col("rest")["row"]
+    kept = F.when(~row["null"], F.col("kept")) if as_text else F.col("kept")
+    return out.select(*(row[f"c{i}"].alias(c) for i, c in enumerate(others)), "n_bytes", "n_removed", "n_spans", kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
