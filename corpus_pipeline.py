@@ -42,12 +42,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings that an earlier document has; a document of which nothing but white space is left goes."""
-    # The row travels as one struct, so its columns can't clash with the counts.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("body"), F.col("doc_id").alias("key"))
+    # The row without its text travels as one struct, so its columns can't clash with the counts.
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").alias("body"), F.col("doc_id").alias("key"))
     cut = remove_repeats(rows, "body", "key", as_text=True)
     changed = F.col("n_removed") > 0
     out = cut.filter(~changed | F.col("kept").rlike(r"\S"))
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("body"))}
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"])
     return out.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
