@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import buffers, reconstruct, runs, validate
 from tidemark.operators.catalog import SCHEMA, all_fields, matching_fields
 from tidemark.operators.forecast import Drift, LastValue, QuantileModel, SeasonalNaive, backward, clear_models, forward
+from tidemark.operators.long_series import stuck_periods_long
 from tidemark.plans.batch import run_csv_job, run_job
 from tidemark.sources import readings as src
 from tidemark.sources import sinks
@@ -55,6 +56,20 @@ def test_detection_has_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "ArrowEval" not in plan
 
 
+@pytest.mark.parametrize("chunk", [0.2, 1, 7])
+def test_chunks_are_stitched(spark, chunk):
+    rng = random.Random(int(chunk * 10))
+    df = None
+    for k in range(6):
+        values = [rng.choice([None, 1, 1, 1, 2]) for _ in range(80)]
+        part = series(spark, values, minutes=rng.choice([5, 10, 45]), point=f"p{k}").filter(F.rand(k) < 0.9)
+        df = part if df is None else df.unionByName(part)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    columns = ["point_id", "sensor", "stuck_value", "start_time", "end_time", "n_points"]
+    expect = sorted(map(tuple, runs.stuck_periods(df).select(*columns).collect()), key=str)
+    assert sorted(map(tuple, stuck_periods_long(df, chunk_hours=chunk).select(*columns).collect()), key=str) == expect and expect
+
+
 def test_display_table(spark):
     t = runs.display_table(runs.stuck_periods(series(spark, [21, 21, 21, 21])))
     assert t.columns == ["Sensor/Metric", "Stuck Value", "Start Time", "End Time", "Duration (hours)"]

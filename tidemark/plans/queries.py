@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import blend, confidence, feather, has_keyword, iso, split_list
 from ..operators import buffers, catalog, reconstruct, runs, validate
 from ..operators.forecast import Drift, LastValue
+from ..operators.long_series import stuck_periods_long
 from ..sources import readings as src
 from ..sources import sinks
 
@@ -157,6 +158,11 @@ def stuck_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.stuck_periods(feed(spark, sf_dir)).select(*SERIES, "run", "stuck_value", "start_time", "end_time", "n_points", "duration_seconds")
 
 
+@query("stuck_periods_chunked", f"WITH {runs_sql()} SELECT point_id, sensor, stuck_value, start_time, end_time, n_points, duration_seconds FROM periods")
+def stuck_periods_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuck_periods_long(feed(spark, sf_dir))
+
+
 @query(
     "stuck_periods_display",
     f"""WITH {runs_sql()} SELECT sensor AS "Sensor/Metric", stuck_value AS "Stuck Value", strftime(start_time, '%Y-%m-%d %H:%M:%S') AS "Start Time",
