@@ -18,6 +18,8 @@ from tidemark.llm.shared import read_table, stored, without_ids
 
 #: No SQL: the stages cut texts byte by byte and verify windows; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Of rows that share an id one stays; rows without an id stay."""
-    groups = ngram_groups(docs.select("doc_id", "text"))
+    groups = ngram_groups(docs.select("doc_id", "text"), k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     removed = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     again = stored(again, "again")

@@ -40,9 +40,9 @@ def shingles(text, k=3):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def groups(rows, percent=90):
+def groups(rows, percent=90, k=3):
     """(id, text) rows with different ids: size, component and links by id."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, k) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):

@@ -124,12 +124,15 @@ def shard_of_array(previous: np.ndarray, shards: int) -> np.ndarray:
 class Shard:
     """Sorted n-grams of each order with their values, of one shard."""
 
-    def __init__(self, rows, order: int, number: int, shards: int):
+    def __init__(self, rows: DataFrame, order: int, number: int, shards: int):
         self.order, self.number, self.shards = order, number, shards
         self.table = {}
-        for (kind, n), part in rows.groupby(["kind", "n"]):
-            part = part.sort_values("gram")
-            self.table[int(kind), int(n)] = (part["gram"].to_numpy(np.int64), part["value"].to_numpy(np.float32))
+        for kind in (0, 1):
+            for n in range(1, order + 1):
+                part = rows.filter((F.col("kind") == kind) & (F.col("n") == n)).select("gram", F.col("value").cast("float")).toArrow()
+                gram = part.column("gram").to_numpy()
+                at = np.argsort(gram)
+                self.table[kind, n] = (gram[at], part.column("value").to_numpy()[at])
 
     def find(self, kind: int, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         names, value = self.table.get((kind, n), (np.zeros(0, np.int64), np.zeros(0, np.float32)))
@@ -162,7 +165,7 @@ def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_row
     out = docs.select("*", F.lit(0.0).alias("nll"), F.lit(0).cast("long").alias("n_bytes"))
     for number in range(shards):
         mine = table if shards == 1 else table.filter(everywhere | (shard_of(previous, shards) == number))
-        sent = docs.sparkSession.sparkContext.broadcast(Shard(mine.toPandas(), order, number, shards))
+        sent = docs.sparkSession.sparkContext.broadcast(Shard(mine, order, number, shards))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             shard = sent.value

@@ -478,3 +478,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), parts AS (  -- long texts in parts, as taking a piece of a long string is slow
+  SELECT doc_id, 512 * k AS pos, n, substr(h, 1024 * k + 1, {2 * (511 + LENGTH)}) AS part FROM (SELECT doc_id, h, n, unnest(range(n // 512 + 1)) AS k FROM d)
+), w AS (
+  SELECT doc_id, pos + j AS i, md5_number(substr(part, 2 * j + 1, {2 * LENGTH})) AS s
+  FROM (SELECT doc_id, pos, part, unnest(range(least(512, n - pos - {LENGTH - 1}))) AS j FROM parts)
+), m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+c AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE least < doc_id),
+e AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS new FROM c),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM e),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY ALL),
+t AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

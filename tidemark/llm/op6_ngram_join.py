@@ -35,7 +35,7 @@ from ..functions.ship import ship
 from . import pieces as pc
 from . import tokens as tk
 from .graph import components
-from .shared import map_arrow, read_table, stored
+from .shared import map_arrow, new_path, read_table, stored, workspace
 
 K = 3
 PERCENT = 90
@@ -279,8 +279,19 @@ def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
 
 
 def ngram_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of every row; a group holds all that is reachable by links."""
-    docs = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """``doc_id, n_shingles, component_id, n_links`` of every row; a group holds all that is reachable by links.
+
+    The result is written; all other tables are deleted before the function returns.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "groups")
+    with workspace(spark):
+        out = _groups(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), k, percent)
+        out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = min(1 << 14, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = pc.make_pieces(docs, "text", "doc_id", [])
     signed = stored(signatures(pieces, frequencies(pieces, k, buckets), k, percent, buckets), "signed")

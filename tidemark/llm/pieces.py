@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .shared import map_arrow, new_path
+from .shared import map_arrow, new_path, note
 
 PIECE = 1 << 20
 NO_ID = np.int64(0x7FFFFFFFFFFFFFFF)
@@ -62,6 +62,7 @@ def make_pieces(docs: DataFrame, text: str, id_: str, keep: list[str], limit: in
     name = f"pieces_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "piece").option("path", new_path(spark, "pieces")).option("compression", "zstd").saveAsTable(name)
+    note("table", name)
     return spark.table(name)
 
 

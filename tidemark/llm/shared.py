@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_made: ContextVar[list[tuple[str, str]] | None] = ContextVar("made", default=None)
+
+
+def note(kind: str, name: str) -> None:
+    """Puts a path or table on the list of the innermost :func:`workspace`."""
+    if (made := _made.get()) is not None:
+        made.append((kind, name))
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all intermediate tables that were written inside.
+
+    What is needed later has to be written to a path made outside.
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get() or []
+        _made.reset(token)
+        jvm = spark._jvm
+        for kind, name in made:
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    note("path", path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
