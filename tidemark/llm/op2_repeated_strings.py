@@ -47,6 +47,8 @@ from .shared import map_arrow, read_table, stored
 LENGTH = 50
 ANCHOR = 24
 HOT_PIECES = 2000
+#: Pieces whose anchors may meet in one bucket: half a megabyte of hashes each.
+PER_BUCKET = 150
 #: Symbols that are packed for the first sort.
 START = 5
 #: Times that many symbols make the first intervals, which are then extended one by one.
@@ -435,11 +437,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
     """
     spark = docs.sparkSession
     ship(spark)
-    step = Repeats(**{"buckets": min(1 << 14, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "as_text": as_text} | parameters)
     others = [c for c in docs.columns if c != text]
     # Of each row the other columns travel with the piece, and whether the text is null.
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(f"`{text}`").isNull().alias("null"))
     pieces = pc.make_pieces(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{id_}`").alias("id"), row.alias("row")), "text", "id", ["row"], piece)
+    step = Repeats(**{"buckets": pc.bucket_count(pieces, PER_BUCKET, 4), "as_text": as_text} | parameters)
     rest = pieces.schema["rest"].dataType.elementType
     body = ["piece", "ids", "offsets", "bytes"]
 

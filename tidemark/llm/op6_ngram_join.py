@@ -41,6 +41,8 @@ K = 3
 PERCENT = 90
 #: Bytes of a shingle's hash that travel to be counted.
 WIDTH = 5
+#: Pieces whose shingles may meet in one bucket: about a megabyte of hashes each.
+PER_BUCKET = 64
 BLOCK_ELEMENTS = 100_000
 BLOCK_SETS = 256
 LARGEST_BLOCK = 4_000_000
@@ -292,8 +294,8 @@ def ngram_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", k: in
 
 
 def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    buckets = min(1 << 14, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = pc.make_pieces(docs, "text", "doc_id", [])
+    buckets = pc.bucket_count(pieces, PER_BUCKET, 2)
     signed = stored(signatures(pieces, frequencies(pieces, k, buckets), k, percent, buckets), "signed")
     key = ["n", "s1", "s2"]
     classes = stored(

@@ -28,7 +28,7 @@ def blob(*arrays: np.ndarray) -> list[bytes]:
 
 
 def pack(limit: int):
-    """Rows of (text, id, rest) to pieces. A piece is named by a hash of its ids and texts' first bytes."""
+    """Rows of (text, id, rest) to pieces. A piece is named by a hash of its ids and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,8 +36,8 @@ def pack(limit: int):
             for lo, hi, data, offsets in tk.chunks(batch.column(0), limit):
                 own = batch.column(1).slice(lo, hi - lo)
                 ids = np.where(np.asarray(own.is_null()), NO_ID, own.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-                name = hashlib.blake2b(ids.tobytes() + offsets.tobytes() + data[:4096].tobytes(), digest_size=8).digest()
                 digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+                name = hashlib.blake2b(ids.tobytes() + digests, digest_size=8).digest()
                 lists = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([rest.slice(lo, hi - lo)]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,6 +66,11 @@ def make_pieces(docs: DataFrame, text: str, id_: str, keep: list[str], limit: in
     return spark.table(name)
 
 
+def bucket_count(pieces: DataFrame, each: int, at_least: int) -> int:
+    """Buckets for the answers to all pieces: so many that about ``each`` pieces' hashes meet in one, whatever the input's size."""
+    return max(at_least * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // each))
+
+
 def unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, offsets and bytes of the piece in row ``i``."""
     get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_py() or b"", kind)
