@@ -9,10 +9,11 @@ the back-off weight of every context.
 Scoring needs for each byte its n-gram or the longest known shorter one. Joining every
 n-gram of every document would shuffle many times the input, so the finished model goes
 to the documents instead: in shards by the two bytes before the predicted one (all orders
-from three up have both), each of at most ``SHARD_ROWS`` rows; one scan carries the sums
-through the shards. Thresholds are quantiles by language over trusted documents that were
-held out of the counts (crc32(id) mod 5 is 0), of the mean negative log-likelihood shrunk
-to the language's mean by ``SHRINK`` bytes, so that short texts are not judged by noise.
+from three up have both), each of at most ``SHARD_ROWS`` rows. Every shard has a scan of its
+own, and a join by document adds up what the shards give. Thresholds are quantiles by
+language over trusted documents that were held out of the counts (crc32(id) mod 5 is 0), of
+the mean negative log-likelihood shrunk to the language's mean by ``SHRINK`` bytes, so that
+short texts are not judged by noise.
 
 Defined results: a null or empty text has no perplexity and is not kept; a null language
 is a language of its own; a language with fewer than ``LEAST_DOCS`` held-out documents
@@ -25,6 +26,7 @@ table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,22 +158,28 @@ class Shard:
 
 
 def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` (with ``text``) and ``nll, n_bytes``: the negative log-likelihood of the text."""
+    """``doc_id, lang, nll, n_bytes`` of every row: the negative log-likelihood of its text.
+
+    With several shards each has a scan of its own, so a task holds one shard at a time; the
+    sums meet by id, language and digest of the text, one short row for each document and
+    shard. Rows that agree in all three have equal sums and are given back as often as they came.
+    """
     shards = max(1, -(-table.count() // shard_rows))
     shards = shards if shards == 1 else 2 * shards
     # Orders 1 and 2 and their contexts lack the two bytes; they are small and go with every shard.
     everywhere = F.col("n") < 3
     previous = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram"))
-    out = docs.select("*", F.lit(0.0).alias("nll"), F.lit(0).cast("long").alias("n_bytes"))
-    for number in range(shards):
+    rows = docs.select("doc_id", "lang", *([F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")] if shards > 1 else []), "text")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "nll double", "n_bytes bigint"])
+
+    def scan(number: int) -> DataFrame:
         mine = table if shards == 1 else table.filter(everywhere | (shard_of(previous, shards) == number))
         sent = docs.sparkSession.sparkContext.broadcast(Shard(mine, order, number, shards))
 
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = sent.value
             for batch in batches:
-                at = batch.schema.get_field_index("text")
-                for lo, hi, data, offsets in tk.chunks(batch.column(at)):
+                for lo, hi, data, offsets in tk.chunks(batch.column(batch.num_columns - 1)):
                     key, row = grams(data, offsets, shard.order)
                     if shard.shards > 1:
                         own = shard_of_array(key >> 8, shard.shards) == shard.number
@@ -179,11 +187,20 @@ def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_row
                     unique, back = np.unique(key, return_inverse=True)
                     cost = -shard.log_probability(unique)[back]
                     part = batch.slice(lo, hi - lo)
-                    total = part.column(part.num_columns - 2).to_numpy() + np.bincount(row, cost, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(total), pa.array(np.diff(offsets))], names=part.schema.names)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:-1], pa.array(np.bincount(row, cost, hi - lo).astype(float)), pa.array(np.diff(offsets))], names=[*part.schema.names[:-1], "nll", "n_bytes"]
+                    )
+
+        return map_arrow(rows, score, schema)
 
-        out = map_arrow(out, score, out.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    return out
+    if shards == 1:
+        return scan(0)
+    # Written shard by shard: the model's parts are not in memory together. Sums of decimals don't depend on the order of rows.
+    parts = reduce(DataFrame.unionByName, [stored(scan(number), "shard") for number in range(shards)])
+    met = parts.groupBy("doc_id", "lang", "digest", "n_bytes").agg(F.sum(F.col("nll").cast("decimal(28,8)")).alias("total"), F.count(F.lit(1)).alias("n"))
+    copies = (F.col("n") / shards).cast("int")
+    met = met.withColumn("nll", F.col("total").cast("double") / copies)
+    return met.select("doc_id", "lang", F.explode(F.sequence(F.lit(1), copies)).alias("copy"), "nll", "n_bytes").drop("copy")
 
 
 def classify(
@@ -197,7 +214,7 @@ def classify(
     few = trusted.count() <= BROADCAST_IDS
     learned = rows.filter(fold(F.col("doc_id")) != 0).join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi")
     table = model(learned.select("text"), order)
-    scored = stored(likelihoods(rows.select("doc_id", "lang", "text"), table, order, shard_rows).drop("text"), "scored")
+    scored = stored(likelihoods(rows, table, order, shard_rows), "scored")
 
     held = scored.filter((fold(F.col("doc_id")) == 0) & (F.col("n_bytes") > 0)).join(trusted, "doc_id", "left_semi")
     means = held.groupBy("lang").agg(F.sum("nll").alias("nll_sum"), F.sum("n_bytes").alias("byte_sum"), F.count(F.lit(1)).alias("held_docs"))
