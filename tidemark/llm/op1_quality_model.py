@@ -40,6 +40,8 @@ from .shared import map_arrow, read_table, stored
 ORDER = 6
 SHARD_ROWS = 4_000_000
 BROADCAST_IDS = 1_000_000
+#: Languages, and so thresholds, that may be broadcast: a few MB.
+BROADCAST_LANGS = 50_000
 QUANTILE = 0.99
 MARGIN = 0.05
 SHRINK = 100
@@ -224,7 +226,9 @@ def classify(
     enough = F.coalesce("held_docs", F.lit(0)) >= least_docs
     langs = langs.select("lang", "held_docs", F.coalesce(F.when(F.col("byte_sum") > 0, F.col("nll_sum") / F.col("byte_sum")), "pooled", F.lit(0.0)).alias("mean"), enough.alias("enough"))
     langs = stored(langs, "langs")
-    by = langs.withColumnRenamed("lang", "l")
+    # Scores don't travel to their language, which may hold most rows; its one row goes to them.
+    near = F.broadcast if langs.count() <= BROADCAST_LANGS else lambda df: df
+    by = near(langs.withColumnRenamed("lang", "l"))
     score = (F.col("nll") + shrink * F.col("mean")) / (F.col("n_bytes") + shrink)
 
     # Quantiles from counts of scores in steps of STEP: exact to a step, whatever the order of rows.
@@ -240,7 +244,7 @@ def classify(
     pooled = at_quantile(steps.groupBy("step").agg(F.sum("c").alias("c")).withColumn("one", F.lit(1)), ["one"]).select(F.col("deviation").alias("pooled_deviation"))
     limits = by.join(own, F.col("l").eqNullSafe(F.col("l2")), "left").join(pooled, F.lit(True), "left")
     limits = limits.select("l", "mean", (F.col("mean") + F.when(F.col("enough"), F.col("deviation")).otherwise(F.col("pooled_deviation")) + margin).alias("threshold"))
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("l"))).withColumn("score", F.when(F.col("threshold").isNotNull() & (F.col("n_bytes") > 0), score))
+    out = scored.join(near(limits), F.col("lang").eqNullSafe(F.col("l"))).withColumn("score", F.when(F.col("threshold").isNotNull() & (F.col("n_bytes") > 0), score))
     mean = F.when(F.col("threshold").isNotNull() & (F.col("n_bytes") > 0), F.col("nll") / F.col("n_bytes"))
     return out.select(
         "doc_id", "lang", "n_bytes", mean.alias("nll_per_byte"), F.exp(mean).alias("perplexity"), "score", "threshold",
