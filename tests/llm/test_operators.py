@@ -65,6 +65,18 @@ def test_repeated_strings(spark):
     assert op2.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeated_strings_shared_in_fewer_pieces_than_hot(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(40)]
+    docs = frame(spark, rows).coalesce(1).repartition(4).localCheckpoint()
+    pieces = op2.pc.make_pieces(docs, "text", "doc_id", []).count()
+    hot = pieces + 1
+    assert pieces <= hot < 2 * pieces
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in op2.remove_repeats(docs, hot=hot).collect()}
+    assert got == {d: r for (d, _), r in zip(rows, brute.removed(rows), strict=True)}
+
+
 def test_long_text_is_cut_in_parts():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 100, 300_000).astype(np.uint8)

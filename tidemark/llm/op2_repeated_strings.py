@@ -462,7 +462,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
     texts = map_arrow(known.join(wanted, "piece"), step.fragments, "bucket int, contents binary, sizes binary, texts binary")
     got = seen.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(lambda a, b: step.intervals(a, b), "piece bigint, runs binary, window bigint, low bigint, content bigint, at bigint")
 
-    if pieces.count() > step.hot:  # else no anchor can be in more pieces
+    if 2 * pieces.count() > step.hot:  # else no anchor is dealt out: a piece gives an anchor twice at most
         got = stored(got, "intervals")
         hot = got.filter(F.col("window").isNotNull())
         merged = hot.groupBy("window").agg(F.min("low").alias("least"))
