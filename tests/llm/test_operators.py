@@ -276,6 +276,26 @@ def test_licenses(spark):
     assert op10.scan_licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_in_texts_shorter_than_the_template(spark):
+    rows, expect = [], {}
+    templates = tuple((str(i), t) for i, (_, t) in enumerate(op10.TEMPLATES))
+    for i, (name, t) in enumerate(templates):
+        w = t.split(" ")
+        if len(w) < 12:
+            continue
+        for j, left_out in enumerate((1, len(w) // 5, len(w) // 2)):
+            short = w[: len(w) // 2] + w[len(w) // 2 + left_out :]
+            text = "\n".join(" ".join(short[k : k + 5]) for k in range(0, len(short), 5))
+            a, b = (Counter(zip(x, x[1:], strict=False)) for x in (brute.normal_words(text), brute.normal_words(t)))
+            rows.append((10 * i + j, text))
+            expect[10 * i + j] = (name, 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), len(brute.normal_words(text)))
+    got = {(r.doc_id, r.license): (r.dice, r.first_word, r.n_words) for r in op10.scan_licenses(frame(spark, rows), templates=templates).collect()}
+    matches = {d: e for d, e in expect.items() if e[1] >= 0.8}
+    assert {d % 10 for d in matches} == {0, 1} and len(matches) < len(rows)
+    for d, (name, dice, n) in expect.items():
+        assert got.get((d, name)) == ((pytest.approx(dice), 0, n) if d in matches else None), d
+
+
 def test_language(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang_pred", F.lit("clash"))

@@ -1,8 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams between text and licence templates.
 
 Text and templates are lower-cased runs of letters and digits. A template is compared with
-every line of a text and with every window of the template's own length, both as multisets
-of word bigrams; a Dice coefficient of ``LEAST`` or more is a match, the best place of each
+every line of a text and with every window of the template's own length (a shorter text is
+one window), both as multisets of word bigrams; a Dice coefficient of ``LEAST`` or more is a match, the best place of each
 licence is reported. Two sets of sizes n and m have a Dice coefficient of at most
 ``2 min(n, m) / (n + m)``, so a line is compared only with templates of fitting size, and a
 window only where enough of the template's bigrams lie close together. Templates are a
@@ -104,17 +104,19 @@ class Templates:
 
         for t, places in sorted(hits.items()):
             size = self.size[t]
-            need = int(np.ceil(self.least * size - 1e-9))
+            # Of a text shorter than the template all is one window.
+            window = min(size, len(pairs))
+            need = int(np.ceil(self.least * (window + size) / 2 - 1e-9))
             for row in sorted({int(line[p]) for p in places}):
                 a, b = int(np.searchsorted(line, row)), int(np.searchsorted(line, row, "right"))
                 if 2 * min(b - a - 1, size) >= self.least * (b - a - 1 + size):
                     found(t, a, b)
             starts = set()
             for j in range(len(places) - need + 1):
-                low = max(0, places[j + need - 1] - size + 1)
-                starts.update(range(low, min(places[j], len(pairs) - size) + 1))
+                low = max(0, places[j + need - 1] - window + 1)
+                starts.update(range(low, min(places[j], len(pairs) - window) + 1))
             for a in sorted(starts):
-                found(t, a, a + size + 1)
+                found(t, a, a + window + 1)
         return [(name, *x) for name, x in sorted(best.items())]
 
 
