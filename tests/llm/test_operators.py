@@ -380,3 +380,19 @@ def test_main_text_of_a_page(spark):
     expect = "A & B\n\nFirst paragraph with some words <here> and an inner link in the middle of it.\n\nShort.\n\none of the points that were made\n\ntwo"
     assert Counter((r.page_id, r.text) for r in got if r.page_id != 4) == Counter([(1, expect), (1, expect), (2, ""), (3, "")])
     assert op7.extract_main_text(frame(spark, rows, "page_id long, url string, html string").limit(0)).count() == 0
+
+
+def test_main_text_after_tags_left_open():
+    tree, expect = op7.train(), "A title of the page\n\nThe first paragraph has some words that people would like to read here."
+    article = "<article><h1>A title of the page</h1>{}<p>The first paragraph has some words that people would like to read here.</p></article>"
+    whole = "<html><head><title>x</title></head><body>" + article + "</body></html>"
+    assert op7.main_text(whole.format(""), tree) == expect
+    for page in (f"<head><title>x</title><body>{article}", f"<head><meta charset=utf-8><title>x</title>{article}", f"<html><head><template>x<body>{article}</body></html>"):
+        assert op7.main_text(page.format(""), tree) == expect, page
+    for tag in ("button", "select", "object", "canvas", "template", "svg", "math"):
+        for silent in (f"<div><{tag}>Go on</div>", f"<div><{tag} class=x>Go<p>on</p></{tag}></div>", f"<div><{tag}><p>Go</div>", f"<{tag}/>"):
+            assert op7.main_text(whole.format(silent), tree) == expect, silent
+    for silent in ("<svg><title/><style/><path d='M0'/></svg>", "<div><button>a<button>b</button></div>", "<div><script>if (a) '</div>'</script></div>"):
+        assert op7.main_text(whole.format(silent), tree) == expect, silent
+    inside = op7.blocks("<p>one <button><div>two</div></button> three <svg><title>four</title></svg>five</p>")
+    assert [b[0] for b in inside] == ["one three five"]

@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from .op7_labelled_pages import PAGES
 from .shared import map_arrow, read_table
 
-#: Elements whose content is never text of a page.
-SILENT = "script|style|noscript|template|iframe|svg|head|title|object|canvas|math|textarea|select|button"
+#: Elements whose content is never text of a page: raw text up to the closing tag, and others that end with their container at the latest.
+RAW = "script|style|noscript|iframe|title|textarea"
+SILENT = frozenset("head template svg object canvas math select button".split())
+#: What may stand in a head; any other tag or text ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|$)|(<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>).*?(?:</\2\s*>|$)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -74,7 +77,7 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
 def blocks(page: str) -> list[tuple[str, list[float], bool]]:
     """Text, own features and training mark of every block of a page, in page order."""
     out: list[tuple[str, list[float], bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, article, training mark; flags of all that is around
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boilerplate, article, training mark, silent; flags of all that is around
     pieces: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -83,7 +86,7 @@ def blocks(page: str) -> list[tuple[str, list[float], bool]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                tag, boiler, article, mark = stack[-1] if stack else ("", False, False, False)
+                tag, boiler, article, mark, _ = stack[-1] if stack else ("", False, False, False, False)
                 n = len(text.split())
                 n_linked = min(n, len("".join(linked).split()))
                 heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -91,7 +94,23 @@ def blocks(page: str) -> list[tuple[str, list[float], bool]]:
         pieces.clear()
         linked.clear()
 
+    def silent() -> bool:
+        return bool(stack) and stack[-1][4]
+
+    def last(*tags: str) -> int:
+        """Where the innermost of these elements stands, or -1."""
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in tags), -1)
+
+    def speak() -> None:
+        """Leaves what is silent; blocks go on where it began."""
+        while silent():
+            stack.pop()
+
     def say(s: str) -> None:
+        if silent():
+            if stack[-1][0] != "head" or not s.strip():
+                return
+            stack.pop()
         if "&" in s:
             s = html.unescape(s)
         pieces.append(s)
@@ -99,37 +118,60 @@ def blocks(page: str) -> list[tuple[str, list[float], bool]]:
             linked.append(s)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if tag is None:
+        tag = (m[2] or m[4] or "").lower()
+        if not tag:
+            continue
+        if silent() and not m[3] and tag not in IN_HEAD and (tag == "body" and last("head") >= 0 or stack[-1][0] == "head"):
+            del stack[last("head") :]
+        if m[2]:
+            if silent() and last("svg", "math") >= 0:  # there these are elements like others, and may be empty
+                at = m.end(1)
+        elif tag in SILENT:
+            if m[3]:
+                if silent() and (i := last(tag)) >= 0:
+                    del stack[i:]
+            elif not m[5].endswith("/"):
+                if tag in ("select", "button") and (i := last(tag)) >= 0:
+                    del stack[i:]
+                _, boiler, article, mark, _ = stack[-1] if stack else ("", False, False, False, False)
+                stack.append((tag, boiler, article, mark, True))
+        elif silent() and tag not in CONTAINERS:
             continue
-        tag = tag.lower()
-        if tag == "a":
-            in_link = not m[2]
+        elif tag == "a":
+            in_link = not m[3]
             if linked:
                 linked.append(" ")
         elif tag == "br":
             say(" ")
         elif tag in CONTAINERS:
-            flush()
-            in_link = False
-            if m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+            i = last(tag) if m[3] else -1
+            if silent() and m[3]:
+                if i < 0:
+                    continue
+                if stack[i][4]:
+                    del stack[i:]
+                    continue
+                speak()
+            if not silent():
+                flush()
+                in_link = False
+            if m[3]:
+                if i >= 0:
+                    del stack[i:]
             else:
                 while stack and tag in CLOSED_BY_NEXT.get(stack[-1][0], ()):
                     stack.pop()
-                if tag != "hr" and not m[4].endswith("/"):
-                    _, boiler, article, mark = stack[-1] if stack else ("", False, False, False)
-                    boiler = boiler or _boiler(tag, m[4], article)
-                    stack.append((tag, boiler, article or tag in ("article", "main"), mark or "data-main" in m[4]))
+                if tag != "hr" and not m[5].endswith("/"):
+                    _, boiler, article, mark, quiet = stack[-1] if stack else ("", False, False, False, False)
+                    boiler = boiler or _boiler(tag, m[5], article)
+                    stack.append((tag, boiler, article or tag in ("article", "main"), mark or "data-main" in m[5], quiet))
     if at < len(page):
         say(page[at:])
+    speak()
     flush()
     return out
 
