@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans.queries import QUERIES, SQL, entry
+from tidemark.plans.queries import QUERIES, SQL, entry, feed, nested_payload
+from tidemark.sources.readings import flatten_payload
 
 
 def rows(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
@@ -36,3 +37,12 @@ def test_query(spark, sf, name):
 
 def test_entry(spark, sf):
     assert entry(spark, sf).count() > 0
+
+
+def test_payload_of_the_whole_feed(spark, sf):
+    readings = feed(spark, sf).selectExpr("point_id", "sensor", "ts", "value")
+    nested = nested_payload(readings)
+    flat = flatten_payload(nested).selectExpr("point_id", "sensor", "CAST(ts AS timestamp_ntz) AS ts", "value")
+    assert rows(flat.toPandas(), flat.columns) == rows(readings.toPandas(), readings.columns)
+    days = [{str(s.timestamp)[:10] for p in r.projects for e in p.equipment for q in e.points for s in q.series} for r in nested.collect()]
+    assert all(len(d) == 1 for d in days) and len(days) == readings.selectExpr("point_id", "CAST(ts AS date)").distinct().count()

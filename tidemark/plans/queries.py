@@ -112,14 +112,19 @@ def name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", F.size(split_list(F.concat("event_type", F.lit(", ,"), "props"))).alias("n"))
 
 
+def nested_payload(rows: DataFrame) -> DataFrame:
+    """Readings as nested answers of the API: one row for each point and day, so that none grows with the table."""
+    rows = rows.withColumn("day", F.to_date("ts"))
+    series = rows.groupBy(*SERIES, "day").agg(F.collect_list(F.struct(F.col("ts").cast("string").alias("timestamp"), "value")).alias("series"))
+    points = series.groupBy("point_id", "day").agg(F.collect_list(F.struct(F.col("point_id").alias("id"), F.lit("sensor").alias("type"), F.col("sensor").alias("attribute"), "series")).alias("points"))
+    equipment = points.select(F.struct(F.col("point_id").alias("id"), F.lit("meter").alias("type"), "points").alias("e"))
+    return equipment.select(F.array(F.struct(F.lit("p").alias("id"), F.lit("plant").alias("alias"), F.array("e").alias("equipment"))).alias("projects"))
+
+
 @query("payload_flatten", f"WITH {FEED} SELECT point_id, sensor, ts, value, 'meter' AS equipment_type FROM feed WHERE ts < TIMESTAMP '2024-01-03' OR event_id % 5 = 0")
 def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed(spark, sf_dir).filter((F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")) | (F.col("event_id") % 5 == 0))
-    series = rows.groupBy(*SERIES).agg(F.collect_list(F.struct(F.col("ts").cast("string").alias("timestamp"), "value")).alias("series"))
-    points = series.groupBy("point_id").agg(F.collect_list(F.struct(F.col("point_id").alias("id"), F.lit("sensor").alias("type"), F.col("sensor").alias("attribute"), "series")).alias("points"))
-    equipment = points.select(F.struct(F.col("point_id").alias("id"), F.lit("meter").alias("type"), "points").alias("e"))
-    payload = equipment.select(F.array(F.struct(F.lit("p").alias("id"), F.lit("plant").alias("alias"), F.array("e").alias("equipment"))).alias("projects"))
-    return src.flatten_payload(payload).select("point_id", "sensor", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "equipment_type")
+    return src.flatten_payload(nested_payload(rows)).select("point_id", "sensor", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "equipment_type")
 
 
 @query(
