@@ -7,6 +7,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -396,3 +397,43 @@ def test_main_text_after_tags_left_open():
         assert op7.main_text(whole.format(silent), tree) == expect, silent
     inside = op7.blocks("<p>one <button><div>two</div></button> three <svg><title>four</title></svg>five</p>")
     assert [b[0] for b in inside] == ["one three five"]
+
+
+def test_main_text_of_odd_markup():
+    tree = op7.train()
+    first, second = "The first paragraph has some words that people would like to read here.", "The second one goes on with what was said before and comes to an end."
+    whole = f"<html><body><article><p>{first}</p>{{}}<p>{second}</p></article></body></html>"
+    for odd in ("<title-card>", "<svg-icon name=x></svg-icon>", "<button-group>", "<svg width=1/>", "<select>", "<button>", "<script src=x/>", "<!-- open>", "</b></nav>", "<title>", "<textarea>", "<a title='x>y'></a>"):
+        assert op7.main_text(whole.format(odd), tree) == f"{first}\n\n{second}", odd
+    for odd in ("<select><option>a", "<i title='a>", "<p>it's <b"):  # something of the oddity may stay, the second paragraph must
+        assert second in op7.main_text(whole.format(odd), tree), odd
+    for wrapper in ("page-with-sidebar", "search-results-page", "has-header no-comments", "popular"):
+        for inner in ("<p>{}</p><p>{}</p>", "<article><p>{}</p><p>{}</p></article>"):
+            page = f'<body><div class="{wrapper}">{inner.format(first, second)}<div class="sidebar"><p>Join the club today.</p></div></div></body>'
+            assert op7.main_text(page, tree) == f"{first}\n\n{second}", page
+            assert op7.main_text(page.replace('<div class="sidebar">', '<div class="cookie-banner">'), tree) == f"{first}\n\n{second}"
+
+
+def test_main_text_weighs_many_features():
+    tree = op7.train()
+    used = {op7.FEATURES[n[0]] for n in tree if n[0] >= 0}
+    assert {"words", "links", "links_before", "links_after", "mark", "share"} <= used
+    found = [op7.blocks(p) for p in op7.PAGES]
+    wrong = sum(int((op7.classify(tree, op7.features([b[1] for b in page])) != np.array([b[2] for b in page])).sum()) for page in found)
+    assert wrong <= 0.03 * sum(map(len, found))
+
+
+@pytest.mark.parametrize("part", ["<p>it's <i title='a>", "<div>", "<a ", "<a b='\">", "<a x='><a' x='><a' ", "<!-- ", "<title>", "<svg><div>", "<select>", "<ul><li>", "<script>", "<td x=", "<", "&amp", "<textarea>a</title>", "<div></p></b>", "<table><tr><td>"])
+def test_main_text_is_linear_in_hostile_pages(part):
+    tree = op7.train()
+    began = time.time()
+    op7.main_text(part * (1_000_000 // len(part)), tree)
+    assert time.time() - began < 15
+
+
+def test_main_text_is_read_whole(spark):
+    long = "".join(f"<p>Paragraph {i} says something that is worth to be kept in full.</p>" for i in range(20_000))
+    rows = [(1, "u", f"<article>{long}</article>"), (1, "u", "<p>one</p>"), (1, "u", "<p>one</p>"), (None, None, "<p>no id</p>")]
+    got = op7.extract_main_text(frame(spark, rows, "page_id long, url string, html string").withColumns({"n_chars": F.lit(1), "url_": F.lit(2)})).collect()
+    assert Counter(r.text for r in got if r.n_chars < 100) == Counter({"one": 2, "no id": 1})
+    assert [r.text.count("\n\n") for r in got if r.n_chars > 100] == [19_999]

@@ -22,7 +22,7 @@ three years, and several hundred people came to see the first ferry leave for th
     """<body><div><a href=1>Forum</a> | <a href=2>Members</a> | <a href=3>Search the board</a></div>
 <div><div><p data-main>I have been looking for a way to fix the leaking valve on the old pump for weeks, and in the end it was only a worn ring that had to be changed.</p>
 <p data-main>For all who have the same trouble: take the cover off first, then turn the valve to the left until it stops, and lift it out with both hands.</p>
-<p data-main>Be careful with the spring.</p><p data-main>The new ring costs next to nothing and can be had in any shop for bathroom parts, so don't pay for the whole set as I did at first.</p></div></div>
+<p data-main>Be careful with the spring.</p><p data-main>There is <a href=8>a drawing of all parts</a> of it.</p><p data-main>The new ring costs next to nothing and can be had in any shop for bathroom parts, so don't pay for the whole set as I did at first.</p></div></div>
 <div><a href=9>Older thread about pumps</a> <a href=10>Newer thread about pipes</a> <a href=11>Report this post</a></div><div><a href=12>Terms of use</a> <a href=13>Privacy</a></div></body>""",
     """<body><nav class="breadcrumb"><a href=1>Home</a> / <a href=2>Science</a></nav><main><article><header><h1 data-main>Bees count to four</h1></header>
 <p data-main>Bees can count up to four when they look for food, a study shows. The animals had learnt to fly past a number of yellow marks before they found sugar.</p>
@@ -36,4 +36,56 @@ three years, and several hundred people came to see the first ferry leave for th
 <p data-main>Every evening at six somebody reads aloud from a favourite book.</p><p data-main>No tickets needed.</p></div>
 <div class="notice">The lift is out of order until further notice, please use the stairs at the back of the building.</div>
 <div class="modal"><p>Join the friends of the library today and help us to buy new books for the children of our town.</p></div></body>""",
+    """<body class="no-sidebar has-header"><div class="page-with-sidebar"><div class="top"><a href=1>Garden club</a> <a href=2>Calendar</a> <a href=3>Shop</a></div>
+<div class="col"><h1 data-main>Roses in a dry summer</h1><p data-main>Water the roses early in the morning and only at the root, since wet leaves in the sun burn and fall ill within a few days.</p>
+<p data-main>Mulch helps.</p><p data-main>A layer of bark as thick as a hand keeps the soil cool and moist, so that the plants need water only twice a week even in July.</p>
+<p data-main>Cut what has withered.</p></div><div class="sidebar"><p>The club meets on the first Tuesday of every month in the old school, guests are welcome and pay nothing.</p><p><a href=4>Become a member</a></p></div>
+<div class="foot-links"><a href=5>Imprint</a> <a href=6>Privacy</a></div></div></body>""",
+    """<body><div class="search-results-page"><article><p data-main>Words found in the letters of the clerk are given here with the page and the line on which they stand, as far as they can be read.</p>
+<p data-main>Most letters are lost.</p><p data-main>Those that are kept lie in a box in the archive of the town, in no order, and some of them are torn.</p></article>
+<div class="search-box"><p>Type a word and press the key to look for it in all letters.</p></div></div></body>""",
+    """<body><form id="aspnetForm"><table><tr><td><a href=1>Home</a></td><td><a href=2>Tariffs</a></td><td><a href=3>Forms and leaflets</a></td></tr></table>
+<table><tr><td><p data-main>From the first of January the water works charge by the cubic metre and no longer by the size of the house, as the council decided last week.</p>
+<p data-main>Meters are read once a year.</p><p data-main>Whoever has no meter yet gets one free of charge until the end of the year, and a letter with the date of the visit will come in time.</p></td></tr></table>
+<table><tr><td>Water works, Bridge Street 4</td><td><a href=4>Contact</a></td><td><a href=5>Data protection</a></td></tr></table></form></body>""",
+    """<body><div><a href=1>Start</a></div><div><a href=2>Pictures</a></div><div><a href=3>Guest book</a></div><div data-main>My trip to the north began on a grey morning in May with a bag that was much too heavy and boots that were much too new.</div>
+<div data-main>After two days my feet hurt so much that I sat down by the road, and <a href=4>a farmer</a> took me along to the next village on a cart full of hay.</div>
+<div data-main>It rained.</div><div data-main>In the village I stayed for a week, learned to mend nets and to row, and left with lighter luggage and a better mood.</div>
+<div><a href=5>Part two of the trip</a></div><div>Made by hand in 2003</div><div><a href=6>Write to me</a></div><div>Visitors so far 1204</div><div><a href=7>Up</a></div></body>""",
+    """<body><header><a href=1>Daily</a></header><main><article><h1 data-main>Bridge closed</h1><p data-main>The bridge at the mill is closed from Monday for two weeks.</p><p data-main>Buses go round by the station.</p></article></main>
+<div id="comments"><h3>Four comments</h3><p>Again! They closed it in spring already and nobody told us why it took so long to get one board changed.</p>
+<p>I have to go round by the station every day now, which costs me half an hour, and the bus is always full.</p><p>Thanks for telling us in time.</p>
+<p>Why not build a new one at last, this one is older than my grandmother and she is ninety and walks better than it stands.</p></div></body>""",
+    """<body><nav><a href=1>News</a> <a href=2>Culture</a></nav><div class="content"><article class="post type-post category-music tag-popular"><header class="post-header"><h1 data-main>The choir sings again</h1></header>
+<div class="entry-content"><p data-main>After a year without rehearsals the choir of the harbour workers will sing again on Sunday, in the open air and at a distance.</p><p data-main>Entry is free.</p><p data-main><a href=9>Programme of the evening</a></p>
+<ul><li data-main>Songs of the sea</li><li data-main>Two new pieces by a member of the choir who writes under another name</li></ul></div></article></div>
+<div class="sidebar"><article class="teaser"><h3>Theatre</h3><p>The new play is about a clock maker who stops all clocks of the town.</p></article><article class="teaser"><h3>Film</h3><p>Three short films from the north are shown on Friday night.</p></article></div></body>""",
+    """<body><div><h1 data-main>How to oil a door</h1><p data-main>A door that squeaks needs one drop of oil on each hinge and nothing more, whatever the neighbours say.</p><p data-main>Move it a few times.</p></div>
+<div><h3>More from this site</h3><p><a href=1>Why old windows should be kept and how they are made tight for the winter</a></p><p><a href=2>Ten things that you can do with a rope and two hooks in a small flat</a></p>
+<p><a href=3>What a carpenter would never buy</a></p></div></body>""",
+    """<body><p data-main>Only this one sentence stands on the page.</p></body>""",
+    """<body><div class="notice-board"><h1 data-main>Notice of the harbour master</h1><p data-main>Ships of more than forty metres wait outside until a pilot has come on board, by day and by night.</p><p data-main>No exceptions.</p></div>
+<p><a href=1>All notices</a></p></body>""",
+    """<body><div id="gdpr-consent"><h2>Your privacy</h2><p>We and our partners store and read information on your device, such as cookies, and process personal data in order to show content, to measure it and to learn about those who see it, and you can change your choice at any time.</p></div>
+<div class="article-body"><h1 data-main>Snow in June</h1><p data-main>It snowed.</p><p data-main>For the first time in ninety years the fields above the village were white in June, and the cows came down by themselves.</p></div>
+<div class="social-share">Tell your friends</div><div class="related-posts"><p>Hail in May broke all windows of the glass house.</p></div></body>""",
+    """<body><div class="wrapper"><div class="col-left"><p><a href=1>Lathes</a></p><p><a href=2>Drills</a></p><p><a href=3>Saws for wood and for metal</a></p></div><div class="col-mid"><h1 data-main>Lathe L20</h1>
+<p data-main>The lathe turns pieces of up to twenty centimetres and can be put on any table that does not shake.</p><p data-main>See also <a href=7>the larger lathe</a> here.</p><p data-main>Weight: 31 kg</p><p data-main>Colour: green</p>
+<p data-main>It comes with three knives, a chuck with four jaws and a book that explains every step with drawings.</p></div>
+<div class="col-right"><p><a href=4>Basket</a></p><p>Empty</p><p><a href=5>Till</a></p><p>Free delivery</p><p><a href=6>Return</a></p></div></div></body>""",
+    """<body><header><a href=1>Town hall</a></header><form action="/x"><h1 data-main>Waste paper</h1><p data-main>From March the waste paper is fetched on every second Friday and no longer on Wednesdays, since the yard in the valley is closed.</p>
+<p data-main>Put it out by six.</p><p data-main>Boxes must be flat and tied together, and wet paper stays where it is, as the machine that sorts it can not deal with it.</p>
+<p data-main>Books are fetched too.</p></form><footer><a href=2>Imprint</a></footer></body>""",
+    """<body><p><a href=1>Front page</a></p><div class="popular"><h1 data-main>A song that all know</h1><p data-main>The song was written in one night by a baker who could not sleep, and he sold it for a sack of flour to the man from the fair.</p>
+<p data-main>Today it is sung in eleven languages, mostly with other words, and nobody remembers the baker but the people of his street.</p><p data-main>They sing it at noon.</p></div><p><a href=2>Next song</a></p></body>""",
+    """<body><div class="box-ad"><p>The best boots for the mountains, now with soles that hold on wet stone as well as on dry, at half the price.</p></div><ul><li><a href=1>Maps</a></li><li><a href=2>Huts</a></li></ul>
+<div class="text"><h2 data-main>Over the pass</h2><p data-main>The way over the pass takes six hours for those who walk well, and there is water at two places only.</p><p data-main>Start early.</p></div>
+<div class="post-comments"><p>We were up there last week and found no water at all at the second place, so take enough with you when you go.</p></div><p><a href=3>Next tour</a></p>
+<div class="newsletter-box"><p>Get one tour a week by mail, with a map and the times of the buses, from April to October.</p></div><p><a href=4>Archive</a></p></body>""",
+    """<body><nav><a href=1>All posts</a></nav><article class="post hentry category-town tag-social format-standard"><h1 data-main>Benches</h1><p data-main>The town puts up ten new benches along the river before Easter.</p>
+<p data-main>They are made of oak.</p><p data-main><a href=2>Map with all benches</a></p></article><div id="comments"><p>Ten are too few, on a warm evening there are a hundred people there and all of them want to sit down somewhere near the water.</p>
+<p>Last time the wood was gone after one winter, so let us hope that somebody looks after these at night, oak burns well as we know.</p><p>Nice!</p></div></body>""",
+    """<body><div class="layout has-sidebar wide"><h2 data-main>Low tide</h2><p data-main>At low tide you can walk over to the island in less than an hour, but only with a guide.</p><p data-main>Take warm socks.</p></div>
+<div class="widget"><h3>Guides</h3><p>Anna walks on Mondays and on Fridays, she speaks four languages and has been over more than a thousand times in all kinds of weather.</p>
+<p>Piet walks every day but likes to talk, so you should not be in a hurry when you go with him, and bring something to eat.</p><p>Prices on request.</p></div><p><a href=1>Tides</a></p></body>""",
 )
