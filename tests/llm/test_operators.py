@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -337,6 +339,52 @@ def test_kneser_ney(spark):
             assert got[d] == pytest.approx(plain.nll((t or "").encode()), rel=1e-5, abs=1e-6)
 
 
+def check_thresholds(got, trusted):
+    """Means, shrunk scores, own quantiles with their standard errors and verdicts, from the likelihoods alone."""
+    nll = {d: r.nll_per_byte * r.n_bytes for d, r in got.items() if r.nll_per_byte is not None}
+    by = defaultdict(list)
+    for d in trusted:
+        if zlib.crc32(str(d).encode()) % 5 == 0 and d in nll:
+            by[got[d].lang].append(d)
+    pooled = sum(nll[d] for x in by.values() for d in x) / sum(got[d].n_bytes for x in by.values() for d in x)
+    mean = {lang: sum(nll[d] for d in x) / sum(got[d].n_bytes for d in x) for lang, x in by.items()}
+    score = {d: (nll[d] + op1.SHRINK * mean.get(got[d].lang, pooled)) / (got[d].n_bytes + op1.SHRINK) for d in nll}
+
+    def deviation(docs):
+        off = sorted(math.ceil(round((score[d] - mean.get(got[d].lang, pooled)) / op1.STEP, 6)) for d in docs)
+        return op1.STEP * (off[math.ceil(op1.QUANTILE * len(off)) - 1] + op1.CONFIDENCE * np.std(off) / math.sqrt(len(off)))
+
+    everyone = deviation([d for x in by.values() for d in x])
+    assert len(by) > 3 and None not in by
+    for d, r in got.items():
+        if d not in nll:
+            assert not r.kept and r.perplexity is None
+            continue
+        limit = mean.get(r.lang, pooled) + (deviation(by[r.lang]) if r.lang in by else everyone) + op1.MARGIN
+        assert r.perplexity == pytest.approx(math.exp(r.nll_per_byte)) and r.score == pytest.approx(score[d])
+        assert r.threshold == pytest.approx(limit, abs=2 * op1.STEP)
+        assert r.kept == (score[d] <= limit) or abs(score[d] - limit) < 2 * op1.STEP
+
+
+def test_quality_model_of_odd_rows(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 60), "x" if i % 3 else "y") for i in range(60)] + [(7, None, "x"), (3, prose(rng, 10), "x"), (None, prose(rng, 10), None), (60, prose(rng, 90_000), "z"), (61, "", None)]
+    rows += [rows[5], rows[5]]
+    labels = [(i, 1, 0) for i in range(50)] + [(4, 0, 0), (5, 1, 1), (None, 1, 0), (8, None, None), (9, 1, 0)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("nll", "n_bytes", "piece", "rest", "kind", "quality")})
+    got = op1.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")), shard_rows=500).collect()
+    assert Counter((r.doc_id, r.lang, r.n_bytes) for r in got) == Counter((d, lang, len((t or "").encode())) for d, t, lang in rows)
+    assert len({(r.score, r.kept) for r in got if r.doc_id == 5}) == 1
+    plain = brute.KneserNey([(t or "").encode() for d, t, _ in rows if d is not None and d < 50 and d not in (4, 5, 8) and zlib.crc32(str(d).encode()) % 5], op1.ORDER)
+    text = {d: t for d, t, _ in rows[:60]}
+    for r in got:
+        if r.doc_id in text and r.n_bytes == len(text[r.doc_id].encode()) and r.doc_id % 10 == 0:
+            assert r.nll_per_byte * r.n_bytes == pytest.approx(plain.nll(text[r.doc_id].encode()), rel=1e-4)
+    assert not any(r.kept for r in got if r.n_bytes == 0)
+    string = docs.withColumn("doc_id", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))))
+    assert op1.classify(string, spark.createDataFrame([("d1", 1, 0)], "doc_id string, quality int, toxic int")).count() == len(rows)
+
+
 def test_quality_model(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("nll", F.lit("clash"))
@@ -344,6 +392,7 @@ def test_quality_model(spark, sf):
     odd = spark.createDataFrame([(10**7, None, None), (10**7 + 1, "", "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in op1.classify(docs.unionByName(odd, allowMissingColumns=True), labels).collect()}
     assert len(got) == docs.count() + 2 and not got[10**7].kept and got[10**7].perplexity is None
+    check_thresholds(got, {r.doc_id for r in labels.filter("quality = 1 AND toxic = 0").collect()} - {r.doc_id for r in labels.filter("quality = 0 OR toxic = 1").collect()})
     clean = [got[r.doc_id] for r in labels.filter("quality = 1 AND toxic = 0").collect()]
     junk = [got[r.doc_id] for r in labels.filter("quality = 0").collect()]
     assert sum(r.kept for r in clean) / len(clean) > 0.97

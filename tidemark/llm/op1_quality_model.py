@@ -6,46 +6,58 @@ left extensions. Counts, context totals and lower-order probabilities are joined
 keys, order by order, which gives the interpolated probability of every n-gram seen and
 the back-off weight of every context.
 
-Scoring needs for each byte its n-gram or the longest known shorter one. Joining every
-n-gram of every document would shuffle many times the input, so the finished model goes
-to the documents instead: in shards by the two bytes before the predicted one (all orders
-from three up have both), each of at most ``SHARD_ROWS`` rows. Every shard has a scan of its
-own, and a join by document adds up what the shards give. Thresholds are quantiles by
-language over trusted documents that were held out of the counts (crc32(id) mod 5 is 0), of
-the mean negative log-likelihood shrunk to the language's mean by ``SHRINK`` bytes, so that
-short texts are not judged by noise.
+Scoring is a sharded join of the documents' n-grams with that model. Documents are packed
+into pieces (see ``pieces``); a piece sends each of its distinct n-grams once, as packed
+arrays, to the n-gram's shard, meets the model's rows there, and gets one value for each
+back; the sums by document are formed in the piece, so neither texts nor occurrences
+travel. A shard holds whole contexts of the two bytes before the predicted one; a pair of
+bytes with more than ``SHARD_ROWS`` rows is split by the byte before (its at most 257 rows
+that don't know that byte go to each part), so a shard is at most one context of three
+bytes: 2**24 + 2**16 + 2**8 rows, in practice a few thousand. Orders 1 and 2 (at most 66,049
+numbers) go with the functions. Texts are read once for the pieces, whatever the model's size.
+
+Thresholds are quantiles by language over trusted documents that were held out of the
+counts (crc32(id) mod 5 is 0), of the mean negative log-likelihood shrunk to the language's
+mean by ``SHRINK`` bytes, so that short texts are not judged by noise. Every language has
+its own quantile, whatever its number of held-out documents; what few documents leave
+unknown is added as ``CONFIDENCE`` standard errors of their scores.
 
 Defined results: a null or empty text has no perplexity and is not kept; a null language
-is a language of its own; a language with fewer than ``LEAST_DOCS`` held-out documents
-takes the deviation quantile of all languages; without trusted text everything with text
-is kept and has no perplexity; repeated rows get repeated results; repeated labels count
-once, an untrusted one rules; extra columns are ignored; an empty table gives an empty
-table.
+is a language of its own; a language without any held-out document is judged by the
+mean and the quantile of all held-out documents; without trusted text everything with text
+is kept and has no perplexity; where an order has no n-grams that were counted once, twice
+or three times, the discounts are 0.5, 0.75 and 0.9; repeated rows get repeated results;
+repeated labels count once, an untrusted one rules; a very long text is a piece of its own;
+extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+from . import pieces as pc
 from . import tokens as tk
 from .op4_language_id import fold
-from .shared import map_arrow, read_table, stored
+from .shared import map_arrow, new_path, read_table, stored, workspace
 
 ORDER = 6
-SHARD_ROWS = 4_000_000
+#: Model rows of a pair of bytes above which the pair is split, and model rows and pieces that may meet in one bucket.
+SHARD_ROWS = 200_000
+PER_BUCKET = 64
+PIECE = 1 << 21
 BROADCAST_IDS = 1_000_000
 #: Languages, and so thresholds, that may be broadcast: a few MB.
 BROADCAST_LANGS = 50_000
 QUANTILE = 0.99
 MARGIN = 0.05
 SHRINK = 100
-LEAST_DOCS = 100
+CONFIDENCE = 2.0
 STEP = 1e-4
 
 
@@ -116,101 +128,140 @@ def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return stored(out, "model")
 
 
-def shard_of(previous: Column, shards: int) -> Column:
-    """Shard of the two bytes before the predicted one; the same as :func:`shard_of_array`."""
-    return F.pmod(F.pmod(previous, F.lit(65536)) * 40503, F.lit(65521)) % shards
+def hot_pairs(table: DataFrame, shard_rows: int) -> np.ndarray:
+    """Which pairs of bytes before the predicted one have more model rows than a shard should; at most 65,536 are looked at."""
+    context = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram"))
+    pair = context.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("pair")
+    many = table.filter("n > 2").groupBy(pair).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > shard_rows)
+    out = np.zeros(1 << 16, bool)
+    out[[r.pair for r in many.collect()]] = True
+    return out
 
 
-def shard_of_array(previous: np.ndarray, shards: int) -> np.ndarray:
-    return (previous & 65535) * 40503 % 65521 % shards
+class Shards:
+    """Where n-grams meet the model, and what they get; what is in here has a fixed size and travels with the functions."""
 
+    def __init__(self, table: DataFrame, order: int, buckets: int, hot: np.ndarray):
+        self.order, self.buckets, self.hot = order, buckets, hot
+        # Orders 1 and 2 by their n-gram, NaN where there is none.
+        self.low = {(kind, n): np.full(1 << (8 * (n - kind)), np.nan) for kind in (0, 1) for n in (1, 2)}
+        for r in table.filter("n < 3").collect():  # at most 256 + 65,536 + 1 + 256 rows
+            self.low[r.kind, r.n][r.gram] = r.value
 
-class Shard:
-    """Sorted n-grams of each order with their values, of one shard."""
+    def of(self, context: np.ndarray) -> np.ndarray:
+        """Bucket of each context of two or more bytes."""
+        pair = context & 0xFFFF
+        key = np.where(self.hot[pair], (context & 0xFFFFFF) | (1 << 24), pair)
+        return (tk.mix(key.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
 
-    def __init__(self, rows: DataFrame, order: int, number: int, shards: int):
-        self.order, self.number, self.shards = order, number, shards
-        self.table = {}
-        for kind in (0, 1):
-            for n in range(1, order + 1):
-                part = rows.filter((F.col("kind") == kind) & (F.col("n") == n)).select("gram", F.col("value").cast("float")).toArrow()
-                gram = part.column("gram").to_numpy()
-                at = np.argsort(gram)
-                self.table[kind, n] = (gram[at], part.column("value").to_numpy()[at])
-
-    def find(self, kind: int, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names, value = self.table.get((kind, n), (np.zeros(0, np.int64), np.zeros(0, np.float32)))
-        if len(names) == 0:
-            return np.zeros(len(key), bool), np.zeros(len(key))
-        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-        ok = names[at] == key
-        return ok, np.where(ok, value[at], 0.0)
-
-    def log_probability(self, key: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the last byte of each packed n-gram."""
-        out, open_ = np.zeros(len(key)), np.arange(len(key))
-        for n in range(self.order, 0, -1):
-            k = key[open_] & ((1 << (8 * n)) - 1)
-            ok, value = self.find(0, n, k)
-            out[open_[ok]] += value[ok]
+    def place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets of model rows; those that don't know the byte by which their pair is split go to each part."""
+        for batch in batches:
+            kind, n, gram = (batch.column(c).to_numpy() for c in ("kind", "n", "gram"))
+            context = np.where(kind == 0, gram >> 8, gram)
+            short = (n == 3) & self.hot[context & 0xFFFF]
+            row = np.concatenate([np.flatnonzero(~short), np.repeat(np.flatnonzero(short), 256)])
+            context = context[row]
+            context[(~short).sum() :] |= np.tile(np.arange(256) << 16, int(short.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(self.of(context).astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in ("kind", "n", "gram", "value"))], names=["bucket", "kind", "n", "gram", "value"])
+
+    def _distinct(self, batch: pa.RecordBatch, i: int):
+        """Offsets, distinct n-grams of a piece with their place in the piece, and how they are dealt out."""
+        _, offsets, data = pc.unpack(batch, i)
+        key, row = grams(data, offsets, self.order)
+        unique, back = np.unique(key, return_inverse=True)
+        return offsets, unique, back, row, pc.deal(self.of(unique >> 8), self.buckets)
+
+    def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A piece's distinct n-grams by bucket."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, unique, _, _, (order, some, border) = self._distinct(batch, i)
+                packed = pc.narrow(unique[order].view(np.uint64), self.order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("piece")[i].as_py(), np.int64)), pa.array([packed[border[b] : border[b + 1]].tobytes() for b in some], pa.binary())],
+                    names=["bucket", "piece", "grams"],
+                )
+
+    def answer(self, asked: pa.Table, model_rows: pa.Table) -> pa.Table:
+        """The log-probability of the last byte of each n-gram asked for in one bucket."""
+        kind, n, gram, value = (model_rows.column(c).to_numpy() for c in ("kind", "n", "gram", "value"))
+        order = np.lexsort((gram, n, kind))
+        kind, n, gram, value = kind[order], n[order], gram[order], value[order]
+        cut = {(k, m): slice(*np.searchsorted(kind * 16 + n, (k * 16 + m, k * 16 + m + 1))) for k in (0, 1) for m in range(3, self.order + 1)}
+        own = [pc.widen(b, self.order).view(np.int64) for b in asked.column("grams").to_pylist()]
+        keys, back = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_inverse=True)
+
+        def find(k: int, m: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if m < 3:
+                v = self.low[k, m][key]
+                return ~np.isnan(v), np.nan_to_num(v)
+            ok, at = pc.lookup(gram[cut[k, m]], key)
+            return ok, np.where(ok, value[cut[k, m]][at], 0.0) if ok.any() else np.zeros(len(key))
+
+        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
+        for m in range(self.order, 0, -1):
+            k = keys[open_] & ((1 << (8 * m)) - 1)
+            ok, v = find(0, m, k)
+            out[open_[ok]] += v[ok]
             open_, k = open_[~ok], k[~ok]
-            out[open_] += self.find(1, n, k >> 8)[1]
+            out[open_] += find(1, m, k >> 8)[1]
         out[open_] -= np.log(256)
-        return out
+        got, at, values = out[back].astype(np.float32), 0, []
+        for o in own:
+            values.append(got[at : at + len(o)].tobytes())
+            at += len(o)
+        return pa.table({"bucket": asked.column("bucket"), "piece": asked.column("piece"), "costs": pa.array(values, pa.binary())})
+
+    def add_up(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums by document of a piece."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                offsets, unique, back, row, (order, some, border) = self._distinct(batch, i)
+                sent = {s["bucket"]: s["costs"] for s in batch.column("sent")[i].as_py() or []}
+                cost = np.empty(len(unique))
+                cost[order] = np.concatenate([*(np.frombuffer(sent[b], np.float32) for b in some.tolist()), np.zeros(0, np.float32)])
+                size = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rest")[i].values, pa.array(-np.bincount(row, cost[back], len(size)).astype(float)), pa.array(size)], names=["rest", "nll", "n_bytes"]
+                )
+
+
+def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS, piece: int = PIECE) -> DataFrame:
+    """``doc_id, lang, nll, n_bytes`` of every row: the negative log-likelihood of its text."""
+    spark = docs.sparkSession
+    ship(spark)
+    pieces = pc.make_pieces(docs, "text", None, ["doc_id", "lang"], piece)
+    buckets = max(pc.bucket_count(pieces, PER_BUCKET, 1), -(-table.count() // shard_rows))
+    step = Shards(table, order, buckets, hot_pairs(table, shard_rows))
+    body = ["piece", "ids", "offsets", "bytes"]
+    asked = map_arrow(pieces.select(*body), step.ask, "bucket int, piece bigint, grams binary")
+    placed = map_arrow(table.filter("n > 2").select("kind", "n", "gram", F.col("value").cast("float")), step.place, "bucket int, kind int, n int, gram bigint, value float")
+    costs = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(lambda a, m: step.answer(a, m), "bucket int, piece bigint, costs binary")
+    back = costs.groupBy("piece").agg(F.collect_list(F.struct("bucket", "costs")).alias("sent"))
+    rest = pieces.schema["rest"].dataType.elementType.simpleString()
+    summed = map_arrow(pieces.select(*body, "rest").join(back, "piece", "left"), step.add_up, f"rest {rest}, nll double, n_bytes bigint")
+    return summed.select("rest.doc_id", "rest.lang", "nll", "n_bytes")
 
 
-def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``doc_id, lang, nll, n_bytes`` of every row: the negative log-likelihood of its text.
+def classify(
+    docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", id_: str = "doc_id", order: int = ORDER,
+    quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, confidence: float = CONFIDENCE, shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """``doc_id, lang, n_bytes, nll_per_byte, perplexity, score, threshold, kept`` of every row.
 
-    With several shards each has a scan of its own, so a task holds one shard at a time; the
-    sums meet by id, language and digest of the text, one short row for each document and
-    shard. Rows that agree in all three have equal sums and are given back as often as they came.
+    The result is written; all other tables are deleted before the function returns.
     """
-    shards = max(1, -(-table.count() // shard_rows))
-    shards = shards if shards == 1 else 2 * shards
-    # Orders 1 and 2 and their contexts lack the two bytes; they are small and go with every shard.
-    everywhere = F.col("n") < 3
-    previous = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram"))
-    rows = docs.select("doc_id", "lang", *([F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")] if shards > 1 else []), "text")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "nll double", "n_bytes bigint"])
-
-    def scan(number: int) -> DataFrame:
-        mine = table if shards == 1 else table.filter(everywhere | (shard_of(previous, shards) == number))
-        sent = docs.sparkSession.sparkContext.broadcast(Shard(mine, order, number, shards))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard = sent.value
-            for batch in batches:
-                for lo, hi, data, offsets in tk.chunks(batch.column(batch.num_columns - 1)):
-                    key, row = grams(data, offsets, shard.order)
-                    if shard.shards > 1:
-                        own = shard_of_array(key >> 8, shard.shards) == shard.number
-                        key, row = key[own], row[own]
-                    unique, back = np.unique(key, return_inverse=True)
-                    cost = -shard.log_probability(unique)[back]
-                    part = batch.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:-1], pa.array(np.bincount(row, cost, hi - lo).astype(float)), pa.array(np.diff(offsets))], names=[*part.schema.names[:-1], "nll", "n_bytes"]
-                    )
-
-        return map_arrow(rows, score, schema)
-
-    if shards == 1:
-        return scan(0)
-    # Written shard by shard: the model's parts are not in memory together. Sums of decimals don't depend on the order of rows.
-    parts = reduce(DataFrame.unionByName, [stored(scan(number), "shard") for number in range(shards)])
-    met = parts.groupBy("doc_id", "lang", "digest", "n_bytes").agg(F.sum(F.col("nll").cast("decimal(28,8)")).alias("total"), F.count(F.lit(1)).alias("n"))
-    copies = (F.col("n") / shards).cast("int")
-    met = met.withColumn("nll", F.col("total").cast("double") / copies)
-    return met.select("doc_id", "lang", F.explode(F.sequence(F.lit(1), copies)).alias("copy"), "nll", "n_bytes").drop("copy")
+    spark = docs.sparkSession
+    path = new_path(spark, "classified")
+    with workspace(spark):
+        rows = docs.select(F.col(id_).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+        out = _classify(rows, labels, order, quantile, margin, shrink, confidence, shard_rows)
+        out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", id_: str = "doc_id", order: int = ORDER,
-    quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, least_docs: int = LEAST_DOCS, shard_rows: int = SHARD_ROWS,
-) -> DataFrame:
-    """``doc_id, lang, n_bytes, nll_per_byte, perplexity, score, threshold, kept`` of every row."""
-    rows = docs.select(F.col(id_).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+def _classify(rows: DataFrame, labels: DataFrame, order: int, quantile: float, margin: float, shrink: float, confidence: float, shard_rows: int) -> DataFrame:
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     trusted = stored(labels.groupBy("doc_id").agg(F.min(good).alias("good")).filter("good AND doc_id IS NOT NULL").select("doc_id"), "trusted")
     few = trusted.count() <= BROADCAST_IDS
@@ -218,14 +269,14 @@ def classify(
     table = model(learned.select("text"), order)
     scored = stored(likelihoods(rows, table, order, shard_rows), "scored")
 
-    held = scored.filter((fold(F.col("doc_id")) == 0) & (F.col("n_bytes") > 0)).join(trusted, "doc_id", "left_semi")
-    means = held.groupBy("lang").agg(F.sum("nll").alias("nll_sum"), F.sum("n_bytes").alias("byte_sum"), F.count(F.lit(1)).alias("held_docs"))
-    # One row for each language.
-    all_ = means.agg((F.sum("nll_sum") / F.nullif(F.sum("byte_sum"), F.lit(0))).alias("pooled"))
-    langs = scored.select("lang").distinct().join(means.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(all_)
-    enough = F.coalesce("held_docs", F.lit(0)) >= least_docs
-    langs = langs.select("lang", "held_docs", F.coalesce(F.when(F.col("byte_sum") > 0, F.col("nll_sum") / F.col("byte_sum")), "pooled", F.lit(0.0)).alias("mean"), enough.alias("enough"))
-    langs = stored(langs, "langs")
+    held = scored.filter((fold(F.col("doc_id")) == 0) & (F.col("n_bytes") > 0)).join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi")
+    # One row for each language, and one over all of them. All stay without a threshold where nothing was learned.
+    taught = not table.isEmpty()
+    means = stored(held.groupBy("lang").agg(F.sum("nll").alias("nll_sum"), F.sum("n_bytes").alias("byte_sum")), "means")
+    all_ = means.agg(F.sum("nll_sum").alias("nll_sum"), F.sum("byte_sum").alias("byte_sum")).first()
+    pooled = all_.nll_sum / all_.byte_sum if all_.byte_sum else 0.0
+    langs = scored.select("lang").distinct().join(means.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
+    langs = stored(langs.select("lang", F.coalesce(F.col("nll_sum") / F.col("byte_sum"), F.lit(pooled)).alias("mean")), "langs")
     # Scores don't travel to their language, which may hold most rows; its one row goes to them.
     near = F.broadcast if langs.count() <= BROADCAST_LANGS else lambda df: df
     by = near(langs.withColumnRenamed("lang", "l"))
@@ -233,19 +284,26 @@ def classify(
 
     # Quantiles from counts of scores in steps of STEP: exact to a step, whatever the order of rows.
     off = held.join(by, F.col("lang").eqNullSafe(F.col("l"))).select("lang", F.ceil((score - F.col("mean")) / STEP).alias("step"))
-    steps = off.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("c"))
+    steps = stored(off.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("c")), "steps")
 
-    def at_quantile(counts: DataFrame, keys: list[str]) -> DataFrame:
+    def allowed(counts: DataFrame, keys: list[str]) -> DataFrame:
+        """By key: the quantile of the deviations from the mean, and ``confidence`` standard errors."""
         w = Window.partitionBy(*keys)
         running = counts.withColumn("below", F.sum("c").over(w.orderBy("step"))).withColumn("total", F.sum("c").over(w))
-        return running.filter(F.col("below") >= quantile * F.col("total")).groupBy(*keys).agg((F.min("step") * STEP).alias("deviation"))
-
-    own = at_quantile(steps, ["lang"]).withColumnRenamed("lang", "l2")
-    pooled = at_quantile(steps.groupBy("step").agg(F.sum("c").alias("c")).withColumn("one", F.lit(1)), ["one"]).select(F.col("deviation").alias("pooled_deviation"))
-    limits = by.join(own, F.col("l").eqNullSafe(F.col("l2")), "left").join(pooled, F.lit(True), "left")
-    limits = limits.select("l", "mean", (F.col("mean") + F.when(F.col("enough"), F.col("deviation")).otherwise(F.col("pooled_deviation")) + margin).alias("threshold"))
+        reached = F.min(F.when(F.col("below") >= quantile * F.col("total"), F.col("step")))
+        # Sums of whole numbers, so they don't depend on the order of rows.
+        sums = (F.sum(F.col("c") * F.col("step")), F.sum(F.col("c") * F.col("step") * F.col("step")))
+        at = running.groupBy(*keys).agg(reached.alias("q"), F.max("total").cast("double").alias("n"), sums[0].cast("double").alias("s"), sums[1].cast("double").alias("ss"))
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))))
+        return at.select(*keys, (STEP * (F.col("q") + confidence * spread / F.sqrt("n"))).alias("deviation"))
+
+    own = allowed(steps, ["lang"]).withColumnRenamed("lang", "l2")
+    one = allowed(steps.groupBy("step").agg(F.sum("c").alias("c")).withColumn("one", F.lit(1)), ["one"]).first()
+    limits = by.join(own, F.col("l").eqNullSafe(F.col("l2")), "left")
+    deviation = F.coalesce("deviation", F.lit(one.deviation if one else None).cast("double"))
+    limits = limits.select("l", "mean", (F.col("mean") + deviation + margin if taught else F.lit(None).cast("double")).alias("threshold"))
     out = scored.join(near(limits), F.col("lang").eqNullSafe(F.col("l"))).withColumn("score", F.when(F.col("threshold").isNotNull() & (F.col("n_bytes") > 0), score))
-    mean = F.when(F.col("threshold").isNotNull() & (F.col("n_bytes") > 0), F.col("nll") / F.col("n_bytes"))
+    mean = F.when(F.lit(taught) & (F.col("n_bytes") > 0), F.col("nll") / F.col("n_bytes"))
     return out.select(
         "doc_id", "lang", "n_bytes", mean.alias("nll_per_byte"), F.exp(mean).alias("perplexity"), "score", "threshold",
         ((F.col("n_bytes") > 0) & F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True))).alias("kept"),

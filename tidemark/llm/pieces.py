@@ -20,6 +20,10 @@ from . import tokens as tk
 from .shared import map_arrow, new_path, note
 
 PIECE = 1 << 20
+#: Bytes of text in one bucket of a piece table, so that tasks stay the same size as the input grows.
+BUCKET = 16 << 20
+#: Spark allows no more buckets (spark.sql.sources.bucketing.maxBuckets).
+MOST_BUCKETS = 100_000
 NO_ID = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -49,19 +53,24 @@ def pack(limit: int):
     return run
 
 
-def make_pieces(docs: DataFrame, text: str, id_: str, keep: list[str], limit: int = PIECE) -> DataFrame:
+def make_pieces(docs: DataFrame, text: str, id_: str | None, keep: list[str], limit: int = PIECE, bucket: int = BUCKET) -> DataFrame:
     """``piece, ids, offsets, digests, bytes, rest``: texts with a 128-bit digest each; ``rest`` holds the columns ``keep``.
 
-    A null id is ``NO_ID``, a null text is empty.
+    A null id (and every id without ``id_``) is ``NO_ID``, a null text is empty. The number of
+    buckets follows the bytes of all texts, which are counted first; pieces are dealt to
+    their bucket before they are written, so each bucket is one file.
     """
     spark = docs.sparkSession
     rest = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
-    rows = docs.select(F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("text"), F.col(f"`{id_}`").cast("long").alias("id"), rest.alias("rest"))
+    ids = F.lit(None) if id_ is None else F.col(f"`{id_}`")
+    rows = docs.select(F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("text"), ids.cast("long").alias("id"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(1, -(-total // bucket)))
     packed = map_arrow(rows, pack(limit), f"piece bigint, ids binary, offsets binary, digests binary, bytes binary, rest array<{kind}>")
     name = f"pieces_{uuid.uuid4().hex[:12]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "piece").option("path", new_path(spark, "pieces")).option("compression", "zstd").saveAsTable(name)
+    dealt = packed.repartition(buckets, "piece")
+    dealt.write.bucketBy(buckets, "piece").option("path", new_path(spark, "pieces")).option("compression", "zstd").saveAsTable(name)
     note("table", name)
     return spark.table(name)
 
