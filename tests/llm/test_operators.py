@@ -239,19 +239,36 @@ def test_decontaminate(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     usable = [(i, t) for i, t in items if t is not None]
     expect = {(d, i): round(s, 9) for d, t in rows for i, s in brute.leaks(t, usable).items()}
-    for block in (5000, 4):
-        got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in op3.contaminated(docs, benchmark, block_items=block).collect()}
-        if block == 5000:
-            assert got == expect
-        else:  # weights come from the block's items
-            assert {k for k, s in expect.items() if s == 1} <= set(got)
+    for block in (5000, 7, 2):
+        got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.n_words) for r in op3.contaminated(docs, benchmark, block_items=block).collect()}
+        assert {k: v[0] for k, v in got.items()} == expect, block
+        places = got if block == 5000 else places
+        assert got == places
     assert op3.contaminated(docs.limit(0), benchmark).count() == 0
     assert op3.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontaminate_odd_rows(spark):
+    rng = random.Random(16)
+    item = prose(rng, 40)
+    long = " ".join([prose(rng, 30_000), item, prose(rng, 30_000), item, prose(rng, 50)])
+    rows = [("a", long), ("b", item), ("b", item), (None, f"x {item} y"), ("c", " ".join([item] * 50)), ("d", None), ("e", ""), ("f", "kan lort mis kan lort")]
+    items = [("i", item), ("i", item), ("j", None), ("k", ""), ("l", "kan lort"), (None, prose(rng, 15))]
+    docs = frame(spark, rows, "doc_id string, text string").withColumns({c: F.lit("clash") for c in ("item_id", "words", "shingle", "key")})
+    benchmark = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
+    plain = [(n, t) for n, (_, t) in enumerate(items) if t is not None]
+    expect = Counter((d, items[n][0]) for d, t in rows if t is None or len(t) < 100_000 for n, s in brute.leaks(t, plain).items())
+    expect += Counter({("a", "i"): 2, ("a", "l"): 1 if "kan lort" in long else 0})
+    for block in (5000, 2):
+        got = op3.contaminated(docs, benchmark, block_items=block).collect()
+        assert Counter((r.doc_id, r.item_id) for r in got) == expect
+        assert {r.first_word for r in got if r.doc_id == "a" and r.item_id == "i"} == {30_000}
+    assert op3.contaminated(docs, benchmark.limit(0)).count() == 0 and op3.contaminated(docs, benchmark.filter("text IS NULL")).count() == 0
+
+
 def test_hamming_blocks_find_all_in_radius():
     rng = np.random.default_rng(2)
-    index = op3.Index(list(range(50)), [prose(random.Random(i), 20) for i in range(50)], 5, 0.8, 31)
+    index = op3.Index(list(range(50)), [prose(random.Random(i), 20) for i in range(50)], 50, *op3.NONE, 5, 0.8, 31)
     probe = index.prints[rng.integers(0, 50, 200)].copy()
     bit = np.unpackbits(probe.view(np.uint8).reshape(200, 16), axis=1)
     for r in range(200):
@@ -259,7 +276,7 @@ def test_hamming_blocks_find_all_in_radius():
         bit[r, flip] ^= 1
     probe = np.packbits(bit, axis=1).view("<u2")
     expect = {(r, i) for r in range(200) for i in range(50) if int(np.bitwise_count(probe[r] ^ index.prints[i]).sum()) <= 31}
-    assert set(index.lookup(probe)) == expect and len(expect) > 100
+    assert set(zip(*(x.tolist() for x in index.lookup(probe)), strict=True)) == expect and len(expect) > 100
 
 
 def test_licenses(spark):
