@@ -50,7 +50,9 @@ ORDER = 6
 #: Model rows of a pair of bytes above which the pair is split, and model rows and pieces that may meet in one bucket.
 SHARD_ROWS = 200_000
 PER_BUCKET = 64
-PIECE = 1 << 21
+PIECE = 1 << 22
+#: Costs travel as whole multiples of 1 / UNIT; the largest is 64.
+UNIT, MOST = 1 << 18, (1 << 24) - 1
 BROADCAST_IDS = 1_000_000
 #: Languages, and so thresholds, that may be broadcast: a few MB.
 BROADCAST_LANGS = 50_000
@@ -177,19 +179,20 @@ class Shards:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, unique, _, _, (order, some, border) = self._distinct(batch, i)
-                packed = pc.narrow(unique[order].view(np.uint64), self.order)
+                sent = [unique[order[border[b] : border[b + 1]]] for b in some]
+                packed = [pc.planes(np.diff(x, prepend=0).view(np.uint64), self.order) for x in sent]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("piece")[i].as_py(), np.int64)), pa.array([packed[border[b] : border[b + 1]].tobytes() for b in some], pa.binary())],
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("piece")[i].as_py(), np.int64)), pa.array(packed, pa.binary())],
                     names=["bucket", "piece", "grams"],
                 )
 
     def answer(self, asked: pa.Table, model_rows: pa.Table) -> pa.Table:
-        """The log-probability of the last byte of each n-gram asked for in one bucket."""
+        """The cost (negative log-probability of the last byte) of each n-gram asked for in one bucket, in 3 bytes."""
         kind, n, gram, value = (model_rows.column(c).to_numpy() for c in ("kind", "n", "gram", "value"))
         order = np.lexsort((gram, n, kind))
         kind, n, gram, value = kind[order], n[order], gram[order], value[order]
         cut = {(k, m): slice(*np.searchsorted(kind * 16 + n, (k * 16 + m, k * 16 + m + 1))) for k in (0, 1) for m in range(3, self.order + 1)}
-        own = [pc.widen(b, self.order).view(np.int64) for b in asked.column("grams").to_pylist()]
+        own = [np.cumsum(pc.from_planes(b, self.order).view(np.int64)) for b in asked.column("grams").to_pylist()]
         keys, back = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_inverse=True)
 
         def find(k: int, m: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +210,9 @@ class Shards:
             open_, k = open_[~ok], k[~ok]
             out[open_] += find(1, m, k >> 8)[1]
         out[open_] -= np.log(256)
-        got, at, values = out[back].astype(np.float32), 0, []
+        got, at, values = np.minimum(np.rint(-out * UNIT), MOST).astype(np.uint64)[back], 0, []
         for o in own:
-            values.append(got[at : at + len(o)].tobytes())
+            values.append(pc.planes(got[at : at + len(o)], 3))
             at += len(o)
         return pa.table({"bucket": asked.column("bucket"), "piece": asked.column("piece"), "costs": pa.array(values, pa.binary())})
 
@@ -220,10 +223,10 @@ class Shards:
                 offsets, unique, back, row, (order, some, border) = self._distinct(batch, i)
                 sent = {s["bucket"]: s["costs"] for s in batch.column("sent")[i].as_py() or []}
                 cost = np.empty(len(unique))
-                cost[order] = np.concatenate([*(np.frombuffer(sent[b], np.float32) for b in some.tolist()), np.zeros(0, np.float32)])
+                cost[order] = np.concatenate([*(pc.from_planes(sent[b], 3) for b in some.tolist()), np.zeros(0, np.uint64)]) / UNIT
                 size = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rest")[i].values, pa.array(-np.bincount(row, cost[back], len(size)).astype(float)), pa.array(size)], names=["rest", "nll", "n_bytes"]
+                    [batch.column("rest")[i].values, pa.array(np.bincount(row, cost[back], len(size)).astype(float)), pa.array(size)], names=["rest", "nll", "n_bytes"]
                 )
 
 
@@ -231,16 +234,16 @@ def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_row
     """``doc_id, lang, nll, n_bytes`` of every row: the negative log-likelihood of its text."""
     spark = docs.sparkSession
     ship(spark)
-    pieces = pc.make_pieces(docs, "text", None, ["doc_id", "lang"], piece)
-    buckets = max(pc.bucket_count(pieces, PER_BUCKET, 1), -(-table.count() // shard_rows))
+    # Pieces are dealt out once; both uses read that one exchange, so no copy of the texts is written.
+    pieces, parts, total = pc.deal_pieces(docs, "text", None, ["doc_id", "lang"], piece)
+    buckets = max(-(-total // (piece * PER_BUCKET)), -(-table.count() // shard_rows), 1)
     step = Shards(table, order, buckets, hot_pairs(table, shard_rows))
-    body = ["piece", "ids", "offsets", "bytes"]
-    asked = map_arrow(pieces.select(*body), step.ask, "bucket int, piece bigint, grams binary")
+    asked = map_arrow(pieces, step.ask, "bucket int, piece bigint, grams binary")
     placed = map_arrow(table.filter("n > 2").select("kind", "n", "gram", F.col("value").cast("float")), step.place, "bucket int, kind int, n int, gram bigint, value float")
     costs = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(lambda a, m: step.answer(a, m), "bucket int, piece bigint, costs binary")
-    back = costs.groupBy("piece").agg(F.collect_list(F.struct("bucket", "costs")).alias("sent"))
+    back = costs.repartition(parts, "piece").groupBy("piece").agg(F.collect_list(F.struct("bucket", "costs")).alias("sent"))
     rest = pieces.schema["rest"].dataType.elementType.simpleString()
-    summed = map_arrow(pieces.select(*body, "rest").join(back, "piece", "left"), step.add_up, f"rest {rest}, nll double, n_bytes bigint")
+    summed = map_arrow(pieces.join(back, "piece", "left"), step.add_up, f"rest {rest}, nll double, n_bytes bigint")
     return summed.select("rest.doc_id", "rest.lang", "nll", "n_bytes")
 
 

@@ -31,6 +31,29 @@ def blob(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def squeeze(data: bytes | np.ndarray) -> bytes:
+    """Compressed, after the length: shuffles compress less well than this."""
+    raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def stretch(data: bytes | None) -> bytes:
+    n = int.from_bytes(data[:8], "little") if data else 0
+    return pa.decompress(data[8:], n, "zstd", asbytes=True) if n and data else b""
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each 64-bit value, all first bytes, then all second ones and so on, compressed."""
+    return squeeze(narrow(values, width).T)
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    flat = np.frombuffer(stretch(data), np.uint8).reshape(width, -1)
+    wide = np.zeros((flat.shape[1], 8), np.uint8)
+    wide[:, :width] = flat.T
+    return wide.reshape(-1).view("<u8")
+
+
 def pack(limit: int):
     """Rows of (text, id, rest) to pieces. A piece is named by a hash of its ids and texts."""
 
@@ -45,7 +68,7 @@ def pack(limit: int):
                 lists = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([rest.slice(lo, hi - lo)]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([int.from_bytes(name, "little", signed=True)]), *(pa.array(x, pa.binary()) for x in (blob(ids), blob(offsets), [digests], blob(data))), lists,
+                        pa.array([int.from_bytes(name, "little", signed=True)]), *(pa.array(x, pa.binary()) for x in (blob(ids), blob(offsets), [digests], [squeeze(data)])), lists,
                     ],
                     names=["piece", "ids", "offsets", "digests", "bytes", "rest"],
                 )
@@ -53,24 +76,30 @@ def pack(limit: int):
     return run
 
 
-def make_pieces(docs: DataFrame, text: str, id_: str | None, keep: list[str], limit: int = PIECE, bucket: int = BUCKET) -> DataFrame:
-    """``piece, ids, offsets, digests, bytes, rest``: texts with a 128-bit digest each; ``rest`` holds the columns ``keep``.
+def deal_pieces(docs: DataFrame, text: str, id_: str | None, keep: list[str], limit: int = PIECE, bucket: int = BUCKET) -> tuple[DataFrame, int, int]:
+    """``piece, ids, offsets, digests, bytes, rest``, dealt out by piece; the number of parts, and the bytes of all texts.
 
-    A null id (and every id without ``id_``) is ``NO_ID``, a null text is empty. The number of
-    buckets follows the bytes of all texts, which are counted first; pieces are dealt to
-    their bucket before they are written, so each bucket is one file.
+    Texts have a 128-bit digest each; ``rest`` holds the columns ``keep``. A null id (and every
+    id without ``id_``) is ``NO_ID``, a null text is empty. The number of parts follows the bytes
+    of all texts, which are counted first.
     """
-    spark = docs.sparkSession
     rest = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
     ids = F.lit(None) if id_ is None else F.col(f"`{id_}`")
     rows = docs.select(F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("text"), ids.cast("long").alias("id"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(1, -(-total // bucket)))
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")).cast("long"))).first()[0] or 0
+    parts = min(MOST_BUCKETS, max(1, -(-total // bucket)))
     packed = map_arrow(rows, pack(limit), f"piece bigint, ids binary, offsets binary, digests binary, bytes binary, rest array<{kind}>")
+    return packed.repartition(parts, "piece"), parts, total
+
+
+def make_pieces(docs: DataFrame, text: str, id_: str | None, keep: list[str], limit: int = PIECE) -> DataFrame:
+    """:func:`deal_pieces` as a written table, bucketed by piece, one file for each bucket."""
+    spark = docs.sparkSession
+    dealt, buckets, _ = deal_pieces(docs, text, id_, keep, limit)
     name = f"pieces_{uuid.uuid4().hex[:12]}"
-    dealt = packed.repartition(buckets, "piece")
-    dealt.write.bucketBy(buckets, "piece").option("path", new_path(spark, "pieces")).option("compression", "zstd").saveAsTable(name)
+    # The texts in it are compressed already.
+    dealt.write.bucketBy(buckets, "piece").option("path", new_path(spark, "pieces")).option("compression", "lz4").saveAsTable(name)
     note("table", name)
     return spark.table(name)
 
@@ -83,7 +112,7 @@ def bucket_count(pieces: DataFrame, each: int, at_least: int) -> int:
 def unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, offsets and bytes of the piece in row ``i``."""
     get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_py() or b"", kind)
-    return get("ids", np.int64), get("offsets", np.int64), get("bytes", np.uint8)
+    return get("ids", np.int64), get("offsets", np.int64), np.frombuffer(stretch(batch.column("bytes")[i].as_py()), np.uint8)
 
 
 def narrow(values: np.ndarray, width: int) -> np.ndarray:
