@@ -4,7 +4,9 @@
 (SHA-256, bytes; each payload once) and ``headers`` (the exact WARC header and HTTP header
 of every record, with the digest of its payload). ``read_archive`` joins them and gives
 the original records back byte for byte; a stored payload whose digest doesn't match its
-address raises an error.
+address raises an error, and so does a header whose digest or length doesn't fit the payload
+it is joined with. Type and reference are read from the stored header lines; nothing
+else is kept of them.
 
 Of the records with equal payloads the one with the smallest page id is the response, the
 others are revisits that refer to it. Rows of a payload group never meet in one task:
@@ -41,9 +43,8 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def record_id(sha256: Column, page_id: Column) -> Column:
-    h = F.md5(F.concat(sha256, F.lit(":"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+    """A URI with the page's id and the address of its payload."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), F.substring(sha256, 1, 32), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> None:
@@ -87,11 +88,15 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     )
     typed.select(
         "page_id", "url", "sha256", head.alias("warc_header"), http.alias("http_header"),
-        F.when(F.col("response"), F.lit("response")).otherwise("revisit").alias("record_type"),
-        F.when(~F.col("response"), origin).alias("refers_to"),
     ).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
+def header_field(name: str) -> Column:
+    """The value of a line of the stored WARC header, null where there is none."""
+    found = F.regexp_extract("warc_header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    return F.when(found != "", found)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record: ids, type, digest and length of its full payload, the payload, and the record's bytes.
 
@@ -103,11 +108,23 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("long")
     )
     payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "payload", checked.alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    headers = spark.read.parquet(f"{path}/headers")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    headers = spark.read.parquet(f"{path}/headers").withColumns(
+        {
+            "record_type": header_field("WARC-Type"),
+            "refers_to": F.expr("try_cast(nullif(regexp_extract(warc_header, 'WARC-Refers-To: <urn:page:(-?[0-9]*):', 1), '') AS long)"),
+            "content_length": header_field("Content-Length").cast("long"),
+            "said": header_field("WARC-Payload-Digest"),
+        }
+    )
+    response = F.col("record_type") == "response"
+    body = F.when(response, F.col("payload")).otherwise(F.lit(b""))
     utf8 = lambda c: F.encode(F.col(c), "UTF-8")
     record = F.concat(utf8("warc_header"), utf8("http_header"), body, F.lit(b"\r\n\r\n"))
-    return headers.join(payloads, "sha256").withColumn("record", record)
+    length = F.octet_length("http_header").cast("long") + F.when(response, F.col("payload_bytes")).otherwise(0)
+    fits = (F.col("content_length") == length) & (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & F.col("record_type").isin("response", "revisit")
+    type_ = F.when(fits, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("damaged header of payload "), F.col("sha256"))))
+    joined = headers.join(payloads, "sha256").withColumn("record_type", type_)
+    return joined.withColumn("record", record).drop("said", "content_length")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 Every document is handled alone inside an Arrow batch, so nothing is shuffled: one
 scan, one pass. The suffix array orders the suffixes of the word sequence of each
-document (prefix doubling, all documents of a piece at once); neighbours' longest common
-prefixes give the longest repeat that starts at every word, maximal repeats are those
-that can't be extended to the left, and the union of their spans is the covered part.
-
-Defined results: a null or empty text has zero words and fails the base rule; repeated
-rows are judged alone, each with the same result; extra columns of the input are ignored
-unless named in ``keep``; an empty table gives an empty table.
+document (prefix doubling, all documents of a piece at once). Neighbours' longest common
+prefixes make intervals: suffixes that stand together with prefixes of ``WINDOW`` words or more
+are the places of one repeat, whose longest common prefix can't be extended to the right;
+those that can't be extended to the left either are the maximal repeats. The verdict comes
+from them: the union of the spans of all places but the first of each interval is limited
+to a part of the words, and so is the longest repeat.
+
+Only ranks and one array of prefix hashes are kept, so a text of n words needs about
+100 n bytes. Defined results: a null or empty text has zero words and fails the base rule;
+repeated rows are judged alone, each with the same result; a very long text is a piece of
+its own; extra columns of the input are ignored unless named in ``keep``; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,63 +41,72 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_copy_words", "n_repeats", "longest_repeat")
 
 
-def suffix_ranks(rank: np.ndarray, row: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the suffixes by their first 1, 2, 4, ... words, until no two are equal.
+def suffix_order(word: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The suffixes in the order of their words; ``word`` differs between documents, which begin at ``first``.
 
-    ``rank`` are word ids that differ between documents, ``first`` where documents begin.
+    Ranks by the first 1, 2, 4, ... words until no two are equal; a rank is the position of the
+    first suffix of its class, so classes that are split keep their place among the others.
     """
-    n = len(rank)
-    levels, k = [], 1
     last = first[1:][row]
-    _, rank = np.unique(rank, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
+    _, rank, count = np.unique(word, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - count)[rank]
+    n, k = len(rank), 1
     while True:
-        levels.append(rank)
-        count = np.bincount(rank)
-        open_ = np.flatnonzero(count[rank] > 1)
+        open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
         if len(open_) == 0:
-            return levels
+            order = np.empty(n, np.int64)
+            order[rank] = np.arange(n)
+            return order
         nxt = open_ + k
-        second = np.where(nxt < last[open_], rank[np.minimum(nxt, n - 1)], 0)
+        second = np.where(nxt < last[open_], rank[np.minimum(nxt, n - 1)] + 1, 0)
         order = np.lexsort((second, rank[open_]))
         a, b = rank[open_][order], second[order]
         start = np.concatenate([[True], a[1:] != a[:-1]])
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        # Ranks are the position of the first suffix of the class in the order by rank,
-        # so classes that are split keep their place among the others.
-        base = np.cumsum(count) - count
-        if k == 1:
-            levels[-1] = rank = base[rank] + 1
-            a = rank[open_][order]
         at = np.arange(len(a))
-        inside = at - np.maximum.accumulate(np.where(start, at, 0))
-        step = np.maximum.accumulate(np.where(new, at, 0))
-        inside = inside - (at - step)
-        rank = rank.copy()
-        rank[open_[order]] = a + inside
+        rank[open_[order]] = a + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(start, at, 0))
         k *= 2
 
 
-def repeats(levels: list[np.ndarray], row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: the longest repeat in its document that starts there, and whether an earlier place has it too."""
-    n = len(row)
-    order = np.argsort(levels[-1], kind="stable")
+def common_prefixes(order: np.ndarray, word: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words that each suffix shares with the next one in the order, within a document."""
+    prefix = tk.sequence_hash(word)
     a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(max(0, n - 1), np.int64)
-    last = first[1:][row]
-    live = row[a] == row[b] if n > 1 else np.zeros(0, bool)
-    for k in range(len(levels) - 1, -1, -1):
-        ia, ib = np.minimum(a, n - 1), np.minimum(b, n - 1)
-        size = 1 << k
-        same = live & (a + size <= last[order[:-1]]) & (b + size <= last[order[1:]]) & (levels[k][ia] == levels[k][ib])
-        lcp[same] += size
-        a[same] += size
-        b[same] += size
-    longest = np.zeros(n, np.int64)
-    if n > 1:
-        np.maximum.at(longest, order[:-1], lcp)
-        np.maximum.at(longest, order[1:], lcp)
-    return longest, lcp
+    left = np.minimum(first[1:][row[a]] - a, first[1:][row[b]] - b)
+    live = np.flatnonzero((row[a] == row[b]) & (word[a] == word[b]))
+    lcp = np.zeros(len(a), np.int64)
+    size = 1 << max(0, int(left.max(initial=1)).bit_length() - 1)
+    while size:
+        some = live[lcp[live] + size <= left[live]]
+        x, y = a[some] + lcp[some], b[some] + lcp[some]
+        same = tk.sequence_span(prefix, x, size) == tk.sequence_span(prefix, y, size)
+        lcp[some[same]] += size
+        size //= 2
+    return lcp
+
+
+class Repeats:
+    """Repeats of ``window`` words or more in the texts of a piece."""
+
+    def __init__(self, word: np.ndarray, row: np.ndarray, first: np.ndarray, window: int):
+        n = len(word)
+        order = suffix_order(word, row, first)
+        lcp = common_prefixes(order, word, row, first)
+        #: The longest repeat that starts at each word.
+        self.longest = np.zeros(n, np.int64)
+        np.maximum.at(self.longest, order[:-1], lcp)
+        np.maximum.at(self.longest, order[1:], lcp)
+        # Intervals of suffixes that share the window; their first place isn't a copy.
+        together = lcp >= window
+        number = np.concatenate([[0], np.cumsum(~together)])[: n]
+        earliest = np.full(n, n)
+        np.minimum.at(earliest, number, order)
+        inside = np.zeros(n, bool)
+        inside[:-1] |= together
+        inside[1:] |= together
+        place = order[inside]
+        self.places = np.sort(place)
+        self.later = np.sort(place[place != earliest[number[inside]]])
 
 
 def measure(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
@@ -131,26 +145,17 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict
         return out
     word = tk.span_hash(prefix, start, end)
     both = tk.mix(word ^ tk.mix(row.astype(np.uint64) + np.uint64(1)))
-    levels = suffix_ranks(both, row, first)
-    longest, _ = repeats(levels, row, first)
+    found = Repeats(both, row, first, window)
+    longest, hot, later = found.longest, found.places, found.later
     np.maximum.at(out["longest_repeat"], row, longest)
-
-    hot = np.flatnonzero(longest >= window)
     if len(hot) == 0:
         return out
-    covered = tk.cover(n, hot, hot + longest[hot])
-    out["n_repeat_words"] = per(row, covered)
-    # Second and later copies: the windows whose rank class has an earlier window of the document.
-    w = tk.ngram_hash(both, window)
-    inside = hot[hot < len(w)]
-    order = inside[np.lexsort((inside, w[inside]))]
-    later = order[1:][w[order][1:] == w[order][:-1]]
+    out["n_repeat_words"] = per(row, tk.cover(n, hot, hot + longest[hot]))
     out["n_copy_words"] = per(row, tk.cover(n, later, later + window))
     # Maximal repeats: not to be extended to the left within the document.
     left = np.concatenate([[0], longest[:-1]])
     left[first[:-1][count > 0]] = 0
-    maximal = hot[left[hot] != longest[hot] + 1]
-    out["n_repeats"] = per(row[maximal], None)
+    out["n_repeats"] = per(row[hot[left[hot] != longest[hot] + 1]], None)
     return out
 
 
@@ -162,9 +167,8 @@ def repeated_spans(text: str | None, window: int = WINDOW) -> list[tuple[int, in
     if len(start) == 0:
         return []
     row = np.zeros(len(start), np.int64)
-    levels = suffix_ranks(tk.span_hash(tk.prefix_hash(data), start, end), row, first)
-    longest, _ = repeats(levels, row, first)
-    hot = np.flatnonzero(longest >= window)
+    found = Repeats(tk.span_hash(tk.prefix_hash(data), start, end), row, first, window)
+    hot, longest = found.places, found.longest
     flag = np.concatenate([[0], tk.cover(len(start), hot, hot + longest[hot]).astype(np.int8), [0]])
     edge = np.diff(flag)
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
@@ -181,7 +185,7 @@ def quality_rules(
     max_longest: int = MAX_LONGEST,
 ) -> DataFrame:
     """The columns ``keep`` with all measures, ``base_failed`` and ``kept``."""
-    narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    narrow = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
     fields = [*narrow.schema.fields[:-1]]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{m} bigint" for m in MEASURES)])
 

@@ -102,6 +102,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | No
     return start, end, np.searchsorted(start, offsets).astype(np.int64)
 
 
+def sequence_hash(words: np.ndarray) -> np.ndarray:
+    """Array of ``len(words) + 1``; with it :func:`sequence_span` hashes any run of words."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words) * _powers(_BASE, max(1, len(words)))[: len(words)], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def sequence_span(prefix: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    return (prefix[start + size] - prefix[start]) * _powers(_INV, len(prefix))[start]
+
+
 def ngram_hash(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` words; the last ``k - 1`` entries are left out."""
     n = max(0, len(words) - k + 1)
