@@ -106,6 +106,58 @@ def test_ngram_groups_odd_rows(spark):
     assert op6.ngram_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_ngram_groups_along_a_chain(spark, monkeypatch):
+    """Every text differs from the one before by a word: one group, and tasks in proportion to its length."""
+    monkeypatch.setattr(op6, "BLOCK_ELEMENTS", 500)
+    monkeypatch.setattr(op6, "BLOCK_SETS", 6)
+    written, stored = {}, op6.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(op6, "stored", counted)
+    rng = random.Random(31)
+    sent = []
+    for length in (160, 640):
+        w, rows = [str(rng.random()) for _ in range(60)], []
+        for i in range(length):
+            w[(7 * i) % 60] = str(rng.random())
+            rows.append((i, " ".join(w)))
+        written.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in op6.ngram_groups(frame(spark, rows)).collect()}
+        assert got == brute.groups(rows) and {g[1] for g in got.values()} == {0}
+        sent.append(written["tasks"][0])
+    assert sent[0] > 0 and sent[1] < 6 * sent[0]
+
+
+def test_ngram_groups_shared_ids_and_repeats(spark, monkeypatch):
+    rng = random.Random(32)
+    a, b = prose(rng, 80), prose(rng, 80)
+    near = lambda t: t + " zz"
+    rows = [(1, a), (1, a), (2, near(a)), (3, a), (4, b), (4, a), (5, near(b)), (6, prose(rng, 50)), (7, prose(rng, 9000)), (None, near(b))]
+    got = defaultdict(set)
+    for r in op6.ngram_groups(frame(spark, rows)).collect():
+        got[r.doc_id].add((r.n_shingles, r.component_id, r.n_links))
+    n = {t: len(brute.shingles(t)) for _, t in rows}
+    assert got[1] == {(n[a], 1, 4)} and got[2] == {(n[near(a)], 1, 4)} and got[6] == {(n[rows[7][1]], 6, 0)}
+    assert {x[1] for x in got[4] | got[5]} == {1, 4} or {x[1] for x in got[4] | got[5]} == {1}
+    with pytest.raises(Exception, match="(?i)cast"):
+        op6.ngram_groups(spark.createDataFrame([("x1", a)], "doc_id string, text string")).collect()
+
+
+def test_bitmaps_never_lose_a_link():
+    rng = np.random.default_rng(5)
+    for n, m in ((20, 20), (300, 310), (1000, 930)):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: int(0.95 * len(x))], rng.integers(0, 1 << 63, max(0, m - int(0.95 * len(x))), dtype=np.uint64)]))
+        bx, by = (np.frombuffer(op6.bitmaps(s, np.array([0, len(s)]))[0], "<u8").reshape(1, -1) for s in (x, y))
+        words = min(bx.shape[1], by.shape[1])
+        differ = int(np.bitwise_count(op6.fold_to(bx, words) ^ op6.fold_to(by, words)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+
+
 def test_trie_join_finds_every_link():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
@@ -144,7 +196,7 @@ def test_quality_rules(spark):
     rng = random.Random(2)
     part = prose(rng, 12)
     rows += [(50, f"{part} {prose(rng, 30)} {part}"), (51, "a b\r\na b\n\n c \n c \n c "), (52, "#$ <x> | %% &"), (53, f"{part}\n{part}\n{part}")]
-    docs = frame(spark, rows).withColumn("n_words_", F.lit(1))
+    docs = frame(spark, rows).withColumns({"n_words": F.lit("clash"), "kept": F.lit(1), "__text": F.lit(2)})
     got = {r.doc_id: r.asDict() for r in op9.quality_rules(docs).collect()}
     for d, t in rows:
         if t is not None and len(t) > 20_000:
@@ -220,6 +272,11 @@ def test_warc_round_trip(spark, tmp_path):
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}2/headers")
     with pytest.raises(Exception, match="damaged payload"):
         op5.read_archive(spark, f"{path}2").select("payload_bytes").collect()
+    heads = spark.read.parquet(f"{path}/headers").withColumn("warc_header", F.regexp_replace("warc_header", "Content-Length: ", "Content-Length: 1"))
+    heads.write.parquet(f"{path}4/headers")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}4/payloads")
+    with pytest.raises(Exception, match="damaged header"):
+        op5.read_archive(spark, f"{path}4").select("record_type").collect()
     op5.write_archive(pages.limit(0), f"{path}3")
     assert op5.read_archive(spark, f"{path}3").count() == 0
 

@@ -7,18 +7,25 @@ A document's set are its distinct word shingles. Steps:
 2. A global order of all shingles: by the number of documents, rare ones first. Two sets
    with Jaccard similarity t or more share a shingle within their first
    ``n - ceil(t n) + 1`` shingles, whatever the order is, so nothing is lost.
-3. Classes that share such a shingle, and whose sizes allow a link, are joined to loose
-   clusters (stars around the smallest id, then connected components).
+3. Classes that share such a shingle, and whose sizes allow a link, are compared by bitmaps
+   of their sets: shingles that fall on bits the other lacks are not shared, which bounds the
+   overlap from above. Only pairs that may still be linked join loose clusters (a spanning
+   forest for each shingle, then connected components), so clusters hold near copies and
+   don't grow together over common phrases.
 4. Within a cluster the sets, most frequent shingle first, are stored in a prefix tree.
    One descent carries the overlaps of all probing sets along the shared paths and leaves a
-   subtree when the shingles that remain in it can't reach the needed overlap. Large clusters
-   are cut into blocks, and each pair of blocks is a task of bounded size.
+   subtree when the shingles that remain in it can't reach the needed overlap. A cluster of
+   more than ``BLOCK_SETS`` sets is cut into blocks by the smallest shared shingle, so near
+   copies stay together, and only blocks that share a shingle of step 2 are joined; along a
+   chain of near copies these are neighbours, so the work grows with the chain.
 5. Each task gives a spanning forest of its links and the number of links of each class;
    components of those edges are the groups. Pairs within a group are never written out.
 
 Defined results: null or empty text, or one without a word, has size 0 and no links; rows
-with equal sets are linked; rows that share an id are one document; a row with a null id
-stands only in its class of equal sets; extra columns are ignored; an empty table gives an
+with equal sets are linked; ids are whole numbers (other types raise an error unless they
+can be cast); rows that share an id are one document, so a link of one of its texts puts
+all of them into the group; a row with a null id stands only in its class of equal sets; a
+very long text is a piece of its own; extra columns are ignored; an empty table gives an
 empty table.
 """
 
@@ -47,6 +54,10 @@ BLOCK_ELEMENTS = 100_000
 BLOCK_SETS = 256
 LARGEST_BLOCK = 4_000_000
 BROADCAST_ROWS = 500_000
+#: Classes of one shingle that are compared by bitmaps; more are joined to one loose cluster as they are.
+MOST_COMPARED = 2000
+#: Classes whose shingles meet in one task of that comparison.
+COMPARED_TOGETHER = 20_000
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +73,26 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return h, np.searchsorted(row, np.arange(len(offsets)))
 
 
+def bitmaps(h: np.ndarray, border: np.ndarray) -> list[bytes | None]:
+    """A bitmap of each set: a power of two of bits, two to four for each shingle; a longer one folds onto a shorter one."""
+    out: list[bytes | None] = []
+    for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+        on = np.zeros(1 << max(6, (2 * (b - a) - 1).bit_length()), bool)
+        on[(h[a:b] >> np.uint64(20)).astype(np.int64) & (len(on) - 1)] = True
+        out.append(np.packbits(on, bitorder="little").tobytes() if b > a else None)
+    return out
+
+
+def fold_to(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words folded to ``words`` of them."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def may_link(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets of together ``sizes`` shingles, ``differ`` of them surely not shared, can be linked."""
+    return (percent + 100) * (sizes - differ) >= 2 * percent * sizes
+
+
 def frequencies(pieces: DataFrame, k: int, buckets: int) -> DataFrame:
     """``piece, sent``: for each piece the shingles that two or more documents have, with their counts.
 
@@ -112,7 +143,7 @@ def frequencies(pieces: DataFrame, k: int, buckets: int) -> DataFrame:
 
 
 def signatures(pieces: DataFrame, counts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix``: set size, its 128-bit sum and those of the first shingles that other documents have too.
+    """``doc_id, n, s1, s2, prefix, bits``: set size, its 128-bit sum, those of the first shingles that other documents have too, and the bitmap of a set with such shingles.
 
     The order is by count, then by hash.
     """
@@ -139,26 +170,75 @@ def signatures(pieces: DataFrame, counts: DataFrame, k: int, percent: int, bucke
                 p = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 chosen = order[((np.arange(len(h)) - border[row]) < p[row]) & (weight[order] > 1)]
                 per = np.bincount(row[chosen], minlength=len(ids))
+                ends = np.where(per > 0, border[1:], border[:-1])
+                maps = [m for a, b in zip(border[:-1], ends, strict=True) for m in bitmaps(h, np.array([a, b]))]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(h[chosen].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == pc.NO_ID), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), prefix],
-                    names=["doc_id", "n", "s1", "s2", "prefix"],
+                    [pa.array(ids, mask=ids == pc.NO_ID), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), prefix, pa.array(maps, pa.binary())],
+                    names=["doc_id", "n", "s1", "s2", "prefix", "bits"],
                 )
 
     joined = pieces.select("piece", "ids", "offsets", "bytes").join(counts, "piece", "left").select("ids", "offsets", "bytes", "sent")
-    return map_arrow(joined, sign, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    return map_arrow(joined, sign, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, bits binary")
+
+
+def size_step(percent: int):
+    """Sizes that allow a link lie in the same or in neighbouring steps of this scale."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
+
+
+def keyed(classes: DataFrame, percent: int, *columns: str) -> DataFrame:
+    """The classes' ``columns`` by ``token, step``; classes that can be linked meet in one of them."""
+    step = size_step(percent)
+    return classes.select(*columns, F.explode("prefix").alias("token"), F.array(step, step + 1).alias("steps")).select(*columns, "token", F.explode("steps").alias("step"))
+
+
+def compare(table: pa.Table, percent: int) -> pa.Table:
+    """Edges of spanning forests of the pairs of each ``token, step`` that may be linked."""
+    col = lambda name: table.column(name).to_numpy()
+    token, step, rep, n = col("token"), col("step"), col("rep"), col("n")
+    maps = table.column("bits").to_pylist()
+    order = np.lexsort((rep, step, token))
+    new = np.ones(len(order), bool)
+    new[1:] = (token[order][1:] != token[order][:-1]) | (step[order][1:] != step[order][:-1])
+    cut = np.append(np.flatnonzero(new), len(order))
+    size = np.diff(cut)
+    edges_a, edges_b = [], []
+
+    def rows_of(at: np.ndarray) -> np.ndarray:
+        words = min(len(maps[i]) for i in at) // 8
+        return np.concatenate([fold_to(np.frombuffer(maps[i], "<u8").reshape(1, -1), words) for i in at])
+
+    for a, m in zip(cut[:-1][size > 1], size[size > 1], strict=True):
+        at = order[a : a + m]
+        bits, sizes, label = rows_of(at), n[at], np.arange(m)
+        for i in range(m - 1):
+            differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1).astype(np.int64)
+            found = np.flatnonzero(may_link(differ, sizes[i + 1 :] + sizes[i], percent)) + i + 1
+            for other in np.unique(label[found]):
+                if other != label[i]:
+                    edges_a.append(rep[at[i]])
+                    edges_b.append(rep[at[found[label[found] == other][0]]])
+                    label[label == other] = label[i]
+    return pa.table({"a": pa.array(edges_a, pa.int64()), "b": pa.array(edges_b, pa.int64())})
 
 
 def loose_clusters(classes: DataFrame, percent: int) -> DataFrame:
-    """``id, component``: classes that could be linked, from ``rep, n, prefix``."""
-    entries = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    again = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
-    entries = entries.join(again, "token")
-    # Sizes that allow a link lie in the same or in neighbouring steps of this scale.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
-    keyed = entries.select("rep", "token", F.explode(F.array(step, step + 1)).alias("step"))
-    low = keyed.groupBy("token", "step").agg(F.min("rep").alias("low"))
-    return components(keyed.join(low, ["token", "step"]).select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    """``id, component``: classes that could be linked, from ``rep, n, s1, prefix, bits``."""
+    ship(classes.sparkSession)
+    entries = keyed(classes, percent, "rep", "n", "s1")
+    # Near copies share many shingles; of those that the same classes share one is enough.
+    members = (F.bit_xor(F.xxhash64("rep", "s1")).alias("x"), F.sum(F.hash("rep", "s1").cast("long")).alias("y"))
+    counts = entries.groupBy("token", "step").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("low"), *members).filter("df > 1")
+    counts = counts.groupBy("df", "low", "x", "y").agg(F.min(F.struct("token", "step")).alias("key"))
+    met = stored(entries.join(counts.select("key.token", "key.step", "df", "low"), ["token", "step"]), "met")
+    stars = met.filter(F.col("df") > MOST_COMPARED).select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    few = met.filter(F.col("df") <= MOST_COMPARED)
+    buckets = max(1, -(-few.count() // COMPARED_TOGETHER))
+    near = few.join(classes.select("rep", "s1", "bits"), ["rep", "s1"])
+    near = near.select(F.pmod(F.xxhash64("token", "step"), F.lit(buckets)).cast("int").alias("bucket"), "token", "step", "rep", "n", "bits")
+    pairs = near.groupBy("bucket").applyInArrow(lambda t: compare(t, percent), "a bigint, b bigint")
+    return components(stars.unionByName(pairs))
 
 
 def trie_join(sets_: list[np.ndarray], n_targets: int, same: bool, percent: int, copies: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -235,29 +315,49 @@ def trie_join(sets_: list[np.ndarray], n_targets: int, same: bool, percent: int,
     return forest, links
 
 
+def blocks_of(members: DataFrame) -> DataFrame:
+    """Adds ``blocks``, those of the cluster, and ``block``: by the smallest shared shingle, and by class where too many share that."""
+
+    def parts(rows: DataFrame, name: str, *key: str) -> DataFrame:
+        sizes = rows.groupBy(*key).agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("sets"))
+        fit = F.greatest(F.least(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("sets") / BLOCK_SETS)), F.ceil(F.col("elements") / LARGEST_BLOCK))
+        return sizes.select(*key, fit.cast("long").alias(name))
+
+    rows = members.join(parts(members, "blocks", "component"), "component")
+    rows = rows.withColumn("first", F.pmod(F.xxhash64(F.array_min("prefix")), F.col("blocks")))
+    rows = rows.join(parts(rows, "subs", "component", "first"), ["component", "first"])
+    block = F.shiftleft("first", 24) + F.pmod(F.xxhash64("rep", "s1"), F.col("subs"))
+    return rows.withColumn("block", F.when(F.col("blocks") > 1, block).otherwise(0))
+
+
+def block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``component, block, p, q``: the tasks of each block of large clusters, a pair of blocks that share a shingle each."""
+    keys = keyed(members.filter("blocks > 1"), percent, "component", "block").distinct()
+    all_ = keys.groupBy("component", "token", "step").agg(F.sort_array(F.collect_list("block")).alias("all")).select("component", "all").distinct()
+    pairs = all_.select("component", F.explode("all").alias("p"), "all").select("component", "p", F.explode(F.filter("all", lambda x: x >= F.col("p"))).alias("q")).distinct()
+    other = pairs.filter("p < q").select("component", F.col("q").alias("block"), "p", "q")
+    return stored(pairs.select("component", F.col("p").alias("block"), "p", "q").unionByName(other), "tasks")
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b`` (edges of spanning forests) and ``a, links`` (links of a class, by task)."""
     spark = docs.sparkSession
-    members = classes.select("rep", "n", "copies").join(clusters, F.col("rep") == F.col("id"))
-    sizes = members.groupBy("component").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members"))
-    blocks = F.greatest(F.least(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("members") / BLOCK_SETS)), F.ceil(F.col("elements") / LARGEST_BLOCK))
-    members = members.join(sizes.select("component", blocks.cast("int").alias("blocks")), "component")
-    members = stored(members.select("rep", "copies", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")), "members")
-    few = members.count() <= BROADCAST_ROWS
-    chosen = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep"))
+    members = stored(blocks_of(classes.select("rep", "n", "s1", "copies", "prefix").join(clusters, F.col("rep") == F.col("id")).drop("id")), "members")
+    tasks = block_pairs(members, percent)
+    near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    # Rows that share an id are one document: all its texts go wherever one of them goes.
+    sent = members.groupBy("rep", "component", "block").agg(F.max("copies").alias("copies"))
+    chosen = docs.select("doc_id", "text").join(near(sent), F.col("doc_id") == F.col("rep"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column(0)):
                 h, border = sets_of(data, offsets, k)
                 values = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(1, 6)), values], names=["rep", "copies", "component", "blocks", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(1, 5)), values], names=["rep", "copies", "component", "block", "shingles"])
 
-    rows = map_arrow(
-        chosen.select("text", "rep", "copies", "component", "blocks", "block"), expand, "rep bigint, copies bigint, component bigint, blocks int, block int, shingles array<bigint>"
-    )
-    tasks = rows.select("rep", "copies", "component", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("rep", "copies", "component", "block", "shingles", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    rows = map_arrow(chosen.select("text", "rep", "copies", "component", "block"), expand, "rep bigint, copies bigint, component bigint, block bigint, shingles array<bigint>")
+    dealt = rows.join(near(tasks), ["component", "block"], "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("p", "q")})
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -266,6 +366,10 @@ def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
         order = np.lexsort((col("rep"), col("block")))
         lists = table.column("shingles").chunk(0)
         flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        # Of repeated rows (one id, one set) the first stands for all; they have been counted as copies.
+        once: set[tuple[int, int, bytes]] = set()
+        seen = lambda key: key in once or once.add(key)
+        order = np.array([i for i in order if not seen((int(col("block")[i]), int(col("rep")[i]), flat[off[i] : off[i + 1]].tobytes()))], np.int64)
         whole = [flat[off[i] : off[i + 1]] for i in order]
         n_targets = len(order) if same else int((col("block")[order] == col("p")[0]).sum())
         rep, copies = col("rep")[order], col("copies")[order]
@@ -277,7 +381,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
         return pa.table({"a": pa.array(a, pa.int64()), "b": b, "links": n})
 
     ship(spark)
-    return stored(tasks.groupBy("component", "p", "q").applyInArrow(join, "a bigint, b bigint, links bigint"), "links")
+    return stored(dealt.groupBy("component", "p", "q").applyInArrow(join, "a bigint, b bigint, links bigint"), "links")
 
 
 def ngram_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -299,7 +403,7 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     signed = stored(signatures(pieces, frequencies(pieces, k, buckets), k, percent, buckets), "signed")
     key = ["n", "s1", "s2"]
     classes = stored(
-        signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix")), "classes"
+        signed.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes"
     )
     clusters = stored(loose_clusters(classes.filter(F.col("rep").isNotNull()), percent), "clusters")
     links = linked_classes(docs, classes, clusters, k, percent)
