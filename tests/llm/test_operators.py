@@ -353,6 +353,21 @@ def test_licenses(spark):
     assert op10.scan_licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_of_odd_rows(spark):
+    rng = random.Random(18)
+    body = dict(op10.TEXTS)["BSD-3-Clause"]
+    long = "\n".join([prose(rng, 40_000), body, "of the software and of the use in the case of any", prose(rng, 40_000), body, "Released under the MIT License."])
+    tie = "All rights reserved.\nx\nAll rights reserved."
+    rows = [("a", long), ("b", tie), ("b", tie), (None, body), ("c", None), ("d", "of the and in the " * 3000)]
+    got = defaultdict(list)
+    docs = frame(spark, rows, "doc_id string, text string").withColumns({c: F.lit("clash") for c in ("license", "dice", "first_word", "n_words")})
+    for r in op10.scan_licenses(docs).collect():
+        got[r.doc_id].append((r.license, round(r.dice, 6), r.first_word))
+    assert ("BSD-3-Clause", 1.0, 40_000) in got["a"] and ("MIT", 1.0, len(brute.normal_words(long)) - 5) in got["a"]
+    assert got["b"] == [("all-rights-reserved", 1.0, 0)] * 2 and "c" not in got and "d" not in got
+    assert ("BSD-3-Clause", 1.0, 0) in got[None]
+
+
 def test_licenses_in_texts_shorter_than_the_template(spark):
     rows, expect = [], {}
     templates = tuple((str(i), t) for i, (_, t) in enumerate(op10.TEMPLATES))
