@@ -1,4 +1,4 @@
-"""Command line: ``python -m tidemark.cli offline|simulate|live|columns``."""
+"""Command line: ``python -m tidemark.cli offline|offline-live|simulate|live|columns``."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.buffers import replay
-from .plans.batch import run_csv_job
+from .plans.batch import run_api_job, run_csv_job
 from .sources import sinks
-from .sources.readings import file_messages, kafka_messages, matching_columns, read_wide_csv
-from .streaming.live import live_updates, update_messages
+from .sources.readings import file_messages, http_client, kafka_messages, matching_columns, read_wide_csv
+from .streaming.live import live_updates, write_updates
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -25,11 +25,20 @@ def main(argv: Sequence[str] | None = None) -> None:
     offline.add_argument("--out", required=True)
     offline.add_argument("--min-stuck-hours", type=float, default=0.25)
     offline.add_argument("--backend", default="local_jsonl")
+    api = jobs.add_parser("offline-live", help="repair the newest readings of the remote API")
+    api.add_argument("--url", required=True)
+    api.add_argument("--alias", required=True)
+    api.add_argument("--attribute", required=True, help="comma-separated")
+    api.add_argument("--days-back", type=int, default=30)
+    api.add_argument("--out", required=True)
+    api.add_argument("--min-stuck-hours", type=float, default=0.25)
+    api.add_argument("--backend", default="local_jsonl")
     simulate = jobs.add_parser("simulate", help="messages of a replay as JSON files, or to Kafka")
     simulate.add_argument("--csv", required=True)
     simulate.add_argument("--column", required=True)
     simulate.add_argument("--point-id", required=True)
     simulate.add_argument("--speed", type=float, default=60.0)
+    simulate.add_argument("--loops", type=int, default=1)
     simulate.add_argument("--out", help="folder of JSON files")
     simulate.add_argument("--kafka", help="bootstrap servers")
     live = jobs.add_parser("live", help="repair a feed")
@@ -46,8 +55,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "offline":
         run_csv_job(spark, a.csv, names(a.column), a.point_id, a.out, backend=a.backend, min_hours=a.min_stuck_hours).show(truncate=False)
+    elif a.job == "offline-live":
+        client = http_client(a.url)
+        run_api_job(spark, client, a.alias, names(a.attribute), a.out, a.days_back, backend=a.backend, min_hours=a.min_stuck_hours).show(truncate=False)
     elif a.job == "simulate":
-        readings = replay(read_wide_csv(spark, a.csv, names(a.column), point_id=a.point_id), a.speed)
+        readings = replay(read_wide_csv(spark, a.csv, names(a.column), point_id=a.point_id), a.speed, loops=a.loops)
         if a.kafka:
             sinks.write_kafka(readings, a.kafka)
         else:
@@ -55,8 +67,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif a.job == "live":
         messages = kafka_messages(spark, a.kafka, starting="earliest") if a.kafka else file_messages(spark, a.source)
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        updates = update_messages(live_updates(messages.withColumn("seq", F.unix_micros(F.current_timestamp()))))
-        updates.writeStream.foreachBatch(lambda df, _: df.write.mode("append").json(a.out)).outputMode("update").option("checkpointLocation", a.checkpoint).start().awaitTermination()
+        write_updates(live_updates(messages), a.out, a.checkpoint).awaitTermination()
     else:
         print("\n".join(matching_columns(spark, a.csv, names(a.keywords))))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -26,3 +29,18 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(str(path))
     _shipped.add(context.applicationId)
+
+
+@contextmanager
+def by_value() -> Iterator[None]:
+    """Functions and classes of this package that are sent inside carry their code with them.
+
+    Workers of stateful streams are also started before files of the application reach them.
+    """
+    import tidemark
+
+    cloudpickle.register_pickle_by_value(tidemark)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(tidemark)

@@ -24,12 +24,27 @@ def series_keys(readings: DataFrame) -> DataFrame:
     return readings.select(*SERIES).distinct()
 
 
-def replay(readings: DataFrame, speed: float = 60.0, now: str | None = None) -> DataFrame:
-    """Adds the pause before the next message in seconds and, with ``now``, times moved so that the series starts then."""
+def replay(readings: DataFrame, speed: float = 60.0, now: str | None = None, loops: int = 1) -> DataFrame:
+    """Adds the pause before the next message in seconds and, with ``now``, times moved so that the series starts then.
+
+    With several ``loops`` a series begins again after its end, each loop (column ``loop``) after
+    the one before; the pause between them is the series' mean gap.
+    """
     w = Window.partitionBy(*SERIES).orderBy("ts")
+    whole = Window.partitionBy(*SERIES)
     gap = F.timestamp_diff("MICROSECOND", F.col("ts"), F.lead("ts").over(w)) / 1_000_000
+    span = F.timestamp_diff("MICROSECOND", F.min("ts").over(whole), F.max("ts").over(whole)) / 1_000_000
+    mean = span / F.greatest(F.count(F.lit(1)).over(whole) - 1, F.lit(1))
     out = readings.withColumn("delay_seconds", F.greatest(gap / speed, F.lit(0.0)))
-    if now is None:
+    if now is not None:
+        first = F.min("ts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("replay_ts", F.lit(now).cast("timestamp_ntz") + (F.col("ts") - first))
+    if loops == 1:
         return out
-    first = F.min("ts").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("replay_ts", F.lit(now).cast("timestamp_ntz") + (F.col("ts") - first))
+    out = out.withColumn("__round", ((span + mean) * 1_000_000).cast("long")).withColumn("__mean", mean / speed)
+    out = out.withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
+    pause = F.when(F.col("delay_seconds").isNull() & (F.col("loop") < loops - 1), F.col("__mean")).otherwise(F.col("delay_seconds"))
+    out = out.withColumn("delay_seconds", pause)
+    if now is not None:
+        out = out.withColumn("replay_ts", F.timestamp_add("MICROSECOND", F.col("loop") * F.col("__round"), F.col("replay_ts")))
+    return out.drop("__round", "__mean")

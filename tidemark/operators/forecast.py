@@ -12,10 +12,15 @@ CONTEXT = 512
 
 
 class Forecaster(Protocol):
-    """``predict`` gives ``steps`` values that follow the context; ``name`` labels the method."""
+    """``predict`` gives ``steps`` values that follow the context; ``name`` labels the method.
+
+    ``context`` is the number of values it looks at; no more are collected for it. A
+    ``ValueError`` says that this context can't be forecast: the period is left out.
+    """
 
     name: str
     version: str
+    context: int
 
     def predict(self, context: np.ndarray, steps: int) -> np.ndarray: ...
 
@@ -23,7 +28,7 @@ class Forecaster(Protocol):
 class LastValue:
     """Repeats the last value of the context, a missing one too."""
 
-    name, version = "last-value", "1"
+    name, version, context = "last-value", "1", 1
 
     def predict(self, context: np.ndarray, steps: int) -> np.ndarray:
         return np.full(steps, context[-1])
@@ -32,7 +37,7 @@ class LastValue:
 class Drift:
     """Goes on along the line from the first to the last reading of the context."""
 
-    name, version = "drift", "1"
+    name, version, context = "drift", "1", CONTEXT
 
     def predict(self, context: np.ndarray, steps: int) -> np.ndarray:
         known = np.flatnonzero(~np.isnan(context))
@@ -48,7 +53,7 @@ class SeasonalNaive:
     version = "1"
 
     def __init__(self, season: int):
-        self.season, self.name = season, f"seasonal-naive-{season}"
+        self.season, self.name, self.context = season, f"seasonal-naive-{season}", season
 
     def predict(self, context: np.ndarray, steps: int) -> np.ndarray:
         season = context[-min(self.season, len(context)) :]
@@ -61,6 +66,8 @@ _models: dict[tuple[str, str], Any] = {}
 class QuantileModel:
     """A model with ``predict_quantiles`` (mean first), loaded once for each Python worker."""
 
+    context = CONTEXT
+
     def __init__(self, name: str, load: Callable[[str, str], Any], device: str = "cpu", version: str = "1"):
         self.name, self.version, self.load, self.device = name, version, load, device
 
@@ -80,7 +87,10 @@ def forward(model: Forecaster, context: np.ndarray, steps: int, chunk: int = CHU
     """``steps`` values after the context, at most ``chunk`` at once, each chunk seeing those before."""
     seen, out = np.asarray(context, float), np.zeros(0)
     while len(out) < steps:
-        some = np.asarray(model.predict(seen[-limit:], min(chunk, steps - len(out))), float)
+        asked = min(chunk, steps - len(out))
+        some = np.asarray(model.predict(seen[-limit:], asked), float)
+        if len(some) != asked:
+            raise ValueError(f"{model.name} gave {len(some)} values of {asked}")
         out, seen = np.concatenate([out, some]), np.concatenate([seen, some])
     return out[:steps]
 

@@ -1,12 +1,14 @@
 """Reconstruction of frozen periods: forward and backward forecast, blend, feathered edges.
 
 The last-value forecaster has a closed form over the neighbours of a period, so it is plain
-column arithmetic. Other forecasters get one row for each period with at most ``CONTEXT``
-values on either side, collected by an equi join on blocks of row numbers (never a whole
-series), and run in Arrow batches.
+column arithmetic. Other forecasters get one row for each period with as many values on
+either side as they look at. A series is cut into blocks of that many rows, each an array
+that is made once; a period takes slices of the at most two blocks on either side (never a
+whole series). Forecasters run in Arrow batches.
 
 A period that starts with the first row of its series can't be reconstructed and is left
-out. One row of context is enough. A null neighbour makes the corrected values null.
+out, and so is one that the forecaster rejects with a ``ValueError``. One row of context is
+enough. A null neighbour makes the corrected values null.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,32 +33,48 @@ def contexts(runs: DataFrame, periods: DataFrame, limit: int = CONTEXT) -> DataF
     """``periods`` with ``context_before`` and ``context_after``: up to ``limit`` values each, in order, nulls kept."""
     block = lambda c: F.floor(c / limit)
     key = [*SERIES, "run"]
-    reach = F.sequence(block(F.greatest(F.lit(1), F.col("first_rn") - limit)), block(F.col("last_rn") + limit))
-    # Blocks inside a long run have no context.
-    reach = F.filter(reach, lambda b: (b <= block(F.col("first_rn"))) | (b >= block(F.col("last_rn"))))
-    wanted = periods.select(*key, "first_rn", "last_rn", F.explode(reach).alias("block"))
-    rows = runs.select(*SERIES, F.col("rn").alias("at"), F.col("value").alias("v"), block(F.col("rn")).alias("block"))
-    near = rows.join(wanted, [*SERIES, "block"])
-    near = near.filter(((F.col("at") < F.col("first_rn")) & (F.col("at") >= F.col("first_rn") - limit)) | ((F.col("at") > F.col("last_rn")) & (F.col("at") <= F.col("last_rn") + limit)))
-    side = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("at", "v"))))
-    found = near.groupBy(*key).agg(side(F.col("at") < F.col("first_rn")).alias("b"), side(F.col("at") > F.col("last_rn")).alias("a"))
-    values = lambda c: F.transform(c, lambda x: x["v"])
+    rows = F.array_sort(F.collect_list(F.struct(F.col("rn").alias("at"), F.col("value").alias("v"))))
+    blocks = runs.groupBy(*SERIES, block(F.col("rn")).alias("block")).agg(rows.alias("rows"))
+    blocks = blocks.select(*SERIES, "block", F.transform("rows", lambda x: x["v"]).alias("values"), F.col("rows")[0]["at"].alias("base"))
+    first, last = F.col("first_rn"), F.col("last_rn")
+    before = F.sequence(block(F.greatest(F.lit(1), first - limit)), block(F.greatest(F.lit(1), first - 1)))
+    wanted = periods.select(*key, "first_rn", "last_rn", F.explode(F.array_union(before, F.sequence(block(last + 1), block(last + limit)))).alias("block"))
+    near = wanted.join(blocks, [*SERIES, "block"])
+    top = F.col("base") + F.size("values") - 1
+
+    def side(low: Column, high: Column) -> Column:
+        low, high = F.greatest(low, F.col("base")), F.least(high, top)
+        part = F.slice("values", (low - F.col("base") + 1).cast("int"), (high - low + 1).cast("int"))
+        return F.collect_list(F.when(high >= low, F.struct("block", part.alias("part"))))
+
+    found = near.groupBy(*key).agg(side(first - limit, first - 1).alias("b"), side(last + 1, last + limit).alias("a"))
+    values = lambda c: F.flatten(F.transform(F.array_sort(c), lambda x: x["part"]))
     return periods.join(found.select(*key, values("b").alias("context_before"), values("a").alias("context_after")), key)
 
 
 def forecasts(periods: DataFrame, model: Forecaster, chunk: int = CHUNK, limit: int = CONTEXT) -> DataFrame:
-    """Adds ``forward`` and ``backward`` (null where the period is open) as arrays of one value for each row."""
+    """Adds ``forward`` and ``backward`` (null where the period is open) as arrays of one value for each row.
+
+    Periods that the forecaster rejects with a ``ValueError`` are left out.
+    """
     ship(periods.sparkSession)
 
     out = T.StructType([*periods.schema.fields, T.StructField("forward", T.ArrayType(T.DoubleType())), T.StructField("backward", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            f, b = [], []
+            f, b, done = [], [], []
             for before, after, n, open_ended in zip(batch["context_before"], batch["context_after"], batch["n_points"], batch["is_open_ended"], strict=True):
-                f.append(forward(model, np.array(before, float), int(n), chunk, limit))
-                b.append(None if open_ended or len(after) == 0 else backward(model, np.array(after, float), int(n), chunk, limit))
-            yield batch.assign(forward=f, backward=b)
+                try:
+                    x = forward(model, np.array(before, float), int(n), chunk, limit)
+                    y = None if open_ended or len(after) == 0 else backward(model, np.array(after, float), int(n), chunk, limit)
+                except ValueError:
+                    done.append(False)
+                    continue
+                f.append(x)
+                b.append(y)
+                done.append(True)
+            yield batch[done].assign(forward=f, backward=b)
 
     return periods.mapInPandas(run, out)
 
@@ -97,9 +115,10 @@ def reconstruct_last_value(readings: DataFrame, min_hours: float = 0.25, limit:
 
 def reconstruct(
     readings: DataFrame, model: Forecaster, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER,
-    chunk: int = CHUNK, context: int = CONTEXT, label_all_reconciled: bool = False,
+    chunk: int = CHUNK, context: int | None = None, label_all_reconciled: bool = False,
 ) -> DataFrame:
-    """Imputed rows by any forecaster."""
+    """Imputed rows by any forecaster, with as much context as it looks at unless ``context`` says otherwise."""
+    context = context or model.context
     runs, periods = gap_contexts(readings, min_hours, limit)
     narrow = periods.select(*SERIES, "run", "first_rn", "last_rn", "n_points", "is_open_ended", "before", "after", "start_time")
     done = forecasts(contexts(runs, narrow, context), model, chunk, context).drop("context_before", "context_after")

@@ -132,7 +132,7 @@ def predict(readings: DataFrame, gaps: DataFrame, hidden: DataFrame, model: Fore
         *SERIES, F.concat_ws("-", "gap", "trial").alias("run"), "gap", "trial", F.col("start").alias("first_rn"), (F.col("start") + F.col("gap") - 1).alias("last_rn"),
         F.col("gap").alias("n_points"), F.lit(False).alias("is_open_ended"),
     )
-    done = forecasts(contexts(rows, periods), model).select(*SERIES, "gap", "trial", "forward", "backward")
+    done = forecasts(contexts(rows, periods, model.context), model, limit=model.context).select(*SERIES, "gap", "trial", "forward", "backward")
     x = hidden.join(done, [*SERIES, "gap", "trial"])
     n, i = F.col("gap"), F.col("i")
     pick = lambda at: F.when(F.col("backward").isNotNull(), blend(F.get("forward", at), F.get("backward", at), at, n)).otherwise(F.get("forward", at))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta, timezone
+from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..operators.forecast import Forecaster, LastValue
 from ..operators.reconstruct import reconstruct, reconstruct_last_value
 from ..operators.validate import validate
 from ..sources import sinks
-from ..sources.readings import distinct_times, read_wide_csv
+from ..sources.readings import distinct_times, fetch_payload, read_wide_csv, recent
 
 
 def impute(readings: DataFrame, model: Forecaster | None = None, min_hours: float = 0.25, label_all_reconciled: bool = False) -> DataFrame:
@@ -25,15 +28,30 @@ def run_job(
     readings: DataFrame, path: str, backend: str = "local_jsonl", model: Forecaster | None = None, min_hours: float = 0.25,
     metrics: sinks.Tracker | None = None, label_all_reconciled: bool = True,
 ) -> DataFrame:
-    """Writes imputed rows of all series at once and gives their number by series."""
+    """Writes imputed rows of all series at once and gives the number of this run's rows by series.
+
+    The rows are kept on disk until the counts are taken; a lost part is computed again.
+    """
     if backend not in ("local_jsonl", "parquet"):
         sinks.write(readings, backend, path)  # raises
     if metrics is not None:
+        metrics.log_params({"backend": backend, "model": (model or LastValue()).name, "min_hours": min_hours})
         metrics.log_metrics(validate(readings, model or LastValue()))
-    sinks.write(impute(readings, model, min_hours, label_all_reconciled), backend, path)
-    spark = readings.sparkSession
-    written = spark.read.schema("point_id string, sensor string").format("json" if backend == "local_jsonl" else "parquet").load(path)
-    return written.groupBy("point_id", "sensor").agg(F.count(F.lit(1)).alias("n"))
+    imputed = impute(readings, model, min_hours, label_all_reconciled).persist(StorageLevel.DISK_ONLY)
+    sinks.write(imputed, backend, path)
+    return imputed.groupBy("point_id", "sensor").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_api_job(
+    spark: SparkSession, execute: Callable[[dict[str, Any]], str], alias: str, attributes: Sequence[str], path: str, days_back: int = 30, now: datetime | None = None, **options,
+) -> DataFrame:
+    """:func:`run_job` on the newest readings that the remote API has; one row for each point, 0 where nothing was imputed."""
+    end = (now or datetime.now(timezone.utc)).astimezone(timezone.utc)
+    variables = {"alias": alias, "attributes": list(attributes), "start": (end - timedelta(days=days_back)).isoformat(), "end": end.isoformat()}
+    readings = fetch_payload(spark, execute, variables).select("point_id", "sensor", "ts", "value").withColumn("arrival", F.monotonically_increasing_id())
+    readings = recent(distinct_times(readings, "arrival"), F.lit(end), days_back)
+    done = run_job(readings, path, **options)
+    return readings.select("point_id", "sensor").distinct().join(done, ["point_id", "sensor"], "left").fillna(0, ["n"])
 
 
 def run_csv_job(spark: SparkSession, csv: str, columns: Sequence[str], point_id: str, path: str, **options) -> DataFrame:

@@ -6,6 +6,8 @@ for each event type, values in steps of 50, every seventeenth reading missing.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from ..operators.forecast import Drift, LastValue
 from ..operators.long_series import stuck_periods_long
 from ..sources import readings as src
 from ..sources import sinks
+from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +27,17 @@ SQL: dict[str, str] = {}
 SERIES = ["point_id", "sensor"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     value = F.when(F.col("event_id") % 17 != 0, (F.floor(F.col("value") / 50) * 50).cast("double"))
@@ -121,10 +135,9 @@ def nested_payload(rows: DataFrame) -> DataFrame:
     return equipment.select(F.array(F.struct(F.lit("p").alias("id"), F.lit("plant").alias("alias"), F.array("e").alias("equipment"))).alias("projects"))
 
 
-@query("payload_flatten", f"WITH {FEED} SELECT point_id, sensor, ts, value, 'meter' AS equipment_type FROM feed WHERE ts < TIMESTAMP '2024-01-03' OR event_id % 5 = 0")
+@query("payload_flatten", f"WITH {FEED} SELECT point_id, sensor, ts, value, 'meter' AS equipment_type FROM feed")
 def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feed(spark, sf_dir).filter((F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")) | (F.col("event_id") % 5 == 0))
-    return src.flatten_payload(nested_payload(rows)).select("point_id", "sensor", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "equipment_type")
+    return src.flatten_payload(nested_payload(feed(spark, sf_dir))).select("point_id", "sensor", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "equipment_type")
 
 
 @query(
@@ -171,10 +184,10 @@ def stuck_periods_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stuck_periods_display",
     f"""WITH {runs_sql()} SELECT sensor AS "Sensor/Metric", stuck_value AS "Stuck Value", strftime(start_time, '%Y-%m-%d %H:%M:%S') AS "Start Time",
-strftime(end_time, '%Y-%m-%d %H:%M:%S') AS "End Time" FROM periods""",
+strftime(end_time, '%Y-%m-%d %H:%M:%S') AS "End Time", round(duration_seconds / 3600, 2) AS "Duration (hours)" FROM periods""",
 )
 def stuck_periods_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.display_table(runs.stuck_periods(feed(spark, sf_dir))).drop("Duration (hours)")
+    return runs.display_table(runs.stuck_periods(feed(spark, sf_dir)))
 
 
 @query("open_ended_periods", f"WITH {runs_sql()} SELECT point_id, sensor, start_time, is_open_ended FROM open_")
@@ -208,7 +221,9 @@ def context_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BASE_GAPS = f"""{FEED}, numbered AS (SELECT *, row_number() OVER ({W})::BIGINT AS rn FROM feed),
 sizes AS (SELECT point_id, sensor, count(*)::BIGINT AS n FROM feed GROUP BY ALL),
-fixed AS (SELECT point_id, sensor, gap, trial, (11 + 37 * trial)::BIGINT AS start FROM sizes, (SELECT unnest([3, 7, 20]) AS gap), (SELECT unnest(range(4)) AS trial) WHERE 11 + 37 * trial + gap + 10 <= n),
+fixed AS (
+  SELECT point_id, sensor, gap, ((start - 11) // 37)::BIGINT AS trial, start
+  FROM (SELECT point_id, sensor, gap, n, unnest(range(11, n + 1, 37))::BIGINT AS start FROM sizes, (SELECT unnest([3, 7, 20]) AS gap)) WHERE start + gap + 10 <= n),
 hidden AS (
   SELECT f.*, n.ts, n.value, n.rn - f.start AS i, b.value AS before, a.value AS after
   FROM fixed f JOIN numbered n ON n.point_id = f.point_id AND n.sensor = f.sensor AND n.rn >= f.start AND n.rn < f.start + f.gap
@@ -225,10 +240,11 @@ scored AS (
 
 
 def fixed_gaps(f: DataFrame) -> DataFrame:
-    """Gaps at fixed places, kept where they and their neighbours have no nulls."""
+    """Gaps at every 37th row of each whole series, kept where they and their neighbours have no nulls."""
     sizes = f.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
-    at = sizes.select("*", F.explode(F.array(*map(F.lit, (3, 7, 20)))).alias("gap")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("trial"))
-    at = at.withColumn("start", (11 + 37 * F.col("trial")).cast("long")).filter(F.col("start") + F.col("gap") + 10 <= F.col("n")).drop("n")
+    at = sizes.select("*", F.explode(F.array(*map(F.lit, (3, 7, 20)))).alias("gap"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 37))).alias("trial"))
+    at = at.withColumn("start", 11 + 37 * F.col("trial")).filter(F.col("start") + F.col("gap") + 10 <= F.col("n")).drop("n")
     return at.join(validate.null_free(validate.numbered(f), (3, 7, 20)), [*SERIES, "gap", "start"], "left_semi")
 
 
@@ -247,9 +263,20 @@ def baseline_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hidden(spark, sf_dir).select(*SERIES, "gap", "trial", "ts", "linear_interp"), "linear_interp")
 
 
-@query("null_free_windows", f"WITH {BASE_GAPS} SELECT DISTINCT point_id, sensor, gap, start FROM clean")
+def _window_sql(gap: int) -> str:
+    around = f"({W} ROWS BETWEEN 1 PRECEDING AND {gap} FOLLOWING)"
+    return f"""SELECT point_id, sensor, {gap} AS gap, rn AS start FROM (
+  SELECT *, count(value) OVER {around} AS known, count(*) OVER {around} AS rows_, count(*) OVER (PARTITION BY point_id, sensor) AS n FROM numbered)
+WHERE rn > 1 AND rn + {gap} - 1 <= n AND known = rows_"""
+
+
+@query(
+    "null_free_windows",
+    f"WITH {FEED}, numbered AS (SELECT *, row_number() OVER ({W})::BIGINT AS rn FROM feed) {' UNION ALL '.join(map(_window_sql, (3, 7, 20)))}",
+)
 def null_free_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed_gaps(feed(spark, sf_dir)).select(*SERIES, "gap", "start")
+    rows = validate.null_free(validate.numbered(feed(spark, sf_dir)), (3, 7, 20))
+    return rows.select(*SERIES, "gap", F.col("start").cast("long").alias("start"))
 
 
 _SCORES = [f"{c}_{m}" for c in ("model", "forward_fill", "linear_interp") for m in ("mae", "rmse", "mape")]
@@ -264,11 +291,13 @@ def trial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "validation_summary",
     f"""WITH {BASE_GAPS} SELECT point_id, sensor, gap, round(avg(model_mae), 6) AS model_mae, round(avg(forward_fill_mae), 6) AS forward_fill_mae,
-  round(avg(linear_interp_mae), 6) AS linear_interp_mae, count(*)::DOUBLE AS num_trials FROM scored GROUP BY ALL""",
+  round(avg(linear_interp_mae), 6) AS linear_interp_mae, round(avg((model_mae < forward_fill_mae)::INTEGER), 6) AS beats_forward_fill,
+  round(avg((model_mae < linear_interp_mae)::INTEGER), 6) AS beats_linear_interp, count(*)::DOUBLE AS num_trials FROM scored GROUP BY ALL""",
 )
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = validate.summary(validate.scores(validate.predict_last_value(hidden(spark, sf_dir))))
-    return rounded(s.select(*SERIES, "gap", "model_mae", "forward_fill_mae", "linear_interp_mae", "num_trials"), "model_mae", "forward_fill_mae", "linear_interp_mae")
+    measures = ("model_mae", "forward_fill_mae", "linear_interp_mae", "beats_forward_fill", "beats_linear_interp")
+    return rounded(s.select(*SERIES, "gap", *measures, "num_trials"), *measures)
 
 
 @query("validation_random")
@@ -330,10 +359,38 @@ def reconstruct_pandas_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reconstruct.reconstruct(feed(spark, sf_dir), LastValue()), "imputed_value")
 
 
-@query("reconstruct_drift")
+#: The line through the first and the last of up to 512 values before a period, and of those after it read backwards.
+DRIFT = f"""{runs_sql()}, known AS (SELECT point_id, sensor, rn, value FROM runs WHERE value IS NOT NULL),
+p AS (SELECT * FROM open_ WHERE first_rn > 1),
+b AS (
+  SELECT p.point_id, p.sensor, run, first_rn - 1 - max(k.rn) AS gap_, arg_max(k.value, k.rn) AS near,
+    CASE WHEN count(*) > 1 THEN (arg_max(k.value, k.rn) - arg_min(k.value, k.rn)) / (max(k.rn) - min(k.rn)) ELSE 0 END AS slope
+  FROM p JOIN known k ON k.point_id = p.point_id AND k.sensor = p.sensor AND k.rn BETWEEN first_rn - 512 AND first_rn - 1 GROUP BY p.point_id, p.sensor, run, first_rn),
+a AS (
+  SELECT p.point_id, p.sensor, run, min(k.rn) - 1 - last_rn AS gap_, arg_min(k.value, k.rn) AS near,
+    CASE WHEN count(*) > 1 THEN (arg_min(k.value, k.rn) - arg_max(k.value, k.rn)) / (max(k.rn) - min(k.rn)) ELSE 0 END AS slope
+  FROM p JOIN known k ON k.point_id = p.point_id AND k.sensor = p.sensor AND k.rn BETWEEN last_rn + 1 AND last_rn + 512 GROUP BY p.point_id, p.sensor, run, last_rn),
+line AS (
+  SELECT r.point_id, r.sensor, r.ts, r.value, r.rn - first_rn AS i, n_points AS n, before, after, is_open_ended, start_time, b.near + b.slope * (b.gap_ + r.rn - first_rn + 1) AS f,
+    a.near + a.slope * (a.gap_ + last_rn - r.rn + 1) AS k, b.near + b.slope * (b.gap_ + 1) AS f0, b.near + b.slope * (b.gap_ + n_points) AS f1,
+    a.near + a.slope * (a.gap_ + n_points) AS k0, a.near + a.slope * (a.gap_ + 1) AS k1
+  FROM runs r JOIN p USING (point_id, sensor, run) LEFT JOIN b USING (point_id, sensor, run) LEFT JOIN a USING (point_id, sensor, run)),
+blended AS (
+  SELECT *, CASE WHEN is_open_ended THEN f ELSE f * (1 - i::DOUBLE / (n - 1)) + k * (i::DOUBLE / (n - 1)) END AS y,
+    f0 AS first_, CASE WHEN is_open_ended THEN f1 ELSE k1 END AS last_, least(3, n)::DOUBLE AS w FROM line),
+started AS (SELECT *, y + (before - first_) * greatest(0, 1 - i / w) AS s, last_ + (before - first_) * greatest(0, 1 - (n - 1) / w) AS e FROM blended)"""
+
+
+@query(
+    "reconstruct_drift",
+    f"""WITH {DRIFT} SELECT point_id, sensor, ts AS "timestamp", value AS raw_value,
+  round(CASE WHEN is_open_ended THEN s ELSE s + (after - e) * greatest(0, 1 - (n - 1 - i) / w) END, 6) AS imputed_value,
+  CASE WHEN is_open_ended THEN 'drift-forward-only' ELSE 'drift-bidirectional' END AS imputation_method,
+  CASE WHEN is_open_ended THEN 'PROVISIONAL' ELSE 'RECONCILED' END AS imputation_confidence, '1' AS imputation_model_version, start_time AS period_start FROM started""",
+)
 def reconstruct_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forecaster over up to 512 values of context, in chunks of 64 steps."""
-    return reconstruct.reconstruct(feed(spark, sf_dir), Drift())
+    """A forecaster over up to 512 values of context, in chunks of 64 steps (its SQL holds for periods of one chunk)."""
+    return rounded(reconstruct.reconstruct(feed(spark, sf_dir), Drift()), "imputed_value")
 
 
 @query(
@@ -374,6 +431,40 @@ def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.distinct_times(rows, "event_id")
 
 
+def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of each window of a live run over the whole feed, message by message in order of time."""
+    where = f"{shared_folder(spark)}/live-{uuid.uuid4().hex[:12]}"
+    messages = feed(spark, sf_dir).select(*SERIES, F.col("ts").cast("timestamp").alias("ts"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"))
+    messages.write.parquet(f"{where}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(messages.schema).parquet(f"{where}/in")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+
+    q = live.live_updates(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), 1_000_000)
+
+
+@query(
+    "live_final_state",
+    f"""WITH {IMPUTED}, p AS (SELECT point_id, sensor, start_time AS period_start, valid_before FROM open_)
+SELECT point_id, sensor, "timestamp", round(imputed_value, 6) AS imputed_value, imputation_method AS method, imputation_confidence AS confidence
+FROM imputed JOIN p USING (point_id, sensor, period_start) WHERE valid_before >= 5""",
+)
+def live_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its SQL holds while no series is longer than the live buffer of 2000 readings."""
+    rows = live_state(spark, sf_dir).select(*SERIES, "method", "confidence", F.explode(F.arrays_zip("times", "values")).alias("x"))
+    return rows.select(*SERIES, F.col("x.times").cast("timestamp_ntz").alias("timestamp"), F.round("x.values", 6).alias("imputed_value"), "method", "confidence")
+
+
+@query("first_messages", f"WITH {FEED} SELECT point_id, sensor, ts, value, event_id FROM feed ORDER BY ts, event_id LIMIT 500")
+def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a bounded number of messages."""
+    return src.first_messages(feed(spark, sf_dir), 500, "ts", "event_id")
+
+
 @query("series_keys", f"WITH {FEED} SELECT DISTINCT point_id, sensor FROM feed")
 def series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buffers.series_keys(feed(spark, sf_dir))
@@ -410,6 +501,18 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.message_json(feed(spark, sf_dir))
 
 
+@query(
+    "feed_messages",
+    f"""WITH {FEED} SELECT point_id, sensor, event_id AS seq, '{{"type":"point","point_id":"' || point_id || '","sensor":"' || sensor || '","timestamp":"' || {_ISO} || '","value":' ||
+  coalesce(value::BIGINT::VARCHAR || '.0', 'null') || '}}' AS message FROM feed""",
+)
+def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading as a message of the live feed."""
+    rows = feed(spark, sf_dir).select(F.lit("point").alias("type"), *SERIES, F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    given = set(rows.columns)
+    return live.update_messages(rows.select(*(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in live.UPDATE.fields)))
+
+
 @query("iso_times", f"SELECT event_id, {_ISO} AS iso FROM events")
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", iso(F.col("ts")).alias("iso"))

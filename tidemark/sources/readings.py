@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -78,6 +81,32 @@ def fetch_payload(
     return flatten_payload(frame)
 
 
+#: The request for the nested answer of the remote API.
+REQUEST = """query Readings($alias: String!, $attributes: [String!], $start: String, $end: String) {
+  projects(alias: $alias) { id alias equipment { id type points(attributes: $attributes) { id type attribute series(start: $start, end: $end) { timestamp value } } } }
+}"""
+
+
+def http_client(url: str, token: str | None = None, request: str = REQUEST, timeout: float = 60.0) -> Callable[[dict[str, Any]], str]:
+    """``execute`` for :func:`fetch_payload`: posts the request and gives the answer's data as JSON; connection errors are tried again there."""
+
+    def execute(variables: dict[str, Any]) -> str:
+        body = json.dumps({"query": request, "variables": variables}).encode()
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {api_token(token)}"}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as answer:
+                got = json.loads(answer.read())
+        except urllib.error.HTTPError:
+            raise
+        except (urllib.error.URLError, TimeoutError) as e:
+            raise ConnectionError(str(e)) from e
+        if got.get("errors"):
+            raise RuntimeError(f"the API rejected the request: {got['errors']}")
+        return json.dumps(got.get("data") or {})
+
+    return execute
+
+
 def api_token(token: str | None = None, variable: str = "READINGS_API_TOKEN") -> str:
     """The token given, or that of the environment; it never becomes part of a plan."""
     found = token or os.environ.get(variable)
@@ -105,21 +134,45 @@ def distinct_times(readings: DataFrame, arrival: str) -> DataFrame:
 
 
 def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON messages of the feed as readings; ``malformed`` ones have no point or time."""
+    """JSON messages of the feed as readings, with partition and offset where they have any; malformed ones have no point or time."""
     m = raw.withColumn("m", F.from_json(F.col(column).cast("string"), READING))
-    return m.select(F.col("m.point_id").alias("point_id"), F.col("m.sensor").alias("sensor"), F.try_to_timestamp("m.timestamp").alias("ts"), clean(F.col("m.value")).alias("value"))
+    order = [F.col(c) for c in ("partition", "offset") if c in raw.columns]
+    return m.select(F.col("m.point_id").alias("point_id"), F.col("m.sensor").alias("sensor"), F.try_to_timestamp("m.timestamp").alias("ts"), clean(F.col("m.value")).alias("value"), *order)
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = "sensor-readings", starting: str = "latest", max_per_trigger: int | None = None) -> DataFrame:
-    """The feed from Kafka as a stream; needs Spark's Kafka connector on the class path."""
+    """The feed from Kafka as a stream; needs Spark's Kafka connector on the class path.
+
+    ``seq`` is the offset: messages of a point share its key and so a partition, whose order is that of arrival.
+    """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
     if max_per_trigger is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
-    raw = reader.load()
-    return parse_messages(raw).filter("point_id IS NOT NULL AND ts IS NOT NULL")
+    return well_formed(parse_messages(reader.load()).withColumnRenamed("offset", "seq").drop("partition"))
+
+
+def well_formed(messages: DataFrame) -> DataFrame:
+    return messages.filter("point_id IS NOT NULL AND ts IS NOT NULL")
+
+
+def kafka_range(spark: SparkSession, servers: str, topic: str = "sensor-readings", most: int | None = None) -> DataFrame:
+    """What the topic holds now, as a table; with ``most`` the messages that arrived first."""
+    raw = spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    messages = well_formed(parse_messages(first_messages(raw, most, "timestamp", "partition", "offset") if most is not None else raw))
+    return messages.withColumnRenamed("offset", "seq").drop("partition")
+
+
+def first_messages(messages: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` messages by ``order``; each task keeps no more than that."""
+    return messages.orderBy(*order).limit(most)
 
 
 def file_messages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The feed from a folder of JSON files as a stream; with numbered files a replay is paced by trigger."""
-    raw = spark.readStream.schema(READING).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return raw.select("point_id", "sensor", F.try_to_timestamp("timestamp").alias("ts"), clean(F.col("value")).alias("value"))
+    """The feed from a folder of JSON files as a stream; with numbered files a replay is paced by trigger.
+
+    Messages may carry ``seq``; a folder has no offsets, so without it a message counts by its time.
+    """
+    schema = T.StructType([*READING.fields, T.StructField("seq", T.LongType())])
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    ts = F.try_to_timestamp("timestamp")
+    return well_formed(raw.select("point_id", "sensor", ts.alias("ts"), clean(F.col("value")).alias("value"), F.coalesce("seq", F.unix_micros(ts)).alias("seq")))

@@ -7,6 +7,10 @@ it is among the newest. Each message is handled in order of arrival, as if it ca
 A period is reconstructed once ``min_context`` readings precede it. While no reading
 follows, it is refreshed with each message and provisional; once one follows it is
 reconstructed for the last time. Starts older than the buffer are forgotten.
+
+A period that the forecaster rejects with a ``ValueError`` is skipped and tried again with the
+next message. Any other exception costs the output of its message only, which becomes a row
+of type ``error``; the reading itself is kept.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import iso
-from ..functions.ship import ship
+from ..functions.ship import by_value, ship
+from ..operators.buffers import last_arrival, newest
 from ..operators.forecast import Forecaster, LastValue, backward, forward
 
 UPDATE = T.StructType(
@@ -55,7 +60,10 @@ def rebuild(model: Forecaster, value: np.ndarray, first: int, last: int, open_en
     before, after = value[first - 1], None
     if not open_ended:
         w = 1 - i / (n - 1) if n > 1 else np.ones(1)
-        y, after = y * w + backward(model, value[last + 1 :], n) * (1 - w), value[last + 1]
+        back = backward(model, value[last + 1 :], n)
+        if len(back) != len(y):
+            raise ValueError(f"forecasts of {len(y)} and {len(back)} values can't be blended")
+        y, after = y * w + back * (1 - w), value[last + 1]
     k = min(points, n)
     if k > 0:
         y = y + (before - y[0]) * np.clip(1 - i / k, 0, None)
@@ -85,7 +93,12 @@ class Repair(StatefulProcessor):
             held[at] = np.nan if value is None or pd.isna(value) else float(value)
             for extra in sorted(held)[: max(0, len(held) - self.max_points)]:
                 del held[extra]
-            self._step(key, int(seq), at, held, done, out)
+            so_far = len(out)
+            try:
+                self._step(key, int(seq), at, held, done, out)
+            except Exception as e:  # noqa: BLE001 - one message must not end the feed
+                del out[so_far:]
+                out.append(("error", key[0], key[1], int(seq), pd.Timestamp(at, unit="us"), None, None, None, f"{type(e).__name__}: {e}", None, None, None))
         for k in old_held.keys() - held.keys():
             self.buffer.removeKey((k,))
         for k, v in held.items():
@@ -112,7 +125,10 @@ class Repair(StatefulProcessor):
             open_ended = not known[last + 1 :].any()
             if start in done or known[:first].sum() < self.min_context or open_ended and not self.open_ended or first == 0:
                 continue
-            y = rebuild(self.model, value, first, last, open_ended)
+            try:
+                y = rebuild(self.model, value, first, last, open_ended)
+            except ValueError:
+                continue
             method = f"{self.model.name}-{'forward-only' if open_ended else 'bidirectional'}"
             label = "PROVISIONAL" if open_ended else "RECONCILED"
             times = [stamp(t) for t in ts[first : last + 1]]
@@ -127,13 +143,15 @@ class Repair(StatefulProcessor):
 def live_updates(messages: DataFrame, model: Forecaster | None = None, **parameters: Any) -> DataFrame:
     """Updates of a stream of ``point_id, sensor, ts, value, seq`` (``seq``: order of arrival, e.g. the offset)."""
     ship(messages.sparkSession)
-    return messages.groupBy("point_id", "sensor").transformWithStateInPandas(
-        statefulProcessor=Repair(model or LastValue(), **parameters), outputStructType=UPDATE, outputMode="Update", timeMode="None"
-    )
+    with by_value():
+        return messages.groupBy("point_id", "sensor").transformWithStateInPandas(
+            statefulProcessor=Repair(model or LastValue(), **parameters), outputStructType=UPDATE, outputMode="Update", timeMode="None"
+        )
 
 
 def update_messages(updates: DataFrame) -> DataFrame:
-    """Updates as JSON messages of the feed, one for each row."""
+    """Updates as JSON messages of the feed, one for each row; errors are no messages."""
+    updates = updates.filter("type <> 'error'")
     values = F.transform(F.arrays_zip("times", "values"), lambda x: F.struct(iso(x["times"]).alias("timestamp"), x["values"].alias("value")))
     point = F.struct("type", "point_id", "sensor", iso(F.col("ts")).alias("timestamp"), "value")
     rebuilt = F.struct("type", "point_id", "sensor", iso(F.col("start_time")).alias("start_time"), iso(F.col("end_time")).alias("end_time"), "method", "confidence", values.alias("values"))
@@ -148,3 +166,23 @@ def newest_windows(updates: DataFrame, limit: int = 200) -> DataFrame:
     r = updates.filter("type = 'reconstruction'")
     r = r.withColumn("v", F.row_number().over(Window.partitionBy("point_id", "sensor", "start_time").orderBy(F.col("seq").desc()))).filter("v = 1").drop("v")
     return r.withColumn("p", F.row_number().over(Window.partitionBy("point_id", "sensor").orderBy(F.col("start_time").desc()))).filter(F.col("p") <= limit).drop("p")
+
+
+def snapshot(updates: DataFrame, point_id: str, sensor: str, points: int = 2000, windows: int = 200) -> tuple[DataFrame, DataFrame]:
+    """What a reader of one series starts with: its newest readings and its newest windows, in order; an unknown series gives none.
+
+    ``updates`` are those written so far; the reader goes on with the feed after the largest ``seq``.
+    """
+    own = updates.filter((F.col("point_id") == point_id) & (F.col("sensor") == sensor))
+    readings = last_arrival(own.filter("type = 'point'").select("point_id", "sensor", "ts", "value", "seq"), "seq")
+    return newest(readings, points).orderBy("ts"), newest_windows(own, windows).orderBy("start_time")
+
+
+def write_updates(updates: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Starts a query that writes updates as JSON messages, a folder for each batch, so that a batch done again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    writer = update_messages(updates).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
