@@ -14,7 +14,8 @@ learned from; language, source and id are no inputs of a prediction.
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where
 there was nothing to learn from; a null id counts as an empty text in the crc32 (held
 out); repeated rows get repeated results; ties go to the first language in code point
-order; extra columns are ignored; an empty table gives an empty table.
+order; more than ``MOST_LANGS`` languages are an error, none is left out; a very long text is
+read whole; ids may be of any type; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SAMPLE_PER_LANG = 600
 SAMPLE_ROWS = 12_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-3
-_TABLE = 0x30000
+_TABLE = 0x110000
+#: Languages that a model of DIMENSIONS columns is made for: 260 MB of weights while it is fitted.
+MOST_LANGS = 500
 
 
 @cache
@@ -132,7 +135,9 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str =
     """``doc_id, held_out, lang_pred, score`` of every row."""
     rows = docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), fold(F.col(id_)).alias("fold"))
     train = rows.filter((F.col("fold") != 0) & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(SAMPLE_ROWS).collect()}
+    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
     langs = sorted(counts)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +159,10 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str =
 
     # The sample: a threshold on a hash for each language, so rows are chosen where they are.
     per_lang = min(SAMPLE_PER_LANG, max(1, SAMPLE_ROWS // max(1, len(langs))))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000))
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 63) - 1))
     sample_rows: list[tuple] = []
     if langs:
-        share = F.create_map(*(F.lit(v) for k in langs for v in (k, max(1, int(1e6 * min(1.0, per_lang / counts[k]))))))
+        share = F.create_map(*(F.lit(v) for k in langs for v in (k, min((1 << 63) - 1, (per_lang << 63) // counts[k]))))
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
