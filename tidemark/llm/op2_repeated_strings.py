@@ -23,9 +23,13 @@ at a time, so common prefixes appear by increasing length, and the expansion sto
 An anchor that more than ``HOT_PIECES`` pieces hold is dealt out over several buckets;
 the smallest ids of its windows are then merged by a partial aggregation on window hashes.
 
-Contents are told apart by 64-bit hashes, whole texts by 128 bits. Defined results: a null
+Whole texts are told apart by 128 bits. Fragments are told apart by 64-bit hashes of their
+contents, but only within a bucket, where some 6 million of ``PER_BUCKET`` pieces meet: that
+two different ones there are taken for one has a chance of one in a million for each
+bucket. Hashes of anchors only decide what travels and meets. Defined results: a null
 text is empty and loses nothing; documents shorter than ``LENGTH`` bytes lose nothing; a
-null id counts as the largest; rows that share an id don't match each other; all columns
+null id counts as the largest; ids are whole numbers (others raise an error unless they can
+be cast); a very long text is a piece of its own; rows that share an id don't match each other; all columns
 of the input are kept, whatever their names, beside the four result columns, which come
 last; an empty table gives an empty table.
 """
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 from ..functions.ship import ship
 from . import pieces as pc
 from . import tokens as tk
-from .shared import map_arrow, read_table, stored
+from .shared import finished, map_arrow, read_table, stored
 
 LENGTH = 50
 ANCHOR = 24
@@ -433,7 +437,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
     """The columns of ``docs`` without the text, and ``n_bytes, n_removed, n_spans, kept``: the bytes that are left of it.
 
     With ``as_text`` they are a string, without characters that were cut in two, null
-    where the text was.
+    where the text was. What is written for it stays until the ``workspace`` around it ends.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -479,7 +483,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = lambda: remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return finished(spark, "repeats", cut)
 
 
 SQL = f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -17,11 +17,13 @@ from ..functions.ship import ship
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is
-    created and kept in the session's settings.
+    Where the setting is absent a temporary folder is created and kept in the session's
+    settings if all runs on one machine (tests); on a cluster that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -75,6 +77,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written as Parquet and read back; all other tables that were written for it are deleted."""
+    path = new_path(spark, name)
+    with workspace(spark):
+        out = make()
+        out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
