@@ -9,8 +9,8 @@ A document's set are its distinct word shingles. Steps:
    ``n - ceil(t n) + 1`` shingles, whatever the order is, so nothing is lost.
 3. Classes that share such a shingle, and whose sizes allow a link, are compared by bitmaps
    of their sets: shingles that fall on bits the other lacks are not shared, which bounds the
-   overlap from above. Only pairs that may still be linked join loose clusters (a spanning
-   forest for each shingle, then connected components), so clusters hold near copies and
+   overlap from above. Only pairs that may still be linked join loose clusters (stars for
+   each shingle, then connected components), so clusters hold near copies and
    don't grow together over common phrases.
 4. Within a cluster the sets, most frequent shingle first, are stored in a prefix tree.
    One descent carries the overlaps of all probing sets along the shared paths and leaves a
@@ -18,7 +18,7 @@ A document's set are its distinct word shingles. Steps:
    more than ``BLOCK_SETS`` sets is cut into blocks by the smallest shared shingle, so near
    copies stay together, and only blocks that share a shingle of step 2 are joined; along a
    chain of near copies these are neighbours, so the work grows with the chain.
-5. Each task gives a spanning forest of its links and the number of links of each class;
+5. Each task joins what it links by stars, and gives the number of links of each class;
    components of those edges are the groups. Pairs within a group are never written out.
 
 Defined results: null or empty text, or one without a word, has size 0 and no links; rows
@@ -42,7 +42,7 @@ from ..functions.ship import ship
 from . import pieces as pc
 from . import tokens as tk
 from .graph import components
-from .shared import map_arrow, new_path, read_table, stored, workspace
+from .shared import finished, map_arrow, read_table, stored
 
 K = 3
 PERCENT = 90
@@ -193,8 +193,17 @@ def keyed(classes: DataFrame, percent: int, *columns: str) -> DataFrame:
     return classes.select(*columns, F.explode("prefix").alias("token"), F.array(step, step + 1).alias("steps")).select(*columns, "token", F.explode("steps").alias("step"))
 
 
+def stars(rep: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each class to the smallest one with its label: components of stars are found in few rounds."""
+    _, group = np.unique(label, return_inverse=True)
+    low = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, rep)
+    other = low[group] != rep
+    return rep[other], low[group][other]
+
+
 def compare(table: pa.Table, percent: int) -> pa.Table:
-    """Edges of spanning forests of the pairs of each ``token, step`` that may be linked."""
+    """Edges that join the classes of each ``token, step`` that may be linked, directly or through others."""
     col = lambda name: table.column(name).to_numpy()
     token, step, rep, n = col("token"), col("step"), col("rep"), col("n")
     maps = table.column("bits").to_pylist()
@@ -217,9 +226,11 @@ def compare(table: pa.Table, percent: int) -> pa.Table:
             found = np.flatnonzero(may_link(differ, sizes[i + 1 :] + sizes[i], percent)) + i + 1
             for other in np.unique(label[found]):
                 if other != label[i]:
-                    edges_a.append(rep[at[i]])
-                    edges_b.append(rep[at[found[label[found] == other][0]]])
                     label[label == other] = label[i]
+        a, b = stars(rep[at], label)
+        edges_a.append(a)
+        edges_b.append(b)
+    edges_a, edges_b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (edges_a, edges_b))
     return pa.table({"a": pa.array(edges_a, pa.int64()), "b": pa.array(edges_b, pa.int64())})
 
 
@@ -232,22 +243,22 @@ def loose_clusters(classes: DataFrame, percent: int) -> DataFrame:
     counts = entries.groupBy("token", "step").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("low"), *members).filter("df > 1")
     counts = counts.groupBy("df", "low", "x", "y").agg(F.min(F.struct("token", "step")).alias("key"))
     met = stored(entries.join(counts.select("key.token", "key.step", "df", "low"), ["token", "step"]), "met")
-    stars = met.filter(F.col("df") > MOST_COMPARED).select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    hot = met.filter(F.col("df") > MOST_COMPARED).select(F.col("rep").alias("a"), F.col("low").alias("b"))
     few = met.filter(F.col("df") <= MOST_COMPARED)
     buckets = max(1, -(-few.count() // COMPARED_TOGETHER))
     near = few.join(classes.select("rep", "s1", "bits"), ["rep", "s1"])
     near = near.select(F.pmod(F.xxhash64("token", "step"), F.lit(buckets)).cast("int").alias("bucket"), "token", "step", "rep", "n", "bits")
     pairs = near.groupBy("bucket").applyInArrow(lambda t: compare(t, percent), "a bigint, b bigint")
-    return components(stars.unionByName(pairs))
+    return components(hot.unionByName(pairs))
 
 
-def trie_join(sets_: list[np.ndarray], n_targets: int, same: bool, percent: int, copies: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def trie_join(sets_: list[np.ndarray], n_targets: int, same: bool, percent: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a prefix tree of the first ``n_targets`` sets with the other sets (``same``: with each other).
 
-    Gives a spanning forest of the links and, for each set, the copies it is linked to.
+    Gives a label for each set, equal where links connect them, and the copies each is linked to.
     """
     m = len(sets_)
-    links, label, forest = np.zeros(m, np.int64), np.arange(m), []
+    links, label = np.zeros(m, np.int64), np.arange(m)
     size = np.array([len(s) for s in sets_])
     _, inverse, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
     # Most frequent first; shingles of one set only can't overlap and count by the size alone.
@@ -307,12 +318,11 @@ def trie_join(sets_: list[np.ndarray], n_targets: int, same: bool, percent: int,
                     links[linked] += copies[t]
                     for other in np.unique(label[linked]):
                         if other != label[t]:
-                            forest.append((t, int(linked[np.flatnonzero(label[linked] == other)[0]])))
                             label[label == other] = label[t]
                 at += 1
             cuts = [at, *(np.flatnonzero(common[at + 1 : hi] == end) + at + 1).tolist(), hi] if at < hi else []
             stack.extend((a, b, end, live, overlap) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return forest, links
+    return label, links
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
@@ -340,7 +350,7 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b`` (edges of spanning forests) and ``a, links`` (links of a class, by task)."""
+    """``a, b`` (edges that join linked classes) and ``a, links`` (links of a class, by task)."""
     spark = docs.sparkSession
     members = stored(blocks_of(classes.select("rep", "n", "s1", "copies", "prefix").join(clusters, F.col("rep") == F.col("id")).drop("id")), "members")
     tasks = block_pairs(members, percent)
@@ -373,12 +383,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
         whole = [flat[off[i] : off[i + 1]] for i in order]
         n_targets = len(order) if same else int((col("block")[order] == col("p")[0]).sum())
         rep, copies = col("rep")[order], col("copies")[order]
-        forest, links = trie_join(whole, n_targets, bool(same), percent, copies) if 0 < n_targets and (same or n_targets < len(order)) else ([], np.zeros(len(order), np.int64))
+        some = 0 < n_targets and (same or n_targets < len(order))
+        label, links = trie_join(whole, n_targets, bool(same), percent, copies) if some else (np.arange(len(order)), np.zeros(len(order), np.int64))
         has = np.flatnonzero(links)
-        a = np.concatenate([rep[[x for x, _ in forest]] if forest else np.zeros(0, np.int64), rep[has]])
-        b = pa.array([int(rep[y]) for _, y in forest] + [None] * len(has), pa.int64())
-        n = pa.array([None] * len(forest) + links[has].tolist(), pa.int64())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "links": n})
+        a, b = stars(rep, label)
+        n = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(links[has])])
+        return pa.table({"a": pa.array(np.concatenate([a, rep[has]])), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(has), pa.int64())]), "links": n})
 
     ship(spark)
     return stored(dealt.groupBy("component", "p", "q").applyInArrow(join, "a bigint, b bigint, links bigint"), "links")
@@ -389,12 +399,8 @@ def ngram_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", k: in
 
     The result is written; all other tables are deleted before the function returns.
     """
-    spark = docs.sparkSession
-    path = new_path(spark, "groups")
-    with workspace(spark):
-        out = _groups(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), k, percent)
-        out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return finished(docs.sparkSession, "groups", lambda: _groups(rows, k, percent))
 
 
 def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
