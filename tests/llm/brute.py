@@ -61,6 +61,26 @@ def groups(rows, percent=90, k=3):
     return {i: (len(s), find(i), links[i]) for i, s in sets.items()}
 
 
+def connected(n, pairs):
+    """The groups of two or more of ``n`` things that pairs connect."""
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out, seen = [], set()
+    for i in range(n):
+        if i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                new = near[todo.pop()] - group
+                group |= new
+                todo += new
+            seen |= group
+            if len(group) > 1:
+                out.append(group)
+    return out
+
+
 def quality(text, window=8):
     w = words(text)
     n = len(w)

@@ -178,9 +178,10 @@ def test_trie_join_finds_every_link():
                 links[i] += copies[j]
                 links[j] += copies[i]
                 pairs.append((j, i))
-    forest, got = op6.trie_join(sets, len(sets), True, 90, copies)
+    label, got = op6.trie_join(sets, len(sets), True, 90, copies)
     assert pairs and np.array_equal(got, links)
-    assert {tuple(sorted(f)) for f in forest} <= set(pairs)
+    assert all(label[a] == label[b] for a, b in pairs)
+    assert len(set(label.tolist())) == len(sets) - sum(len(x) - 1 for x in brute.connected(len(sets), pairs))
     half = len(sets) // 2
     _, cross = op6.trie_join(sets, half, False, 90, copies)
     expect = np.zeros(len(sets), np.int64)
@@ -237,6 +238,11 @@ def test_mix_sources(spark):
         assert {r.source_size for r in by[s]} == {size[s]}
         assert all(abs(r.target - target[s]) < 1e-6 for r in by[s])
         assert abs(sum(r.taken for r in by[s]) - target[s]) < 1.001
+    sources = docs.select("source").distinct().selectExpr("source", "length(coalesce(source, 'xy')) * 100L AS source_size", "1L AS n_docs", "1.0D AS mean_weight")
+    assert Counter(map(tuple, op8.targets(sources, rows_per_part=2).collect())) == Counter(map(tuple, op8.targets(sources).collect()))
+    nameless = frame(spark, [(None, prose(rng, 20), "a") for _ in range(200)], "doc_id long, text string, source string")
+    taken = op8.mix_sources(nameless.unionByName(docs.select("doc_id", "text", "source")), rows_per_range=20)
+    assert taken.filter("doc_id IS NULL AND taken > 0").count() > 20
     again = op8.mix_sources(docs.repartition(5), rows_per_range=7).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert op8.mix_sources(docs.limit(0)).count() == 0
@@ -397,6 +403,13 @@ def test_language(spark, sf):
     assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
     assert {(r.lang_pred, r.score) for r in got if r.doc_id in (10**7, 10**7 + 1)} == {("und", 0.0)}
     assert all(0 <= r.score <= 1 for r in got) and len(got) == docs.count() + 3
+    twice = op4.identify(docs.limit(200).unionByName(docs.limit(200)).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()
+    assert all(n == 2 for n in Counter((r.doc_id, r.lang_pred, r.score) for r in twice).values())
+    hard = [(i, "de" if i % 2 else "en", "der die das und" if i % 2 else "the of and to") for i in range(60)] + [(60, None, "the of and to " * 50_000), (61, None, "\U00030010\U00030011"), (62, None, "日本")]
+    hard = {r.doc_id: r for r in op4.identify(frame(spark, hard, "doc_id long, lang string, text string")).collect()}
+    assert hard[60].lang_pred == "en" and {hard[61].lang_pred, hard[62].lang_pred} <= {"de", "en"}  # letters that were never seen still get a learned language
+    with pytest.raises(ValueError, match="more than"):
+        op4.identify(frame(spark, [(i, "x", f"l{i}") for i in range(800)], "doc_id long, text string, lang string"))
     untaught = op4.identify(frame(spark, [(1, "abc", None)], "doc_id long, text string, lang string")).collect()
     assert [(r.lang_pred, r.score) for r in untaught] == [("und", 0.0)]
     assert op4.identify(docs.limit(0)).count() == 0

@@ -98,3 +98,15 @@ def test_stages_take_odd_tables(spark, tmp_path):
     assert left["decontaminate"].count() == 5 and left["mix_sources"].count() == 5
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_run_with_long_texts_and_no_benchmark(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, prose(rng, 40_000 if i == 0 else 60), "en", "a", 1) for i in range(6)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.doc_id: r.size for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(6)) and got[0] > 39_000
+    assert {t.name for t in spark.catalog.listTables()} == before
