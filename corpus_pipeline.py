@@ -14,7 +14,7 @@ from tidemark.llm.op3_decontaminate import contaminated
 from tidemark.llm.op6_ngram_join import ngram_groups
 from tidemark.llm.op8_mix_sources import mix_sources
 from tidemark.llm.op9_quality_rules import quality_rules
-from tidemark.llm.shared import read_table, stored, without_ids
+from tidemark.llm.shared import finished, read_table, stored, without_ids
 
 #: No SQL: the stages cut texts byte by byte and verify windows; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
@@ -78,6 +78,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = finished(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    return docs
