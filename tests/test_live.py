@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import reconstruct
 from tidemark.sources.readings import READING, file_messages, kafka_messages, parse_messages
-from tidemark.streaming.live import live_updates, newest_windows, update_messages
+from tidemark.streaming.live import live_updates, newest_windows, snapshot, update_messages, write_updates
 
 START = pd.Timestamp("2026-01-01")
 _n = [0]
@@ -94,3 +94,47 @@ def test_feed_parsing(spark, tmp_path):
     assert file_messages(spark, str(tmp_path)).isStreaming
     with pytest.raises(Exception, match="(?i)kafka"):
         kafka_messages(spark, "localhost:1")
+
+
+class Picky:
+    """Rejects contexts that end with 7, fails on those that end with 8."""
+
+    name, version, context = "picky", "1", 1
+
+    def predict(self, context, steps):
+        if context[-1] == 7:
+            raise ValueError("not this one")
+        if context[-1] == 8:
+            raise RuntimeError("broken")
+        return [context[-1]] * steps
+
+
+def test_errors_cost_a_period_or_a_message(spark, tmp_path):
+    t = play(spark, tmp_path, at([1, 2, 7, 7, 7, 3, 4, 5, 5, 5, 6]), model=Picky())
+    assert {r[0] for r in rebuilt(t)} == {9, 10}  # the first period is skipped at each message, the second is not
+    assert t.filter("type = 'point'").count() == 11 and t.filter("type = 'error'").count() == 0
+    t = play(spark, tmp_path, at([1, 2, 8, 5, 5, 5, 6, 6.5]), model=Picky())
+    failed = {r.seq: r.confidence for r in t.filter("type = 'error'").collect()}
+    assert set(failed) == {5, 6, 7} and "broken" in failed[5]
+    assert {r.seq for r in t.filter("type = 'point'").collect()} == {0, 1, 2, 3, 4}
+    assert update_messages(t).count() == 5
+
+
+def test_snapshot_of_a_series(spark, tmp_path):
+    t = play(spark, tmp_path, [*at([20, 20.2, 20.4, 20, 20, 20, 20, 21, 21.2]), (3, 19.0), (0, 1.0, "q")])
+    readings, windows = snapshot(t, "p", "t", points=5)
+    assert [r.value for r in readings.collect()] == [20, 20, 20, 21, 21.2]
+    readings, windows = snapshot(t, "p", "t")
+    assert [r.value for r in readings.collect()][3] == 19.0 and windows.count() >= 1
+    assert all(x.count() == 0 for x in snapshot(t, "nobody", "t"))
+
+
+def test_batches_done_again_replace_themselves(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    lines = [{"point_id": "p", "sensor": "t", "timestamp": (START + pd.Timedelta(minutes=10 * i)).isoformat() + "Z", "value": float(i)} for i in range(6)]
+    (folder / "a.json").write_text("\n".join(map(json.dumps, [*lines, {"point_id": None, "sensor": "t"}])))
+    for checkpoint in ("c1", "c2"):  # a lost checkpoint: the same batches are done once more
+        write_updates(live_updates(file_messages(spark, str(folder)), min_context=3), str(tmp_path / "out"), str(tmp_path / checkpoint), once=True).awaitTermination()
+    out = spark.read.json(str(tmp_path / "out"))
+    assert out.count() == 6 and out.select("seq").distinct().count() == 6

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 import random
+import urllib.error
+from datetime import timezone
 
 import numpy as np
 import pandas as pd
@@ -14,9 +17,10 @@ from tidemark.operators import buffers, reconstruct, runs, validate
 from tidemark.operators.catalog import SCHEMA, all_fields, matching_fields
 from tidemark.operators.forecast import Drift, LastValue, QuantileModel, SeasonalNaive, backward, clear_models, forward
 from tidemark.operators.long_series import stuck_periods_long
-from tidemark.plans.batch import run_csv_job, run_job
+from tidemark.plans.batch import run_api_job, run_csv_job, run_job
 from tidemark.sources import readings as src
 from tidemark.sources import sinks
+from tidemark.sources.readings import first_messages, http_client
 
 START = pd.Timestamp("2026-01-01")
 
@@ -273,3 +277,83 @@ def test_buffers_and_replay(spark):
     assert [r.value for r in buffers.last_arrival(twice, "seq").orderBy("ts").collect()] == list(range(1, 9))
     rows = buffers.replay(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 60, "2030-01-01").orderBy("ts").collect()
     assert [r.delay_seconds for r in rows[:-1]] == [10.0] * 7 and str(rows[1].replay_ts) == "2030-01-01 00:10:00"
+    looped = buffers.replay(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 60, "2030-01-01", loops=2).orderBy("replay_ts").collect()
+    assert [r.value for r in looped] == 2 * list(range(8)) and [r.delay_seconds for r in looped[:-1]] == [10.0] * 15
+    assert [str(r.replay_ts) for r in looped[7:9]] == ["2030-01-01 01:10:00", "2030-01-01 01:20:00"]
+    assert [r.value for r in first_messages(df, 3, "ts").collect()] == [0, 1, 2]
+
+
+def test_a_run_counts_its_own_rows(spark, tmp_path):
+    values = [20 + (i % 5) * 0.1 for i in range(60)]
+    values[30:36] = [21.0] * 6
+    df = series(spark, values)
+    for _ in range(2):
+        assert [r.n for r in run_job(df, str(tmp_path / "a"), min_hours=0.5).collect()] == [6]
+    assert spark.read.json(str(tmp_path / "a")).count() == 12
+
+
+def test_api_job(spark, tmp_path):
+    stamps = [START + pd.Timedelta(minutes=10 * i) for i in range(40)]
+    flat = [{"timestamp": t.isoformat() + "Z", "value": 21.0 if 20 <= i < 26 else 20 + (i % 5) * 0.1} for i, t in enumerate(stamps)]
+    rising = [{"timestamp": t.isoformat() + "Z", "value": float(i)} for i, t in enumerate(stamps)]
+    points = [{"id": "a", "type": "s", "attribute": "temp", "series": flat}, {"id": "b", "type": "s", "attribute": "temp", "series": rising}, {"id": "c", "type": "s", "attribute": "temp", "series": []}]
+    asked = []
+
+    def execute(variables):
+        asked.append(variables)
+        return json.dumps({"projects": [{"id": "1", "alias": "x", "equipment": [{"id": "e", "type": "m", "points": points}]}]})
+
+    got = run_api_job(spark, execute, "x", ["temp"], str(tmp_path / "a"), days_back=2, now=(stamps[-1] + pd.Timedelta(hours=1)).to_pydatetime().replace(tzinfo=timezone.utc), min_hours=0.5)
+    assert {r.point_id: r.n for r in got.collect()} == {"a": 6, "b": 0}
+    assert asked[0]["alias"] == "x" and asked[0]["attributes"] == ["temp"]
+    empty = run_api_job(spark, lambda v: json.dumps({"projects": []}), "x", ["temp"], str(tmp_path / "b"))
+    assert empty.count() == 0
+
+
+def test_api_client(monkeypatch):
+    sent = []
+
+    def answer(request, timeout):
+        sent.append(json.loads(request.data))
+        return io.BytesIO(json.dumps({"data": {"projects": []}} if len(sent) > 1 else {"errors": ["no"]}).encode())
+
+    monkeypatch.setattr("urllib.request.urlopen", answer)
+    client = http_client("http://localhost/x", token="t")
+    with pytest.raises(RuntimeError, match="rejected"):
+        client({"alias": "a"})
+    assert json.loads(client({"alias": "a"})) == {"projects": []} and sent[1]["variables"] == {"alias": "a"} and "series" in sent[1]["query"]
+
+    def down(request, timeout):
+        raise urllib.error.URLError("down")
+
+    monkeypatch.setattr("urllib.request.urlopen", down)
+    with pytest.raises(ConnectionError):
+        client({})
+
+
+def test_rejected_periods_and_short_forecasts(spark):
+    class Rejects(LastValue):
+        def predict(self, context, steps):
+            if context[-1] > 20:
+                raise ValueError("no")
+            return super().predict(context, steps)
+
+    class Short(LastValue):
+        def predict(self, context, steps):
+            return super().predict(context, steps)[:-1]
+
+    df = series(spark, [20, 5, 5, 5, 2, 30, 9, 9, 9, 3])
+    assert {r.raw_value for r in reconstruct.reconstruct(df, Rejects()).collect()} == {5.0}
+    assert reconstruct.reconstruct(df, Short()).count() == 0
+    with pytest.raises(ValueError, match="values of"):
+        forward(Short(), [1.0], 3)
+
+
+def test_tracker_keeps_params_metrics_and_artifacts(spark, tmp_path):
+    t = sinks.tracker(str(tmp_path / "m"), "r1")
+    t.log_params({"model": "drift", "gaps": [7, 60]})
+    for n in (3, 5):
+        t.log_artifact("periods", spark.range(n))
+    rows = {r["name"]: (r["value"], r["run"]) for r in spark.read.json(str(tmp_path / "m-params")).collect()}
+    assert rows == {"model": ('"drift"', "r1"), "gaps": ("[7, 60]", "r1")}
+    assert spark.read.parquet(str(tmp_path / "m-artifacts/r1/periods")).count() == 5
