@@ -49,10 +49,12 @@ from .shared import map_arrow, new_path, read_table, stored, workspace
 ORDER = 6
 #: Model rows of a pair of bytes above which the pair is split, and model rows and pieces that may meet in one bucket.
 SHARD_ROWS = 200_000
-PER_BUCKET = 64
+PER_BUCKET = 8
+#: N-grams that a task counts before it hands them on.
+HELD = 2_000_000
 PIECE = 1 << 22
-#: Costs travel as whole multiples of 1 / UNIT; the largest is 64.
-UNIT, MOST = 1 << 18, (1 << 24) - 1
+#: Costs travel as whole multiples of 1 / UNIT, so a byte's is off by 0.000016 at most; the largest is 512.
+UNIT, MOST = 1 << 15, (1 << 24) - 1
 BROADCAST_IDS = 1_000_000
 #: Languages, and so thresholds, that may be broadcast: a few MB.
 BROADCAST_LANGS = 50_000
@@ -66,13 +68,16 @@ STEP = 1e-4
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The packed ``order`` bytes that end at each byte (zeros before a text) and the byte's text."""
     texts, n = len(offsets) - 1, len(data)
-    row = np.repeat(np.arange(texts), np.diff(offsets))
-    padded = np.zeros(n + (order - 1) * (texts + 1), np.int64)
-    at = np.arange(n) + (order - 1) * (row + 1)
+    row = np.repeat(np.arange(texts, dtype=np.int32), np.diff(offsets))
+    padded = np.zeros(n + (order - 1) * (texts + 1), np.uint8)
+    at = np.arange(n) + (order - 1) * (row.astype(np.int64) + 1)
     padded[at] = data
+    at -= order - 1
     key = np.zeros(n, np.int64)
-    for k in range(order - 1, -1, -1):
-        key = (key << 8) | padded[at - k]
+    for _ in range(order):
+        key <<= 8
+        key |= padded[at]
+        at += 1
     return key, row
 
 
@@ -80,10 +85,18 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     """``gram, c`` over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["gram", "c"])
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
             for _, _, data, offsets in tk.chunks(batch.column(0), 1 << 22):
                 key, count = np.unique(grams(data, offsets, order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count.astype(np.int64))], names=["gram", "c"])
+                both = np.concatenate([held[0], key])
+                key, back = np.unique(both, return_inverse=True)
+                held = (key, np.bincount(back, np.concatenate([held[1], count]), len(key)).astype(np.int64))
+                if len(key) > HELD:
+                    yield out(*held)
+                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield out(*held)
 
     return map_arrow(texts, run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -167,18 +180,14 @@ class Shards:
             context[(~short).sum() :] |= np.tile(np.arange(256) << 16, int(short.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(self.of(context).astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in ("kind", "n", "gram", "value"))], names=["bucket", "kind", "n", "gram", "value"])
 
-    def _distinct(self, batch: pa.RecordBatch, i: int):
-        """Offsets, distinct n-grams of a piece with their place in the piece, and how they are dealt out."""
-        _, offsets, data = pc.unpack(batch, i)
-        key, row = grams(data, offsets, self.order)
-        unique, back = np.unique(key, return_inverse=True)
-        return offsets, unique, back, row, pc.deal(self.of(unique >> 8), self.buckets)
 
     def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A piece's distinct n-grams by bucket."""
         for batch in batches:
             for i in range(batch.num_rows):
-                _, unique, _, _, (order, some, border) = self._distinct(batch, i)
+                _, offsets, data = pc.unpack(batch, i)
+                unique = np.unique(grams(data, offsets, self.order)[0])
+                order, some, border = pc.deal(self.of(unique >> 8), self.buckets)
                 sent = [unique[order[border[b] : border[b + 1]]] for b in some]
                 packed = [pc.planes(np.diff(x, prepend=0).view(np.uint64), self.order) for x in sent]
                 yield pa.RecordBatch.from_arrays(
@@ -220,7 +229,10 @@ class Shards:
         """The sums by document of a piece."""
         for batch in batches:
             for i in range(batch.num_rows):
-                offsets, unique, back, row, (order, some, border) = self._distinct(batch, i)
+                _, offsets, data = pc.unpack(batch, i)
+                key, row = grams(data, offsets, self.order)
+                unique, back = np.unique(key, return_inverse=True)
+                order, some, border = pc.deal(self.of(unique >> 8), self.buckets)
                 sent = {s["bucket"]: s["costs"] for s in batch.column("sent")[i].as_py() or []}
                 cost = np.empty(len(unique))
                 cost[order] = np.concatenate([*(pc.from_planes(sent[b], 3) for b in some.tolist()), np.zeros(0, np.uint64)]) / UNIT

@@ -34,7 +34,7 @@ def blob(*arrays: np.ndarray) -> list[bytes]:
 def squeeze(data: bytes | np.ndarray) -> bytes:
     """Compressed, after the length: shuffles compress less well than this."""
     raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True) if raw else b"")
 
 
 def stretch(data: bytes | None) -> bytes:
