@@ -72,7 +72,7 @@ def test_repeated_strings_shared_in_fewer_pieces_than_hot(spark):
     rng = random.Random(21)
     passage = prose(rng, 40)
     rows = [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(40)]
-    docs = frame(spark, rows).coalesce(1).repartition(4).localCheckpoint()
+    docs = op2.stored(frame(spark, rows).coalesce(1).repartition(4), "docs")
     pieces = op2.pc.make_pieces(docs, "text", "doc_id", []).count()
     hot = pieces + 1
     assert pieces <= hot < 2 * pieces

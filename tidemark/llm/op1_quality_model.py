@@ -49,10 +49,10 @@ from .shared import map_arrow, new_path, read_table, stored, workspace
 ORDER = 6
 #: Model rows of a pair of bytes above which the pair is split, and model rows and pieces that may meet in one bucket.
 SHARD_ROWS = 200_000
-PER_BUCKET = 8
+PER_BUCKET = 6
 #: N-grams that a task counts before it hands them on.
 HELD = 2_000_000
-PIECE = 1 << 22
+PIECE = 6 << 20
 #: Costs travel as whole multiples of 1 / UNIT, so a byte's is off by 0.000016 at most; the largest is 512.
 UNIT, MOST = 1 << 15, (1 << 24) - 1
 BROADCAST_IDS = 1_000_000
@@ -70,7 +70,9 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     texts, n = len(offsets) - 1, len(data)
     row = np.repeat(np.arange(texts, dtype=np.int32), np.diff(offsets))
     padded = np.zeros(n + (order - 1) * (texts + 1), np.uint8)
-    at = np.arange(n) + (order - 1) * (row.astype(np.int64) + 1)
+    at = row + np.int32(1)
+    at *= order - 1
+    at += np.arange(n, dtype=np.int32)
     padded[at] = data
     at -= order - 1
     key = np.zeros(n, np.int64)
@@ -81,6 +83,18 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     return key, row
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and the place of each value among them, in less memory than ``np.unique`` takes."""
+    order = np.argsort(key)
+    value = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = value[1:] != value[:-1]
+    value = value[new]
+    back = np.empty(len(key), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return value, back
+
+
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
     """``gram, c`` over all texts."""
 
@@ -202,7 +216,7 @@ class Shards:
         kind, n, gram, value = kind[order], n[order], gram[order], value[order]
         cut = {(k, m): slice(*np.searchsorted(kind * 16 + n, (k * 16 + m, k * 16 + m + 1))) for k in (0, 1) for m in range(3, self.order + 1)}
         own = [np.cumsum(pc.from_planes(b, self.order).view(np.int64)) for b in asked.column("grams").to_pylist()]
-        keys, back = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_inverse=True)
+        keys, back = distinct(np.concatenate([*own, np.zeros(0, np.int64)]))
 
         def find(k: int, m: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if m < 3:
@@ -231,7 +245,8 @@ class Shards:
             for i in range(batch.num_rows):
                 _, offsets, data = pc.unpack(batch, i)
                 key, row = grams(data, offsets, self.order)
-                unique, back = np.unique(key, return_inverse=True)
+                unique, back = distinct(key)
+                del key
                 order, some, border = pc.deal(self.of(unique >> 8), self.buckets)
                 sent = {s["bucket"]: s["costs"] for s in batch.column("sent")[i].as_py() or []}
                 cost = np.empty(len(unique))
