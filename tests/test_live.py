@@ -114,7 +114,7 @@ def test_errors_cost_a_period_or_a_message(spark, tmp_path):
     assert {r[0] for r in rebuilt(t)} == {9, 10}  # the first period is skipped at each message, the second is not
     assert t.filter("type = 'point'").count() == 11 and t.filter("type = 'error'").count() == 0
     t = play(spark, tmp_path, at([1, 2, 8, 5, 5, 5, 6, 6.5]), model=Picky())
-    failed = {r.seq: r.confidence for r in t.filter("type = 'error'").collect()}
+    failed = {r.seq: r.method for r in t.filter("type = 'error'").collect()}
     assert set(failed) == {5, 6, 7} and "broken" in failed[5]
     assert {r.seq for r in t.filter("type = 'point'").collect()} == {0, 1, 2, 3, 4}
     assert update_messages(t).count() == 5

@@ -41,9 +41,9 @@ def replay(readings: DataFrame, speed: float = 60.0, now: str | None = None, loo
         out = out.withColumn("replay_ts", F.lit(now).cast("timestamp_ntz") + (F.col("ts") - first))
     if loops == 1:
         return out
-    out = out.withColumn("__round", ((span + mean) * 1_000_000).cast("long")).withColumn("__mean", mean / speed)
+    out = out.withColumn("__round", ((span + mean) * 1_000_000).cast("long")).withColumn("__mean", F.when(F.lead("ts").over(w).isNull(), mean / speed))
     out = out.withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
-    pause = F.when(F.col("delay_seconds").isNull() & (F.col("loop") < loops - 1), F.col("__mean")).otherwise(F.col("delay_seconds"))
+    pause = F.when(F.col("loop") < loops - 1, F.coalesce("__mean", "delay_seconds")).otherwise(F.col("delay_seconds"))
     out = out.withColumn("delay_seconds", pause)
     if now is not None:
         out = out.withColumn("replay_ts", F.timestamp_add("MICROSECOND", F.col("loop") * F.col("__round"), F.col("replay_ts")))

@@ -74,7 +74,8 @@ def forecasts(periods: DataFrame, model: Forecaster, chunk: int = CHUNK, limit:
                 f.append(x)
                 b.append(y)
                 done.append(True)
-            yield batch[done].assign(forward=f, backward=b)
+            if f:
+                yield batch[done].assign(forward=f, backward=b)
 
     return periods.mapInPandas(run, out)
 
