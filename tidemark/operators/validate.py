@@ -53,17 +53,16 @@ def null_free(rows: DataFrame, gaps: Sequence[int]) -> DataFrame:
     """``gap, start``: row numbers where ``gap`` rows and their neighbours are all readings."""
     w = Window.partitionBy(*SERIES).orderBy("rn")
     last = F.max("rn").over(Window.partitionBy(*SERIES))
-    parts = []
+    found = []
     for gap in gaps:
         inside = w.rowsBetween(-1, gap)
         nulls = F.sum(F.col("value").isNull().cast("int")).over(inside)
         whole = F.count(F.lit(1)).over(inside) >= F.when(F.col("rn") + gap <= last, gap + 2).otherwise(gap + 1)
         ok = (nulls == 0) & whole & (F.col("rn") > 1) & (F.col("rn") + gap - 1 <= last)
-        parts.append(rows.withColumn("__ok", ok).filter("__ok").select(*SERIES, F.lit(gap).alias("gap"), F.col("rn").alias("start")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found.append(F.when(ok, F.lit(gap)))
+    # All lengths share one sort of the series.
+    at = rows.select(*SERIES, F.col("rn").alias("start"), F.array_compact(F.array(*found)).alias("gaps"))
+    return at.select(*SERIES, F.explode("gaps").alias("gap"), "start")
 
 
 def draw_gaps(readings: DataFrame, gaps: Sequence[int] = GAPS, trials: int = TRIALS, min_context: int = MIN_CONTEXT, attempts: int = ATTEMPTS) -> DataFrame:
