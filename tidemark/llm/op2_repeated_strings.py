@@ -455,14 +455,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
     single = digests.groupBy("id").agg(F.countDistinct("digest").alias("texts")).filter("texts = 1").select("id")
     copies = digests.join(texts, "digest").filter("id > least").join(single, "id", "left_semi")
     copies = stored(copies.groupBy("piece").agg(F.collect_list("id").alias("copies")), "copies")
+    copies = pc.by_piece(copies, pieces)
     known = pieces.select(*body).join(copies, "piece", "left")
 
     asked = map_arrow(known, step.anchors, "bucket int, piece bigint, anchors binary")
     shared = asked.groupBy("bucket").applyInArrow(lambda t: step.shared_anchors(t), "piece bigint, anchors binary, deals binary")
-    shared = shared.groupBy("piece").agg(F.collect_list(F.struct("anchors", "deals")).alias("sent"))
+    shared = pc.by_piece(shared, pieces).groupBy("piece").agg(F.collect_list(F.struct("anchors", "deals")).alias("sent"))
     seen = map_arrow(known.join(shared, "piece"), step.seen, "bucket int, piece bigint, seen binary")
     wanted = seen.groupBy("bucket").applyInArrow(lambda t: step.wanted(t), "piece bigint, bucket int, contents binary")
-    wanted = wanted.groupBy("piece").agg(F.collect_list(F.struct("bucket", "contents")).alias("want"))
+    wanted = pc.by_piece(wanted, pieces).groupBy("piece").agg(F.collect_list(F.struct("bucket", "contents")).alias("want"))
     texts = map_arrow(known.join(wanted, "piece"), step.fragments, "bucket int, contents binary, sizes binary, texts binary")
     got = seen.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(lambda a, b: step.intervals(a, b), "piece bigint, runs binary, window bigint, low bigint, content bigint, at bigint")
 
@@ -473,7 +474,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", pie
         hot = hot.join(merged, "window").select("piece", "content", "at", F.col("least").alias("low"))
         hot = hot.groupBy("piece").applyInArrow(lambda t: step.pack_hot(t), "piece bigint, runs binary")
         got = got.filter(F.col("window").isNull()).select("piece", "runs").union(hot)
-    back = got.groupBy("piece").agg(F.collect_list("runs").alias("sent"))
+    back = pc.by_piece(got, pieces).groupBy("piece").agg(F.collect_list("runs").alias("sent"))
     whole = pieces.select("piece", "ids", "offsets", "bytes", "rest").join(copies, "piece", "left").join(back, "piece", "left")
     out = map_arrow(whole, step.cut, f"rest {rest.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
     row = F.col("rest")["row"]

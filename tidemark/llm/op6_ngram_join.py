@@ -139,7 +139,7 @@ def frequencies(pieces: DataFrame, k: int, buckets: int) -> DataFrame:
     ship(pieces.sparkSession)
     asked = map_arrow(pieces.select("piece", "ids", "offsets", "bytes"), count, "bucket int, piece bigint, one binary, more binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, piece bigint, counts binary")
-    return answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "counts")).alias("sent"))
+    return pc.by_piece(answers, pieces).groupBy("piece").agg(F.collect_list(F.struct("bucket", "counts")).alias("sent"))
 
 
 def signatures(pieces: DataFrame, counts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:

@@ -94,14 +94,24 @@ def deal_pieces(docs: DataFrame, text: str, id_: str | None, keep: list[str], li
 
 
 def make_pieces(docs: DataFrame, text: str, id_: str | None, keep: list[str], limit: int = PIECE) -> DataFrame:
-    """:func:`deal_pieces` as a written table, bucketed by piece, one file for each bucket."""
+    """:func:`deal_pieces` as a written table, bucketed by piece, one file for each bucket.
+
+    The table's attribute ``buckets`` is for :func:`by_piece`.
+    """
     spark = docs.sparkSession
     dealt, buckets, _ = deal_pieces(docs, text, id_, keep, limit)
     name = f"pieces_{uuid.uuid4().hex[:12]}"
     # The texts in it are compressed already.
     dealt.write.bucketBy(buckets, "piece").option("path", new_path(spark, "pieces")).option("compression", "lz4").saveAsTable(name)
     note("table", name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.buckets = buckets
+    return table
+
+
+def by_piece(answers: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``answers`` dealt out as the table of pieces is, so that a join with it moves no texts."""
+    return answers.repartition(pieces.buckets, "piece")
 
 
 def bucket_count(pieces: DataFrame, each: int, at_least: int) -> int:
