@@ -285,6 +285,31 @@ def test_warc_round_trip(spark, tmp_path):
         op5.read_archive(spark, f"{path}4").select("record_type").collect()
     op5.write_archive(pages.limit(0), f"{path}3")
     assert op5.read_archive(spark, f"{path}3").count() == 0
+    assert op5.records(spark, f"{path}3").count() == 0
+    say = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got}
+    again = op5.records(spark, path).collect()
+    assert len(again) == len(rows) and {(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in again} == say
+    for n, (what, to) in enumerate((("Content-Length: ", "Content-Length: 1"), ("sha1:", "sha1:A"), ("WARC-Type: re", "WARC-Type: x"))):
+        spark.read.parquet(f"{path}/headers").withColumn("warc_header", F.replace("warc_header", F.lit(what), F.lit(to))).write.parquet(f"{path}h{n}/headers")
+        spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}h{n}/payloads")
+        with pytest.raises(Exception, match="damaged header"):
+            op5.records(spark, f"{path}h{n}").collect()
+
+
+def test_warc_urls_forge_nothing(spark, tmp_path):
+    urls = ["http://a/?q=WARC-Refers-To: <urn:page:7:x", "http://a/\r\nContent-Length: 5\r\n", "x\r\nWARC-Payload-Digest: sha1:AAAA\r\n\r\nbody", "\r\n\r\n", "a b\tc\0\x7f", "http://é/%0D%0A", "", None]
+    urls += ["\nWARC-Refers-To: <urn:page:7:0>\n", "http://a/\r\nWARC-Type: revisit"]
+    rows = [(i, u, "\r\n\r\nContent-Length: 3\r\n\r\n" if i % 2 else f"page {i}") for i, u in enumerate(urls)]
+    path = f"file://{tmp_path}/warc"
+    op5.write_archive(frame(spark, rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: r for r in op5.records(spark, path).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {i: ("revisit", 1) if i % 2 and i > 1 else ("response", None) for i in range(len(urls))}
+    assert all(got[i].payload_bytes == len(h) and got[i].payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, _, h in rows)
+    for r in op5.read_archive(spark, path).collect():
+        lines = r.warc_header.split("\r\n")
+        uri = lines[-3].removeprefix("WARC-Target-URI: ")
+        assert lines[-2:] == ["", ""] and len(lines) == (12 if r.refers_to is not None else 10) and not re.search(r"[\x00-\x20\x7f]", uri)
+        assert uri == re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", urls[r.page_id] or "")
 
 
 def test_decontaminate(spark):
