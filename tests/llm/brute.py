@@ -6,8 +6,13 @@ import hashlib
 import itertools
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -195,3 +200,71 @@ class KneserNey:
 
 def sha256(b):
     return hashlib.sha256(b).hexdigest()
+
+
+def language_columns(text, dimensions):
+    """How often each hashed column occurs among the 1- to 3-grams of a text's letters."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in text or "")
+    if not letters.strip(" "):
+        return Counter()
+    letters, found, whole = f" {' '.join(letters.split(' ')).strip()} ", Counter(), 1 << 64
+    letters = re.sub(" +", " ", letters)
+    for k in (1, 2, 3):
+        for i in range(len(letters) - k + 1):
+            h = 0
+            for c in letters[i : i + k]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % whole
+                h ^= h >> 29
+            found[((h + k) * 0xD6E8FEB86659FD93 % whole) * dimensions >> 64] += 1
+    return found
+
+
+def languages(rows, dimensions, per_lang, tuning, alpha, beta, l1, l2, epochs):
+    """(id, lang, text) rows: language and score of each, by FTRL-proximal one coordinate at a time."""
+    learned = [r for r in rows if r[1] is not None and zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5]
+    langs = sorted({r[1] for r in learned})
+    documents = [language_columns(r[2], dimensions) for r in learned]
+    held = Counter(c for d in documents for c in d)
+    idf = lambda c: math.log((1 + len(documents)) / (1 + held[c])) + 1
+
+    def vector(found):
+        v = {c: (1 + math.log(n)) * idf(c) for c, n in found.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {c: v[c] / size for c in sorted(v)}
+
+    sample = []
+    for y, lang in enumerate(langs):
+        texts = sorted({(xxhash.xxh64_intdigest((r[2] or "").encode(), 42) & ((1 << 63) - 1), r[2] or "") for r in learned if r[1] == lang})
+        sample += [(place, lang, y, language_columns(t, dimensions)) for place, (_, t) in enumerate(texts[:per_lang])]
+    sample = [(p, y, vector(f)) for p, _, y, f in sorted(sample, key=lambda r: r[:2]) if f]
+    fitting, tuned = ([r for r in sample if (r[0] % tuning == tuning - 1) == t] for t in (False, True))
+    fitting = fitting or tuned
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    bias = dimensions
+    logits = lambda v: [sum(weight((c, y)) * x for c, x in [*v.items(), (bias, 1.0)]) for y in range(len(langs))]
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(fitting)):
+            _, y, v = fitting[i]
+            p = softmax(logits(v))
+            before = {(c, k): weight((c, k)) for c in [*v, bias] for k in range(len(langs))}
+            for c, x in [*v.items(), (bias, 1.0)]:
+                for k in range(len(langs)):
+                    g = x * (p[k] - (k == y))
+                    z[c, k] += g - (math.sqrt(n[c, k] + g * g) - math.sqrt(n[c, k])) / alpha * before[c, k]
+                    n[c, k] += g * g
+    grid = np.exp(np.linspace(np.log(0.02), np.log(5), 120))
+    shown = [(logits(v), y) for _, y, v in tuned]
+    heat = min(grid, key=lambda t: sum(-math.log(softmax([x / t for x in row])[y] + 1e-300) for row, y in shown)) if shown else 1.0
+    out = []
+    for _, _, text in rows:
+        found = language_columns(text, dimensions)
+        p = softmax([x / heat for x in logits(vector(found))]) if found and fitting else None
+        out.append((langs[p.index(max(p))], max(p)) if p else ("und", 0.0))
+    return out

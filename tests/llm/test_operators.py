@@ -296,6 +296,21 @@ def test_warc_round_trip(spark, tmp_path):
             op5.records(spark, f"{path}h{n}").collect()
 
 
+def test_hashes_of_texts_on_which_polynomials_collide(spark):
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join(x[s] for s in signs) for x in ("ab", "ba"))
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{a}"), (3, f"{' '.join(a)} x {' '.join(b)}"), (4, f"{a} {b} c"), (5, f"{b} {a} c"), (6, f"{a} {b} c")]
+    got = {r.doc_id: r for r in op9.quality_rules(frame(spark, rows)).collect()}
+    assert got[1].n_dup_lines == 0 and got[2].n_dup_lines == 1
+    words = brute.words(rows[2][1])
+    window = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + j for i in range(len(words) - 7) if window[tuple(words[i : i + 8])] > 1 for j in range(8)}
+    assert got[3].n_repeat_words == len(covered)
+    longest = max(n for n in range(1, 600) if len({tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) < len(words) - n + 1)
+    assert got[3].longest_repeat == longest
+    assert {r.doc_id: r.component_id for r in op6.ngram_groups(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 4}
+
+
 def test_warc_urls_forge_nothing(spark, tmp_path):
     urls = ["http://a/?q=WARC-Refers-To: <urn:page:7:x", "http://a/\r\nContent-Length: 5\r\n", "x\r\nWARC-Payload-Digest: sha1:AAAA\r\n\r\nbody", "\r\n\r\n", "a b\tc\0\x7f", "http://é/%0D%0A", "", None]
     urls += ["\nWARC-Refers-To: <urn:page:7:0>\n", "http://a/\r\nWARC-Type: revisit"]
@@ -419,6 +434,35 @@ def test_licenses_in_texts_shorter_than_the_template(spark):
         assert got.get((d, name)) == ((pytest.approx(dice), 0, n) if d in matches else None), d
 
 
+def test_language_is_what_the_method_says(spark, monkeypatch):
+    rng = random.Random(31)
+    letters = {"de": "eintsrahduäöß", "en": "etaoinshrdlu", "ru": "оеаинтсрв"}
+    text = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(1, 25)))
+    rows = [(i, k, text(k)) for i, k in enumerate(rng.choice(list(letters)) for _ in range(70))]
+    rows += [(100, "de", None), (101, "en", ""), (102, None, text("de")), (103, "ru", "1 2 3"), (None, "en", text("en")), (104, "de", rows[0][2]), (105, "de", "ǅ İ ß A\u0301")]
+    monkeypatch.setattr(op4, "SAMPLE_PER_LANG", 15)
+    want = brute.languages(rows, op4.DIMENSIONS, 15, op4.TUNING, op4.ALPHA, op4.BETA, op4.L1, op4.L2, op4.EPOCHS)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op4.identify(frame(spark, rows, "doc_id long, lang string, text string")).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4, i
+
+
+def test_language_of_rows_that_share_ids(spark):
+    rng = random.Random(32)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(20))
+    german, english = ("der", "und", "nicht", "schön", "über", "eine"), ("the", "and", "not", "with", "which", "one")
+    # All rows of a language share an id: neither the draw nor the folds may lose one.
+    for a, b in (("1-de", "1-en"), ("4-de", "4-en"), ("4", "4")):
+        rows = [(a, "de", text(german)) for _ in range(400)] + [(b, "en", text(english)) for _ in range(400)]
+        got = op4.identify(frame(spark, rows, "doc_id string, lang string, text string").withColumn("was", F.col("lang"))).collect()
+        if zlib.crc32(a.encode()) % 5 and zlib.crc32(b.encode()) % 5:
+            assert Counter(r.lang_pred for r in got) == {"de": 400, "en": 400}
+    # Copies take no places, and a language with one text is learned.
+    rows = [(i, "de", text(german)) for i in range(40)] + [(i, "de", "der und") for i in range(100, 3000)] + [(7, "en", text(english))]
+    got = {r.doc_id: r.lang_pred for r in op4.identify(frame(spark, rows, "doc_id long, lang string, text string").filter("doc_id < 60")).collect()}
+    assert set(got.values()) <= {"de", "en"}
+
+
 def test_language(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang_pred", F.lit("clash"))

@@ -109,7 +109,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes of the words, the first word of each text, and each word's line within the piece."""
     low = tk.LOWER[data]
     start, end, first = tk.word_spans(low, offsets, WORD)
-    return tk.span_hash(tk.prefix_hash(low), start, end), first, np.searchsorted(np.flatnonzero(data == 10), start)
+    return tk.span_hash(low, start, end), first, np.searchsorted(np.flatnonzero(data == 10), start)
 
 
 class Templates:

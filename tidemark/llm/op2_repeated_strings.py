@@ -104,7 +104,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
     ok = first + length <= offsets[1:][doc]
     first, count, doc = first[ok], count[ok], doc[ok]
     at = (low[first] & _POS).astype(np.int64)
-    return first, count, doc, h[at] >> np.uint64(16), tk.span_hash(prefix, first, first + count + length - 1)
+    return first, count, doc, h[at] >> np.uint64(16), tk.span_hash(data, first, first + count + length - 1)
 
 
 def ranks(value: np.ndarray, bits: int) -> np.ndarray:
@@ -372,7 +372,7 @@ class Repeats:
             for row in np.flatnonzero(hot_row):
                 text = np.frombuffer(text_of[int(back[row])], np.uint8)
                 start = np.arange(len(text) - self.length + 1)
-                window = tk.span_hash(tk.prefix_hash(text), start, start + self.length).view(np.int64)
+                window = tk.window_hash(tk.prefix_hash(text), start, start + self.length).view(np.int64)
                 r = np.arange(cut[back[row]], cut[back[row] + 1])
                 for key, value in (("window", window), ("low", np.repeat(low[r], b[r] - a[r])), ("content", np.full(len(start), rows["content"][row])), ("at", start), ("piece", np.full(len(start), piece[row]))):
                     hot[key].append(value)

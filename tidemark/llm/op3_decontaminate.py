@@ -63,7 +63,7 @@ Found = list[tuple[int, int, int, float]]
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = tk.LOWER[data]
     start, end, first = tk.word_spans(low, offsets, WORD)
-    return tk.span_hash(tk.prefix_hash(low), start, end), first
+    return tk.span_hash(low, start, end), first
 
 
 def bits(shingle: np.ndarray) -> np.ndarray:

@@ -3,10 +3,11 @@
 Text is lower-cased, every run of non-letters becomes one space, and the n-grams of one
 to three code points are hashed into ``DIMENSIONS`` columns. Document frequencies come
 from all training documents; the weights are learned by follow-the-regularised-leader
-(FTRL-proximal) with an elastic net on a bounded sample, ``SAMPLE_PER_LANG`` documents of
-each language and ``SAMPLE_ROWS`` in all, chosen by a hash of the id; a part of that
-sample only sets the temperature. Prediction is one scan without a shuffle; the model
-that is sent to the executors has a fixed size.
+(FTRL-proximal) with an elastic net on a bounded sample: of each language's distinct texts
+the ``SAMPLE_PER_LANG`` with the least hash (fewer where ``SAMPLE_ROWS`` in all would be
+exceeded), so every language is learned, whatever its ids, and copies take no place of
+others. Every fourth of a language's sample only sets the temperature. Prediction is one scan
+without a shuffle; the model that is sent to the executors has a fixed size.
 
 Only text and non-null language of documents whose crc32(id as text) mod 5 is not 0 are
 learned from; language, source and id are no inputs of a prediction.
@@ -26,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import map_arrow, read_table
@@ -36,6 +37,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANG = 600
 SAMPLE_ROWS = 12_000
 EPOCHS = 3
+#: One row of so many of a language's sample sets the temperature and no weight.
+TUNING = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-3
 _TABLE = 0x110000
 #: Languages that a model of DIMENSIONS columns is made for: 260 MB of weights while it is fitted.
@@ -65,7 +68,8 @@ def buckets(texts: list[str]) -> Iterator[np.ndarray]:
         c = code[a:b]
         if len(c):
             c = c[~((c == 32) & np.concatenate([[True], c[:-1] == 32]))]
-        if not (c != 32).any():
+        c = c[: -1 if len(c) and c[-1] == 32 else None]
+        if len(c) == 0:
             yield np.zeros(0, np.int64)
             continue
         c = np.concatenate([np.array([32], np.uint32), c, np.array([32], np.uint32)]).astype(np.uint64)
@@ -135,7 +139,9 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str =
     """``doc_id, held_out, lang_pred, score`` of every row."""
     rows = docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), fold(F.col(id_)).alias("fold"))
     train = rows.filter((F.col("fold") != 0) & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    draw = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
+    # About how many distinct texts each language has; more than a table of MOST_LANGS rows never comes here.
+    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.approx_count_distinct(draw).alias("n")).limit(MOST_LANGS + 1).collect()}
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages to learn")
     langs = sorted(counts)
@@ -157,12 +163,12 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str =
         df[r.bucket] = r.df
     idf = np.log((1 + df[DIMENSIONS]) / (1 + df[:DIMENSIONS])) + 1
 
-    # The sample: a threshold on a hash for each language, so rows are chosen where they are.
+    # The sample: a threshold on a hash for each language, so that rows are chosen where they are. Twice
+    # the sample passes it, copies collapse, and what is left of a language is small enough to be ranked.
     per_lang = min(SAMPLE_PER_LANG, max(1, SAMPLE_ROWS // max(1, len(langs))))
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 63) - 1))
     sample_rows: list[tuple] = []
     if langs:
-        share = F.create_map(*(F.lit(v) for k in langs for v in (k, min((1 << 63) - 1, (per_lang << 63) // counts[k]))))
+        share = F.create_map(*(F.lit(v) for k in langs for v in (k, min((1 << 63) - 1, (2 * per_lang << 63) // max(1, counts[k])))))
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -170,16 +176,19 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str =
                     part = batch.slice(i, 64)
                     got = [vector(f, idf) for f in buckets([x.as_py() or "" for x in part.column(0)])]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(1), part.column(2), part.column(3), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))],
-                        names=["lang", "fold", "draw", "at", "value"],
+                        [part.column(1), part.column(2), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))],
+                        names=["lang", "place", "at", "value"],
                     )
 
-        picked = train.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")]).select("text", "lang", "fold", "draw")
-        got = map_arrow(picked, vectors, "lang string, fold bigint, draw bigint, at array<int>, value array<float>").toPandas()
-        got = got.sort_values(["draw", "lang"], kind="stable")
-        sample_rows = [(np.asarray(a, np.int64), np.asarray(v, float), langs.index(y), f) for y, f, a, v in got[["lang", "fold", "at", "value"]].itertuples(index=False) if len(a)]
-    fitting = [r[:3] for r in sample_rows if r[3] != 1] or [r[:3] for r in sample_rows]
-    tuning = [r[:3] for r in sample_rows if r[3] == 1]
+        passed = train.withColumn("draw", draw).filter(F.col("draw") <= share[F.col("lang")])
+        passed = passed.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+        placed = passed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw")) - 1).filter(F.col("place") < per_lang)
+        got = map_arrow(placed.select("text", "lang", "place"), vectors, "lang string, place int, at array<int>, value array<float>").toPandas()
+        got = got.sort_values(["place", "lang"], kind="stable")
+        sample_rows = [(np.asarray(a, np.int64), np.asarray(v, float), langs.index(y), p) for y, p, a, v in got[["lang", "place", "at", "value"]].itertuples(index=False) if len(a)]
+    fitting = [r[:3] for r in sample_rows if r[3] % TUNING != TUNING - 1]
+    tuning = [r[:3] for r in sample_rows if r[3] % TUNING == TUNING - 1]
+    fitting = fitting or tuning
     weight = fit(fitting, len(langs)) if fitting else np.zeros((DIMENSIONS + 1, 1))
     logits = lambda a, v: v @ weight[a] + weight[DIMENSIONS]
     heat = temperature(np.array([logits(a, v) for a, v, _ in tuning]), np.array([y for _, _, y in tuning])) if tuning else 1.0

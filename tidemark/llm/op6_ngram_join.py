@@ -64,7 +64,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     """Sorted distinct shingle hashes of each text, and the borders of the texts."""
     low = tk.LOWER[data]
     start, end, first = tk.word_spans(low, offsets)
-    h, row = tk.shingles(tk.span_hash(tk.prefix_hash(low), start, end), first, k)
+    h, row = tk.shingles(tk.span_hash(low, start, end), first, k)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)

@@ -113,7 +113,6 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict
     """All counts of the texts in one piece."""
     texts = len(offsets) - 1
     start, end, first = tk.word_spans(data, offsets)
-    prefix = tk.prefix_hash(data)
     n = len(start)
     count = np.diff(first)
     row = np.repeat(np.arange(texts), count)
@@ -134,7 +133,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict
     full = np.searchsorted(start, stops) > np.searchsorted(start, begins)
     begins, stops = begins[full], stops[full]
     of_line = np.searchsorted(offsets, begins, "right") - 1
-    key = tk.span_hash(prefix, begins, stops) if len(begins) else np.zeros(0, np.uint64)
+    key = tk.span_hash(data, begins, stops) if len(begins) else np.zeros(0, np.uint64)
     order = np.lexsort((key, of_line))
     again = (key[order][1:] == key[order][:-1]) & (of_line[order][1:] == of_line[order][:-1])
     out["n_dup_lines"] = per(of_line[order][1:][again], None)
@@ -143,7 +142,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict
     out |= {k: zero.copy() for k in MEASURES[4:]}
     if n == 0:
         return out
-    word = tk.span_hash(prefix, start, end)
+    word = tk.span_hash(data, start, end)
     both = tk.mix(word ^ tk.mix(row.astype(np.uint64) + np.uint64(1)))
     found = Repeats(both, row, first, window)
     longest, hot, later = found.longest, found.places, found.later
@@ -167,7 +166,7 @@ def repeated_spans(text: str | None, window: int = WINDOW) -> list[tuple[int, in
     if len(start) == 0:
         return []
     row = np.zeros(len(start), np.int64)
-    found = Repeats(tk.span_hash(tk.prefix_hash(data), start, end), row, first, window)
+    found = Repeats(tk.span_hash(data, start, end), row, first, window)
     hot, longest = found.places, found.longest
     flag = np.concatenate([[0], tk.cover(len(start), hot, hot + longest[hot]).astype(np.int8), [0]])
     edge = np.diff(flag)

@@ -3,12 +3,17 @@
 A text column arrives as one contiguous UTF-8 buffer with offsets. All helpers work on
 such a buffer at once, so no Python code runs per word. A *word* is a maximal run of
 bytes outside ``0x20`` and ``0x09-0x0D``; both sets are ASCII, so byte runs are also
-code-point runs. Hashes are 64-bit polynomial prefix hashes (base odd, modulo 2**64)
-passed through a finaliser; equal strings have equal hashes on every executor.
+code-point runs. All hashes have 64 bits; equal strings have equal hashes on every executor.
+
+Spans of any length (words, lines) are hashed in chained steps of eight bytes, long ones by
+BLAKE2. Runs of words are compared by polynomials modulo the prime 2**61 - 1. Only windows of
+a fixed, small number of bytes are hashed by polynomials modulo 2**64, on which long
+texts of a known pattern (Thue-Morse) collide whatever the base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,17 +75,41 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Array ``p`` of ``len(data) + 1``; with it :func:`span_hash` hashes any byte span."""
+    """Array ``p`` of ``len(data) + 1``; with it :func:`window_hash` hashes short windows of bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, max(1, len(data)))[: len(data)], dtype=np.uint64, out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def window_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(prefix)
     return mix((prefix[end] - prefix[start]) * _powers(_INV, n)[start] + (end - start).astype(np.uint64))
 
 
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 2048
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
+    size = (end - start).astype(np.int64)
+    h = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    some, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(some):
+        v = eight[start[some] + at]
+        rest = size[some] - at
+        part = rest < 8
+        v[part] &= (np.uint64(1) << (rest[part] * 8).astype(np.uint64)) - np.uint64(1)
+        h[some] = mix((h[some] ^ v) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(at + 1))
+        at += 8
+        some = some[rest > 8]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def all_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
     """Hash of each span of ``k`` bytes."""
     n = len(prefix) - k
@@ -102,15 +131,47 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | No
     return start, end, np.searchsorted(start, offsets).astype(np.int64)
 
 
+_PRIME = np.uint64((1 << 61) - 1)
+_ROOT = 0x1F3A5B7C9D2E4F61 % ((1 << 61) - 1)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    middle = a0 * b1 + a1 * b0
+    return _reduce(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    have = _pow.get(-base)
+    if have is None or len(have) < n:
+        have, step = np.ones(1, np.uint64), base
+        while len(have) < max(n, 1 << 12):
+            have = np.concatenate([have, times(have, np.uint64(step))])
+            step = step * step % int(_PRIME)
+        _pow[-base] = have
+    return have[:n]
+
+
 def sequence_hash(words: np.ndarray) -> np.ndarray:
     """Array of ``len(words) + 1``; with it :func:`sequence_span` hashes any run of words."""
+    term = times(_reduce(mix(words)), _prime_powers(_ROOT, max(1, len(words)))[: len(words)])
     out = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words) * _powers(_BASE, max(1, len(words)))[: len(words)], dtype=np.uint64, out=out[1:])
+    # Halves are added up apart, so no sum leaves 64 bits.
+    high, low = np.cumsum(term >> np.uint64(31), dtype=np.uint64), np.cumsum(term & np.uint64((1 << 31) - 1), dtype=np.uint64)
+    out[1:] = _reduce(times(_reduce(high), np.uint64(1 << 31)) + _reduce(low))
     return out
 
 
 def sequence_span(prefix: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    return (prefix[start + size] - prefix[start]) * _powers(_INV, len(prefix))[start]
+    inverse = _prime_powers(pow(_ROOT, -1, int(_PRIME)), len(prefix))
+    return times(_reduce(prefix[start + size] + _PRIME - prefix[start]), inverse[start])
 
 
 def ngram_hash(words: np.ndarray, k: int) -> np.ndarray:
@@ -129,10 +190,11 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     ok = rows[: len(h)] == rows[k - 1 :][: len(h)]
     out, row = h[ok], rows[: len(h)][ok]
     count = np.diff(first)
-    for r in np.flatnonzero((count > 0) & (count < k)):
-        short = words[first[r] : first[r + 1]]
-        out = np.append(out, ngram_hash(short, len(short)) ^ np.uint64(len(short)))
-        row = np.append(row, r)
+    for n in range(1, k):
+        short = np.flatnonzero(count == n)
+        whole = words[first[short][:, None] + np.arange(n)].reshape(-1)
+        out = np.concatenate([out, ngram_hash(whole, n)[::n] ^ np.uint64(n)])
+        row = np.concatenate([row, short])
     return out, row
 
 
