@@ -30,16 +30,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that share an id one stays; rows without an id stay."""
-    groups = ngram_groups(docs.select("doc_id", "text"), k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    removed = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group: the one with the smallest id; rows without an id stay.
+
+    Rows that share an id are documents of their own where their texts differ, equal ones are one.
+    Of a group's rows with the smallest id the one with the least digest stays.
+    """
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = stored(again, "again")
-    left = without_ids(docs, stored(removed, "removed"), "doc_id")
     if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without_ids(left, again, "doc_id").unionByName(once)
+        groups = ngram_groups(docs.select("doc_id", "text"), k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+        return without_ids(docs, stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "removed"), "doc_id")
+    # A key for each id and text; the columns travel as one struct, so that none clashes with it.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("key"), whole.alias("row"))
+    keyed = rows.filter("key IS NOT NULL")
+    groups = ngram_groups(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    ids = keyed.select(F.col("key").alias("k"), F.col("row.doc_id").alias("id")).distinct()
+    named = groups.select(F.col("doc_id").alias("k"), "component_id").distinct().join(ids, "k")
+    stays = stored(named.groupBy("component_id").agg(F.min_by("k", F.struct("id", "k")).alias("key")).select("key"), "stays")
+    # Of equal rows one; the other columns decide which, so that runs agree.
+    kept = keyed.join(stays, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    both = kept.select("row").unionByName(rows.filter("key IS NULL").select("row"))
+    return both.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
