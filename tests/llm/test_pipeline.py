@@ -100,6 +100,21 @@ def test_stages_take_odd_tables(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark, tmp_path):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = a.replace(" ", "  ", 1)
+    rows = [(5, a, 1), (5, b, 2), (5, b, 3), (3, near, 4), (7, b + " zz", 5), (7, c, 6), (7, c, 7), (None, a, 8), (9, None, 9), (9, None, 9), (9, "", 9)]
+    left = []
+    for seed in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, key long").orderBy(F.rand(seed)).repartition(1 + seed)
+        got = corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()
+        left.append(sorted(((r.doc_id is None, r.doc_id or 0, r.text or "", r.key) for r in got)))
+    assert left[0] == left[1]
+    kept = {(i, t) for _, i, t, _ in left[0]}
+    assert kept == {(3, near), (5, b), (7, c), (0, a), (9, "")} and len(left[0]) == 5
+
+
 def test_run_with_long_texts_and_no_benchmark(spark, tmp_path):
     rng = random.Random(3)
     schema = "doc_id long, text string, lang string, source string, n_chars long"
