@@ -317,7 +317,7 @@ def test_api_client(monkeypatch):
         sent.append(json.loads(request.data))
         return io.BytesIO(json.dumps({"data": {"projects": []}} if len(sent) > 1 else {"errors": ["no"]}).encode())
 
-    monkeypatch.setattr("urllib.request.urlopen", answer)
+    monkeypatch.setattr("tidemark.sources.readings.urlopen", answer)
     client = http_client("http://localhost/x", token="t")
     with pytest.raises(RuntimeError, match="rejected"):
         client({"alias": "a"})
@@ -326,7 +326,7 @@ def test_api_client(monkeypatch):
     def down(request, timeout):
         raise urllib.error.URLError("down")
 
-    monkeypatch.setattr("urllib.request.urlopen", down)
+    monkeypatch.setattr("tidemark.sources.readings.urlopen", down)
     with pytest.raises(ConnectionError):
         client({})
 

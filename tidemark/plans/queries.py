@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,10 @@ from ..functions.columns import blend, confidence, feather, has_keyword, iso, sp
 from ..operators import buffers, catalog, reconstruct, runs, validate
 from ..operators.forecast import Drift, LastValue
 from ..operators.long_series import stuck_periods_long
+from ..sources import api, sinks
 from ..sources import readings as src
-from ..sources import sinks
 from ..streaming import live
+from . import served
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """A folder that is deleted at the end, and a function that writes a result beside it and reads it back."""
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{base}-result")
+        return spark.read.schema(df.schema).parquet(f"{base}-result")
+
+    try:
+        yield base, keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     value = F.when(F.col("event_id") % 17 != 0, (F.floor(F.col("value") / 50) * 50).cast("double"))
@@ -100,7 +118,7 @@ def feed_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed(spark, sf_dir)
 
 
-SENSORS = ("cart", "click", "purchase", "signup", "view")
+SENSORS = ("cart", "click", "error", "purchase", "signup", "view")
 
 
 @query(
@@ -126,13 +144,13 @@ def name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", F.size(split_list(F.concat("event_type", F.lit(", ,"), "props"))).alias("n"))
 
 
-def nested_payload(rows: DataFrame) -> DataFrame:
+def nested_payload(rows: DataFrame, *keep: str) -> DataFrame:
     """Readings as nested answers of the API: one row for each point and day, so that none grows with the table."""
     rows = rows.withColumn("day", F.to_date("ts"))
     series = rows.groupBy(*SERIES, "day").agg(F.collect_list(F.struct(F.col("ts").cast("string").alias("timestamp"), "value")).alias("series"))
     points = series.groupBy("point_id", "day").agg(F.collect_list(F.struct(F.col("point_id").alias("id"), F.lit("sensor").alias("type"), F.col("sensor").alias("attribute"), "series")).alias("points"))
-    equipment = points.select(F.struct(F.col("point_id").alias("id"), F.lit("meter").alias("type"), "points").alias("e"))
-    return equipment.select(F.array(F.struct(F.lit("p").alias("id"), F.lit("plant").alias("alias"), F.array("e").alias("equipment"))).alias("projects"))
+    equipment = points.select(F.struct(F.col("point_id").alias("id"), F.lit("meter").alias("type"), "points").alias("e"), *keep)
+    return equipment.select(*keep, F.array(F.struct(F.lit("p").alias("id"), F.lit("plant").alias("alias"), F.array("e").alias("equipment"))).alias("projects"))
 
 
 @query("payload_flatten", f"WITH {FEED} SELECT point_id, sensor, ts, value, 'meter' AS equipment_type FROM feed")
@@ -140,6 +158,27 @@ def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.flatten_payload(nested_payload(feed(spark, sf_dir))).select("point_id", "sensor", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "equipment_type")
 
 
+def api_feed(spark: SparkSession, where: str, sf_dir: str) -> str:
+    """The feed as files that the stand-in for the API answers from."""
+    served.write_answers(nested_payload(feed(spark, sf_dir), "day"), f"{where}/answers")
+    return f"{where}/answers"
+
+
+@query(
+    "api_slices",
+    f"WITH {FEED} SELECT point_id AS equipment_id, sensor, ts, value FROM feed WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-21' AND sensor <> 'view'",
+)
+def api_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed served over HTTP and read slice by slice, a request in a task for each point, attribute and three days."""
+    with scratch(spark, "api") as (where, keep):
+        with served.served(spark, api_feed(spark, where, sf_dir)) as url:
+            rows = api.read_api(
+                spark, url, "plant", "2024-01-01", "2024-03-01", equipment="dev-0,dev-1,dev-2", attributes=",".join(SENSORS), slice_hours=72, token_variable=""
+            )
+            wanted = rows.filter("ts >= timestamp'2024-01-03 05:00:00' AND ts < timestamp'2024-01-21'").filter(F.col("attribute").isin("cart", "click", "error", "purchase", "signup"))
+            return keep(wanted.select("equipment_id", F.col("attribute").alias("sensor"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value"))
+
+
 @query(
     "resample_mean",
     f"WITH {FEED} SELECT point_id, sensor, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, round(avg(value), 6) AS value FROM feed GROUP BY ALL",

@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import os
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Sequence
 from typing import Any
+from urllib.error import HTTPError, URLError
+from urllib.request import Request, urlopen
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,11 +94,11 @@ def http_client(url: str, token: str | None = None, request: str = REQUEST, time
         body = json.dumps({"query": request, "variables": variables}).encode()
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {api_token(token)}"}
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as answer:
+            with urlopen(Request(url, body, headers), timeout=timeout) as answer:
                 got = json.loads(answer.read())
-        except urllib.error.HTTPError:
+        except HTTPError:
             raise
-        except (urllib.error.URLError, TimeoutError) as e:
+        except (URLError, TimeoutError) as e:
             raise ConnectionError(str(e)) from e
         if got.get("errors"):
             raise RuntimeError(f"the API rejected the request: {got['errors']}")
