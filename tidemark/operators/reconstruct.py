@@ -2,9 +2,10 @@
 
 The last-value forecaster has a closed form over the neighbours of a period, so it is plain
 column arithmetic. Other forecasters get one row for each period with as many values on
-either side as they look at. A series is cut into blocks of that many rows, each an array
+either side as they look at, in waves: one call for the next chunk of all periods of an
+Arrow batch. Those with a step in column arithmetic (drift, seasonal) stay in the JVM. A series is cut into blocks of that many rows, each an array
 that is made once; a period takes slices of the at most two blocks on either side (never a
-whole series). Forecasters run in Arrow batches.
+whole series).
 
 A period that starts with the first row of its series can't be reconstructed and is left
 out, and so is one that the forecaster rejects with a ``ValueError``. One row of context is
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 
 from ..functions.columns import blend, confidence, feather
 from ..functions.ship import ship
-from .forecast import CHUNK, CONTEXT, Forecaster, backward, forward
+from .forecast import CHUNK, CONTEXT, Forecaster, forward_many
+from .forecast_columns import forecasts_in_columns, steps_of
 from .runs import SERIES, periods_of, with_neighbours, with_open_end, with_runs
+from .segments import with_runs_in_chunks
 
 FEATHER = 3
 
@@ -63,19 +66,15 @@ def forecasts(periods: DataFrame, model: Forecaster, chunk: int = CHUNK, limit:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            f, b, done = [], [], []
-            for before, after, n, open_ended in zip(batch["context_before"], batch["context_after"], batch["n_points"], batch["is_open_ended"], strict=True):
-                try:
-                    x = forward(model, np.array(before, float), int(n), chunk, limit)
-                    y = None if open_ended or len(after) == 0 else backward(model, np.array(after, float), int(n), chunk, limit)
-                except ValueError:
-                    done.append(False)
-                    continue
-                f.append(x)
-                b.append(y)
-                done.append(True)
-            if f:
-                yield batch[done].assign(forward=f, backward=b)
+            # All periods of the batch go on chunk by chunk together, forwards, then those with an end backwards.
+            n = batch["n_points"].astype(int).tolist()
+            f = forward_many(model, [np.array(x, float) for x in batch["context_before"]], n, chunk, limit)
+            after = [None if open_ended or len(x) == 0 else np.array(x, float)[::-1] for x, open_ended in zip(batch["context_after"], batch["is_open_ended"], strict=True)]
+            ended = [i for i, x in enumerate(after) if x is not None and f[i] is not None]
+            back = dict(zip(ended, forward_many(model, [after[i] for i in ended], [n[i] for i in ended], chunk, limit), strict=True))
+            done = [i for i in range(len(n)) if f[i] is not None and (i not in back or back[i] is not None)]
+            if done:
+                yield batch.iloc[done].assign(forward=[f[i] for i in done], backward=[back[i][::-1] if i in back else None for i in done])
 
     return periods.mapInPandas(run, out)
 
@@ -95,9 +94,9 @@ def _imputed(rows: DataFrame, feather_points: int, name: str, version: str, labe
     )
 
 
-def gap_contexts(readings: DataFrame, min_hours: float = 0.25, limit: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Rows with runs, and the periods with neighbours that can be reconstructed."""
-    runs = with_neighbours(with_runs(readings, limit))
+def gap_contexts(readings: DataFrame, min_hours: float = 0.25, limit: int = 1, chunk_hours: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with runs, and the periods with neighbours that can be reconstructed; with ``chunk_hours`` no task needs a whole series."""
+    runs = with_neighbours(with_runs(readings, limit)) if chunk_hours is None else with_runs_in_chunks(readings, limit, chunk_hours)
     return runs, with_open_end(periods_of(runs, min_hours), readings).filter("first_rn > 1")
 
 
@@ -105,9 +104,11 @@ def _rows(runs: DataFrame, periods: DataFrame) -> DataFrame:
     return runs.select(*SERIES, "run", "ts", "value", "rn").join(periods, [*SERIES, "run"]).withColumn("i", F.col("rn") - F.col("first_rn"))
 
 
-def reconstruct_last_value(readings: DataFrame, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER, label_all_reconciled: bool = False) -> DataFrame:
+def reconstruct_last_value(
+    readings: DataFrame, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER, label_all_reconciled: bool = False, chunk_hours: float | None = None
+) -> DataFrame:
     """Imputed rows by the last-value forecaster, without leaving the JVM."""
-    runs, periods = gap_contexts(readings, min_hours, limit)
+    runs, periods = gap_contexts(readings, min_hours, limit, chunk_hours)
     rows = _rows(runs, periods)
     for c, of in (("f", "before"), ("f_first", "before"), ("f_last", "before"), ("b", "after"), ("b_first", "after"), ("b_last", "after")):
         rows = rows.withColumn(c, F.col(of))
@@ -116,13 +117,17 @@ def reconstruct_last_value(readings: DataFrame, min_hours: float = 0.25, limit:
 
 def reconstruct(
     readings: DataFrame, model: Forecaster, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER,
-    chunk: int = CHUNK, context: int | None = None, label_all_reconciled: bool = False,
+    chunk: int = CHUNK, context: int | None = None, label_all_reconciled: bool = False, chunk_hours: float | None = None,
 ) -> DataFrame:
-    """Imputed rows by any forecaster, with as much context as it looks at unless ``context`` says otherwise."""
+    """Imputed rows by any forecaster, with as much context as it looks at unless ``context`` says otherwise.
+
+    A forecaster that has its step as column arithmetic (:func:`forecast_columns.steps_of`) stays in the JVM.
+    """
     context = context or model.context
-    runs, periods = gap_contexts(readings, min_hours, limit)
+    runs, periods = gap_contexts(readings, min_hours, limit, chunk_hours)
     narrow = periods.select(*SERIES, "run", "first_rn", "last_rn", "n_points", "is_open_ended", "before", "after", "start_time")
-    done = forecasts(contexts(runs, narrow, context), model, chunk, context).drop("context_before", "context_after")
+    around = contexts(runs, narrow, context)
+    done = (forecasts_in_columns if steps_of(model) else forecasts)(around, model, chunk, context).drop("context_before", "context_after")
     rows = _rows(runs, done)
     at = lambda c, i: F.get(c, i)
     n = F.col("n_points").cast("int")

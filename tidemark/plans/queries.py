@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import blend, confidence, feather, has_keyword, iso, split_list
-from ..operators import buffers, catalog, reconstruct, runs, validate
-from ..operators.forecast import Drift, LastValue
+from ..operators import buffers, catalog, reconstruct, runs, segments, validate
+from ..operators.forecast import Drift, Forecaster, LastValue, SeasonalNaive
 from ..operators.long_series import stuck_periods_long
 from ..sources import api, sinks
 from ..sources import readings as src
@@ -70,9 +70,9 @@ FEED = """feed AS (
 W = "PARTITION BY point_id, sensor ORDER BY ts"
 
 
-def runs_sql(limit: int = 1) -> str:
+def runs_sql(limit: int = 1, feed_sql: str = FEED) -> str:
     filled = f"last_value(value IGNORE NULLS) OVER ({W} ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW)" if limit > 0 else "value"
-    return f"""{FEED}, filled AS (SELECT *, {filled} AS filled FROM feed),
+    return f"""{feed_sql}, filled AS (SELECT *, {filled} AS filled FROM feed),
 changed AS (SELECT *, CASE WHEN filled IS NULL OR lag(filled) OVER ({W}) IS NULL OR filled <> lag(filled) OVER ({W}) THEN 1 ELSE 0 END AS changed FROM filled),
 runs AS (
   SELECT *, sum(changed) OVER ({W} ROWS UNBOUNDED PRECEDING)::BIGINT AS run, row_number() OVER ({W})::BIGINT AS rn,
@@ -220,6 +220,19 @@ def stuck_periods_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuck_periods_long(feed(spark, sf_dir))
 
 
+@query("run_ids_chunked", f"WITH {runs_sql()} SELECT event_id, run, rn, prev_value, next_value, valid_before FROM runs")
+def run_ids_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, row numbers and neighbours in chunks of a day; no task needs a whole series."""
+    rows = segments.with_runs_in_chunks(feed(spark, sf_dir))
+    return rows.select("event_id", F.col("run").cast("long").alias("run"), F.col("rn").cast("long").alias("rn"), "prev_value", "next_value", "valid_before")
+
+
+@query("stuck_periods_chunked_limit3", f"WITH {runs_sql(3)} SELECT point_id, sensor, run, stuck_value, start_time, end_time, n_points, duration_seconds FROM periods")
+def stuck_periods_chunked_limit3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periods_of(segments.with_runs_in_chunks(feed(spark, sf_dir), 3, 12))
+    return found.select(*SERIES, F.col("run").cast("long").alias("run"), "stuck_value", "start_time", "end_time", "n_points", "duration_seconds")
+
+
 @query(
     "stuck_periods_display",
     f"""WITH {runs_sql()} SELECT sensor AS "Sensor/Metric", stuck_value AS "Stuck Value", strftime(start_time, '%Y-%m-%d %H:%M:%S') AS "Start Time",
@@ -241,6 +254,12 @@ def gap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter("valid_before >= 5").select(*SERIES, "start_time", "before", "after", "valid_before", "n_points")
 
 
+@query("gap_context_chunked", f"WITH {runs_sql()} SELECT point_id, sensor, start_time, before, after, valid_before, n_points FROM open_ WHERE valid_before >= 5")
+def gap_context_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, p = reconstruct.gap_contexts(feed(spark, sf_dir), chunk_hours=24)
+    return p.filter("valid_before >= 5").select(*SERIES, "start_time", "before", "after", "valid_before", "n_points")
+
+
 @query(
     "context_arrays",
     f"""WITH {runs_sql()} SELECT o.point_id, o.sensor, o.start_time,
@@ -420,18 +439,84 @@ blended AS (
 started AS (SELECT *, y + (before - first_) * greatest(0, 1 - i / w) AS s, last_ + (before - first_) * greatest(0, 1 - (n - 1) / w) AS e FROM blended)"""
 
 
-@query(
-    "reconstruct_drift",
-    f"""WITH {DRIFT} SELECT point_id, sensor, ts AS "timestamp", value AS raw_value,
+DRIFT_ROWS = f"""WITH {DRIFT} SELECT point_id, sensor, ts AS "timestamp", value AS raw_value,
   round(CASE WHEN is_open_ended THEN s ELSE s + (after - e) * greatest(0, 1 - (n - 1 - i) / w) END, 6) AS imputed_value,
   CASE WHEN is_open_ended THEN 'drift-forward-only' ELSE 'drift-bidirectional' END AS imputation_method,
-  CASE WHEN is_open_ended THEN 'PROVISIONAL' ELSE 'RECONCILED' END AS imputation_confidence, '1' AS imputation_model_version, start_time AS period_start FROM started""",
-)
+  CASE WHEN is_open_ended THEN 'PROVISIONAL' ELSE 'RECONCILED' END AS imputation_confidence, '1' AS imputation_model_version, start_time AS period_start FROM started"""
+
+
+@query("reconstruct_drift", DRIFT_ROWS)
 def reconstruct_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forecaster over up to 512 values of context, in chunks of 64 steps (its SQL holds for periods of one chunk)."""
     return rounded(reconstruct.reconstruct(feed(spark, sf_dir), Drift()), "imputed_value")
 
 
+@query("reconstruct_drift_chunked", DRIFT_ROWS)
+def reconstruct_drift_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for series of any length: runs and contexts by chunks of a day."""
+    return rounded(reconstruct.reconstruct(feed(spark, sf_dir), Drift(), chunk_hours=24), "imputed_value")
+
+
+#: A feed that stands still for four days of eight, so that periods are longer than a chunk of forecasts.
+SLOW = """feed AS (
+  SELECT 'dev-' || (user_id % 3)::VARCHAR AS point_id, event_type AS sensor, ts, event_id, CASE WHEN event_id % 17 <> 0 THEN
+    CASE WHEN epoch_us(ts) // 345600000000 % 2 = 0 THEN (epoch_us(ts) // 345600000000)::DOUBLE ELSE (floor(value / 50) * 50)::DOUBLE END END AS value
+  FROM events)"""
+
+
+def slow_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 345_600_000_000)
+    rows = feed(spark, sf_dir)
+    return rows.withColumn("value", F.when(F.col("value").isNotNull(), F.when(block % 2 == 0, block.cast("double")).otherwise(F.col("value"))))
+
+
+_KNOWN = "list_filter(range(1, len(seen) + 1), lambda j: seen[j] IS NOT NULL)"
+DRIFT_STEP = f"""(SELECT list_transform(range(1, 65), lambda i: seen[k[-1]] + CASE WHEN len(k) > 1 THEN (seen[k[-1]] - seen[k[1]]) / (k[-1] - k[1]) ELSE 0 END * (len(seen) - k[-1] + i))
+  FROM (SELECT {_KNOWN} AS k))"""
+SEASON_STEP = "list_transform(range(0, 64), lambda i: seen[greatest(len(seen) - 24, 0) + 1 + i % least(24, len(seen))])"
+
+
+def folded_sql(step: str, context: int, name: str) -> str:
+    """Reconstruction by a forecaster in chunks of 64: the recurrence over chunks is a recursive query."""
+    key = "point_id, sensor, run"
+    near = lambda between, order: f"SELECT p.point_id, p.sensor, p.run, list(r.value ORDER BY r.rn {order}) AS x FROM p JOIN runs r ON r.point_id = p.point_id AND r.sensor = p.sensor AND r.rn BETWEEN {between} GROUP BY ALL"
+    return f"""WITH RECURSIVE {runs_sql(1, SLOW)}, p AS (SELECT * FROM open_ WHERE first_rn > 1),
+c AS (SELECT 'f' AS way, * FROM ({near(f"first_rn - {context} AND first_rn - 1", "")}) UNION ALL SELECT 'b', * FROM ({near(f"last_rn + 1 AND last_rn + {context}", "DESC")})),
+fold AS (
+  SELECT way, {key}, n_points AS n, x AS seen, []::DOUBLE[] AS made FROM c JOIN p USING ({key})
+  UNION ALL
+  SELECT way, {key}, n, list_slice(seen || y, greatest(1, len(seen) + 64 - {context - 1}), len(seen) + 64), made || y
+  FROM (SELECT *, {step} AS y FROM fold WHERE len(made) < n)),
+done AS (SELECT * FROM fold WHERE len(made) >= n),
+line AS (
+  SELECT r.point_id, r.sensor, r.ts, r.value, r.rn - first_rn AS i, n_points AS n, before, after, is_open_ended, start_time,
+    f.made[r.rn - first_rn + 1] AS f, b.made[last_rn - r.rn + 1] AS k, f.made[1] AS f0_, f.made[n_points] AS f1, b.made[n_points] AS k0, b.made[1] AS k1
+  FROM runs r JOIN p USING ({key}) LEFT JOIN (SELECT {key}, made FROM done WHERE way = 'f') f USING ({key}) LEFT JOIN (SELECT {key}, made FROM done WHERE way = 'b') b USING ({key})),
+blended AS (
+  SELECT *, CASE WHEN is_open_ended THEN f ELSE f * (1 - i::DOUBLE / (n - 1)) + k * (i::DOUBLE / (n - 1)) END AS y,
+    CASE WHEN is_open_ended THEN f0_ ELSE f0_ + 0 * k0 END AS f0, CASE WHEN is_open_ended THEN f1 ELSE 0 * f1 + k1 END AS last_, least(3, n)::DOUBLE AS w FROM line),
+started AS (SELECT *, y + (before - f0) * greatest(0, 1 - i / w) AS s, last_ + (before - f0) * greatest(0, 1 - (n - 1) / w) AS e FROM blended)
+SELECT point_id, sensor, ts AS "timestamp", n AS n_points, round(CASE WHEN is_open_ended THEN s ELSE s + (after - e) * greatest(0, 1 - (n - 1 - i) / w) END, 5) + 0::DOUBLE AS imputed_value,
+  '{name}-' || CASE WHEN is_open_ended THEN 'forward-only' ELSE 'bidirectional' END AS imputation_method FROM started"""
+
+
+def long_periods(spark: SparkSession, sf_dir: str, model: Forecaster) -> DataFrame:
+    rows = reconstruct.reconstruct(slow_feed(spark, sf_dir), model)
+    sizes = rows.groupBy(*SERIES, "period_start").agg(F.count(F.lit(1)).alias("n_points"))
+    return rows.join(sizes, [*SERIES, "period_start"]).select(*SERIES, "timestamp", "n_points", (F.round("imputed_value", 5) + 0.0).alias("imputed_value"), "imputation_method")
+
+
+@query("reconstruct_drift_long", folded_sql(DRIFT_STEP, 512, "drift"))
+def reconstruct_drift_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of several chunks: the fold over arrays in the JVM, a recursive query in SQL."""
+    return long_periods(spark, sf_dir, Drift())
+
+
+@query("reconstruct_seasonal_long", folded_sql(SEASON_STEP, 24, "seasonal-naive-24"))
+def reconstruct_seasonal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_periods(spark, sf_dir, SeasonalNaive(24))
+
+
 @query(
     "imputed_latest",
     f"""WITH {IMPUTED}, twice AS (SELECT *, 1 AS write_seq, imputed_value AS v FROM imputed UNION ALL SELECT *, 2, imputed_value + 1 FROM imputed WHERE raw_value IS NOT NULL)
