@@ -4,8 +4,10 @@ A page is cut into blocks at block-level tags by one forward pass. Each block ha
 words and link density, those of its neighbours on both sides, and what is known of its
 containers: how far tag, role, class and id of the most suspicious one sound like
 boilerplate, which share of the page's words it holds, whether it holds a first heading,
-and whether an article lies inside it. A CART tree, grown from a small labelled table,
-weighs all of these and keeps or drops every block; no word or tag decides alone. Pages are
+whether an article lies inside or around it, and whether the block is apart from the first
+heading: no container but one with all of the page's words holds both. A CART tree, grown from a small labelled table,
+splits by words and link densities of block and neighbours first, and by all of these below,
+so what a container's name is worth depends on the text in and around it. Pages are
 handled one by one inside Arrow batches, so nothing is shuffled.
 
 The pass is linear in the page: a tag is read once, a quote or comment that never closes is
@@ -56,17 +58,23 @@ BOILER_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words in class or id that often mark what isn't main text.
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets "
-    "related recommended recommendations trending popular share sharing social comment comments disqus respond reply replies footer footnav toolbar topbar "
-    "masthead skip copyright legal search form".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notices popup modal overlay "
+    "newsletter subscribe subscription signup login nav navbar navigation menus breadcrumb breadcrumbs pagination pager sidebar widget widgets "
+    "related recommended recommendations trending share sharing social comment comments disqus respond reply replies footer footnav toolbar topbar "
+    "masthead copyright opinions discussion discussions responses feedback talkback guestbook reader readers opinion".split()
 )
-OWN = ("words", "links", "mark", "share", "title", "article", "heading", "item")
+#: Words that say it less often; they count half.
+WEAK_WORDS = frozenset("search form legal menu notice alert popular aside skip reviews thread".split())
+#: Words of every kind of container, which say nothing.
+NEUTRAL_WORDS = frozenset("section box block container wrapper area inner div list item post posts group".split())
+OWN = ("words", "links", "mark", "share", "title", "article", "within", "apart", "heading", "item")
+#: First levels of the tree that split by words and link densities only.
+TEXT_LEVELS, TEXT_FEATURES = 1, 6
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *OWN[2:])
 
 
 def mark(tag: str, attributes: str, in_article: bool) -> float:
-    """How much an element sounds like boilerplate: 1 by its tag, role or being hidden, else the share of such words in class and id."""
+    """How much an element sounds like boilerplate: 1 by its tag, role or being hidden, else the share of such words among the telling ones in class and id."""
     if tag in BOILER_TAGS or tag == "header" and not in_article:
         return 1.0
     parts: list[str] = []
@@ -78,7 +86,10 @@ def mark(tag: str, attributes: str, in_article: bool) -> float:
             return 1.0
         if name in ("class", "id"):
             parts += [x.lower() for x in PART.findall(value)]
-    return sum(x in BOILER_WORDS or x == "header" and not in_article for x in parts) / len(parts) if parts else 0.0
+    said = [0.5 if x in WEAK_WORDS else 1.0 if x in BOILER_WORDS or x == "header" and not in_article else 0.0 for x in parts]
+    # Neutral words count only where there is nothing else.
+    telling = sum(x not in NEUTRAL_WORDS for x in parts)
+    return sum(said) / telling if telling else 0.0
 
 
 class Page:
@@ -270,13 +281,22 @@ def blocks(page: str) -> list[tuple[str, list[float], bool]]:
     worst = [(0.0, -1)] * n
     for i in range(1, n):
         worst[i] = max(worst[p.parent[i]], (p.mark[i] * (1 - words[i] / total), i)) if p.mark[i] else worst[p.parent[i]]
+    # Blocks are together with the first heading where a container holds both and not all of the page's words.
+    heading = next((at for _, at, _, _ in p.blocks if p.tag[at] == "h1"), next((at for _, at, _, _ in p.blocks if p.tag[at] in HEADINGS), 0))
+    inmost = p.parent[heading] if heading else 0
+    together = [False] * n
+    while inmost > 0 and words[inmost] < total:
+        together[inmost], inmost = True, p.parent[inmost]
+    for i in range(1, n):
+        together[i] = together[i] or together[p.parent[i]]
+    some = any(together)
     out = []
     for text, at, size, linked in p.blocks:
         suspicion, w = worst[at]
         marked = suspicion > 0
         own = [
             size, linked / size, p.mark[w] if marked else 0.0, words[w] / total if marked else 1.0, float(marked and titles[w] > 0),
-            float(p.article[at] >= 0 and (not marked or p.article[at] >= w)), float(p.tag[at] in HEADINGS), float(p.tag[at] == "li"),
+            float(p.article[at] >= 0 and (not marked or p.article[at] >= w)), float(p.article[at] >= 0), 0.5 if not some else float(not together[at]), float(p.tag[at] in HEADINGS), float(p.tag[at] == "li"),
         ]
         out.append((text, own, p.labelled[at]))
     return out
@@ -290,8 +310,11 @@ def features(found: list[list[float]]) -> np.ndarray:
     return np.column_stack([own[:, :2], around[:-2], around[2:], own[:, 2:]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> list[tuple[int, float, int, int, float]]:
-    """CART with Gini impurity; nodes are (feature or -1, threshold, left, right, share of kept)."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2, text_levels: int = TEXT_LEVELS) -> list[tuple[int, float, int, int, float]]:
+    """CART with Gini impurity; nodes are (feature or -1, threshold, left, right, share of kept).
+
+    The first ``text_levels`` split by the first ``TEXT_FEATURES`` features only.
+    """
     nodes: list[tuple[int, float, int, int, float]] = []
 
     def node(rows: np.ndarray, level: int) -> int:
@@ -299,7 +322,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> list[t
         nodes.append((-1, 0.0, -1, -1, share))
         best = (share * (1 - share) * len(rows) - 1e-9, -1, 0.0)
         if level < depth and 0 < share < 1:
-            for f in range(x.shape[1]):
+            for f in range(TEXT_FEATURES if level < text_levels else x.shape[1]):
                 for t in np.unique(x[rows, f])[:-1]:
                     side = x[rows, f] <= t
                     a, b = y[rows][side], y[rows][~side]
