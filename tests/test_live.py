@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from pyspark.sql import types as T
 
 from tidemark.operators import reconstruct
 from tidemark.sources.readings import READING, file_messages, kafka_messages, parse_messages
-from tidemark.streaming.live import live_updates, newest_windows, snapshot, update_messages, write_updates
+from tidemark.operators.forecast import Drift, LastValue
+from tidemark.streaming import run_buffer
+from tidemark.streaming.live import find_periods, live_updates, newest_windows, rebuild, snapshot, snapshot_from_state, update_messages, write_updates
 
 START = pd.Timestamp("2026-01-01")
 _n = [0]
@@ -138,3 +142,116 @@ def test_batches_done_again_replace_themselves(spark, tmp_path):
         write_updates(live_updates(file_messages(spark, str(folder)), min_context=3), str(tmp_path / "out"), str(tmp_path / checkpoint), once=True).awaitTermination()
     out = spark.read.json(str(tmp_path / "out"))
     assert out.count() == 6 and out.select("seq").distinct().count() == 6
+
+
+def plain_updates(messages, model, min_hours=0.25, max_points=2000, min_context=3):
+    """What each message gives, found anew in the whole buffer each time."""
+    held, done, out = {}, set(), []
+    for seq, (place, v, *_) in enumerate(messages):
+        at = int((START + pd.Timedelta(minutes=10 * place)).value // 1000)
+        held[at] = np.nan if v is None else float(v)
+        for extra in sorted(held)[: max(0, len(held) - max_points)]:
+            del held[extra]
+        ts = sorted(held)
+        value = np.array([held[t] for t in ts])
+        out.append((seq, "point", None, None))
+        for first, last in find_periods(np.array(ts), value, min_hours) if len(ts) > 1 else []:
+            open_ended = bool(np.isnan(value[last + 1 :]).all())
+            if ts[first] in done or (~np.isnan(value[:first])).sum() < min_context or first == 0:
+                continue
+            try:
+                y = rebuild(model, value, first, last, open_ended)
+            except ValueError:
+                continue
+            out.append((seq, f"{model.name}-{'forward-only' if open_ended else 'bidirectional'}", ts[first], [None if np.isnan(x) else round(float(x), 9) for x in y]))
+            if not open_ended:
+                done.add(ts[first])
+    return out
+
+
+def shuffled(seed, n):
+    rng, at, rows = random.Random(seed), 0, []
+    while len(rows) < n:
+        for v in [rng.choice([None, 1.0, 2.0, 3.0, rng.random()])] * rng.choice([1, 1, 2, 4]):
+            at += rng.choice([1, 1, 1, 3])
+            rows.append((at, v))
+    order = sorted(range(len(rows)), key=lambda i: i + rng.choice([0, 0, 0, 5, 15]))
+    late = [rows[i] for i in order]
+    return late + [(p, rng.choice([None, 1.0, 9.0])) for p, _ in rng.sample(rows, 12)]
+
+
+@pytest.mark.parametrize(("seed", "model", "most"), [(1, LastValue(), 2000), (2, Drift(), 2000), (3, LastValue(), 25)])
+def test_updates_are_those_of_a_scan_at_each_message(spark, tmp_path, monkeypatch, seed, model, most):
+    messages = shuffled(seed, 110)
+    t = play(spark, tmp_path, messages, per_batch=13, model=model, max_points=most)
+    micros = lambda x: None if x is None else pd.Timestamp(x).value // 1000
+    rows = [
+        (r.seq, r.method or r.type, micros(r.start_time), None if r["values"] is None else [None if v is None else round(v, 9) for v in r["values"]])
+        for r in t.filter("type <> 'error'").collect()
+    ]
+    want = plain_updates(messages, model, max_points=most)
+    assert sorted(rows, key=str) == sorted(want, key=str) and sum(r[1] != "point" for r in want) > 20
+
+
+@pytest.mark.parametrize("most", [5, 40])
+def test_run_index_follows_every_message(monkeypatch, most):
+    monkeypatch.setattr(run_buffer, "BLOCK", 4)
+    for seed in range(40):
+        rng, stored, held = random.Random(seed), {}, {}
+        buffer = run_buffer.RunBuffer(stored.__getitem__, most, 600)
+        for _ in range(70):
+            t, v = rng.randint(0, 60) * 300, rng.choice([None, 1.0, 1.0, 2.0])
+            buffer.add(t, v)
+            held[t] = np.nan if v is None else v
+            for extra in sorted(held)[: max(0, len(held) - most)]:
+                del held[extra]
+            ts = np.array(sorted(held))
+            value = np.array([held[x] for x in ts])
+            assert [x for x, _ in buffer.rows()] == ts.tolist()
+            assert [buffer.span(x) for x in buffer.pending] == [(ts[a], ts[b]) for a, b in find_periods(ts, value, 600 / 3.6e9) if not buffer.is_done(ts[a])]
+            if buffer.pending and rng.random() < 0.2:
+                buffer.finish(rng.choice(buffer.pending))
+            if rng.random() < 0.3:  # a batch ends: only what changed is stored
+                for x in buffer.removed:
+                    stored.pop(x, None)
+                stored.update({x: run_buffer.Block([*buffer.blocks[x].ts], [*buffer.blocks[x].value], [*buffer.blocks[x].start]) for x in buffer.changed})
+                buffer = run_buffer.RunBuffer(stored.__getitem__, most, 600, [dict(h) for h in buffer.header], buffer.pending, buffer.done, buffer.next_id)
+
+
+def test_work_for_a_message_does_not_grow_with_the_buffer():
+    most = {}
+    for n in (300, 2000):
+        rng = random.Random(1)
+        stored = {}
+        buffer = run_buffer.RunBuffer(stored.__getitem__, n, 600)
+        for t in range(n):
+            buffer.add(t * 300, rng.choice([None, 1.0, 1.0, 2.0]))
+        for start in list(buffer.pending):
+            buffer.finish(start)
+        stored.update({i: b for i, b in buffer.blocks.items()})
+        work, blocks = [], []
+        for t in [*(rng.randrange(n) for _ in range(200)), *range(n, n + 200)]:
+            fresh = run_buffer.RunBuffer(stored.__getitem__, n, 600, buffer.header, buffer.pending, buffer.done, buffer.next_id)
+            fresh.add(t * 300 + rng.choice([0, 7]), rng.choice([None, 1.0, 2.0]))
+            work.append(fresh.work)
+            blocks.append(len(fresh.blocks))
+            stored.update(fresh.blocks)
+            buffer = fresh
+        most[n] = max(work)
+        assert max(blocks) <= 8
+    assert most[2000] <= 12 * run_buffer.BLOCK and most[2000] <= 1.5 * most[300]
+
+
+def test_snapshot_from_state_is_that_of_the_log(spark, tmp_path):
+    messages = [(p, v, f"p{i % 2}") for i, (p, v) in enumerate(shuffled(5, 120))]
+    t = play(spark, tmp_path, messages, per_batch=17, max_points=30)
+    checkpoint = str(tmp_path / f"clive{_n[0] - 1}")
+    for point in ("p0", "p1"):
+        readings, windows = snapshot(t, point, "t", points=30)
+        again, state_windows = snapshot_from_state(spark, checkpoint, point, "t")
+        columns = ["point_id", "sensor", "ts", "value"]
+        assert again.select(columns).orderBy("ts").collect() == readings.select(columns).collect()
+        columns = ["start_time", "end_time", "seq", "method", "confidence", "times", "values"]
+        assert state_windows.select(columns).orderBy("start_time").collect() == windows.select(columns).collect() and windows.count() > 3
+    assert snapshot_from_state(spark, checkpoint)[0].select("point_id").distinct().count() == 2
+    assert all(x.count() == 0 for x in snapshot_from_state(spark, checkpoint, "nobody", "t"))

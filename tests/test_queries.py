@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans.queries import QUERIES, SQL, entry, feed, nested_payload
+from tidemark.plans.queries import QUERIES, SQL, TABLES, entry, feed, nested_payload
 from tidemark.sources.readings import flatten_payload
 
 
@@ -28,7 +28,8 @@ def test_query(spark, sf, name):
         assert len(got) > 0
         return
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    for table in (*TABLES, "documents"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     expect = db.execute(SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(expect.columns)

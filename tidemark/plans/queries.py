@@ -6,6 +6,7 @@ for each event type, values in steps of 50, every seventeenth reading missing.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from ..functions.columns import blend, confidence, feather, has_keyword, iso, sp
 from ..operators import buffers, catalog, reconstruct, runs, segments, validate
 from ..operators.forecast import Drift, Forecaster, LastValue, SeasonalNaive
 from ..operators.long_series import stuck_periods_long
-from ..sources import api, sinks
+from ..sources import api, sinks, upserts
 from ..sources import readings as src
 from ..streaming import live
 from . import served
@@ -529,6 +530,19 @@ def imputed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sinks.latest(once.unionByName(again)).select(*SERIES, "timestamp", "v", "write_seq"), "v")
 
 
+@query("upserted_latest", SQL["imputed_latest"])
+def upserted_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a table that rewrites touched partitions: batches out of order, one of them twice."""
+    once = reconstruct.reconstruct_last_value(feed(spark, sf_dir)).withColumn("write_seq", F.lit(1)).withColumn("v", F.col("imputed_value"))
+    again = once.filter("raw_value IS NOT NULL").withColumn("write_seq", F.lit(2)).withColumn("v", F.col("imputed_value") + 1)
+    early, late = "timestamp < '2024-01-16'", "timestamp >= '2024-01-16'"
+    with scratch(spark, "upserts") as (where, keep):
+        table = upserts.LatestTable(spark, where, buckets=4)
+        for batch, rows in ((3, again.filter(late)), (1, once.filter(early)), (2, once.filter(late)), (3, again.filter(late)), (4, again.filter(early)), (1, once.filter(early))):
+            table.upsert(rows, batch)
+        return keep(rounded(table.read().select(*SERIES, "timestamp", "v", "write_seq"), "v"))
+
+
 @query("confidence_by_method", f"WITH {IMPUTED} SELECT imputation_method, imputation_confidence, count(*)::BIGINT AS n FROM imputed GROUP BY ALL")
 def confidence_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reconstruct.reconstruct_last_value(feed(spark, sf_dir))
@@ -555,9 +569,8 @@ def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.distinct_times(rows, "event_id")
 
 
-def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last version of each window of a live run over the whole feed, message by message in order of time."""
-    where = f"{shared_folder(spark)}/live-{uuid.uuid4().hex[:12]}"
+def live_run(spark: SparkSession, sf_dir: str, where: str, **parameters: int) -> None:
+    """A live run over the whole feed, message by message in order of time: updates in ``out``, state in ``state``."""
     messages = feed(spark, sf_dir).select(*SERIES, F.col("ts").cast("timestamp").alias("ts"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"))
     messages.write.parquet(f"{where}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -566,9 +579,9 @@ def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
 
-    q = live.live_updates(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    updates = live.live_updates(stream, **parameters)
+    q = updates.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), 1_000_000)
 
 
 @query(
@@ -578,9 +591,21 @@ SELECT point_id, sensor, "timestamp", round(imputed_value, 6) AS imputed_value,
 FROM imputed JOIN p USING (point_id, sensor, period_start) WHERE valid_before >= 5""",
 )
 def live_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its SQL holds while no series is longer than the live buffer of 2000 readings."""
-    rows = live_state(spark, sf_dir).select(*SERIES, "method", "confidence", F.explode(F.arrays_zip("times", "values")).alias("x"))
-    return rows.select(*SERIES, F.col("x.times").cast("timestamp_ntz").alias("timestamp"), F.round("x.values", 6).alias("imputed_value"), "method", "confidence")
+    """The last version of each window, with a buffer that no series here outgrows."""
+    with scratch(spark, "live") as (where, keep):
+        live_run(spark, sf_dir, where, max_points=1_000_000)
+        newest = live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), 1_000_000)
+        rows = newest.select(*SERIES, "method", "confidence", F.explode(F.arrays_zip("times", "values")).alias("x"))
+        return keep(rows.select(*SERIES, F.col("x.times").cast("timestamp_ntz").alias("timestamp"), F.round("x.values", 6).alias("imputed_value"), "method", "confidence"))
+
+
+@query("snapshot_state", f"WITH {FEED} SELECT point_id, sensor, ts, value FROM feed QUALIFY row_number() OVER (PARTITION BY point_id, sensor ORDER BY ts DESC) <= 50")
+def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 50 readings of every series out of the state of a live run, without its log."""
+    with scratch(spark, "snapshot") as (where, keep):
+        live_run(spark, sf_dir, where, max_points=50)
+        readings, _ = live.snapshot_from_state(spark, f"{where}/state")
+        return keep(readings.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 @query("first_messages", f"WITH {FEED} SELECT point_id, sensor, ts, value, event_id FROM feed ORDER BY ts, event_id LIMIT 500")
@@ -625,16 +650,30 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.message_json(feed(spark, sf_dir))
 
 
+_POINT = f"""'{{"type":"point","point_id":"' || point_id || '","sensor":"' || sensor || '","timestamp":"' || {_ISO} || '","value":' || coalesce(value::BIGINT::VARCHAR || '.0', 'null') || '}}'"""
+_ISO_OF = lambda c: re.sub(r"\bts\b", c, _ISO)
+
+
 @query(
     "feed_messages",
-    f"""WITH {FEED} SELECT point_id, sensor, event_id AS seq, '{{"type":"point","point_id":"' || point_id || '","sensor":"' || sensor || '","timestamp":"' || {_ISO} || '","value":' ||
-  coalesce(value::BIGINT::VARCHAR || '.0', 'null') || '}}' AS message FROM feed""",
+    f"""WITH {runs_sql()}, w AS (
+  SELECT o.point_id, o.sensor, o.start_time, o.end_time, o.is_open_ended, list(r.ts ORDER BY r.rn) AS times
+  FROM open_ o JOIN runs r USING (point_id, sensor, run) WHERE o.valid_before >= 5 GROUP BY ALL)
+SELECT point_id, sensor, {_POINT} AS message FROM feed
+UNION ALL SELECT point_id, sensor, '{{"type":"reconstruction","point_id":"' || point_id || '","sensor":"' || sensor || '","start_time":"' || {_ISO_OF("start_time")} || '","end_time":"' || {_ISO_OF("end_time")} ||
+  '","method":"last-value-' || CASE WHEN is_open_ended THEN 'forward-only","confidence":"PROVISIONAL' ELSE 'bidirectional","confidence":"RECONCILED' END || '","values":[' ||
+  array_to_string(list_transform(times, lambda t: '{{"timestamp":"' || {_ISO_OF("t")} || '","value":null}}'), ',') || ']}}' FROM w""",
 )
 def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading as a message of the live feed."""
+    """Every reading, and the last version of every window of a live run, as messages of the feed; windows' values, which are numbers, are left out to compare texts."""
     rows = feed(spark, sf_dir).select(F.lit("point").alias("type"), *SERIES, F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "value")
     given = set(rows.columns)
-    return live.update_messages(rows.select(*(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in live.UPDATE.fields)))
+    points = rows.select(*(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in live.UPDATE.fields))
+    with scratch(spark, "messages") as (where, keep):
+        live_run(spark, sf_dir, where, max_points=1_000_000)
+        windows = live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), 1_000_000)
+        windows = windows.withColumn("values", F.transform("values", lambda _: F.lit(None).cast("double")))
+        return keep(live.update_messages(points.unionByName(windows.select(*points.columns))).drop("seq"))
 
 
 @query("iso_times", f"SELECT event_id, {_ISO} AS iso FROM events")
@@ -642,17 +681,19 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", iso(F.col("ts")).alias("iso"))
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_IN_TABLES = " OR ".join(f"table_name = '{t}'" for t in TABLES)
+
+
 @query(
     "schema_keyword_search",
-    """WITH f(type, field, description, args) AS (VALUES
-  ('Reading', 'value', 'the raw value', ''), ('Reading', 'imputedValue', NULL, ''), ('Point', 'series', 'readings', 'includeStale whether stale ones count'), ('Point', 'id', NULL, NULL))
-SELECT type, field, description FROM f
-WHERE regexp_matches(lower(concat_ws(' ', type, field, description, args)), 'imput|reconcil|provisional|stale|confidence|reconstruct')""",
+    f"""WITH f AS (SELECT table_name AS type, column_name AS field FROM information_schema.columns WHERE {_IN_TABLES})
+SELECT type, field, CAST(NULL AS VARCHAR) AS description FROM f WHERE contains(lower(type || ' ' || field), 'key') OR contains(lower(type || ' ' || field), 'event')""",
 )
 def schema_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reading = ("Reading", "OBJECT", None, [("value", "the raw value", []), ("imputedValue", None, [])])
-    point = ("Point", "OBJECT", None, [("series", "readings", [("includeStale", "whether stale ones count")]), ("id", None, None)])
-    return catalog.matching_fields(spark.createDataFrame([([reading, point],)], catalog.SCHEMA))
+    """The search over the schemas of the given tables: each table is a type, its columns are the fields."""
+    types = [(t, "OBJECT", None, [(c, None, None) for c in spark.read.parquet(f"{sf_dir}/{t}.parquet").columns]) for t in TABLES]
+    return catalog.matching_fields(spark.createDataFrame([(types,)], catalog.SCHEMA), ("KEY", "event"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Live repair: keyed, count-bounded state; provisional results refreshed, reconciled ones final.
 
-State by point and sensor: the newest ``max_points`` readings by event time, and the
-starts of periods that are done. There is no watermark: a late reading counts as long as
+State by point and sensor: the newest ``max_points`` readings by event time in blocks with an
+index of their runs, the starts of periods that are pending or done, and the newest windows. There is no watermark: a late reading counts as long as
 it is among the newest. Each message is handled in order of arrival, as if it came alone.
 
 A period is reconstructed once ``min_context`` readings precede it. While no reading
@@ -15,12 +15,13 @@ of type ``error``; the reading itself is kept.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,7 +29,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.columns import iso
 from ..functions.ship import by_value, ship
 from ..operators.buffers import last_arrival, newest
-from ..operators.forecast import Forecaster, LastValue, backward, forward
+from ..operators.forecast import CONTEXT, Forecaster, LastValue, backward, forward
+from .run_buffer import HEADER, Block, RunBuffer
+
+#: Stands for None in the state's arrays of times.
+NOTHING = -(1 << 63)
 
 UPDATE = T.StructType(
     [
@@ -72,69 +77,95 @@ def rebuild(model: Forecaster, value: np.ndarray, first: int, last: int, open_en
     return y
 
 
+INDEX = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in (*HEADER, "pending", "done", "windows")] + [T.StructField("next_id", T.LongType())])
+BLOCKS = "ts array<long>, value array<double>, start array<boolean>"
+WINDOW = "seq long, end_time long, method string, confidence string, times array<long>, values array<double>"
+#: Windows of a series that the state keeps for readers.
+KEPT_WINDOWS = 200
+
+
 class Repair(StatefulProcessor):
-    """The state of one series, and what each message changes."""
+    """The state of one series, and what each message changes.
+
+    ``blocks`` holds the readings, ``index`` one row that tells of all blocks, what is pending
+    and what is done (see :class:`RunBuffer`), ``windows`` the newest version of the newest
+    windows. A message reads and writes the blocks around it, and those of the context where a period is rebuilt.
+    """
 
     def __init__(self, model: Forecaster, min_hours: float = 0.25, max_points: int = 2000, min_context: int = 5, open_ended: bool = True):
         self.model, self.min_hours, self.max_points, self.min_context, self.open_ended = model, min_hours, max_points, min_context, open_ended
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getMapState("buffer", "ts long", "value double")
-        self.done = handle.getMapState("done", "start long", "flag boolean")
+        self.index = handle.getValueState("index", INDEX)
+        self.blocks = handle.getMapState("blocks", "id long", BLOCKS)
+        self.windows = handle.getMapState("windows", "start_time long", WINDOW)
+
+    def _load(self, number: int) -> Block:
+        ts, value, start = self.blocks.getValue((number,))
+        return Block([int(t) for t in ts], [None if v is None or v != v else float(v) for v in value], [bool(x) for x in start])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        held = {k[0]: (np.nan if v[0] is None else v[0]) for k, v in self.buffer.iterator()} if self.buffer.exists() else {}
-        done = {k[0] for k, _ in self.done.iterator()} if self.done.exists() else set()
-        old_held, old_done = dict(held), set(done)
+        held = RunBuffer(self._load, self.max_points, self.min_hours * 3.6e9)
+        kept: list[int] = []
+        if self.index.exists():
+            saved = dict(zip(INDEX.names, self.index.get(), strict=True))
+            columns = [[int(x) for x in saved[c]] for c in HEADER]
+            held.header = [dict(zip(HEADER, h, strict=True)) for h in zip(*columns, strict=True)]
+            for h in held.header:
+                h |= {c: None for c in ("last_known", "first_start", "last_start") if h[c] == NOTHING}
+            held.pending, held.done, kept, held.next_id = *([int(x) for x in saved[c]] for c in ("pending", "done", "windows")), int(saved["next_id"])
         out: list[tuple] = []
         for seq, ts, value in new[["seq", "ts", "value"]].itertuples(index=False):
             at = pd.Timestamp(ts).value // 1000
-            held[at] = np.nan if value is None or pd.isna(value) else float(value)
-            for extra in sorted(held)[: max(0, len(held) - self.max_points)]:
-                del held[extra]
+            held.add(at, None if value is None or pd.isna(value) else float(value))
             so_far = len(out)
             try:
-                self._step(key, int(seq), at, held, done, out)
+                self._step(key, int(seq), at, held, out)
             except Exception as e:  # noqa: BLE001 - one message must not end the feed
                 del out[so_far:]
                 out.append(("error", key[0], key[1], int(seq), pd.Timestamp(at, unit="us"), None, None, None, f"{type(e).__name__}: {e}", None, None, None))
-        for k in old_held.keys() - held.keys():
-            self.buffer.removeKey((k,))
-        for k, v in held.items():
-            if k not in old_held or not (old_held[k] == v or np.isnan(old_held[k]) and np.isnan(v)):
-                self.buffer.updateValue((k,), (None if np.isnan(v) else v,))
-        oldest = min(held, default=0)
-        for k in done - old_done:
-            if k >= oldest:
-                self.done.updateValue((k,), (True,))
-        for k in old_done:
-            if k < oldest:
-                self.done.removeKey((k,))
+        for number in held.removed:
+            if self.blocks.containsKey((number,)):
+                self.blocks.removeKey((number,))
+        for number in held.changed:
+            b = held.blocks[number]
+            self.blocks.updateValue((number,), (b.ts, b.value, b.start))
+        for row in out:
+            if row[0] == "reconstruction":
+                start = row[6].value // 1000
+                self.windows.updateValue((start,), (row[3], row[7].value // 1000, row[8], row[9], [t.value // 1000 for t in row[10]], row[11]))
+                if start not in kept:
+                    insort(kept, start)
+        for start in kept[:-KEPT_WINDOWS]:
+            self.windows.removeKey((start,))
+        columns = [[NOTHING if h[c] is None else h[c] for h in held.header] for c in HEADER]
+        self.index.update((*columns, held.pending, held.done, kept[-KEPT_WINDOWS:], held.next_id))
         yield pd.DataFrame(out, columns=UPDATE.names)
 
-    def _step(self, key: Any, seq: int, at: int, held: dict[int, float], done: set[int], out: list[tuple]) -> None:
+    def _step(self, key: Any, seq: int, at: int, held: RunBuffer, out: list[tuple]) -> None:
         stamp = lambda us: pd.Timestamp(us, unit="us")
-        ts = np.array(sorted(held), np.int64)
-        value = np.array([held[t] for t in ts], float)
-        point = held.get(at, np.nan)
-        out.append(("point", key[0], key[1], seq, stamp(at), None if np.isnan(point) else point, None, None, None, None, None, None))
-        known = ~np.isnan(value)
-        for first, last in find_periods(ts, value, self.min_hours) if known.any() else []:
-            start = int(ts[first])
-            open_ended = not known[last + 1 :].any()
-            if start in done or known[:first].sum() < self.min_context or open_ended and not self.open_ended or first == 0:
+        i, j = held.place(at) if held.header else (0, 0)
+        there = bool(held.header) and j < held.header[i]["n"] and held.time((i, j)) == at
+        out.append(("point", key[0], key[1], seq, stamp(at), held.value((i, j)) if there else None, None, None, None, None, None, None))
+        newest = held.last_known()
+        for start in list(held.pending):
+            first, last = held.span(start)
+            open_ended = newest is None or newest <= last
+            if held.known_before(first) < self.min_context or open_ended and not self.open_ended or first == held.oldest():
                 continue
+            ts, value, begin = held.around(first, last, CONTEXT)
+            end = int(np.searchsorted(ts, last))
             try:
-                y = rebuild(self.model, value, first, last, open_ended)
+                y = rebuild(self.model, value, begin, end, open_ended)
             except ValueError:
                 continue
             method = f"{self.model.name}-{'forward-only' if open_ended else 'bidirectional'}"
             label = "PROVISIONAL" if open_ended else "RECONCILED"
-            times = [stamp(t) for t in ts[first : last + 1]]
+            times = [stamp(int(t)) for t in ts[begin : end + 1]]
             out.append(("reconstruction", key[0], key[1], seq, None, None, times[0], times[-1], method, label, times, [None if np.isnan(v) else float(v) for v in y]))
             if not open_ended:
-                done.add(start)
+                held.finish(start)
 
     def close(self) -> None:
         return None
@@ -178,6 +209,27 @@ def snapshot(updates: DataFrame, point_id: str, sensor: str, points: int = 2000,
     return newest(readings, points).orderBy("ts"), newest_windows(own, windows).orderBy("start_time")
 
 
+def snapshot_from_state(spark: SparkSession, checkpoint: str, point_id: str | None = None, sensor: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """As :func:`snapshot`, from the state of the last batch that is complete: no log of updates is read.
+
+    One series, or all; the state holds no more readings and windows than a reader is given.
+    """
+    def state(name: str) -> DataFrame:
+        rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+        rows = rows.select("key.point_id", "key.sensor", "user_map_key", "user_map_value.*")
+        for column, wanted in (("point_id", point_id), ("sensor", sensor)):
+            rows = rows if wanted is None else rows.filter(F.col(column) == wanted)
+        return rows
+
+    time = lambda c: F.timestamp_micros(c)
+    readings = state("blocks").select("point_id", "sensor", F.explode(F.arrays_zip("ts", "value")).alias("x"))
+    windows = state("windows").select(
+        "point_id", "sensor", "seq", time(F.col("user_map_key.start_time")).alias("start_time"), time("end_time").alias("end_time"), "method", "confidence",
+        F.transform("times", time).alias("times"), "values",
+    )
+    return readings.select("point_id", "sensor", time(F.col("x.ts")).alias("ts"), F.col("x.value").alias("value")), windows
+
+
 def write_updates(updates: DataFrame, path: str, checkpoint: str, once: bool = False):
     """Starts a query that writes updates as JSON messages, a folder for each batch, so that a batch done again replaces itself."""
 
