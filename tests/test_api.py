@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
 from tidemark.plans import served
+from tidemark.plans.batch import run_job, run_source_job
 from tidemark.plans.queries import feed, nested_payload
 from tidemark.sources import api
 
@@ -123,3 +124,32 @@ def test_offsets_and_slices():
     more = api.ApiStream({"url": "u", "alias": "a", "start": "2024-01-01", "end": "2024-01-04", "attributes": "x,z", "slice_hours": "24"})
     parts = more.partitions(first, more.latestOffset())
     assert Counter(p.attribute for p in parts) == {"x": 1, "z": 3}
+
+
+def test_job_over_the_source_requests_each_slice_once(spark, sf, answers, tmp_path):
+    seen = Seen()
+    with served.served(spark, answers, seen) as url:
+        source = {**OPTIONS, "attributes": "click,view"}
+        counts = run_source_job(spark, url, "plant", str(tmp_path / "out"), now=datetime(2024, 1, 31, tzinfo=timezone.utc), source=source)
+        got_counts = {(r.point_id, r.sensor): r.n for r in counts.collect()}
+    assert set(seen.count.values()) == {1}
+    written = Counter((r.point_id, r.sensor) for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert len(got_counts) == 6 and {k: n for k, n in got_counts.items() if n} == written
+
+
+def test_counts_are_taken_while_rows_are_written(spark, sf, tmp_path):
+    readings = feed(spark, sf).select("point_id", "sensor", F.col("ts").cast("timestamp").alias("ts"), "value")
+    series = [(r.point_id, r.sensor) for r in readings.select("point_id", "sensor").distinct().collect()]
+    jobs = {}
+    for name, given in (("observed", series), ("counted", None)):
+        spark.sparkContext.setJobGroup(name, name)
+        counts = run_job(readings, str(tmp_path / name), series=given)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        result = {(r.point_id, r.sensor): r.n for r in counts.collect()}
+        assert result == Counter((r.point_id, r.sensor) for r in spark.read.json(str(tmp_path / name)).collect())
+        if name == "observed":
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)) <= jobs[name] + 4  # reading the counts back runs no plan over the readings
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs["observed"] <= jobs["counted"]
+    with pytest.raises(ValueError, match="not named"):
+        run_job(readings, str(tmp_path / "x"), series=series[:2])

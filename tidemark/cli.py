@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.buffers import replay
-from .plans.batch import run_api_job, run_csv_job
+from .plans.batch import run_csv_job, run_source_job
 from .sources import sinks
-from .sources.readings import file_messages, http_client, kafka_messages, matching_columns, read_wide_csv
+from .sources.readings import file_messages, kafka_messages, matching_columns, read_wide_csv
 from .streaming.live import live_updates, write_updates
 
 
@@ -29,6 +29,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     api.add_argument("--url", required=True)
     api.add_argument("--alias", required=True)
     api.add_argument("--attribute", required=True, help="comma-separated")
+    api.add_argument("--equipment", default="", help="comma-separated; all if empty")
+    api.add_argument("--slice-hours", type=float, default=24.0, help="time that one request covers")
     api.add_argument("--days-back", type=int, default=30)
     api.add_argument("--out", required=True)
     api.add_argument("--min-stuck-hours", type=float, default=0.25)
@@ -56,8 +58,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     if a.job == "offline":
         run_csv_job(spark, a.csv, names(a.column), a.point_id, a.out, backend=a.backend, min_hours=a.min_stuck_hours).show(truncate=False)
     elif a.job == "offline-live":
-        client = http_client(a.url)
-        run_api_job(spark, client, a.alias, names(a.attribute), a.out, a.days_back, backend=a.backend, min_hours=a.min_stuck_hours).show(truncate=False)
+        source = {"attributes": a.attribute, "equipment": a.equipment, "slice_hours": a.slice_hours}
+        run_source_job(spark, a.url, a.alias, a.out, a.days_back, source=source, backend=a.backend, min_hours=a.min_stuck_hours).show(truncate=False)
     elif a.job == "simulate":
         readings = replay(read_wide_csv(spark, a.csv, names(a.column), point_id=a.point_id), a.speed, loops=a.loops)
         if a.kafka:
