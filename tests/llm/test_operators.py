@@ -510,6 +510,42 @@ def test_kneser_ney(spark):
             assert got[d] == pytest.approx(plain.nll((t or "").encode()), rel=1e-5, abs=1e-6)
 
 
+def test_pairs_that_all_texts_ask_for_are_dealt_over_copies(spark, monkeypatch):
+    rng = random.Random(13)
+    letters = "abcdefghij"
+    texts = ["".join(rng.choice(letters) + "qz" + rng.choice(letters) for _ in range(40)) for _ in range(120)]
+    table = op1.model(spark.createDataFrame([("qzaqzb",), ("aqzc",)], "text string"), 4)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(200, None, "x"), (201, "", "x")], "doc_id long, text string, lang string").repartition(3)
+    made, sizes = [], []
+    plain = op1.Shards
+
+    class Watched(plain):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+
+    monkeypatch.setattr(op1, "Shards", Watched)
+    want = {r.doc_id: r.nll for r in op1.likelihoods(docs, table, 4, piece=300).collect()}
+    wanted = op1.asked_pairs(docs.select(F.col("text").cast("binary")), 4, 300)
+    hottest = wanted.argmax()
+    assert hottest == (ord("q") << 8 | ord("z")) and wanted[hottest] > 600
+    for most in (100, 40, 1):
+        got = {r.doc_id: r.nll for r in op1.likelihoods(docs, table, 4, piece=300, most_asked=most).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+        step = made[-1]
+        assert step.copies[hottest] == -(-wanted[hottest] // most) and (step.copies[wanted <= most] == 1).all() and step.buckets >= step.copies.max()
+        # What one copy is asked for: the pieces that fall on it.
+        pieces = op1.pc.deal_pieces(docs, "text", None, ["doc_id"], 300)[0].collect()
+        load = Counter()
+        for p in pieces:
+            data = np.frombuffer(op1.pc.stretch(p.bytes), np.uint8)
+            key = np.unique(op1.grams(data, np.frombuffer(p.offsets, np.int64), 4)[0])
+            own = key[(key >> 8) & 0xFFFF == hottest]
+            load.update(step.asked_of(own >> 8, p.piece).tolist())
+        sizes.append(max(load.values()))
+    assert sizes[0] < 0.5 * wanted[hottest] and sizes[1] < sizes[0]
+
+
 def check_thresholds(got, trusted):
     """Means, shrunk scores, own quantiles with their standard errors and verdicts, from the likelihoods alone."""
     nll = {d: r.nll_per_byte * r.n_bytes for d, r in got.items() if r.nll_per_byte is not None}

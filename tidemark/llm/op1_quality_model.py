@@ -13,7 +13,9 @@ back; the sums by document are formed in the piece, so neither texts nor occurre
 travel. A shard holds whole contexts of the two bytes before the predicted one; a pair of
 bytes with more than ``SHARD_ROWS`` rows is split by the byte before (its at most 257 rows
 that don't know that byte go to each part), so a shard is at most one context of three
-bytes: 2**24 + 2**16 + 2**8 rows, in practice a few thousand. Orders 1 and 2 (at most 66,049
+bytes: 2**24 + 2**16 + 2**8 rows, in practice a few thousand. What documents ask for isn't
+bounded by the model: the n-grams that pieces will send are counted by pair of bytes first, and
+the pieces that ask for a pair with more than ``MOST_ASKED`` are dealt over as many copies of its few model rows. Orders 1 and 2 (at most 66,049
 numbers) go with the functions. Texts are read once for the pieces, whatever the model's size.
 
 Thresholds are quantiles by language over trusted documents that were held out of the
@@ -50,6 +52,8 @@ ORDER = 6
 #: Model rows of a pair of bytes above which the pair is split, and model rows and pieces that may meet in one bucket.
 SHARD_ROWS = 200_000
 PER_BUCKET = 6
+#: N-grams of a pair of bytes that may be asked for in one shard; a pair with more has several, by piece.
+MOST_ASKED = 1_000_000
 #: N-grams that a task counts before it hands them on.
 HELD = 2_000_000
 PIECE = 6 << 20
@@ -167,21 +171,49 @@ def hot_pairs(table: DataFrame, shard_rows: int) -> np.ndarray:
     return out
 
 
+def asked_pairs(texts: DataFrame, order: int, piece: int) -> np.ndarray:
+    """How many distinct n-grams of each pair of bytes before the predicted one pieces of this size hold, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in tk.chunks(batch.column(0), piece):
+                key = np.sort(grams(data, offsets, order)[0])
+                new = np.ones(len(key), bool)
+                np.not_equal(key[1:], key[:-1], out=new[1:])
+                n += np.bincount((key[new] >> 8) & 0xFFFF, minlength=1 << 16)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["pair", "n"])
+
+    out = np.zeros(1 << 16, np.int64)
+    for r in map_arrow(texts, run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+        out[r.pair] = r.n
+    return out
+
+
 class Shards:
     """Where n-grams meet the model, and what they get; what is in here has a fixed size and travels with the functions."""
 
-    def __init__(self, table: DataFrame, order: int, buckets: int, hot: np.ndarray):
+    def __init__(self, table: DataFrame, order: int, buckets: int, hot: np.ndarray, copies: np.ndarray | None = None):
         self.order, self.buckets, self.hot = order, buckets, hot
+        #: By pair of bytes, over how many copies of its model rows pieces are dealt.
+        self.copies = np.ones(1 << 16, np.int64) if copies is None else copies
         # Orders 1 and 2 by their n-gram, NaN where there is none.
         self.low = {(kind, n): np.full(1 << (8 * (n - kind)), np.nan) for kind in (0, 1) for n in (1, 2)}
         for r in table.filter("n < 3").collect():  # at most 256 + 65,536 + 1 + 256 rows
             self.low[r.kind, r.n][r.gram] = r.value
 
-    def of(self, context: np.ndarray) -> np.ndarray:
-        """Bucket of each context of two or more bytes."""
+    def of(self, context: np.ndarray, copy: np.ndarray) -> np.ndarray:
+        """Bucket of each context of two or more bytes, in that copy of its pair's rows."""
         pair = context & 0xFFFF
-        key = np.where(self.hot[pair], (context & 0xFFFFFF) | (1 << 24), pair)
-        return (tk.mix(key.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        key = np.where(self.hot[pair], (context & 0xFFFFFF) | (1 << 24), pair).astype(np.uint64)
+        # Copies of a shard lie in buckets that follow each other, so no two meet.
+        return ((tk.mix(key) % np.uint64(self.buckets)).astype(np.int64) + copy) % self.buckets
+
+    def asked_of(self, context: np.ndarray, piece: int) -> np.ndarray:
+        """Bucket in which a piece asks for each context."""
+        start = int(tk.mix(np.array([piece], np.int64).view(np.uint64))[0] >> np.uint64(1))
+        return self.of(context, start % self.copies[context & 0xFFFF])
 
     def place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets of model rows; those that don't know the byte by which their pair is split go to each part."""
@@ -192,7 +224,10 @@ class Shards:
             row = np.concatenate([np.flatnonzero(~short), np.repeat(np.flatnonzero(short), 256)])
             context = context[row]
             context[(~short).sum() :] |= np.tile(np.arange(256) << 16, int(short.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(self.of(context).astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in ("kind", "n", "gram", "value"))], names=["bucket", "kind", "n", "gram", "value"])
+            times = self.copies[context & 0xFFFF]
+            copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            context, row = np.repeat(context, times), np.repeat(row, times)
+            yield pa.RecordBatch.from_arrays([pa.array(self.of(context, copy).astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in ("kind", "n", "gram", "value"))], names=["bucket", "kind", "n", "gram", "value"])
 
 
     def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +236,7 @@ class Shards:
             for i in range(batch.num_rows):
                 _, offsets, data = pc.unpack(batch, i)
                 unique = np.unique(grams(data, offsets, self.order)[0])
-                order, some, border = pc.deal(self.of(unique >> 8), self.buckets)
+                order, some, border = pc.deal(self.asked_of(unique >> 8, batch.column("piece")[i].as_py()), self.buckets)
                 sent = [unique[order[border[b] : border[b + 1]]] for b in some]
                 packed = [pc.planes(np.diff(x, prepend=0).view(np.uint64), self.order) for x in sent]
                 yield pa.RecordBatch.from_arrays(
@@ -247,7 +282,7 @@ class Shards:
                 key, row = grams(data, offsets, self.order)
                 unique, back = distinct(key)
                 del key
-                order, some, border = pc.deal(self.of(unique >> 8), self.buckets)
+                order, some, border = pc.deal(self.asked_of(unique >> 8, batch.column("piece")[i].as_py()), self.buckets)
                 sent = {s["bucket"]: s["costs"] for s in batch.column("sent")[i].as_py() or []}
                 cost = np.empty(len(unique))
                 cost[order] = np.concatenate([*(pc.from_planes(sent[b], 3) for b in some.tolist()), np.zeros(0, np.uint64)]) / UNIT
@@ -257,14 +292,16 @@ class Shards:
                 )
 
 
-def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS, piece: int = PIECE) -> DataFrame:
+def likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS, piece: int = PIECE, most_asked: int = MOST_ASKED) -> DataFrame:
     """``doc_id, lang, nll, n_bytes`` of every row: the negative log-likelihood of its text."""
     spark = docs.sparkSession
     ship(spark)
     # Pieces are dealt out once; both uses read that one exchange, so no copy of the texts is written.
     pieces, parts, total = pc.deal_pieces(docs, "text", None, ["doc_id", "lang"], piece)
-    buckets = max(-(-total // (piece * PER_BUCKET)), -(-table.count() // shard_rows), 1)
-    step = Shards(table, order, buckets, hot_pairs(table, shard_rows))
+    wanted = asked_pairs(docs.select(F.encode(F.col("text").cast("string"), "UTF-8").alias("text")), order, piece)
+    buckets = max(-(-total // (piece * PER_BUCKET)), -(-table.count() // shard_rows), int(-(-wanted.max() // most_asked)), 1)
+    copies = np.maximum(-(-wanted // most_asked), 1)
+    step = Shards(table, order, buckets, hot_pairs(table, shard_rows), copies)
     asked = map_arrow(pieces, step.ask, "bucket int, piece bigint, grams binary")
     placed = map_arrow(table.filter("n > 2").select("kind", "n", "gram", F.col("value").cast("float")), step.place, "bucket int, kind int, n int, gram bigint, value float")
     costs = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(lambda a, m: step.answer(a, m), "bucket int, piece bigint, costs binary")
