@@ -14,6 +14,7 @@ from tidemark.operators import reconstruct, runs
 from tidemark.operators.forecast import Drift, LastValue, QuantileModel, SeasonalNaive, clear_models, forward, forward_many, padded
 from tidemark.operators.forecast_columns import fold, forecasts_in_columns, steps_of
 from tidemark.operators.segments import with_runs_in_chunks
+from tidemark.sources.readings import on_grid
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "point_id string, sensor string, ts timestamp, value double"
@@ -158,3 +159,28 @@ def test_columns_and_python_agree_on_whole_periods(spark):
                 x, y = a[run][c], b[run][c]
                 assert (x is None) == (y is None)
                 assert x is None or np.allclose(np.array(x, float), np.array(y, float), equal_nan=True)
+
+
+def test_nearest_readings_as_neighbours(spark):
+    rows = [(v, i) for i, v in enumerate([1.0, 2.0, None, None, 5.0, 5.0, 5.0, None, None, 9.0, 8.0])]
+    table = spark.createDataFrame([("p", "s", START + timedelta(minutes=10 * i), v) for v, i in rows], SCHEMA)
+    plain, known = ({r.timestamp: r.imputed_value for r in reconstruct.reconstruct_last_value(table, skip_null_neighbours=k).collect()} for k in (False, True))
+    assert plain.keys() == known.keys() and set(plain.values()) == {None}
+    got = [known[t] for t in sorted(known)]
+    assert got[0] == 2.0 and got[-1] == 9.0 and got == sorted(got)
+    drift = {r.timestamp: r.imputed_value for r in reconstruct.reconstruct(table, Drift(), skip_null_neighbours=True).collect()}
+    assert drift.keys() == known.keys() and None not in drift.values()
+    with pytest.raises(ValueError, match="any number of chunks"):
+        reconstruct.gap_contexts(table, chunk_hours=1, skip_null_neighbours=True)
+
+
+def test_regular_grid(spark):
+    at = lambda *x: datetime(2026, 1, *x, tzinfo=timezone.utc)
+    rows = [("p", "s", at(1, 23, 55), 1.0), ("p", "s", at(2, 0, 5), 2.0), ("p", "s", at(4, 1, 0), None), ("q", None, at(1, 5), 3.0), ("q", None, at(1, 5, 1), 5.0)]
+    for every, n in (("10 minutes", 296), ("25 hours", 3), ("2 days", 2)):
+        got = on_grid(spark.createDataFrame(rows, SCHEMA), every).orderBy("point_id", "ts").collect()
+        own = [r.ts for r in got if r.point_id == "p"]
+        assert len({b - a for a, b in zip(own, own[1:], strict=False)}) <= 1 and [r.value for r in got if r.point_id == "q"] == [4.0]
+        assert len(own) == len({*own}) and (every != "10 minutes" or len(own) == n)
+        assert {r.value for r in got if r.point_id == "p"} - {None} <= {1.0, 2.0, 1.5}
+    assert on_grid(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -26,7 +26,7 @@ from ..functions.columns import blend, confidence, feather
 from ..functions.ship import ship
 from .forecast import CHUNK, CONTEXT, Forecaster, forward_many
 from .forecast_columns import forecasts_in_columns, steps_of
-from .runs import SERIES, periods_of, with_neighbours, with_open_end, with_runs
+from .runs import SERIES, periods_of, with_known_neighbours, with_neighbours, with_open_end, with_runs
 from .segments import with_runs_in_chunks
 
 FEATHER = 3
@@ -94,8 +94,18 @@ def _imputed(rows: DataFrame, feather_points: int, name: str, version: str, labe
     )
 
 
-def gap_contexts(readings: DataFrame, min_hours: float = 0.25, limit: int = 1, chunk_hours: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with runs, and the periods with neighbours that can be reconstructed; with ``chunk_hours`` no task needs a whole series."""
+def gap_contexts(
+    readings: DataFrame, min_hours: float = 0.25, limit: int = 1, chunk_hours: float | None = None, skip_null_neighbours: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with runs, and the periods with neighbours that can be reconstructed; with ``chunk_hours`` no task needs a whole series.
+
+    Neighbours are the rows next to a period, null or not, or with ``skip_null_neighbours`` the nearest readings.
+    """
+    if skip_null_neighbours and chunk_hours is not None:
+        raise ValueError("the nearest readings of a series in chunks may be any number of chunks away")
+    if skip_null_neighbours:
+        runs = with_known_neighbours(with_runs(readings, limit))
+        return runs, with_open_end(periods_of(runs, min_hours), readings).filter("first_rn > 1")
     runs = with_neighbours(with_runs(readings, limit)) if chunk_hours is None else with_runs_in_chunks(readings, limit, chunk_hours)
     return runs, with_open_end(periods_of(runs, min_hours), readings).filter("first_rn > 1")
 
@@ -105,10 +115,11 @@ def _rows(runs: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def reconstruct_last_value(
-    readings: DataFrame, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER, label_all_reconciled: bool = False, chunk_hours: float | None = None
-) -> DataFrame:
+    readings: DataFrame, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER, label_all_reconciled: bool = False, chunk_hours: float | None = None,
+    skip_null_neighbours: bool = False,
+) -> DataFrame:
     """Imputed rows by the last-value forecaster, without leaving the JVM."""
-    runs, periods = gap_contexts(readings, min_hours, limit, chunk_hours)
+    runs, periods = gap_contexts(readings, min_hours, limit, chunk_hours, skip_null_neighbours)
     rows = _rows(runs, periods)
     for c, of in (("f", "before"), ("f_first", "before"), ("f_last", "before"), ("b", "after"), ("b_first", "after"), ("b_last", "after")):
         rows = rows.withColumn(c, F.col(of))
@@ -118,13 +129,14 @@ def reconstruct_last_value(
 def reconstruct(
     readings: DataFrame, model: Forecaster, min_hours: float = 0.25, limit: int = 1, feather_points: int = FEATHER,
     chunk: int = CHUNK, context: int | None = None, label_all_reconciled: bool = False, chunk_hours: float | None = None,
+    skip_null_neighbours: bool = False,
 ) -> DataFrame:
     """Imputed rows by any forecaster, with as much context as it looks at unless ``context`` says otherwise.
 
     A forecaster that has its step as column arithmetic (:func:`forecast_columns.steps_of`) stays in the JVM.
     """
     context = context or model.context
-    runs, periods = gap_contexts(readings, min_hours, limit, chunk_hours)
+    runs, periods = gap_contexts(readings, min_hours, limit, chunk_hours, skip_null_neighbours)
     narrow = periods.select(*SERIES, "run", "first_rn", "last_rn", "n_points", "is_open_ended", "before", "after", "start_time")
     around = contexts(runs, narrow, context)
     done = (forecasts_in_columns if steps_of(model) else forecasts)(around, model, chunk, context).drop("context_before", "context_after")

@@ -40,6 +40,14 @@ def with_neighbours(runs: DataFrame) -> DataFrame:
     )
 
 
+def with_known_neighbours(runs: DataFrame) -> DataFrame:
+    """As :func:`with_neighbours`, with the nearest readings before and after instead of rows that may be null."""
+    w = Window.partitionBy(*SERIES).orderBy("ts")
+    back = Window.partitionBy(*SERIES).orderBy(F.col("ts").desc())
+    before = lambda over: F.last("value", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumns({"prev_value": before(w), "next_value": before(back), "valid_before": F.count("value").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+
+
 def periods_of(runs: DataFrame, min_hours: float = 0.25) -> DataFrame:
     """Runs of two rows or more that last at least ``min_hours``; with neighbours' columns where they were added."""
     extra = []

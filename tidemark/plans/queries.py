@@ -193,6 +193,17 @@ def resample_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.resample(feed(spark, sf_dir), "1 day", "max")
 
 
+@query(
+    "regular_grid",
+    f"""WITH {FEED}, r AS (SELECT point_id, sensor, time_bucket(INTERVAL 7 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, avg(value) AS value FROM feed GROUP BY ALL),
+e AS (SELECT point_id, sensor, min(ts) AS a, max(ts) AS z FROM r GROUP BY ALL), g AS (SELECT point_id, sensor, unnest(generate_series(a, z, INTERVAL 7 HOUR)) AS ts FROM e)
+SELECT point_id, sensor, ts, round(value, 6) AS value FROM g LEFT JOIN r USING (point_id, sensor, ts)""",
+)
+def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each bucket between a series' first and last one, null where nothing was read."""
+    return rounded(src.on_grid(feed(spark, sf_dir), "7 hours"), "value")
+
+
 @query("recent_window", f"WITH {FEED} SELECT point_id, sensor, ts, value FROM feed WHERE ts BETWEEN TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-20'")
 def recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.recent(feed(spark, sf_dir).drop("event_id"), F.lit("2024-01-20").cast("timestamp_ntz"), 7)
@@ -408,6 +419,25 @@ def reconstruct_lastvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reconstruct.reconstruct_last_value(feed(spark, sf_dir)), "imputed_value")
 
 
+KNOWN_AROUND = f"""{runs_sql()}, around AS (
+  SELECT r.point_id, r.sensor, r.run, arg_max(b.value, b.rn) AS before FROM open_ r JOIN runs b ON b.point_id = r.point_id AND b.sensor = r.sensor AND b.rn < r.first_rn AND b.value IS NOT NULL GROUP BY ALL),
+behind AS (
+  SELECT r.point_id, r.sensor, r.run, arg_min(b.value, b.rn) AS after FROM open_ r JOIN runs b ON b.point_id = r.point_id AND b.sensor = r.sensor AND b.rn > r.last_rn AND b.value IS NOT NULL GROUP BY ALL),
+o AS (SELECT open_.* EXCLUDE (before, after), around.before, behind.after FROM open_ LEFT JOIN around USING (point_id, sensor, run) LEFT JOIN behind USING (point_id, sensor, run))"""
+
+
+@query(
+    "reconstruct_known_neighbours",
+    f"""WITH {KNOWN_AROUND} SELECT r.point_id, r.sensor, r.ts AS "timestamp", round(CASE WHEN is_open_ended THEN before
+  ELSE before * (1 - (r.rn - first_rn)::DOUBLE / (n_points - 1)) + after * (1 - (1 - (r.rn - first_rn)::DOUBLE / (n_points - 1))) END, 6) AS imputed_value
+FROM runs r JOIN o USING (point_id, sensor, run) WHERE first_rn > 1""",
+)
+def reconstruct_known_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last-value reconstruction between the nearest readings, where rows next to a period may be null."""
+    rows = reconstruct.reconstruct_last_value(feed(spark, sf_dir), skip_null_neighbours=True)
+    return rounded(rows.select(*SERIES, "timestamp", "imputed_value"), "imputed_value")
+
+
 @query("reconstruct_forward_only", f"WITH {IMPUTED} SELECT {_OUT} FROM imputed WHERE imputation_method = 'last-value-forward-only'")
 def reconstruct_forward_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct_lastvalue(spark, sf_dir).filter("imputation_method = 'last-value-forward-only'")

@@ -126,6 +126,26 @@ def resample(readings: DataFrame, every: str = "10 minutes", fn: str = "mean") -
     return readings.groupBy("point_id", "sensor", F.window("ts", every).alias("w")).agg(agg.alias("value")).select("point_id", "sensor", F.col("w.start").alias("ts"), "value")
 
 
+def on_grid(readings: DataFrame, every: str = "10 minutes", fn: str = "mean") -> DataFrame:
+    """:func:`resample` on a regular grid from each series' first bucket to its last; buckets without readings are null.
+
+    A series' grid is made in ranges of buckets, so that no row holds all of a long one.
+    """
+    found = resample(readings, every, fn)
+    ends = found.groupBy("point_id", "sensor").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    days = ends.select("point_id", "sensor", "first", "last", F.explode(F.sequence(F.date_trunc("day", "first"), F.date_trunc("day", "last"), F.expr("INTERVAL 1 DAY"))).alias("day"))
+    # Of each day the part of the grid that lies in it; the grid begins at the first bucket.
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    size = F.expr(f"CAST((unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {every})) AS BIGINT)")
+    begin = micros("first") + F.ceil(F.greatest(micros("day") - micros("first"), F.lit(0)) / size) * size
+    end = F.least(micros("last"), micros("day") + 86_400_000_000 - 1)
+    at = days.withColumns({"a": begin, "z": end, "size": size}).filter("a <= z").select("point_id", "sensor", F.explode(F.sequence("a", "z", "size")).alias("us"))
+    kind = found.schema["ts"].dataType
+    grid = at.select("point_id", "sensor", F.timestamp_micros("us").cast(kind).alias("ts"))
+    key = [grid[c].eqNullSafe(found[c]) for c in ("point_id", "sensor")] + [grid["ts"] == found["ts"]]
+    return grid.join(found, key, "left").select(*(grid[c] for c in ("point_id", "sensor", "ts")), "value")
+
+
 def distinct_times(readings: DataFrame, arrival: str) -> DataFrame:
     """One reading for each point, sensor and time: the one that arrived last."""
     others = [c for c in readings.columns if c not in ("point_id", "sensor", "ts", arrival)]
