@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.buffers import replay
@@ -13,6 +13,7 @@ from .plans.batch import run_csv_job, run_source_job
 from .sources import sinks
 from .sources.readings import file_messages, kafka_messages, matching_columns, read_wide_csv
 from .streaming.live import live_updates, write_updates
+from .streaming.paced import replay_in_time
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -42,6 +43,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     simulate.add_argument("--speed", type=float, default=60.0)
     simulate.add_argument("--loops", type=int, default=1)
     simulate.add_argument("--out", help="folder of JSON files")
+    simulate.add_argument("--paced", help="folder that driver and executors share: messages come when they are due, and a replay that was broken off goes on")
     simulate.add_argument("--kafka", help="bootstrap servers")
     live = jobs.add_parser("live", help="repair a feed")
     live.add_argument("--in", dest="source", help="folder of JSON files")
@@ -61,10 +63,20 @@ def main(argv: Sequence[str] | None = None) -> None:
         source = {"attributes": a.attribute, "equipment": a.equipment, "slice_hours": a.slice_hours}
         run_source_job(spark, a.url, a.alias, a.out, a.days_back, source=source, backend=a.backend, min_hours=a.min_stuck_hours).show(truncate=False)
     elif a.job == "simulate":
-        readings = replay(read_wide_csv(spark, a.csv, names(a.column), point_id=a.point_id), a.speed, loops=a.loops)
-        if a.kafka:
-            sinks.write_kafka(readings, a.kafka)
+        readings = read_wide_csv(spark, a.csv, names(a.column), point_id=a.point_id)
+        if a.paced:
+
+            def send(rows: DataFrame, number: int) -> None:
+                if a.kafka:
+                    sinks.write_kafka(rows, a.kafka)
+                else:
+                    rows.select("point_id", "sensor", F.col("ts").cast("string").alias("timestamp"), "value").write.mode("overwrite").json(f"{a.out}/batch={number}")
+
+            replay_in_time(spark, readings, send, a.paced, a.speed, a.loops)
+        elif a.kafka:
+            sinks.write_kafka(replay(readings, a.speed, loops=a.loops), a.kafka)
         else:
+            readings = replay(readings, a.speed, loops=a.loops)
             readings.repartitionByRange("ts").sortWithinPartitions("ts").select("point_id", "sensor", F.col("ts").cast("string").alias("timestamp"), "value").write.mode("append").json(a.out)
     elif a.job == "live":
         messages = kafka_messages(spark, a.kafka, starting="earliest") if a.kafka else file_messages(spark, a.source)
