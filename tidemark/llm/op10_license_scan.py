@@ -131,6 +131,26 @@ class Templates:
         total = len(pairs) + self.size[template]
         return 2 * sum((Counter(pairs.tolist()) & self.pairs[template]).values()) / total if total else 0.0
 
+    def sliding(self, pairs: np.ndarray, template: int, starts: list[int], window: int) -> Iterator[tuple[int, float]]:
+        """Each start with its window's coefficient; a window that overlaps the one before changes its counts by what leaves and what comes."""
+        wanted, total = self.pairs[template], window + self.size[template]
+        have: Counter[int] = Counter()
+        common, low, high = 0, 0, 0
+        for a in starts:
+            if a >= high:
+                have.clear()
+                common, low, high = 0, a, a
+            for h in pairs[low:a].tolist():
+                if h in wanted:
+                    have[h] -= 1
+                    common -= have[h] < wanted[h]
+            for h in pairs[high : a + window].tolist():
+                if h in wanted:
+                    have[h] += 1
+                    common += have[h] <= wanted[h]
+            low, high = a, a + window
+            yield a, 2 * common / total if total else 0.0
+
     def match(self, words: np.ndarray, line: np.ndarray) -> list[tuple[str, float, int, int]]:
         """Licence, Dice coefficient, first word and words of the best place of each licence in one text."""
         best: dict[str, tuple[float, int, int]] = {}
@@ -141,8 +161,7 @@ class Templates:
             for t in self.with_pair[int(pairs[p])]:
                 hits.setdefault(t, []).append(int(p))
 
-        def found(t: int, a: int, b: int) -> None:
-            d = self.dice(pairs[a : b - 1], t)
+        def found(t: int, a: int, b: int, d: float) -> None:
             old = best.get(self.names[t])
             if d >= self.least and (old is None or (d, -a) > (old[0], -old[1])):
                 best[self.names[t]] = (d, a, b - a)
@@ -158,13 +177,13 @@ class Templates:
             begin, end = np.searchsorted(line, row), np.searchsorted(line, row, "right")
             fit = 2 * np.minimum(np.minimum(hit, end - begin - 1), size) >= self.least * (end - begin - 1 + size) - 1e-9
             for a, b in zip(begin[fit].tolist(), end[fit].tolist(), strict=True):
-                found(t, a, b)
+                found(t, a, b, self.dice(pairs[a : b - 1], t))
             starts: set[int] = set()
             for j in np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < window).tolist() if len(at) >= need else []:
                 low = max(0, places[j + need - 1] - window + 1)
                 starts.update(range(low, min(places[j], len(pairs) - window) + 1))
-            for a in sorted(starts):
-                found(t, a, a + window + 1)
+            for a, d in self.sliding(pairs, t, sorted(starts), window):
+                found(t, a, a + window + 1, d)
         return [(name, *x) for name, x in sorted(best.items())]
 
 
