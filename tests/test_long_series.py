@@ -112,6 +112,20 @@ def test_waves_are_as_many_as_the_longest_period_has_chunks():
     assert [x is None for x in forward_many(short, contexts[:3], [1, 2, 0])] == [False, True, False]
 
 
+def test_a_predict_of_its_own_is_not_passed_over():
+    class Own(LastValue):
+        def predict(self, context, steps):
+            return np.full(steps, 7.0)
+
+    class Both(Own):
+        def predict_many(self, contexts, lengths, steps):
+            return [np.full(n, 8.0) for n in steps]
+
+    assert forward_many(Own(), [np.array([1.0])], [2])[0].tolist() == [7, 7]
+    assert forward_many(Both(), [np.array([1.0])], [2])[0].tolist() == [8, 8]
+    assert forward_many(LastValue(), [np.array([1.0])], [2])[0].tolist() == [1, 1]
+
+
 def test_quantile_models_in_batches():
     clear_models()
     asked = []

@@ -130,10 +130,17 @@ def padded(contexts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def takes_many(model: Forecaster) -> bool:
+    """Whether the forecaster's own ``predict_many`` may be used: not one that it inherits beside a ``predict`` of its own."""
+    if "predict_many" in vars(model):
+        return True
+    return next(("predict_many" in vars(c) for c in type(model).__mro__ if vars(c).keys() & {"predict", "predict_many"}), False)
+
+
 def predict_each(model: Forecaster, contexts: Sequence[np.ndarray], steps: Sequence[int]) -> list[np.ndarray | None]:
     """One forecast for each context, None for those the forecaster rejects; in one call where it takes many."""
     got: Sequence[np.ndarray | None] | None = None
-    if hasattr(model, "predict_many") and contexts:
+    if takes_many(model) and contexts:
         try:
             got = model.predict_many(*padded(contexts), np.array(steps))
         except ValueError:
