@@ -131,3 +131,19 @@ def test_a_stalled_folder_raises_an_alert(spark, tmp_path):
         spark.streams.removeListener(dog)
         dog.stop()
     assert dog.progress(spark).filter("kind = 'progress' AND rows > 0").count() == 2
+
+
+def test_a_long_history_in_wide_partitions(spark, tmp_path):
+    at = lambda i: datetime(2020, 1, 1, tzinfo=timezone.utc) + timedelta(days=i)
+    rows = [[("p", s, at(i), None, float(i + seq), "m", "RECONCILED", "1", seq) for i in range(0, 1500, 7) for s in "ab"] for seq in (1, 2)]
+    table = LatestTable(spark, f"file://{tmp_path}/t", buckets=1, days=300)
+    first, second = (spark.createDataFrame(r, SCHEMA).coalesce(1) for r in rows)
+    table.upsert(first, 1)
+    assert len(files(table)) <= 2 * 6 and content(table.read()) == content(first)
+    table.upsert(second.filter("timestamp < '2021-01-01'"), 2)
+    table.upsert(second, 3)
+    assert len(files(table)) <= 2 * 6 and content(table.read()) == content(second)
+    # Nothing of versions that no partition is in is looked at.
+    (tmp_path / "t" / "data" / "version=vlost" / "other=1").mkdir(parents=True)
+    (tmp_path / "t" / "data" / "version=vlost" / "other=1" / "x.parquet").write_text("broken")
+    assert content(table.read()) == content(second) and table.vacuum() > 0 and content(table.read()) == content(second)
