@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.operators import reconstruct
 from tidemark.sources.readings import READING, file_messages, kafka_messages, parse_messages
 from tidemark.operators.forecast import Drift, LastValue
-from tidemark.streaming import run_buffer
+from tidemark.streaming import live, run_buffer
 from tidemark.streaming.live import find_periods, live_updates, newest_windows, rebuild, snapshot, snapshot_from_state, update_messages, write_updates
 
 START = pd.Timestamp("2026-01-01")
@@ -255,3 +255,85 @@ def test_snapshot_from_state_is_that_of_the_log(spark, tmp_path):
         assert state_windows.select(columns).orderBy("start_time").collect() == windows.select(columns).collect() and windows.count() > 3
     assert snapshot_from_state(spark, checkpoint)[0].select("point_id").distinct().count() == 2
     assert all(x.count() == 0 for x in snapshot_from_state(spark, checkpoint, "nobody", "t"))
+
+
+class Counted(list):
+    """Counts the elements that are looked at."""
+
+    looked = 0
+
+    def __iter__(self):
+        for x in super().__iter__():
+            self.looked += 1
+            yield x
+
+    def __reversed__(self):
+        for x in super().__reversed__():
+            self.looked += 1
+            yield x
+
+    def __getitem__(self, i):
+        found = super().__getitem__(i)
+        self.looked += len(found) if isinstance(i, slice) else 1
+        return found
+
+
+@pytest.mark.parametrize("most", [10**6, 500])
+def test_a_message_looks_at_as_few_blocks_in_a_long_series(monkeypatch, most):
+    monkeypatch.setattr(run_buffer, "BLOCK", 4)
+    looked = {}
+    for n in (500, 5000):
+        rng, header = random.Random(1), Counted()
+        buffer = run_buffer.RunBuffer({}.__getitem__, most, 600, header)
+        for t in range(n):
+            buffer.add(t * 300, rng.choice([None, 1.0, 1.0, 2.0]))
+            for start in list(buffer.pending)[:-1]:
+                buffer.finish(start)
+        before = header.looked
+        for t in range(n, n + 200):
+            buffer.add(t * 300, rng.choice([None, 1.0, 2.0]))
+            buffer.add((t - n // 4) * 300 + 7, rng.choice([None, 1.0, 2.0]))  # a late one
+        looked[n] = header.looked - before
+    assert looked[5000] <= 1.5 * looked[500] + 400
+
+
+class State:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = tuple(list(x) if isinstance(x, list) else x for x in value)
+
+
+class MapState(dict):
+    """Values of one key; what is put in is copied, as by a real one."""
+
+    containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.__delitem__
+
+    def updateValue(self, key, value):
+        self[key] = tuple(list(x) if isinstance(x, list) else x for x in value)
+
+
+@pytest.mark.parametrize("most", [40, 2000])
+def test_updates_of_a_large_batch_leave_in_small_frames(monkeypatch, most):
+    messages = pd.DataFrame([(seq, p * 600_000_000, np.nan if v is None else v) for seq, (p, v) in enumerate(shuffled(6, 700))], columns=["seq", "ts", "value"])
+    got = []
+    for size in (10**6, 50):
+        monkeypatch.setattr(live, "MESSAGES", size, raising=False)
+        r = live.Repair(LastValue(), min_context=3, max_points=most)
+        r.index, r.blocks, r.windows = State(), MapState(), MapState()
+        frames = []
+        for some in (messages[:300], messages[300:]):
+            frames += list(r.handleInputRows(("p", "t"), iter(some[i : i + 90] for i in range(0, len(some), 90)), None))
+        assert size > 50 or len(frames) >= len(messages) // 50 and all((x["type"] == "point").sum() <= 50 for x in frames)
+        rows = sorted((t, v) for b in r.blocks.values() for t, v in zip(b[0], b[1], strict=True))
+        got.append((pd.concat(frames).astype(object).to_csv(), rows and str(rows), sorted(map(str, r.windows.items()))))
+    drop = lambda text: [line.split(",", 1)[1] for line in text.splitlines()]
+    assert drop(got[0][0]) == drop(got[1][0]) and got[0][1:] == got[1][1:]
+    assert len(drop(got[0][0])) > len(messages) + 100

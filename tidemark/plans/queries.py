@@ -622,10 +622,10 @@ SELECT point_id, sensor, "timestamp", round(imputed_value, 6) AS imputed_value,
 FROM imputed JOIN p USING (point_id, sensor, period_start) WHERE valid_before >= 5""",
 )
 def live_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last version of each window, with a buffer that no series here outgrows."""
+    """The last version of each window, with a buffer far longer than any period and its context: a longer series only loses what is final."""
     with scratch(spark, "live") as (where, keep):
         live_run(spark, sf_dir, where, max_points=1_000_000)
-        newest = live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), 1_000_000)
+        newest = live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), None)
         rows = newest.select(*SERIES, "method", "confidence", F.explode(F.arrays_zip("times", "values")).alias("x"))
         return keep(rows.select(*SERIES, F.col("x.times").cast("timestamp_ntz").alias("timestamp"), F.round("x.values", 6).alias("imputed_value"), "method", "confidence"))
 
@@ -702,7 +702,7 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = rows.select(*(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in live.UPDATE.fields))
     with scratch(spark, "messages") as (where, keep):
         live_run(spark, sf_dir, where, max_points=1_000_000)
-        windows = live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), 1_000_000)
+        windows = live.newest_windows(spark.read.schema(live.UPDATE).parquet(f"{where}/out"), None)
         windows = windows.withColumn("values", F.transform("values", lambda _: F.lit(None).cast("double")))
         return keep(live.update_messages(points.unionByName(windows.select(*points.columns))).drop("seq"))
 

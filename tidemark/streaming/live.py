@@ -15,7 +15,6 @@ of type ``error``; the reading itself is kept.
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Iterator
 from typing import Any
 
@@ -77,6 +76,13 @@ def rebuild(model: Forecaster, value: np.ndarray, first: int, last: int, open_en
     return y
 
 
+#: What leaves Python: times as microseconds.
+RAW = T.StructType([T.StructField(f.name, {T.TimestampType(): T.LongType(), T.ArrayType(T.TimestampType()): T.ArrayType(T.LongType())}.get(f.dataType, f.dataType)) for f in UPDATE.fields])
+#: Messages after which updates leave and blocks go to the state, so that memory doesn't grow with a batch.
+MESSAGES = 10_000
+#: In place of a time that is missing.
+NO_TIME = -(1 << 63) // 1000
+
 INDEX = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in (*HEADER, "pending", "done", "windows")] + [T.StructField("next_id", T.LongType())])
 BLOCKS = "ts array<long>, value array<double>, start array<boolean>"
 WINDOW = "seq long, end_time long, method string, confidence string, times array<long>, values array<double>"
@@ -105,56 +111,72 @@ class Repair(StatefulProcessor):
         return Block([int(t) for t in ts], [None if v is None or v != v else float(v) for v in value], [bool(x) for x in start])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        held = RunBuffer(self._load, self.max_points, self.min_hours * 3.6e9)
+        new = pd.concat([x[["seq", "ts", "value"]] for x in rows]).sort_values("seq", kind="stable")
+        header: list[dict] = []
+        pending: list[int] = []
+        done: list[int] = []
         kept: list[int] = []
+        next_id = 0
         if self.index.exists():
             saved = dict(zip(INDEX.names, self.index.get(), strict=True))
             columns = [[int(x) for x in saved[c]] for c in HEADER]
-            held.header = [dict(zip(HEADER, h, strict=True)) for h in zip(*columns, strict=True)]
-            for h in held.header:
+            header = [dict(zip(HEADER, h, strict=True)) for h in zip(*columns, strict=True)]
+            for h in header:
                 h |= {c: None for c in ("last_known", "first_start", "last_start") if h[c] == NOTHING}
-            held.pending, held.done, kept, held.next_id = *([int(x) for x in saved[c]] for c in ("pending", "done", "windows")), int(saved["next_id"])
-        out: list[tuple] = []
-        for seq, ts, value in new[["seq", "ts", "value"]].itertuples(index=False):
-            at = pd.Timestamp(ts).value // 1000
-            held.add(at, None if value is None or pd.isna(value) else float(value))
-            so_far = len(out)
-            try:
-                self._step(key, int(seq), at, held, out)
-            except Exception as e:  # noqa: BLE001 - one message must not end the feed
-                del out[so_far:]
-                out.append(("error", key[0], key[1], int(seq), pd.Timestamp(at, unit="us"), None, None, None, f"{type(e).__name__}: {e}", None, None, None))
+            pending, done, kept, next_id = *([int(x) for x in saved[c]] for c in ("pending", "done", "windows")), int(saved["next_id"])
+        held = RunBuffer(self._load, self.max_points, self.min_hours * 3.6e9, header, pending, done, next_id)
+        stored, windows = set(kept), {}
+        for begin in range(0, len(new), MESSAGES):
+            out: list[tuple] = []
+            some = new.iloc[begin : begin + MESSAGES]
+            for seq, at, value in zip(some["seq"].tolist(), some["ts"].tolist(), some["value"].tolist(), strict=True):
+                held.add(at, None if value is None or value != value else float(value))
+                so_far = len(out)
+                try:
+                    self._step(key, seq, at, held, out)
+                except Exception as e:  # noqa: BLE001 - one message must not end the feed
+                    del out[so_far:]
+                    out.append(("error", key[0], key[1], seq, at, None, None, None, f"{type(e).__name__}: {e}", None, None, None))
+            self._store(held)
+            for row in out:
+                if row[0] == "reconstruction":
+                    windows[row[6]] = (row[3], *row[7:])
+            kept = sorted({*kept, *windows})[-KEPT_WINDOWS:]
+            windows = {x: windows[x] for x in kept if x in windows}
+            # Columns of objects: numbers that may be missing stay whole.
+            yield pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in zip(RAW.names, zip(*out, strict=True), strict=True)})
+        for start in stored.difference(kept):
+            self.windows.removeKey((start,))
+        for start, window in windows.items():
+            self.windows.updateValue((start,), window)
+        columns = [[NOTHING if h[c] is None else h[c] for h in held.header] for c in HEADER]
+        self.index.update((*columns, held.pending, held.done, kept, held.next_id))
+
+    def _store(self, held: RunBuffer) -> None:
+        """Blocks go to the state, and are read again when they are needed."""
         for number in held.removed:
             if self.blocks.containsKey((number,)):
                 self.blocks.removeKey((number,))
         for number in held.changed:
             b = held.blocks[number]
             self.blocks.updateValue((number,), (b.ts, b.value, b.start))
-        for row in out:
-            if row[0] == "reconstruction":
-                start = row[6].value // 1000
-                self.windows.updateValue((start,), (row[3], row[7].value // 1000, row[8], row[9], [t.value // 1000 for t in row[10]], row[11]))
-                if start not in kept:
-                    insort(kept, start)
-        for start in kept[:-KEPT_WINDOWS]:
-            self.windows.removeKey((start,))
-        columns = [[NOTHING if h[c] is None else h[c] for h in held.header] for c in HEADER]
-        self.index.update((*columns, held.pending, held.done, kept[-KEPT_WINDOWS:], held.next_id))
-        yield pd.DataFrame(out, columns=UPDATE.names)
+        for x in (held.removed, held.changed, held.blocks):
+            x.clear()
 
     def _step(self, key: Any, seq: int, at: int, held: RunBuffer, out: list[tuple]) -> None:
-        stamp = lambda us: pd.Timestamp(us, unit="us")
         i, j = held.place(at) if held.header else (0, 0)
         there = bool(held.header) and j < held.header[i]["n"] and held.time((i, j)) == at
-        out.append(("point", key[0], key[1], seq, stamp(at), held.value((i, j)) if there else None, None, None, None, None, None, None))
-        newest = held.last_known()
+        out.append(("point", key[0], key[1], seq, at, held.value((i, j)) if there else None, None, None, None, None, None, None))
+        newest = held.last_known() if held.pending else None
+        context = max(1, min(CONTEXT, getattr(self.model, "context", CONTEXT)))
         for start in list(held.pending):
+            if start == held.oldest() or held.known_before(start, self.min_context) < self.min_context:
+                continue
             first, last = held.span(start)
             open_ended = newest is None or newest <= last
-            if held.known_before(first) < self.min_context or open_ended and not self.open_ended or first == held.oldest():
+            if open_ended and not self.open_ended:
                 continue
-            ts, value, begin = held.around(first, last, CONTEXT)
+            ts, value, begin = held.around(first, last, context)
             end = int(np.searchsorted(ts, last))
             try:
                 y = rebuild(self.model, value, begin, end, open_ended)
@@ -162,8 +184,8 @@ class Repair(StatefulProcessor):
                 continue
             method = f"{self.model.name}-{'forward-only' if open_ended else 'bidirectional'}"
             label = "PROVISIONAL" if open_ended else "RECONCILED"
-            times = [stamp(int(t)) for t in ts[begin : end + 1]]
-            out.append(("reconstruction", key[0], key[1], seq, None, None, times[0], times[-1], method, label, times, [None if np.isnan(v) else float(v) for v in y]))
+            times = ts[begin : end + 1].tolist()
+            out.append(("reconstruction", key[0], key[1], seq, None, None, times[0], times[-1], method, label, times, [None if v != v else v for v in y.tolist()]))
             if not open_ended:
                 held.finish(start)
 
@@ -174,10 +196,13 @@ class Repair(StatefulProcessor):
 def live_updates(messages: DataFrame, model: Forecaster | None = None, **parameters: Any) -> DataFrame:
     """Updates of a stream of ``point_id, sensor, ts, value, seq`` (``seq``: order of arrival, e.g. the offset)."""
     ship(messages.sparkSession)
+    messages = messages.select("point_id", "sensor", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("ts"), "value", "seq")
     with by_value():
-        return messages.groupBy("point_id", "sensor").transformWithStateInPandas(
-            statefulProcessor=Repair(model or LastValue(), **parameters), outputStructType=UPDATE, outputMode="Update", timeMode="None"
+        updates = messages.groupBy("point_id", "sensor").transformWithStateInPandas(
+            statefulProcessor=Repair(model or LastValue(), **parameters), outputStructType=RAW, outputMode="Update", timeMode="None"
         )
+    time = {f.name: F.timestamp_micros(f.name) for f in UPDATE.fields if f.dataType == T.TimestampType()}
+    return updates.withColumns(time | {"times": F.transform("times", F.timestamp_micros)})
 
 
 def update_messages(updates: DataFrame) -> DataFrame:
@@ -190,12 +215,14 @@ def update_messages(updates: DataFrame) -> DataFrame:
     return updates.select("point_id", "sensor", "seq", F.when(F.col("type") == "point", F.to_json(point, null)).otherwise(F.to_json(rebuilt, null)).alias("message"))
 
 
-def newest_windows(updates: DataFrame, limit: int = 200) -> DataFrame:
-    """For a reader: the newest version of each period, and of those the ``limit`` that start last in each series."""
+def newest_windows(updates: DataFrame, limit: int | None = 200) -> DataFrame:
+    """For a reader: the newest version of each period, and of those the ``limit`` that start last in each series; None is all."""
     from pyspark.sql import Window
 
     r = updates.filter("type = 'reconstruction'")
     r = r.withColumn("v", F.row_number().over(Window.partitionBy("point_id", "sensor", "start_time").orderBy(F.col("seq").desc()))).filter("v = 1").drop("v")
+    if limit is None:
+        return r
     return r.withColumn("p", F.row_number().over(Window.partitionBy("point_id", "sensor").orderBy(F.col("start_time").desc()))).filter(F.col("p") <= limit).drop("p")
 
 

@@ -5,6 +5,8 @@ block where it begins and ends, how many rows and readings it has, and its first
 start of a run. A message changes the flags of its own row and of the two after it (a null takes the
 value before it, and a run ends where that changes), so it reads the blocks around it
 and looks at the header for the rest: neither the number of readings nor of runs counts.
+A message that comes after all others and the eviction of the oldest row are the common
+case and touch one row of the header.
 Runs that are long enough and not done are listed as pending.
 """
 
@@ -42,9 +44,14 @@ class RunBuffer:
     blocks: dict[int, Block] = field(default_factory=dict)
     changed: set[int] = field(default_factory=set)
     removed: set[int] = field(default_factory=set)
-    #: Rows looked at, for tests.
+    #: Rows and rows of the header looked at, for tests.
     work: int = 0
 
+    def __post_init__(self) -> None:
+        #: When each block begins, and the number of rows.
+        self.firsts = [h["first"] for h in self.header]
+        self.total = sum(h["n"] for h in self.header)
+
     # Places are pairs of a block's position and a row in it.
 
     def block(self, i: int) -> Block:
@@ -60,12 +67,13 @@ class RunBuffer:
         starts = [t for t, s in zip(b.ts, b.start, strict=True) if s]
         h |= {"first": b.ts[0], "last": b.ts[-1], "n": len(b.ts), "known": len(known), "last_known": known[-1] if known else None}
         h |= {"first_start": starts[0] if starts else None, "last_start": starts[-1] if starts else None}
+        self.firsts[i] = b.ts[0]
         self.changed.add(h["id"])
         self.work += len(b.ts)
 
     def place(self, t: int) -> tuple[int, int]:
         """Where a row with this time is."""
-        i = max(0, bisect_right([h["first"] for h in self.header], t) - 1)
+        i = max(0, bisect_right(self.firsts, t) - 1)
         return i, bisect_left(self.block(i).ts, t)
 
     def shift(self, at: tuple[int, int], by: int) -> tuple[int, int] | None:
@@ -93,25 +101,63 @@ class RunBuffer:
 
     def add(self, t: int, value: float | None) -> None:
         """A reading that arrives; one of the same time is replaced, the oldest beyond ``most`` go."""
-        if not self.header:
-            self.header.append({"id": self._new(Block([], [], []))} | dict.fromkeys(HEADER[1:]))
-            i, j = 0, 0
+        if not self.header or t > self.header[-1]["last"]:
+            self._append(t, value)
         else:
             i, j = self.place(t)
-        b = self.block(i)
-        if j < len(b.ts) and b.ts[j] == t:
-            b.value[j] = value
-        else:
-            b.ts.insert(j, t)
-            b.value.insert(j, value)
-            b.start.insert(j, False)
-        self.describe(i)
-        if len(b.ts) > 2 * BLOCK:
-            self._split(i)
-        self._flags(self.place(t))
-        while sum(h["n"] for h in self.header) > self.most:
+            b = self.block(i)
+            if j < len(b.ts) and b.ts[j] == t:
+                b.value[j] = value
+            else:
+                b.ts.insert(j, t)
+                b.value.insert(j, value)
+                b.start.insert(j, False)
+                self.total += 1
+            self.describe(i)
+            if len(b.ts) > 2 * BLOCK:
+                self._split(i)
+            self._flags(self.place(t))
+        while self.total > self.most:
             self._evict()
 
+    def _append(self, t: int, value: float | None) -> None:
+        """A row after all others: it goes on with the last run or starts one, and changes no other."""
+        before = (len(self.header) - 1, self.header[-1]["n"] - 1) if self.header else None
+        v = self.value(before)
+        now, was = (v if value is None else value), self._filled(before)
+        start = before is None or now is None or was is None or now != was
+        if before is None or self.header[-1]["n"] >= 2 * BLOCK:
+            self.header.append({"id": self._new(Block([], [], [])), "first": t, "n": 0, "known": 0, "last_known": None, "first_start": None, "last_start": None})
+            self.firsts.append(t)
+        b, h = self.block(len(self.header) - 1), self.header[-1]
+        b.ts.append(t)
+        b.value.append(value)
+        b.start.append(start)
+        h["last"], h["n"] = t, h["n"] + 1
+        if value is not None:
+            h["known"], h["last_known"] = h["known"] + 1, t
+        self.changed.add(h["id"])
+        self.total += 1
+        if start:
+            h["first_start"], h["last_start"] = t if h["first_start"] is None else h["first_start"], t
+            return
+        first = self._last_start(len(self.header))
+        if t - first >= self.min_micros and not self.is_done(first):
+            self._pend(first)
+
+    def _pend(self, start: int) -> None:
+        k = bisect_left(self.pending, start)
+        if k == len(self.pending) or self.pending[k] != start:
+            self.pending.insert(k, start)
+
+    def _last_start(self, i: int) -> int:
+        """The last start in the blocks before this one."""
+        while True:
+            i -= 1
+            self.work += 1
+            if self.header[i]["last_start"] is not None:
+                return self.header[i]["last_start"]
+
     def _new(self, b: Block) -> int:
         self.next_id += 1
         self.blocks[self.next_id] = b
@@ -123,25 +169,33 @@ class RunBuffer:
         new = self._new(Block(b.ts[half:], b.value[half:], b.start[half:]))
         del b.ts[half:], b.value[half:], b.start[half:]
         self.header.insert(i + 1, {"id": new})
+        self.firsts.insert(i + 1, self.blocks[new].ts[0])
         self.describe(i)
         self.describe(i + 1)
 
     def _evict(self) -> None:
-        b = self.block(0)
-        t = b.ts.pop(0)
-        b.value.pop(0)
+        b, h = self.block(0), self.header[0]
+        t, v = b.ts.pop(0), b.value.pop(0)
         b.start.pop(0)
+        self.total -= 1
         self._forget(t)
         if b.ts:
-            self.describe(0)
+            h["first"] = self.firsts[0] = b.ts[0]
+            h["n"], h["known"] = len(b.ts), h["known"] - (v is not None)
+            h["last_known"] = h["last_known"] if h["known"] else None
+            # The row that was evicted, always a start, was the first one.
+            h["last_start"] = None if h["last_start"] == t else h["last_start"]
+            h["first_start"] = None if h["last_start"] is None else next(x for x, s in zip(b.ts, b.start, strict=True) if s)
+            self.changed.add(h["id"])
         else:
             gone = self.header.pop(0)["id"]
+            self.firsts.pop(0)
             self.blocks.pop(gone)
             self.changed.discard(gone)
             self.removed.add(gone)
         while self.done and self.done[0] <= t:
             self.done.pop(0)
-        if self.header:
+        if self.header and (self.block(0).value[0] is None or not self.block(0).start[0]):
             self._flags((0, 0))
 
     def _forget(self, start: int) -> None:
@@ -192,7 +246,7 @@ class RunBuffer:
         self.work += at[1] - j
         if j >= 0:
             return b.ts[j]
-        return next(h["last_start"] for h in reversed(self.header[:i]) if h["last_start"] is not None)
+        return self._last_start(i)
 
     def span(self, start: int) -> tuple[int, int]:
         """First and last time of the run that starts there."""
@@ -208,10 +262,16 @@ class RunBuffer:
                 return start, self.header[k - 1]["last"] if h["first_start"] == h["first"] else self.time(self.shift(self.place(h["first_start"]), -1))
         return start, self.header[-1]["last"]
 
-    def known_before(self, t: int) -> int:
+    def known_before(self, t: int, enough: int) -> int:
+        """Readings before a time; no more blocks are looked at once there are enough."""
         i, j = self.place(t)
         self.work += j
-        return sum(h["known"] for h in self.header[:i]) + sum(v is not None for v in self.block(i).value[:j])
+        n = sum(v is not None for v in self.block(i).value[:j])
+        while n < enough and i > 0:
+            i -= 1
+            self.work += 1
+            n += self.header[i]["known"]
+        return n
 
     def last_known(self) -> int | None:
         return next((h["last_known"] for h in reversed(self.header) if h["last_known"] is not None), None)
