@@ -195,8 +195,20 @@ class RunBuffer:
             self.removed.add(gone)
         while self.done and self.done[0] <= t:
             self.done.pop(0)
-        if self.header and (self.block(0).value[0] is None or not self.block(0).start[0]):
-            self._flags((0, 0))
+        if not self.header:
+            return
+        b, h = self.block(0), self.header[0]
+        if b.value[0] is None:
+            self._flags((0, 0))  # the row after it may have taken the same value
+        elif not b.start[0]:
+            # The rest of the run starts here now; later rows see no difference.
+            start = b.ts[0]
+            b.start[0], h["first_start"] = True, start
+            h["last_start"] = start if h["last_start"] is None else h["last_start"]
+            self.changed.add(h["id"])
+            last = self.span(start)[1]
+            if last > start and last - start >= self.min_micros and not self.is_done(start):
+                self._pend(start)
 
     def _forget(self, start: int) -> None:
         k = bisect_left(self.pending, start)
