@@ -337,3 +337,10 @@ def test_updates_of_a_large_batch_leave_in_small_frames(monkeypatch, most):
     drop = lambda text: [line.split(",", 1)[1] for line in text.splitlines()]
     assert drop(got[0][0]) == drop(got[1][0]) and got[0][1:] == got[1][1:]
     assert len(drop(got[0][0])) > len(messages) + 100
+
+
+def test_all_newest_windows_without_a_limit(spark):
+    rows = [("reconstruction", "p", "t", seq, START.to_pydatetime() + pd.Timedelta(hours=i), f"m{seq}") for i in range(300) for seq in (1, 2)]
+    t = spark.createDataFrame(rows, "type string, point_id string, sensor string, seq long, start_time timestamp, method string")
+    got = newest_windows(t, None)
+    assert got.count() == 300 and {r.method for r in got.collect()} == {"m2"} and newest_windows(t).count() == 200
