@@ -53,6 +53,8 @@ ANCHOR = 24
 HOT_PIECES = 2000
 #: Pieces whose anchors may meet in one bucket: half a megabyte of hashes each.
 PER_BUCKET = 150
+#: Bytes of fragments that are expanded at once; the fragments of one anchor stay together.
+EXPAND = 1 << 18
 #: Symbols that are packed for the first sort.
 START = 5
 #: Times that many symbols make the first intervals, which are then extended one by one.
@@ -61,8 +63,8 @@ NO_ID = pc.NO_ID
 _POS = np.uint64((1 << 24) - 1)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, window count, document, anchor hash and content hash of each fragment.
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int, contents: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, window count, document, anchor hash and content hash (0 without ``contents``) of each fragment.
 
     Windows stay inside documents. Arrays of more than 2**24 bytes (one very long text)
     are taken in overlapping parts.
@@ -74,7 +76,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
         while at < n - length + 1:
             stop = min(n, at + limit + length - 1)
             lo, hi = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, stop, "left")
-            part = runs(data[at:stop], np.clip(offsets[lo : hi + 1], at, stop) - at, length, anchor)
+            part = runs(data[at:stop], np.clip(offsets[lo : hi + 1], at, stop) - at, length, anchor, contents)
             parts.append((part[0] + at, part[1], part[2] + lo, *part[3:]))
             at += limit
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
@@ -104,7 +106,13 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
     ok = first + length <= offsets[1:][doc]
     first, count, doc = first[ok], count[ok], doc[ok]
     at = (low[first] & _POS).astype(np.int64)
-    return first, count, doc, h[at] >> np.uint64(16), tk.span_hash(data, first, first + count + length - 1)
+    content = tk.span_hash(data, first, first + count + length - 1) if contents else np.zeros(len(first), np.uint64)
+    return first, count, doc, h[at] >> np.uint64(16), content
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of ``[first, first + n)`` of each pair, one after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def ranks(value: np.ndarray, bits: int) -> np.ndarray:
@@ -189,8 +197,8 @@ def packed_runs(content: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarr
 class Repeats:
     """The steps of one run; the parameters travel with the functions to the executors."""
 
-    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_PIECES, buckets: int = 64, as_text: bool = False):
-        self.length, self.anchor, self.hot, self.buckets, self.as_text = length, anchor, hot, buckets, as_text
+    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_PIECES, buckets: int = 64, as_text: bool = False, block: int = EXPAND):
+        self.length, self.anchor, self.hot, self.buckets, self.as_text, self.block = length, anchor, hot, buckets, as_text, block
 
     def digests(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digest and id of each text of a piece."""
@@ -203,10 +211,10 @@ class Repeats:
                     names=["piece", "digest", "id"],
                 )
 
-    def _runs(self, batch: pa.RecordBatch, i: int):
+    def _runs(self, batch: pa.RecordBatch, i: int, contents: bool = True):
         """Ids, bytes and fragments of a piece's texts without the copies of others."""
         ids, offsets, data = pc.unpack(batch, i)
-        first, count, doc, anchor, content = runs(data, offsets, self.length, self.anchor)
+        first, count, doc, anchor, content = runs(data, offsets, self.length, self.anchor, contents)
         copies = batch.column("copies")[i].as_py()
         if copies:
             ok = ~np.isin(ids, np.array(copies))[doc]
@@ -217,7 +225,7 @@ class Repeats:
         """Hashes of a piece's anchors by bucket; one that two documents of the piece have is given twice."""
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, _, _, doc, anchor, _ = self._runs(batch, i)
+                _, _, _, _, doc, anchor, _ = self._runs(batch, i, False)
                 order = np.lexsort((doc, anchor))
                 a, d = anchor[order], doc[order]
                 fresh = np.ones(len(a), bool)
@@ -252,7 +260,7 @@ class Repeats:
         """A piece's distinct fragments of shared anchors by bucket: hashes and the smallest id in the piece."""
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, _, _, _, doc, anchor, content = self._runs(batch, i)
+                ids, data, first, count, doc, anchor, _ = self._runs(batch, i, False)
                 value, deals = [], []
                 for sent in batch.column("sent")[i].as_py():
                     v = pc.widen(sent["anchors"], 6)
@@ -262,6 +270,8 @@ class Repeats:
                 order = np.argsort(value)
                 ok, at = pc.lookup(value[order], anchor)
                 chosen = np.flatnonzero(ok)
+                content = np.zeros(len(first), np.uint64)
+                content[chosen] = tk.span_hash(data, first[chosen], first[chosen] + count[chosen] + self.length - 1)
                 by = chosen[np.lexsort((ids[doc[chosen]], content[chosen]))]
                 fresh = np.ones(len(by), bool)
                 fresh[1:] = content[by][1:] != content[by][:-1]
@@ -311,15 +321,22 @@ class Repeats:
             for i in range(batch.num_rows):
                 _, data, first, count, _, _, content = self._runs(batch, i)
                 name, where = np.unique(content.view(np.int64), return_index=True)
-                for want in batch.column("want")[i].as_py():
-                    asked = np.frombuffer(want["contents"], np.int64)
-                    at = where[pc.lookup(name, asked)[1]]
-                    size = count[at] + self.length - 1
-                    texts = b"".join(data[a : a + n].tobytes() for a, n in zip(first[at], size, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([want["bucket"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (asked.tobytes(), size.astype(np.uint8).tobytes(), texts))],
-                        names=["bucket", "contents", "sizes", "texts"],
-                    )
+                wants = batch.column("want")[i].as_py()
+                asked = np.frombuffer(b"".join(w["contents"] for w in wants), np.int64)
+                at = where[pc.lookup(name, asked)[1]]
+                size = count[at] + self.length - 1
+                sizes, texts = size.astype(np.uint8).tobytes(), data[ranges(first[at], size)].tobytes()
+                # One batch for all buckets: each batch costs as much as many rows.
+                border = np.cumsum([0, *(len(w["contents"]) // 8 for w in wants)])
+                end = np.concatenate([[0], np.cumsum(size)])[border]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([w["bucket"] for w in wants], pa.int32()), pa.array([w["contents"] for w in wants], pa.binary()),
+                        pa.array([sizes[a:b] for a, b in zip(border[:-1], border[1:], strict=True)], pa.binary()),
+                        pa.array([texts[a:b] for a, b in zip(end[:-1], end[1:], strict=True)], pa.binary()),
+                    ],
+                    names=["bucket", "contents", "sizes", "texts"],
+                )
 
     def intervals(self, table: pa.Table, sent: pa.Table) -> pa.Table:
         """Smallest ids of the windows of a bucket's fragments: packed runs for the pieces, rows for hot anchors."""
@@ -329,59 +346,62 @@ class Repeats:
         one = np.flatnonzero(~several)
         # A content alone: one run over all its windows, whose number the pieces know.
         of, a, b, low = [one], [np.zeros(len(one), np.int64)], [np.full(len(one), 255)], [smallest[one]]
-        texts: list[bytes] = []
-        window = np.zeros(0, np.int64)
+        number, begin, size, text = (np.zeros(0, np.int64),) * 4
         if sent.num_rows:
-            which, size, whole = [], [], []
-            for c, n, t in zip(*(sent.column(x).to_pylist() for x in ("contents", "sizes", "texts")), strict=True):
-                which.append(np.frombuffer(c, np.int64))
-                size.append(np.frombuffer(n, np.uint8).astype(np.int64))
-                whole.append(t)
-            number = pc.lookup(name, np.concatenate(which))[1]
-            size, text = np.concatenate(size), b"".join(whole)
-            end = np.cumsum(size)
-            texts = [text[e - n : e] for e, n in zip(end, size, strict=True)]
-            lows, _ = expand(texts, smallest[number], self.length)
-            windows = size - self.length + 1
-            w_of = np.repeat(number, windows)
-            at = np.arange(len(w_of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            new = np.ones(len(w_of), bool)
-            new[1:] = (w_of[1:] != w_of[:-1]) | (lows[1:] != lows[:-1])
-            f = np.flatnonzero(new)
-            of.append(w_of[f])
-            a.append(at[f])
-            b.append(at[f] + np.diff(f, append=len(w_of)))
-            low.append(lows[f])
+            which, sizes, whole = (b"".join(sent.column(x).to_pylist()) for x in ("contents", "sizes", "texts"))
+            number = pc.lookup(name, np.frombuffer(which, np.int64))[1]
+            size, text = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(whole, np.uint8)
+            begin = np.cumsum(size) - size
+            # Equal windows have equal anchors, so groups of whole anchors are expanded by themselves.
+            anchor = rows["anchor"][where[number]]
+            order = np.argsort(anchor, kind="stable")
+            number, begin, size, anchor = number[order], begin[order], size[order], anchor[order]
+            heads = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] ^ np.uint64(1)))
+            block = np.cumsum(size)[heads] // self.block
+            for some in np.split(np.arange(len(number)), heads[1:][np.diff(block) > 0]):
+                lows, _ = expand([whole[x : x + n] for x, n in zip(begin[some], size[some], strict=True)], smallest[number[some]], self.length)
+                windows = size[some] - self.length + 1
+                w_of, at = np.repeat(number[some], windows), ranges(np.zeros(len(some), np.int64), windows)
+                new = np.ones(len(w_of), bool)
+                new[1:] = (w_of[1:] != w_of[:-1]) | (lows[1:] != lows[:-1])
+                f = np.flatnonzero(new)
+                of.append(w_of[f])
+                a.append(at[f])
+                b.append(at[f] + np.diff(f, append=len(w_of)))
+                low.append(lows[f])
         of, a, b, low = (np.concatenate(x).astype(np.int64) for x in (of, a, b, low))
         order = np.argsort(of, kind="stable")
         of, a, b, low = of[order], a[order], b[order], low[order]
         cut = np.searchsorted(of, np.arange(len(name) + 1))
         hot_row = (rows["deals"] > 1) & several[back]
-        out_piece, out_blob = [], []
         cold = np.flatnonzero(~hot_row)
         cold = cold[np.argsort(piece[cold], kind="stable")]
-        for part in np.split(cold, np.flatnonzero(np.diff(piece[cold])) + 1) if len(cold) else []:
-            c = back[part]
-            n = cut[c + 1] - cut[c]
-            r = np.repeat(cut[c] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out_piece.append(int(piece[part[0]]))
-            out_blob.append(packed_runs(np.repeat(rows["content"][part], n), a[r], b[r], low[r]))
-        hot: dict[str, list] = {"window": [], "low": [], "content": [], "at": [], "piece": []}
+        c = back[cold]
+        n = cut[c + 1] - cut[c]
+        r = ranges(cut[c], n)
+        head = np.flatnonzero(np.diff(piece[cold], prepend=~piece[cold][:1]))
+        blob, border = packed_runs(np.repeat(rows["content"][cold], n), a[r], b[r], low[r]), np.concatenate([[0], np.cumsum(n)])[np.append(head, len(cold))] * RUN.itemsize
+        out_piece, out_blob = piece[cold][head], [blob[x:y] for x, y in zip(border[:-1], border[1:], strict=True)]
+        flat = {x: np.zeros(0, np.int64) for x in ("window", "low", "content", "at", "piece")}
         if hot_row.any():
-            text_of = dict(zip(number.tolist(), texts, strict=True))
-            for row in np.flatnonzero(hot_row):
-                text = np.frombuffer(text_of[int(back[row])], np.uint8)
-                start = np.arange(len(text) - self.length + 1)
-                window = tk.window_hash(tk.prefix_hash(text), start, start + self.length).view(np.int64)
-                r = np.arange(cut[back[row]], cut[back[row] + 1])
-                for key, value in (("window", window), ("low", np.repeat(low[r], b[r] - a[r])), ("content", np.full(len(start), rows["content"][row])), ("at", start), ("piece", np.full(len(start), piece[row]))):
-                    hot[key].append(value)
-        flat = {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in hot.items()}
+            # The windows of each content once, then for each piece that has it.
+            chosen, row = np.unique(back[hot_row]), np.flatnonzero(hot_row)
+            order = np.argsort(number)
+            at = order[pc.lookup(number[order], chosen)[1]]
+            t, windows = text[ranges(begin[at], size[at])], size[at] - self.length + 1
+            start = ranges(np.cumsum(size[at]) - size[at], windows)
+            window = tk.window_hash(tk.prefix_hash(t), start, start + self.length).view(np.int64)
+            r = ranges(cut[chosen], cut[chosen + 1] - cut[chosen])
+            lows = np.repeat(low[r], b[r] - a[r])
+            j = np.searchsorted(chosen, back[row])
+            n = windows[j]
+            of = ranges((np.cumsum(windows) - windows)[j], n)
+            flat = {"window": window[of], "low": lows[of], "content": np.repeat(rows["content"][row], n), "at": ranges(np.zeros(len(n), np.int64), n), "piece": np.repeat(piece[row], n)}
         k, m = len(out_piece), len(flat["window"])
         pad = lambda x: pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)])
         return pa.table(
             {
-                "piece": pa.array(np.concatenate([np.array(out_piece, np.int64), flat["piece"]])),
+                "piece": pa.array(np.concatenate([out_piece, flat["piece"]])),
                 "runs": pa.concat_arrays([pa.array(out_blob, pa.binary()), pa.nulls(m, pa.binary())]),
                 **{x: pad(flat[x]) for x in ("window", "low", "content", "at")},
             }

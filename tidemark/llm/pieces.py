@@ -24,6 +24,8 @@ PIECE = 1 << 20
 BUCKET = 16 << 20
 #: Spark allows no more buckets (spark.sql.sources.bucketing.maxBuckets).
 MOST_BUCKETS = 100_000
+#: Buckets of hashes: so many, and one more for each so many pieces, are enough for any number of tasks.
+FEW_BUCKETS, SPREAD = 48, 32
 NO_ID = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -115,8 +117,13 @@ def by_piece(answers: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def bucket_count(pieces: DataFrame, each: int, at_least: int) -> int:
-    """Buckets for the answers to all pieces: so many that about ``each`` pieces' hashes meet in one, whatever the input's size."""
-    return max(at_least * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // each))
+    """Buckets for the answers to all pieces: so many that at most about ``each`` pieces' hashes meet in one, whatever the input's size.
+
+    Every piece sends a row to every bucket, so more of them than tasks need only make rows:
+    ``at_least`` for each shuffle partition, but no more than some for each piece.
+    """
+    count, tasks = pieces.count(), at_least * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(tasks, FEW_BUCKETS + count // SPREAD), -(-count // each))
 
 
 def unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
